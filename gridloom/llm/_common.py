@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_BUILT: dict[str, object] = {}
+
+
+def built(token: str, build: Callable[[], object]):
+    """What ``build`` makes, once per Python worker and token; only the latest token's is kept."""
+    if token not in _BUILT:
+        _BUILT.clear()
+        _BUILT[token] = build()
+    return _BUILT[token]
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bounds the rows of an Arrow batch, so that Python workers hold a few MB of text at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -48,7 +60,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
     size = 0
     for b in batches:
         n, start, at = b.num_rows, 0, b.schema.get_field_index(column)
-        lengths = [0 if x is None else x for x in pa.compute.binary_length(b.column(at)).to_pylist()]
+        lengths = [0 if x is None else x for x in pc.binary_length(b.column(at)).to_pylist()]
         for i in range(n):
             size += lengths[i]
             if size >= limit:

@@ -64,7 +64,7 @@ def _turns(df: DataFrame, spec: list[tuple[str, str]]) -> Column:
             items, value = path.split(".")
             if items not in df.columns:
                 continue
-            parts.append(F.transform(F.col(items), lambda x, i, r=role[2:], v=value: F.struct(turn.alias("turn"), i.alias("pos"), _role(x[r]).alias("role"), F.coalesce(x[v].cast("string"), F.lit("")).alias("text"))))
+            parts.append(F.transform(F.col(items), _element(turn, role[2:], value)))
             continue
         texts = [F.col(c).cast("string") for c in path.split("+") if c in df.columns]
         if not texts:
@@ -77,6 +77,10 @@ def _turns(df: DataFrame, spec: list[tuple[str, str]]) -> Column:
     return F.concat(*[p.cast(f"array<{TURN}>") for p in parts]) if parts else F.array().cast(f"array<{TURN}>")
 
 
+def _element(turn: Column, role: str, value: str):
+    return lambda x, i: F.struct(turn.alias("turn"), i.alias("pos"), _role(x[role]).alias("role"), F.coalesce(x[value].cast("string"), F.lit("")).alias("text"))
+
+
 def _role(role: Column) -> Column:
     out = F.coalesce(role.cast("string"), F.lit(""))
     for k, v in ROLES.items():

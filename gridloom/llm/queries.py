@@ -2,11 +2,41 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat_format, quality_rules
-from gridloom.llm._common import table
+from gridloom.llm import chat_format, decontaminate, langid, packing, pii, quality_rules
+from gridloom.llm._common import small_batches, table
+
+
+def op3_pack_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op4_pii_deobfuscate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    out = pii.detect(table(spark, sf_dir, "documents"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(k) for k in pii.KINDS]
+    out = out.select("doc_id", "spans", base.alias("base"))
+    return out.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op7_langid_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    out = langid.predict(docs, langid.fit(docs.filter(~langid.held_out(F.col("doc_id")))))
+    return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,5 +54,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_chat_format, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_pack_dp, op4_pii_deobfuscate, op6_decontaminate, op7_langid_zstd, op8_chat_format, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
