@@ -14,12 +14,16 @@ Edge cases: null or empty text has no words and fails the base rules; a null hos
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import let
+from gridloom.llm._common import checkpointed, let
 
-WHITE = "[ \\t\\n\\x0B\\f\\r]+"
+ODD_WHITE = "[ \\t\\x0B\\f\\r]{2,}|[\\t\\x0B\\f\\r]"
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 WINDOW = 8
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
@@ -30,16 +34,27 @@ DOC_SHARE = 0.01
 DEPLETED = 0.5
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(text, WHITE), lambda w: w != "")
+def _flat(text: Column) -> Column:
+    """The text with one blank for each run of white space within a line; line breaks stay."""
+    odd = reduce(or_, [F.contains(text, F.lit(x)) for x in ("  ", "\t", "\x0b", "\f", "\r")])
+    return F.when(odd, F.regexp_replace(text, ODD_WHITE, " ")).otherwise(text)
+
+
+def _words(flat: Column) -> Column:
+    return F.filter(F.split(F.replace(flat, F.lit("\n"), F.lit(" ")), " "), lambda w: w != "")
 
 
 def _repeat_words(words: Column) -> Column:
     """Words inside 8-word windows that occur twice or more, the first occurrence included."""
 
+    def paired(h: Column, step: int) -> Column:
+        """Each hash with the one ``step`` places on; the last ``step`` pair with nothing."""
+        return F.zip_with(h, F.slice(h, step + 1, F.greatest(F.size(h) - step, F.lit(0))), lambda x, y: F.xxhash64(x, y))
+
     def windows(h: Column) -> Column:
         n = F.size(h) - (WINDOW - 1)
-        return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.xxhash64(*[h[i + k] for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
+        eight = let(paired(h, 1), lambda two: let(paired(two, 2), lambda four: paired(four, 4)))
+        return F.when(n > 0, F.slice(eight, 1, F.greatest(n, F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
 
     def covered(s: Column) -> Column:
         """s: windows as (hash, position), sorted."""
@@ -55,29 +70,36 @@ def _repeat_words(words: Column) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: let(windows(h), counted))
 
 
-def _line_key(line: Column) -> Column:
-    return F.xxhash64(F.lower(F.trim(F.regexp_replace(line, WHITE, " "))))
-
-
-def _lines(text: Column) -> Column:
+def _raw_lines(text: Column) -> Column:
     """Lines that hold a word."""
     return F.filter(F.split(text, "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
 
 
+def _line_hashes(flat: Column) -> Column:
+    """The hash of each normalised line, 0 for one without a word."""
+    return F.transform(F.split(F.lower(flat), "\n"), lambda x: F.when(F.trim(x) != "", F.xxhash64(F.trim(x))).otherwise(0))
+
+
+def _lines(flat: Column) -> Column:
+    """(hash, words) of each normalised line that holds a word."""
+    lines = F.filter(F.transform(F.split(F.lower(flat), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("n")))
+
+
 def measures(text: Column) -> Column:
     """A struct of the base counts and of the lines' hashes and words; evaluated once per row."""
 
-    def of(words: Column, lines: Column) -> Column:
+    def of(flat: Column, words: Column, raw: Column) -> Column:
         return F.struct(
             F.size(words).cast("long").alias("n_words"),
             F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
             F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+            (F.size(raw) - F.size(F.array_distinct(raw))).cast("long").alias("n_dup_lines"),
             _repeat_words(words).cast("long").alias("n_repeat_words"),
-            F.transform(lines, lambda x: F.struct(_line_key(x).alias("h"), F.size(_words(x)).alias("n"))).alias("lines"),
+            _lines(flat).alias("lines"),
         )
 
-    return let(_words(text), lambda w: let(_lines(text), lambda x: of(w, x)))
+    return let(_flat(text), lambda f: let(_words(f), lambda w: let(_raw_lines(text), lambda x: of(f, w, x))))
 
 
 def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, doc_share: float = DOC_SHARE) -> DataFrame:
@@ -88,33 +110,26 @@ def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, doc_share: float =
     return seen.filter(F.col("docs") > min_docs).join(hosts, "host").filter(F.col("docs") > doc_share * F.col("host_docs")).select("host", "h")
 
 
-def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", with_text: bool = False) -> DataFrame:
-    """One row per row of ``docs``: key, base counts, base_failed, n_line_words (words in removed lines), kept.
-
-    with_text adds all columns of ``docs`` in a struct ``doc`` and ``clean_text``, the text without
-    the removed lines (the text itself where none was removed).
-    """
-    whole = F.coalesce(F.col(text), F.lit(""))
+def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id") -> DataFrame:
+    """One row per row of ``docs``: key, base counts, base_failed, n_line_words (words in removed lines), kept, gone (hashes of the removed lines, null for none)."""
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     row = docs.select(F.col(key).alias("key"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), measures(whole).alias("m"))
-    base = row.select("key", "host", *[F.col("m")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
-    lines = row.select("key", "host", F.col("m")["lines"].alias("lines"))
-    gone = lines.select("key", "host", F.explode("lines").alias("x")).select("key", "host", F.col("x")["h"].alias("h"), F.col("x")["n"].alias("n")).groupBy("key", "host", "h").agg(F.sum("n").alias("n"))
-    gone = gone.join(frequent_lines(lines), ["host", "h"]).groupBy("key").agg(F.sum("n").alias("n_line_words"), F.collect_set("h").alias("gone"))
+    # a few numbers a line, read four times below: written once, so that texts are measured once
+    row = checkpointed(row.select("key", "host", *[F.col("m")[c].alias(c) for c in (*COUNTS, "lines")]))
+    gone = row.select("key", "host", F.explode("lines").alias("x")).select("key", "host", F.col("x")["h"].alias("h"), F.col("x")["n"].alias("n"))
+    gone = gone.join(frequent_lines(row), ["host", "h"]).groupBy("key").agg(F.sum("n").alias("n_line_words"), F.collect_set("h").alias("gone"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    if with_text:
-        base = docs.select(F.col(key).alias("key"), F.struct(*docs.columns).alias("doc"), measures(whole).alias("m")).select("key", "doc", F.col("m")["n_words"].alias("n_words"), F.col("m")["n_repeat_words"].alias("n_repeat_words"))
-    else:
-        gone = gone.drop("gone")
     # a null key joins nothing, so its row keeps every line
-    out = base.join(gone, "key", "left").withColumns({"n_line_words": F.coalesce("n_line_words", F.lit(0)).cast("long"), "base_failed": failed})
+    out = row.select("key", *COUNTS).join(gone, "key", "left").withColumns({"n_line_words": F.coalesce("n_line_words", F.lit(0)).cast("long"), "base_failed": failed})
     out = out.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(F.col("n_line_words") <= DEPLETED * F.col("n_words")))
-    if with_text:
-        left = F.array_join(F.filter(F.split(F.col("doc")[text], "\n"), lambda x: ~F.array_contains(F.col("gone"), _line_key(x))), "\n")
-        return out.select("key", "doc", "kept", F.when(F.col("gone").isNull(), F.col("doc")[text]).otherwise(left).alias("clean_text"))
-    return out.select(F.col("key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_line_words", "kept")
+    return out.select(F.col("key").alias(key), *COUNTS, "base_failed", "n_line_words", "kept", "gone")
 
 
 def pipeline_stage(docs: DataFrame) -> DataFrame:
-    """The kept documents, without the removed lines; columns as in ``docs``."""
-    out = quality_rules(docs, with_text=True).filter("kept")
-    return out.select(*[(F.col("clean_text") if c == "text" else F.col("doc")[c]).alias(c) for c in docs.columns])
+    """The kept documents, without the removed lines; columns as in ``docs``. Where two rows share a key, one that is kept keeps both."""
+    verdict = quality_rules(docs).filter("kept").groupBy("doc_id").agg(F.first("gone").alias("_gone"))
+    out = docs.join(verdict, "doc_id")
+    lines, hashes = F.split("text", "\n"), _line_hashes(_flat(F.col("text")))
+    left = F.filter(F.arrays_zip(lines.alias("x"), hashes.alias("h")), lambda p: ~F.array_contains(F.col("_gone"), p["h"]))
+    clean = F.when(F.size("_gone") > 0, F.array_join(F.transform(left, lambda p: p["x"]), "\n")).otherwise(F.col("text"))
+    return out.withColumn("text", clean).select(*docs.columns)

@@ -51,7 +51,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("gone")
 
 
 QUERIES = {f.__name__: f for f in (op3_pack_dp, op4_pii_deobfuscate, op6_decontaminate, op7_langid_zstd, op8_chat_format, op10_quality_rules)}
