@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat_format, decontaminate, langid, packing, pii, quality_rules
+from gridloom.llm import chat_format, decontaminate, langid, near_dedup, packing, pii, quality_rules
 from gridloom.llm._common import small_batches, table
 
 
@@ -50,9 +50,14 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op9_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("gone")
 
 
-QUERIES = {f.__name__: f for f in (op3_pack_dp, op4_pii_deobfuscate, op6_decontaminate, op7_langid_zstd, op8_chat_format, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_pack_dp, op4_pii_deobfuscate, op6_decontaminate, op7_langid_zstd, op8_chat_format, op9_odd_sketch_dedup, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
