@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat_format, decontaminate, langid, near_dedup, packing, pii, quality_rules
+from gridloom.llm import chat_format, decontaminate, langid, near_dedup, packing, pii, quality_rules, toxicity
 from gridloom.llm._common import small_batches, table
 
 
@@ -26,6 +26,12 @@ def op4_pii_deobfuscate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
 
 
+def op5_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, *toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -59,5 +65,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("gone")
 
 
-QUERIES = {f.__name__: f for f in (op3_pack_dp, op4_pii_deobfuscate, op6_decontaminate, op7_langid_zstd, op8_chat_format, op9_odd_sketch_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_pack_dp, op4_pii_deobfuscate, op5_ordinal_toxicity, op6_decontaminate, op7_langid_zstd, op8_chat_format, op9_odd_sketch_dedup, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
