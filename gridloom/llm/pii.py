@@ -47,18 +47,21 @@ def _glyphs() -> dict[str, str]:
 
 
 _GLYPHS = _glyphs()
-_ODD = "".join(map(re.escape, [*_GLYPHS, *_INVISIBLE]))
+_ODD = frozenset(_GLYPHS) | frozenset(_INVISIBLE)
+_ONE_TO_ONE = str.maketrans(_GLYPHS)
 _NUMBER = "(?:" + "|".join(_NUMBERS) + ")"
 _RULES = re.compile(
     rf"(?P<at>\s{{0,2}}[\[({{<]\s{{0,2}}(?:at|@)\s{{0,2}}[\])}}>]\s{{0,2}}|(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]+(?:\s+dot\s+|\s{{0,2}}[\[({{<]\s{{0,2}}dot\s{{0,2}}[\])}}>]\s{{0,2}})[A-Za-z]))"
     rf"|(?P<dot>\s{{0,2}}[\[({{<]\s{{0,2}}(?:dot|\.)\s{{0,2}}[\])}}>]\s{{0,2}}|(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9]))"
     rf"|(?P<plus>\bplus[\s-]+(?={_NUMBER}\b))"
     rf"|(?P<digits>\b{_NUMBER}(?:[\s,-]{{1,3}}{_NUMBER})+\b)"
-    rf"|(?P<odd>[{_ODD}])",
+    rf"|(?P<gone>[{_INVISIBLE}])",
     re.IGNORECASE,
 )
+_MARKS = ("dot", "[at]", "(at)", "[.]", "(.)", "[@]", "(@)")
+_RARE = ("zero", "two", "three", "four", "five", "six", "seven", "eight", "nine", "one one")
+_RUN = re.compile(rf"\b{_NUMBER}(?:[\s,-]{{1,3}}{_NUMBER}){{6}}")
 _WORD_OF = re.compile(_NUMBER, re.IGNORECASE)
-_TRIGGER = re.compile(rf"[{_ODD}]")
 
 
 def _luhn(digits: str) -> bool:
@@ -91,6 +94,7 @@ def base_spans(t: str) -> list[tuple[str, int, int]]:
 
 def normalise(t: str) -> tuple[str, list[tuple[int, int, int]]]:
     """The normalised text, and its pieces as (place in it, source start, source end); a piece of as many characters on both sides maps one to one."""
+    t = t.translate(_ONE_TO_ONE)
     out, pieces, at, size = [], [], 0, 0
 
     def put(s: str, lo: int, hi: int) -> None:
@@ -112,8 +116,6 @@ def normalise(t: str) -> tuple[str, list[tuple[int, int, int]]]:
         elif m["digits"]:
             for w in _WORD_OF.finditer(t, lo, hi):
                 put(_NUMBERS[w[0].lower()], *w.span())
-        else:
-            put(_GLYPHS.get(m[0], ""), lo, hi)
         at = hi
     put(t[at:], at, len(t))
     return "".join(out), pieces
@@ -130,18 +132,19 @@ def _source(pieces: list[tuple[int, int, int]], size: int, lo: int, hi: int) ->
     return place(lo)[0], place(hi - 1)[1]
 
 
-def _disguised(t: str, low: str) -> bool:
+def _disguised(t: str) -> bool:
     """Whether the transducers could change the text."""
-    return (not t.isascii() and _TRIGGER.search(t) is not None) or "dot" in low or "[at]" in low or "(at)" in low or "[.]" in t or "(.)" in t or "[@]" in t or "(@)" in t or (sum(w in low for w in ("zero", "two", "three", "four", "five", "six", "seven", "eight", "nine")) >= 3)
+    low = t.lower()
+    return (not t.isascii() and not _ODD.isdisjoint(t)) or any(x in low for x in _MARKS) or (any(x in low for x in _RARE) and _RUN.search(low) is not None)
 
 
 def find(t: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and the spans that deobfuscation adds."""
     base = base_spans(t)
-    if not _disguised(t, t.lower()):
+    if not _disguised(t):
         return base, []
     norm, pieces = normalise(t)
-    if len(pieces) < 2:
+    if norm == t:
         return base, []
     taken, more = [(a, b) for _, a, b in base], []
     for kind, lo, hi in base_spans(norm):
