@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat_format, decontaminate, langid, near_dedup, packing, pii, quality_rules, toxicity, wrapper_extract
+from gridloom.llm import chat_format, decontaminate, langid, near_dedup, packing, pii, quality_rules, suffix_dedup, toxicity, wrapper_extract
 from gridloom.llm._common import small_batches, table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark, 500)
     out = wrapper_extract.extract(table(spark, sf_dir, "pages"))
@@ -71,5 +76,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("gone")
 
 
-QUERIES = {f.__name__: f for f in (op2_wrapper_induction, op3_pack_dp, op4_pii_deobfuscate, op5_ordinal_toxicity, op6_decontaminate, op7_langid_zstd, op8_chat_format, op9_odd_sketch_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_wrapper_induction, op3_pack_dp, op4_pii_deobfuscate, op5_ordinal_toxicity, op6_decontaminate, op7_langid_zstd, op8_chat_format, op9_odd_sketch_dedup, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
