@@ -33,14 +33,15 @@ class Query:
 
 
 class Registry:
-    def __init__(self) -> None:
+    def __init__(self, digits: int = DIGITS) -> None:
         self.queries: dict[str, Query] = {}
+        self.digits = digits
 
-    def add(self, name: str, exact: str, rounded: str, sql: str | None, digits: int = DIGITS):
+    def add(self, name: str, exact: str, rounded: str, sql: str | None, digits: int | None = None):
         """Registers the decorated function (spark, sf_dir) under a name."""
 
         def keep(f):
-            self.queries[name] = Query(name, f, tuple(exact.split()), tuple(rounded.split()), sql, digits)
+            self.queries[name] = Query(name, f, tuple(exact.split()), tuple(rounded.split()), sql, self.digits if digits is None else digits)
             return f
 
         return keep
