@@ -2,6 +2,311 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from gridloom.operators import models, tensor, transforms
 from gridloom.plans.registry import Registry
+from gridloom.sources import fixtures as fx
+
+REGISTRY = Registry(digits=6)
+add = REGISTRY.add
+P = fx.PART_SQL
+
+# Tensors I + u u' of the embeddings' first three entries: eigenvalues 1, 1 and 1 + u.u.
+T = "ten AS (SELECT vec_id AS id, CAST(label AS BIGINT) AS grp, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings), e AS (SELECT *, a * a + b * b + c * c AS s FROM ten)"
+
+
+def tensors(spark, sf):
+    e = fx.table(spark, sf, "embeddings")
+    a, b, c = (F.col("embedding")[i].cast("double") for i in range(3))
+    return e.select(F.col("vec_id").alias("id"), F.col("label").cast("bigint").alias("grp"), F.array(1 + a * a, a * b, a * c, 1 + b * b, b * c, 1 + c * c).alias("t"))
+
+
+@add("tensor_components", "id", "xx xy xz yy yz zz", f"{T} :: SELECT id, 1 + a * a AS xx, a * b AS xy, a * c AS xz, 1 + b * b AS yy, b * c AS yz, 1 + c * c AS zz FROM e")
+def _(spark, sf):
+    return tensors(spark, sf).select("id", *[tensor.component("t", n).alias(n) for n in tensor.COMPONENTS])
+
+
+@add("tensor_mean_diffusion", "id", "out", f"{T} :: SELECT id, (3 + s) / 3 AS out FROM e")
+def _(spark, sf):
+    return tensors(spark, sf).withColumn("out", tensor.mean_diffusion("t"))
+
+
+@add("tensor_eigenvalues", "id", "e0 e1 e2", f"{T} :: SELECT id, 1.0 AS e0, 1.0 AS e1, 1 + s AS e2 FROM e")
+def _(spark, sf):
+    return tensor.with_eigenvalues(tensors(spark, sf))
+
+
+@add("tensor_axial", "id", "out", f"{T} :: SELECT id, 1 + s AS out FROM e")
+def _(spark, sf):
+    return tensor.axial(tensors(spark, sf))
+
+
+@add("tensor_radial", "id", "out", f"{T} :: SELECT id, 1.0 AS out FROM e")
+def _(spark, sf):
+    return tensor.radial(tensors(spark, sf))
+
+
+@add("tensor_fa", "id", "fa numerator denominator", f"{T} :: SELECT id, sqrt(1.5) * s * sqrt(2 / 3.0) / sqrt(2 + pow(1 + s, 2)) AS fa, s * sqrt(2 / 3.0) AS numerator, sqrt(2 + pow(1 + s, 2)) AS denominator FROM e")
+def _(spark, sf):
+    return tensor.fa(tensors(spark, sf))
+
+
+@add("tensor_principal_direction", "id", "vx vy vz", f"{T}, g AS (SELECT *, CASE WHEN abs(a) >= abs(b) AND abs(a) >= abs(c) THEN sign(a) WHEN abs(b) >= abs(c) THEN sign(b) ELSE sign(c) END AS f FROM e) :: SELECT id, f * a / sqrt(s) AS vx, f * b / sqrt(s) AS vy, f * c / sqrt(s) AS vz FROM g")
+def _(spark, sf):
+    return tensors(spark, sf).withColumn("v", tensor.principal_direction("t")).select("id", *[F.col("v")[i].alias(f"v{a}") for i, a in enumerate("xyz")])
+
+
+@add("tensor_color", "id r g b", "", None)
+def _(spark, sf):
+    return tensor.color(tensors(spark, sf))
+
+
+@add("tensor_reflect", "id", "xy xz yz", f"{T} :: SELECT id, -(a * b) AS xy, -(a * c) AS xz, b * c AS yz FROM e")
+def _(spark, sf):
+    return tensors(spark, sf).withColumn("t", tensor.reflect("t", 1.0)).select("id", *[tensor.component("t", n).alias(n) for n in ("xy", "xz", "yz")])
+
+
+@add("tensor_mask", "id", "xx xy", f"{T} :: SELECT id, CASE WHEN grp > 4 THEN 1 + a * a ELSE 0.7 END AS xx, CASE WHEN grp > 4 THEN a * b ELSE 0 END AS xy FROM e")
+def _(spark, sf):
+    return tensor.mask(tensors(spark, sf), "grp", isotropic=0.7).withColumn("out", F.when(F.col("grp") > 4, F.col("t")).otherwise(F.array(*map(F.lit, (0.7, 0.0, 0.0, 0.7, 0.0, 0.7))))).select("id", tensor.component("out", "xx").alias("xx"), tensor.component("out", "xy").alias("xy"))
+
+
+@add("tensor_rotate", "id", "xx xy yy", f"{T} :: SELECT id, 1 + b * b AS xx, -(a * b) AS xy, 1 + a * a AS yy FROM e")
+def _(spark, sf):
+    return tensor.rotate(tensors(spark, sf), [[0, -1, 0], [1, 0, 0], [0, 0, 1]]).select("id", *[tensor.component("out", n).alias(n) for n in ("xx", "xy", "yy")])
+
+
+# log(I + u u') = log(1 + s) u u' / s
+@add("tensor_log", "id", "xx xy", f"{T} :: SELECT id, ln(1 + s) * a * a / s AS xx, ln(1 + s) * a * b / s AS xy FROM e")
+def _(spark, sf):
+    return tensors(spark, sf).withColumn("l", tensor.log_tensor("t")).select("id", tensor.component("l", "xx").alias("xx"), tensor.component("l", "xy").alias("xy"))
+
+
+@add("tensor_exp_of_log", "id", "xx yz", f"{T} :: SELECT id, 1 + a * a AS xx, b * c AS yz FROM e")
+def _(spark, sf):
+    return tensors(spark, sf).withColumn("l", tensor.log_tensor("t")).withColumn("m", tensor.exp_tensor("l")).select("id", tensor.component("m", "xx").alias("xx"), tensor.component("m", "yz").alias("yz"))
+
+
+@add("tensor_log_euclidean_mean", "grp", "xx yy zz", None)
+def _(spark, sf):
+    return tensor.average_log_euclidean(tensors(spark, sf), ["grp"]).select("grp", *[tensor.component("t", n).alias(n) for n in ("xx", "yy", "zz")])
+
+
+#: A displacement field on the part grid, linear inside, so central differences are exact.
+FIELD = f"{P}, f AS (SELECT x, y, v, 0.1 * x + 0.02 * y AS ux, 0.05 * y - 0.01 * x AS uy FROM img)"
+
+
+def field(spark, sf):
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    return fx.part_image(spark, sf).select("x", "y", "v", (0.1 * x + 0.02 * y).alias("ux"), (0.05 * y - 0.01 * x).alias("uy"))
+
+
+def _strain(mode: str, a: float, b: float, c: float, d: float) -> None:
+    @add(f"strain_{mode}", "x y", "a b c d", f"{FIELD} :: SELECT x, y, {a!r} AS a, {b!r} AS b, {c!r} AS c, {d!r} AS d FROM f")
+    def _(spark, sf):
+        return tensor.strain(field(spark, sf), mode)
+
+
+_strain("d", 1.1, 0.02, -0.01, 1.05)
+_strain("rc", 1.2101, 0.0115, 0.0115, 1.1029)
+_strain("lc", 1.2104, 0.01, 0.01, 1.1026)
+_strain("l", 0.10505, 0.00575, 0.00575, 0.05145)
+
+ROTATE = [[0.8, -0.6, 2.0], [0.6, 0.8, -1.0]]
+
+
+@add("transform_points", "id", "px py c_acctbal", "c AS (SELECT c_custkey AS id, c_acctbal, c_custkey * 0.5 AS a, c_nationkey * 1.0 AS b FROM customer) :: SELECT id, 0.8 * a - 0.6 * b + 2 AS px, 0.6 * a + 0.8 * b - 1 AS py, c_acctbal FROM c")
+def _(spark, sf):
+    c = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") * 0.5).alias("px"), (F.col("c_nationkey") * 1.0).alias("py"), "c_acctbal")
+    return transforms.apply_to_points(c, ROTATE, ["px", "py"])
+
+
+@add("transform_inverse_round_trip", "id", "px py", "c AS (SELECT c_custkey AS id, c_custkey * 0.5 AS px, c_nationkey * 1.0 AS py FROM customer) :: SELECT id, px, py FROM c")
+def _(spark, sf):
+    c = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") * 0.5).alias("px"), (F.col("c_nationkey") * 1.0).alias("py"))
+    return transforms.apply_to_points(c, transforms.compose(transforms.invert(ROTATE), ROTATE), ["px", "py"])
+
+
+_WA = f"{P}, g AS (SELECT x, y, x + 0.25 AS px, y + 0.5 AS py FROM img), c AS (SELECT g.x, g.y, sum((CASE WHEN b.x = floor(px) THEN 0.75 ELSE 0.25 END) * 0.5 * b.v) AS v FROM g JOIN img b ON b.x IN (g.x, g.x + 1) AND b.y IN (g.y, g.y + 1) GROUP BY g.x, g.y)"
+
+
+@add("warp_translation", "x y", "v", f"{_WA} :: SELECT img.x, img.y, coalesce(c.v, 0) AS v FROM img LEFT JOIN c ON c.x = img.x AND c.y = img.y")
+def _(spark, sf):
+    a = fx.part_image(spark, sf).select("x", "y", "v")
+    return transforms.warp_affine(a, a, [[1.0, 0.0, 0.25], [0.0, 1.0, 0.5]])
+
+
+@add("warp_field_constant", "x y", "v", f"{_WA} :: SELECT img.x, img.y, coalesce(c.v, 0) AS v FROM img LEFT JOIN c ON c.x = img.x AND c.y = img.y")
+def _(spark, sf):
+    a = fx.part_image(spark, sf).select("x", "y", "v")
+    return transforms.warp_field(a, a.select("x", "y", F.lit(0.25).alias("ux"), F.lit(0.5).alias("uy")))
+
+
+@add("jacobian_determinant", "x y", "v", f"{FIELD} :: SELECT x, y, 1.1 * 1.05 + 0.02 * 0.01 AS v FROM f")
+def _(spark, sf):
+    return transforms.jacobian(field(spark, sf))
+
+
+@add("jacobian_log", "x y", "v", f"{FIELD} :: SELECT x, y, ln(1.1 * 1.05 + 0.02 * 0.01) AS v FROM f")
+def _(spark, sf):
+    return transforms.jacobian(field(spark, sf), log=True)
+
+
+@add("inverse_error", "x y", "v", f"{P}, m AS (SELECT max(y) AS my FROM img) :: SELECT x, y, CASE WHEN x + 1 <= 49 THEN 0.0 ELSE 1.0 END AS v FROM img, m")
+def _(spark, sf):
+    a = fx.part_image(spark, sf)
+    return transforms.inverse_error(a.select("x", "y", F.lit(1.0).alias("ux"), F.lit(0.0).alias("uy")), a.select("x", "y", F.lit(-1.0).alias("ux"), F.lit(0.0).alias("uy")))
+
+
+@add("lipschitz_bound", "x y", "v", f"{P}, n AS (SELECT a.x, a.y, abs(a.v - b.v) / sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS r FROM img a JOIN img b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND NOT (a.x = b.x AND a.y = b.y)) :: SELECT x, y, max(r) AS v FROM n GROUP BY x, y")
+def _(spark, sf):
+    return transforms.lipschitz(fx.part_image(spark, sf).select("x", "y", F.col("v").alias("ux"), F.lit(0.0).alias("uy")))
+
+
+@add("reflection_matrix", "", "a b cx c d cy", f"{P} :: SELECT -1.0 AS a, 0.0 AS b, 2 * sum(x * v) / sum(v) AS cx, 0.0 AS c, 1.0 AS d, 0.0 AS cy FROM img")
+def _(spark, sf):
+    return transforms.reflection(fx.part_image(spark, sf), "x")
+
+
+@add("fit_affine", "row", "a b c", "SELECT * FROM (VALUES (0, 0.8, -0.6, 2.0), (1, 0.6, 0.8, -1.0)) t(row, a, b, c)")
+def _(spark, sf):
+    return _rows(spark, transforms.fit(_pairs(spark, sf), ["px", "py"], ["qx", "qy"]))
+
+
+@add("fit_rigid", "row", "a b c", "SELECT * FROM (VALUES (0, 0.8, -0.6, 2.0), (1, 0.6, 0.8, -1.0)) t(row, a, b, c)")
+def _(spark, sf):
+    return _rows(spark, transforms.fit(_pairs(spark, sf), ["px", "py"], ["qx", "qy"], "rigid"))
+
+
+def _pairs(spark, sf):
+    p = fx.part_image(spark, sf).select(F.col("x").cast("double").alias("px"), F.col("w").alias("py"))
+    q = transforms.affine([F.col("px"), F.col("py")], ROTATE)
+    return p.withColumns({"qx": q[0], "qy": q[1]})
+
+
+def _rows(spark, m):
+    return spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(m)], "row int, a double, b double, c double")
+
+
+@add("fit_landmarks", "row", "a b c", "SELECT * FROM (VALUES (0, 1.0, 0.0, 4.0), (1, 0.0, 1.0, 1.0)) t(row, a, b, c)")
+def _(spark, sf):
+    a = fx.part_image(spark, sf).select("x", "y", F.col("lb").alias("label"))
+    return _rows(spark, transforms.landmarks(a, a.withColumns({"x": F.col("x") + 4, "y": F.col("y") + 1})))
+
+
+@add("integrate_field", "id", "px py", "s AS (SELECT i AS id FROM range(5) r(i)) :: SELECT id, id + 2.0 AS px, 1.0 AS py FROM s")
+def _(spark, sf):
+    a = fx.part_image(spark, sf).select("x", "y", F.lit(1.0).alias("ux"), F.lit(0.0).alias("uy"))
+    return transforms.integrate(a, spark.range(5).select("id", F.col("id").cast("double").alias("px"), F.lit(1.0).alias("py")), 4)
+
+
+# Decompositions.
+def _matrix(spark, sf, width: int = 64):
+    return fx.table(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, width), lambda x: x.cast("double")).alias("values"))
+
+
+@add("matrix_covariance", "i j", "c", "m AS (SELECT vec_id, unnest(range(8)) AS i, embedding AS e FROM embeddings), p AS (SELECT a.i AS i, b.i AS j, covar_pop(CAST(a.e[a.i + 1] AS DOUBLE), CAST(b.e[b.i + 1] AS DOUBLE)) AS c FROM m a JOIN m b ON a.vec_id = b.vec_id GROUP BY a.i, b.i) :: SELECT i, j, c FROM p")
+def _(spark, sf):
+    _, _, cov = models.covariance(_matrix(spark, sf, 8))
+    return spark.createDataFrame([(i, j, float(cov[i, j])) for i in range(8) for j in range(8)], "i bigint, j bigint, c double")
+
+
+@add("principal_components", "component", "variance", None)
+def _(spark, sf):
+    return models.principal_components(_matrix(spark, sf), 5)
+
+
+@add("project_on_components", "vec_id", "s0 s1", None)
+def _(spark, sf):
+    m = _matrix(spark, sf)
+    return models.project(m, models.principal_components(m, 2)).select("vec_id", F.col("scores")[0].alias("s0"), F.col("scores")[1].alias("s1"))
+
+
+@add("sparse_svd", "component kept", "variance", None)
+def _(spark, sf):
+    return models.sparse_svd(_matrix(spark, sf), 3, 0.25).withColumn("kept", F.size(F.filter("loadings", lambda x: x != 0)))
+
+
+@add("sparse_cca", "", "r", None)
+def _(spark, sf):
+    m = _matrix(spark, sf).select(F.slice("values", 1, 8).alias("a"), F.slice("values", 9, 8).alias("b"))
+    return spark.createDataFrame([(models.sparse_cca(m, "a", "b")[0],)], "r double")
+
+
+@add("regression", "i", "c", "d AS (SELECT regr_slope(CAST(embedding[3] AS DOUBLE), CAST(embedding[1] AS DOUBLE)) AS s, regr_intercept(CAST(embedding[3] AS DOUBLE), CAST(embedding[1] AS DOUBLE)) AS k FROM embeddings) :: SELECT CAST(0 AS BIGINT) AS i, s AS c FROM d UNION ALL SELECT 1, k FROM d")
+def _(spark, sf):
+    m = _matrix(spark, sf, 3).select(F.slice("values", 1, 1).alias("a"), F.col("values")[2].alias("y"))
+    return spark.createDataFrame([(i, float(c)) for i, c in enumerate(models.ridge(m, "a", "y"))], "i bigint, c double")
+
+
+# Mixtures, fusion, denoising, alignment.
+@add("mixture_segmentation", "x y label", "", None)
+def _(spark, sf):
+    return models.mixture(fx.part_image(spark, sf), 3)[0]
+
+
+@add("mixture_random_field", "x y label", "", None)
+def _(spark, sf):
+    return models.mixture(fx.part_image(spark, sf), 3, 2, smooth=0.1)[0]
+
+
+@add("joint_label_fusion", "x y label", "", None)
+def _(spark, sf):
+    e = fx.embed_set(spark, sf).filter("image < 6").withColumn("label", (F.col("v") > 0).cast("bigint"))
+    return models.joint_fusion(e.groupBy("x", "y").agg(F.avg("v").alias("v")), e)
+
+
+@add("staple", "x y", "p", None)
+def _(spark, sf):
+    from gridloom.operators import iterative
+
+    e = fx.embed_set(spark, sf).filter("image < 5").select("x", "y", F.col("image").alias("rater"), (F.col("v") > 0).cast("int").alias("d"))
+    return iterative.staple(e, 5)[0]
+
+
+@add("denoise_nonlocal_means", "x y", "v", None)
+def _(spark, sf):
+    return models.denoise(fx.part_image(spark, sf))
+
+
+@add("bias_field_correction", "x y", "v", None)
+def _(spark, sf):
+    return models.bias_correct(fx.part_image(spark, sf), 2, 1, 1)
+
+
+@add("register_translation", "sx sy", "", "SELECT CAST(2 AS INT) AS sx, CAST(-1 AS INT) AS sy")
+def _(spark, sf):
+    a = fx.part_image(spark, sf).select("x", "y", F.col("w").alias("v"))
+    s = models.register_translation(a, a.withColumns({"x": F.col("x") + 2, "y": F.col("y") - 1}), 2)
+    return spark.createDataFrame([s], "sx int, sy int")
+
+
+@add("register_affine", "row", "a b c", None)
+def _(spark, sf):
+    x, y = F.col("x"), F.col("y")
+    shape = lambda dx: fx.part_image(spark, sf).select("x", "y", F.exp(-((x - 20 - dx) ** 2) / 100 - (y - 15) ** 2 / 100).alias("v"))
+    return _rows(spark, models.register_affine(shape(0.0), shape(1.0), 2))
+
+
+@add("register_demons", "x y", "ux uy", None)
+def _(spark, sf):
+    x, y = F.col("x"), F.col("y")
+    shape = lambda dx: fx.part_image(spark, sf).select("x", "y", F.exp(-((x - 20 - dx) ** 2) / 100 - (y - 15) ** 2 / 100).alias("v"))
+    return models.register_demons(shape(0.0), shape(1.0), 1)
+
+
+@add("blob_detector", "x y", "sigma response", None)
+def _(spark, sf):
+    return models.blobs(fx.part_image(spark, sf), (1.0, 1.5, 2.0), 5, "w")
+
+
+@add("canny_edges", "x y v", "", None)
+def _(spark, sf):
+    return models.canny(fx.part_image(spark, sf), 1.0, 1.0, 2.0, "w")
+
 
-REGISTRY = Registry()
+@add("laplace_thickness", "x y", "v", None)
+def _(spark, sf):
+    a = fx.part_image(spark, sf).withColumn("label", F.when(F.col("x") < 10, 1).when(F.col("x") < 20, 3).when(F.col("x") < 30, 2).otherwise(0))
+    return models.thickness(a, 1, 2, 3, rounds=5)
