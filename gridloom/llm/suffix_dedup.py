@@ -8,7 +8,7 @@ Every byte covered by a ``LENGTH``-byte string that also starts earlier in the c
    but the first go at once, which pre-aggregates copies and hot passages before the shuffle.
 2. Classes. Segments are dealt by minimizer and streamed in order: all but the first of a class are
    repeats as a whole. A minimizer with one class, whose minimum occurs once in it, has no others.
-3. Transforms. The first segments of the other minimizers get their bytes, and jobs of some MB of whole
+3. Transforms. The first segments of the other minimizers get their bytes, and jobs of some KB of whole
    minimizers are solved: each shard of a job is sorted once into its Burrows-Wheeler transform, and
    the shards are merged by refining their interleave, one symbol a round: stably ordering rows by the
    symbol before them turns the order by t symbols into that by t + 1, and where rows part, their
@@ -33,13 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import checkpointed, chunks
+from gridloom.llm._common import checkpointed, chunks, text_bytes
 
 LENGTH = 100
 KMER = 16
 CHUNK_BYTES = 6 << 20
-JOB_BYTES = 2 << 20
-SHARD_BYTES = 512 << 10
+#: Small enough that a job's tables stay in a core's cache.
+JOB_BYTES = 64 << 10
+SHARD_BYTES = 16 << 10
+#: Rows alone in their interval leave the refinement after each so many rounds.
+LEAVE_EVERY = 4
 HOT_BYTES = 32 << 20
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -123,7 +126,7 @@ def transform(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = (x << 9) | ext[i : n + i]
     width = 7
     while True:
-        order = np.argsort(x, kind="stable")
+        order = np.argsort(x)  # equal keys share a rank, in any order
         y = x[order]
         step = np.concatenate([[0], np.cumsum(y[1:] != y[:-1])])
         rank = np.empty(n, np.int64)
@@ -137,35 +140,47 @@ def transform(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, s[order - 1]
 
 
+def _coded(shards: list[np.ndarray]) -> list[np.ndarray]:
+    """The shards' symbols numbered in order, from 1, with 0 for the separator, as bytes where 255 numbers do."""
+    there = np.zeros(1 << 16, bool)
+    for s in shards:
+        there[s] = True
+    there[0] = False
+    code = np.cumsum(there)
+    code[~there] = 0
+    return [code.astype(np.uint8 if code[-1] < 256 and there.sum() < 256 else np.uint16)[s] for s in shards]
+
+
 def repeated_intervals(shards: list[np.ndarray], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Merges the shards' transforms: (places, interval) of the suffixes, in shards laid end to end, whose first ``length`` symbols occur twice or more.
 
     Places are ordered by those symbols; suffixes with equal ones share an interval.
     """
     tables, lf, place, base = [], [], [], 0
-    for s in shards:
+    for s in _coded(shards):
         order, bwt = transform(s)
         # the r-th row that symbol c precedes is the r-th row that begins with c
-        to = np.empty(len(s), np.int64)
-        to[np.argsort(bwt, kind="stable")] = np.arange(len(s))
+        to = np.empty(len(s), np.int32)
+        to[np.argsort(bwt, kind="stable")] = np.arange(len(s), dtype=np.int32)
         tables.append(bwt)
-        lf.append(to + base)
+        lf.append(to + np.int32(base))
         place.append(order + base)
         base += len(s)
     bwt, lf, place = np.concatenate(tables), np.concatenate(lf), np.concatenate(place)
-    rows = np.arange(base)  # by no symbols: the shards one after the other
-    interval = np.zeros(base, np.int64)
-    for _ in range(length):
+    rows = np.arange(base, dtype=np.int32)  # by no symbols: the shards one after the other
+    interval = np.zeros(base, np.int32)
+    for depth in range(1, length + 1):
         c = bwt[rows]
         order = np.argsort(c, kind="stable")
         c, interval, rows = c[order], interval[order], lf[rows[order]]
         new = np.ones(len(rows) + 1, bool)
-        new[1:-1] = (c[1:] != c[:-1]) | (interval[1:] != interval[:-1])
-        interval = np.cumsum(new[:-1])
-        held = ~(new[:-1] & new[1:]) & (c != 0)  # alone, or past a segment's end
-        rows, interval = rows[held], interval[held]
-        if not len(rows):
-            break
+        np.logical_or(c[1:] != c[:-1], interval[1:] != interval[:-1], out=new[1:-1])
+        interval = np.cumsum(new[:-1], dtype=np.int32)
+        if depth % LEAVE_EVERY == 0 or depth == length:
+            held = ~(new[:-1] & new[1:]) & (c != 0)  # neither alone nor past a segment's end
+            rows, interval = rows[held], interval[held]
+            if not len(rows):
+                break
     return place[rows], interval
 
 
@@ -274,7 +289,7 @@ def _cut_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, text, wanted: list of m, start, n) to (m, doc, start, part)."""
     for b in batches:
         out: tuple[list, ...] = ([], [], [], [])
-        for doc, text, wanted in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
+        for doc, text, wanted in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
             for w in wanted:
                 for x, v in zip(out, (w["m"], doc, w["start"], text[w["start"] : w["start"] + w["n"] + LENGTH - 1]), strict=True):
                     x.append(v)
@@ -332,10 +347,15 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(lo, hi) for lo, hi in out]
 
 
+def _texts(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(doc, text): the side that both joins below read, so that its one shuffle serves both."""
+    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).filter("doc IS NOT NULL")
+
+
 def removed_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", hot_bytes: int = HOT_BYTES) -> DataFrame:
     """(doc, spans): per document with removed bytes, an array of (start, stop), unmerged."""
-    rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).filter("doc IS NOT NULL AND text IS NOT NULL")
-    dealt = rows.filter(F.octet_length("text") >= LENGTH).select("doc", "text").mapInArrow(_segmented, ROW_SQL).repartition("m").sortWithinPartitions("m", "s", "doc", "start")
+    rows = _texts(docs, text, key)
+    dealt = rows.filter(F.octet_length("text") >= LENGTH).mapInArrow(_segmented, ROW_SQL).repartition("m").sortWithinPartitions("m", "s", "doc", "start")
     classed = checkpointed(dealt.mapInArrow(_classed, ROW_SQL))
     judge = classed.filter(F.col("kind") != GONE)
     wanted = judge.groupBy("doc").agg(F.collect_list(F.struct("m", "start", "n")).alias("wanted"))
@@ -352,14 +372,12 @@ def removed_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", hot_
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", with_text: bool = False, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """Per row: key, n_bytes, n_removed, n_spans, kept_sha256, spans (merged, in bytes); with_text adds kept, the remaining bytes."""
     spans = removed_spans(docs, text, key, hot_bytes)
-    rows = docs.select(F.col(key).alias("key"), F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         for b in batches:
             sizes, removed, counts, digests, merged, kept = [], [], [], [], [], []
-            for t, found in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for t, found in zip(text_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
                 spans = merge_spans([(x["start"], x["stop"]) for x in found or ()])
                 left, at = [], 0
                 for lo, hi in spans:
@@ -369,12 +387,14 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", with_text: b
                 for x, v in zip((sizes, removed, counts, digests, merged), (len(t), len(t) - len(left), len(spans), hashlib.sha256(left).hexdigest(), [{"start": lo, "stop": hi} for lo, hi in spans]), strict=True):
                     x.append(v)
                 kept.append(left if with_text else None)
-            columns = [b.column(0), *(pa.array(x, pa.int64()) for x in (sizes, removed, counts)), pa.array(digests), pa.array(merged, pair), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
-
-    out = rows.join(spans, "doc", "left").select("key", "text", "spans")
-    out = out.mapInArrow(run, f"key {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,stop:bigint>>, kept binary")
-    return out.withColumnRenamed("key", key) if with_text else out.withColumnRenamed("key", key).drop("kept")
+            columns = [b.column(0), *(pa.array(x, pa.int64()) for x in (sizes, removed, counts)), pa.array(digests, pa.string()), pa.array(merged, pair), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
+
+    schema = "doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,stop:bigint>>, kept binary"
+    keyless = docs.filter(F.col(key).isNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"), F.lit(None).cast("array<struct<start:bigint,stop:bigint>>").alias("spans"))
+    out = _texts(docs, text, key).join(spans, "doc", "left").select("doc", "text", "spans").mapInArrow(run, schema).union(keyless.mapInArrow(run, schema))
+    out = out.withColumn("doc", F.col("doc").cast(docs.schema[key].dataType)).withColumnRenamed("doc", key)
+    return out if with_text else out.drop("kept")
 
 
 def brute_force(docs: list[tuple[int, str | None]], length: int = LENGTH) -> dict[int, tuple[int, int, int, str]]:
