@@ -1,7 +1,8 @@
 """HTML main-text extraction by wrapper induction.
 
-Pages of a host are dealt into blocks of about ``BLOCK`` and each page's DOM tree is aligned with
-the next one of its block by simple tree matching. A matched pair of nodes with equal text is
+Each page's DOM tree is aligned by simple tree matching with the page before it of its host in the
+same partition; a host's last page of each partition is then aligned with those of other partitions,
+so only these are shuffled, and a hot host is no larger a group than any. A matched pair of nodes with equal text is
 constant (template), else varying (content); the counts are summed over the host by the node's path
 (tags and classes from the root). The host's wrapper has a content slot, the deepest path that holds
 nearly all varying text, and template paths, the paths that stay constant. Extraction reads the
@@ -30,7 +31,12 @@ from pyspark.sql import functions as F
 
 from gridloom.llm._common import checkpointed
 
-BLOCK = 32
+#: Pages that a task holds while they wait for a partner, in characters.
+HELD_CHARS = 8 << 20
+#: Two pages with this share of equal text are copies and say nothing.
+COPY_SHARE = 0.9
+#: Wrappers of so many characters in all are broadcast.
+BROADCAST_CHARS = 16 << 20
 #: The share of a host's varying text that its content slot must hold.
 SLOT_SHARE = 0.8
 #: A path is template when matched at least so often and constant in at least this share of matches.
@@ -255,11 +261,13 @@ class Aligner:
             yield from self.pairs(x, y, at, depth + 1)
 
 
-def evidence(pages: list[str]) -> dict[str, list[int]]:
-    """Path to [matches, constant matches, varying characters], from aligning each page with the next."""
-    out: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
-    trees = [parse(p) for p in pages]
-    for a, b in zip(trees, trees[1:], strict=False):
+class Evidence:
+    """(host, path) to [matches, constant matches, varying characters], summed over aligned pairs of pages."""
+
+    def __init__(self) -> None:
+        self.total: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0, 0])
+
+    def align(self, host: str, a: Node, b: Node) -> None:
         found, same, chars = [], 0, 0
         for path, x, y in Aligner().pairs(a, b):
             s, t = own_text(x), own_text(y)
@@ -267,14 +275,57 @@ def evidence(pages: list[str]) -> dict[str, list[int]]:
                 found.append((path, s == t, len(s) + len(t)))
                 same += len(s) * 2 * (s == t)
                 chars += len(s) + len(t)
-        if not found or same >= 0.9 * chars:
-            continue  # copies
+        if same >= COPY_SHARE * chars:
+            return  # copies
         for path, equal, n in found:
-            got = out[path]
+            got = self.total[host, path]
             got[0] += 1
             got[1] += equal
             got[2] += 0 if equal else n
-    return out
+
+    def flush(self, pages: dict[str, tuple[Node, str]] | None = None) -> pa.RecordBatch:
+        """The sums as rows, and rows of pages that wait for a partner; clears the sums."""
+        rows = [(*k, *v, None) for k, v in self.total.items()] + [(host, "", 0, 0, 0, html) for host, (_, html) in (pages or {}).items()]
+        self.total.clear()
+        columns = list(zip(*rows, strict=True)) or [[]] * 6
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["host", "path", "n", "same", "chars", "html"])
+
+
+def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Aligns each page (host, html) with the one before of its host in the partition; a host's last page waits."""
+    found, held, size = Evidence(), {}, 0
+    for b in batches:
+        for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if not html:
+                continue
+            tree = parse(html)
+            if host in held:
+                found.align(host, held[host][0], tree)
+                size -= len(held[host][1])
+            held[host] = tree, html
+            size += len(html)
+            if size > HELD_CHARS or len(found.total) > 20_000:
+                yield found.flush(held if size > HELD_CHARS else None)
+                if size > HELD_CHARS:
+                    held, size = {}, 0
+    yield found.flush(held)
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by host: aligns the waiting pages of a host one after the other and passes sums on."""
+    found, last, tree = Evidence(), None, None
+    for b in batches:
+        for host, path, n, same, chars, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if html is None:
+                got = found.total[host, path]
+                got[0], got[1], got[2] = got[0] + n, got[1] + same, got[2] + chars
+                continue
+            new = parse(html)
+            if host == last:
+                found.align(host, tree, new)
+            last, tree = host, new
+        yield found.flush()
 
 
 def wrapper(paths: list[tuple[str, int, int, int]]) -> tuple[str, list[str]]:
@@ -348,46 +399,12 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), _HOST, 1))
 
 
-def induce(pages: DataFrame, html: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
+def induce(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """(host, slot, template): one row per host with evidence."""
-    named = pages.select(host_of(F.col(url)).alias("host"), F.col(key).cast("string").alias("key"), F.col(html).cast("string").alias("html"))
-    counts = named.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = named.join(counts, "host").withColumn("block", F.pmod(F.xxhash64(F.coalesce("key", F.lit(""))), F.col("blocks")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, texts = None, []
-        total: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0, 0])
-
-        def close() -> None:
-            if len(texts) > 1:
-                for path, got in evidence(texts).items():
-                    held = total[group[0], path]
-                    for i in range(3):
-                        held[i] += got[i]
-
-        def flush() -> pa.RecordBatch:
-            rows = [(*k, *v) for k, v in total.items()]
-            total.clear()
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i < 2 else pa.int64()) for i, c in enumerate(columns)], ["host", "path", "n", "same", "chars"])
-
-        for b in batches:
-            for host, block, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if (host, block) != group:
-                    close()
-                    group, texts = (host, block), []
-                if text:
-                    texts.append(text)
-                if len(texts) >= 2 * BLOCK:  # the next one starts with this page
-                    close()
-                    texts = texts[-1:]
-            if len(total) > 20_000:
-                yield flush()
-        close()
-        yield flush()
-
-    rows = dealt.repartition("host", "block").sortWithinPartitions("host", "block", "key").select("host", "block", "html")
-    seen = rows.mapInArrow(run, "host string, path string, n bigint, same bigint, chars bigint").groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("same").alias("same"), F.sum("chars").alias("chars"))
+    named = pages.select(host_of(F.col(url)).alias("host"), F.col(html).cast("string").alias("html"))
+    schema = "host string, path string, n bigint, same bigint, chars bigint, html string"
+    waiting = named.mapInArrow(_within, schema).repartition("host").sortWithinPartitions("host")
+    seen = waiting.mapInArrow(_across, schema).groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("same").alias("same"), F.sum("chars").alias("chars"))
 
     def choose(table: pa.Table) -> pa.Table:
         slot, template = wrapper(list(zip(*(table.column(c).to_pylist() for c in ("path", "n", "same", "chars")), strict=True)))
@@ -398,7 +415,10 @@ def induce(pages: DataFrame, html: str = "html", url: str = "url", key: str = "p
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
     """Per row: key, url, text, by_wrapper (whether its host has a wrapper)."""
-    wrappers = checkpointed(induce(pages, html, url, key))
+    wrappers = checkpointed(induce(pages, html, url))
+    size = wrappers.agg(F.sum(F.length("host") + F.length("slot") + F.length(F.array_join("template", " ")))).first()[0] or 0
+    if size <= BROADCAST_CHARS:  # beyond that, pages and wrappers are joined by a shuffle
+        wrappers = F.broadcast(wrappers)
     kind = pages.schema[key].dataType.simpleString()
     named = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"), host_of(F.col(url)).alias("host"))
     rows = named.join(wrappers, "host", "left").select("key", "url", "html", "slot", "template")
