@@ -13,19 +13,22 @@ SHAPES = {"box": box, "ball": ball, "cross": cross, "annulus": annulus}
 
 
 def _extreme(df: DataFrame, radius: int, shape: str, f, v: str, out: str) -> DataFrame:
-    """Shapes that are products of axes would need one pass an axis; one scatter of the shape is one shuffle."""
+    """The extreme over a shape, which may lack its centre; a cell without neighbours in the shape keeps its value."""
     axes = axes_of(df)
-    rows = scattered(df.select(*axes, F.col(v).alias("_v")), SHAPES[shape](axes, radius), axes)
-    got = rows.groupBy(*axes).agg(f("_v").alias(out), F.max("_self").alias("_in")).filter("_in").drop("_in")
-    return df.drop(out).join(got, axes) if set(df.columns) - {*axes, v} else got
+    centre = (0,) * len(axes)
+    shape_ = SHAPES[shape](axes, radius)
+    offsets = shape_ if centre in shape_ else [*shape_, centre]
+    rows = scattered(df.select(*axes, F.col(v).alias("_v")), offsets, axes, {"_use": [o in set(shape_) for o in offsets]})
+    value = F.coalesce(f(F.when(F.col("_use"), F.col("_v"))), F.max(F.when(F.col("_self"), F.col("_v"))))
+    return rows.groupBy(*axes).agg(value.alias(out), F.max("_self").alias("_in")).filter("_in").drop("_in")
 
 
 def gray_dilate(df: DataFrame, radius: int = 1, shape: str = "box", v: str = "v", out: str = "v") -> DataFrame:
-    return _extreme(df, radius, shape, F.max, v, out).select(*axes_of(df), out)
+    return _extreme(df, radius, shape, F.max, v, out)
 
 
 def gray_erode(df: DataFrame, radius: int = 1, shape: str = "box", v: str = "v", out: str = "v") -> DataFrame:
-    return _extreme(df, radius, shape, F.min, v, out).select(*axes_of(df), out)
+    return _extreme(df, radius, shape, F.min, v, out)
 
 
 def gray_open(df: DataFrame, radius: int = 1, shape: str = "box", v: str = "v") -> DataFrame:
