@@ -126,10 +126,13 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", key
 
 
 def pipeline_stage(docs: DataFrame) -> DataFrame:
-    """The kept documents, without the removed lines; columns as in ``docs``. Where two rows share a key, one that is kept keeps both."""
+    """The kept documents, without the removed lines; columns as in ``docs``.
+
+    Where two rows share a key, one that is kept keeps both; a null key has no verdict, and its rows stay as they are.
+    """
     verdict = quality_rules(docs).filter("kept").groupBy("doc_id").agg(F.first("gone").alias("_gone"))
     out = docs.join(verdict, "doc_id")
     lines, hashes = F.split("text", "\n"), _line_hashes(_flat(F.col("text")))
     left = F.filter(F.arrays_zip(lines.alias("x"), hashes.alias("h")), lambda p: ~F.array_contains(F.col("_gone"), p["h"]))
     clean = F.when(F.size("_gone") > 0, F.array_join(F.transform(left, lambda p: p["x"]), "\n")).otherwise(F.col("text"))
-    return out.withColumn("text", clean).select(*docs.columns)
+    return out.withColumn("text", clean).select(*docs.columns).union(docs.filter("doc_id IS NULL"))
