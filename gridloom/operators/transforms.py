@@ -170,3 +170,117 @@ def integrate(field: DataFrame, seeds: DataFrame, steps: int, step: float = 0.5)
         half = speed(now).select("id", F.col("px").alias("qx"), F.col("py").alias("qy"), (F.col("px") + step / 2 * F.col("sx")).alias("px"), (F.col("py") + step / 2 * F.col("sy")).alias("py"))
         now = checkpointed(speed(half).select("id", (F.col("qx") + step * F.col("sx")).alias("px"), (F.col("qy") + step * F.col("sy")).alias("py")))
     return now
+
+
+def compose_fields(first: DataFrame, then: DataFrame) -> DataFrame:
+    """The field of going along ``first`` and from there along ``then``."""
+    axes = axes_of(first)
+    out = first
+    for a in axes:
+        read = warp_field(then.select(*axes, F.col(f"u{a}").alias("v")), first).withColumnRenamed("v", f"_w{a}")
+        out = out.join(read, axes)
+    return out.select(*axes, *[(F.col(f"u{a}") + F.col(f"_w{a}")).alias(f"u{a}") for a in axes])
+
+
+def invert_field(field: DataFrame, rounds: int = 10) -> DataFrame:
+    """w with w(p) = -u(p + w(p)), by fixed-point rounds."""
+    from gridloom.plans.lineage import checkpointed
+
+    axes = axes_of(field)
+    now = field.select(*axes, *[(-F.col(f"u{a}")).alias(f"u{a}") for a in axes])
+    for _ in range(rounds):
+        out = now.select(*axes)
+        for a in axes:
+            read = warp_field(field.select(*axes, F.col(f"u{a}").alias("v")), now)
+            out = out.join(read.select(*axes, (-F.col("v")).alias(f"u{a}")), axes)
+        now = checkpointed(out)
+    return now
+
+
+def exponential(velocity: DataFrame, squarings: int = 4) -> DataFrame:
+    """The displacement after unit time along a stationary velocity field, by scaling and squaring."""
+    from gridloom.plans.lineage import checkpointed
+
+    axes = axes_of(velocity)
+    now = velocity.select(*axes, *[(F.col(f"u{a}") / 2**squarings).alias(f"u{a}") for a in axes])
+    for _ in range(squarings):
+        now = checkpointed(compose_fields(now, now))
+    return now
+
+
+def warp_labels(labels: DataFrame, grid: DataFrame, positions: dict[str, Column]) -> DataFrame:
+    """The label with the greatest linear weight at each position, the least of equals; 0 outside."""
+    axes = axes_of(grid)
+    base = grid.select(*axes, *[positions[a].alias(f"_p{a}") for a in axes])
+    parts = []
+    for k in range(2 ** len(axes)):
+        weight, index = F.lit(1.0), []
+        for i, a in enumerate(axes):
+            up = k >> i & 1
+            f = F.col(f"_p{a}") - F.floor(f"_p{a}")
+            weight = weight * (f if up else 1 - f)
+            index.append((F.floor(f"_p{a}") + up).cast("bigint").alias(f"_{a}"))
+        parts.append(F.struct(weight.alias("w"), *index))
+    rows = base.withColumn("_c", F.explode(F.array(*parts))).select(*axes, "_c.*").filter("w > 0")
+    got = rows.join(labels.select(*[F.col(a).alias(f"_{a}") for a in axes], "label"), [f"_{a}" for a in axes]).groupBy(*axes, "label").agg(F.sum("w").alias("w"))
+    best = got.groupBy(*axes).agg(F.max(F.struct("w", (-F.col("label")).alias("l"))).alias("b")).select(*axes, (-F.col("b.l")).alias("label"))
+    return grid.select(*axes).join(best, axes, "left").select(*axes, F.coalesce("label", F.lit(0)).cast("bigint").alias("label"))
+
+
+#: Windows of a sinc kernel of radius r, as functions of distance.
+WINDOWS = {
+    "cosine": lambda d, r: F.cos(d * np.pi / 2 / r),
+    "hamming": lambda d, r: 0.54 + 0.46 * F.cos(d * np.pi / r),
+    "welch": lambda d, r: 1 - d * d / r**2,
+    "blackman": lambda d, r: 0.42 + 0.5 * F.cos(d * np.pi / r) + 0.08 * F.cos(2 * d * np.pi / r),
+    "lanczos": lambda d, r: F.when(d == 0, 1.0).otherwise(F.sin(d * np.pi / r) / (d * np.pi / r)),
+    "gaussian": None,
+}
+
+
+def resample_sinc(image: DataFrame, shift: dict[str, float], kind: str = "lanczos", radius: int = 3, sigma: float = 0.7) -> DataFrame:
+    """The image read at cells plus a constant shift by a windowed sinc or a gaussian kernel, axis by axis; weights outside are left out and the rest rescaled."""
+    from gridloom.grid import scattered
+
+    axes = axes_of(image)
+    out = image.select(*axes, F.col("v").cast("double").alias("v"))
+    for a in axes:
+        s = shift.get(a, 0.0)
+        if s == 0:
+            continue
+        offsets = [tuple(d if b == a else 0 for b in axes) for d in range(-radius - 1, radius + 2)]
+        d = F.col("_d") - F.lit(float(s))
+        rows = scattered(out.withColumnRenamed("v", "_v"), offsets, axes, {"_d": [float(k) for k in range(-radius - 1, radius + 2)]})
+        inside = F.abs(d) < radius
+        if kind == "gaussian":
+            weight = F.exp(-(d**2) / (2 * sigma**2))
+        else:
+            weight = WINDOWS[kind](d, radius) * F.when(d == 0, 1.0).otherwise(F.sin(d * np.pi) / (d * np.pi))
+        rows = rows.withColumn("_k", F.when(inside, weight).otherwise(0.0))
+        out = rows.groupBy(*axes).agg((F.sum(F.col("_v") * F.col("_k")) / F.sum("_k")).alias("v"), F.max("_self").alias("_in")).filter("_in").drop("_in")
+    return out
+
+
+def closest_points(points: DataFrame, targets: DataFrame, reach: float, p: tuple[str, ...] = ("px", "py")) -> DataFrame:
+    """Each point (id) with its nearest target (to) within reach: buckets of that size and their neighbours are joined, never all pairs."""
+    n = len(p)
+    cell = lambda c: F.floor(F.col(c) / reach).cast("bigint")
+    offsets = [()]
+    for _ in range(n):
+        offsets = [(*o, d) for o in offsets for d in (-1, 0, 1)]
+    near = F.explode(F.array(*[F.struct(*[(cell(c) + d).alias(f"_{i}") for i, (c, d) in enumerate(zip(p, o, strict=True))]) for o in offsets]))
+    left = points.select("id", *p).withColumn("_c", near).select("id", *p, "_c.*")
+    right = targets.select(F.col("id").alias("to"), *[F.col(c).alias(f"q{i}") for i, c in enumerate(p)], *[cell(c).alias(f"_{i}") for i, c in enumerate(p)])
+    d2 = sum(((F.col(c) - F.col(f"q{i}")) ** 2 for i, c in enumerate(p)), F.lit(0.0))
+    got = left.join(right, [f"_{i}" for i in range(n)]).withColumn("d", F.sqrt(d2)).filter(F.col("d") <= reach)
+    return got.groupBy("id").agg(F.min(F.struct("d", "to", *[f"q{i}" for i in range(n)])).alias("b")).select("id", "b.*")
+
+
+def register_points(points: DataFrame, targets: DataFrame, reach: float, rounds: int = 5, kind: str = "rigid") -> Matrix:
+    """Iterated closest points: each round one bucket join and one sum of moments."""
+    m: Matrix = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0]]
+    for _ in range(rounds):
+        moved = apply_to_points(points.select("id", "px", "py"), m, ["px", "py"])
+        pairs = closest_points(moved, targets, reach).join(points.select("id", "px", "py"), "id")
+        m = fit(pairs, ["px", "py"], ["q0", "q1"], kind)
+    return m

@@ -102,13 +102,13 @@ def _name() -> str:
     return "events_" + uuid.uuid4().hex
 
 
-@add("stream_tumbling", "start event_type n", "total mean", "SELECT epoch_us(date_trunc('day', ts)) // 1000000 AS start, event_type, count(*) AS n, sum(value) AS total, avg(value) AS mean FROM events GROUP BY ALL", 4)
+@add("stream_tumbling", "start event_type n", "total mean", "SELECT epoch_us(date_trunc('day', ts)) // 1000000 AS start, event_type, count(*) AS n, sum(value) AS total, avg(value) AS mean FROM events GROUP BY ALL", 7)
 def _(spark, sf):
     out = events.run_to_table(events.tumbling(events.read_events(spark, sf)), _name())
     return out.withColumn("start", F.unix_timestamp(F.col("window.start")))
 
 
-@add("stream_sliding", "start event_type n", "mean", "w AS (SELECT epoch_us(ts) // 1000000 AS s, event_type, value FROM events), k AS (SELECT (s // 21600 - o) * 21600 AS start, event_type, value FROM w, range(4) r(o)) :: SELECT start, event_type, count(*) AS n, avg(value) AS mean FROM k GROUP BY ALL", 4)
+@add("stream_sliding", "start event_type n", "mean", "w AS (SELECT epoch_us(ts) // 1000000 AS s, event_type, value FROM events), k AS (SELECT (s // 21600 - o) * 21600 AS start, event_type, value FROM w, range(4) r(o)) :: SELECT start, event_type, count(*) AS n, avg(value) AS mean FROM k GROUP BY ALL", 7)
 def _(spark, sf):
     out = events.run_to_table(events.sliding(events.read_events(spark, sf)), _name())
     return out.withColumn("start", F.unix_timestamp(F.col("window.start")))
