@@ -22,6 +22,7 @@ shingle, its whole sequence; a null key has no component and is kept; equal keys
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -152,8 +153,24 @@ def signatures(docs: DataFrame, size: int, text: str, key: str) -> DataFrame:
     return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, n bigint, cls binary, bands array<bigint>")
 
 
+def stars(n: int, links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(least place of its component, place) of each linked place that isn't the least."""
+    root = list(range(n))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, j in links:
+        a, b = sorted((top(i), top(j)))
+        root[b] = a
+    return [(top(i), i) for i in range(n) if top(i) != i]
+
+
 def _solver(size: int, percent: int):
-    """Streams rows (g, side, key, text) sorted by g and yields each group's links as (u, v)."""
+    """Streams rows (g, side, key, text) sorted by g and yields each group's links as (u, v): of a whole group, each linked key with the least of its component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, keys, sides, sets, kind = None, [], [], [], None
@@ -162,6 +179,7 @@ def _solver(size: int, percent: int):
             order = sorted(range(len(keys)), key=lambda i: (sides[i], keys[i]))
             two = sides[order[0]] != sides[order[-1]] if order else False
             found = solve([sets[i] for i in order], percent, sides.count(0) if two else None)
+            found = found if two else stars(len(order), found)
             return [(keys[order[i]], keys[order[j]]) for i, j in found]
 
         for b in batches:
@@ -241,21 +259,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     large = groups.groupBy("g").agg(F.sum("n").alias("total")).filter(F.col("total") > most).select("g")
     texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     small = groups.join(large, "g", "left_anti")
-    links = [_solved(small.join(texts, "key").select("g", F.lit(0).alias("side"), "key", "text"), size, percent)]
+    found = _solved(small.join(texts, "key").select("g", F.lit(0).alias("side"), "key", "text"), size, percent).select(F.col("v").alias("node"), F.col("u").alias("component"))
     members = checkpointed(groups.join(large, "g", "left_semi").select("g", "key", F.lit(None).cast(sig.schema["key"].dataType).alias("root"), "n"))
     if not members.isEmpty():
         sets = checkpointed(_sets(members.join(texts, "key").select("g", "key", "text"), size))
+        links = []
         for _ in range(rounds):
-            found, members = _pivot_round(members, sets, percent, most)
-            links.append(found)
+            some, members = _pivot_round(members, sets, percent, most)
+            links.append(some)
             if members.isEmpty():
                 break
         dealt = _blocks(members, most).withColumn("g", F.xxhash64("g", "a", "b"))
         links.append(_solved(dealt.join(texts, "key").select("g", "side", "key", "text"), size, percent))
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.union(more)
-    found = components(edges)
+        found = found.union(components(reduce(DataFrame.union, links)))
     of_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("c"))
     out = sig.select("key", "n", "cls").join(of_class, "cls", "left")
     component = F.when(F.col("key").isNotNull(), F.coalesce("c", "key"))
