@@ -39,7 +39,7 @@ def gram(df: DataFrame, x: str, y: str) -> Gram:
     return Gram(n, cov[:-1, :-1], cov[:-1, -1], float(cov[-1, -1]), mean[:-1], float(mean[-1]))
 
 
-def conjugate_gradient(g: Gram, penalty: float = 0.0, rounds: int = 200, tolerance: float = 1e-12) -> np.ndarray:
+def conjugate_gradient(g: Gram, penalty: float = 0.0, rounds: int = 200, tolerance: float = 1e-24) -> np.ndarray:
     """Ridge regression without a factorisation."""
     a = g.xx + penalty * np.eye(len(g.xy))
     b, r = np.zeros(len(g.xy)), g.xy.copy()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import stats
 from gridloom.grid import Geometry, numbered
-from gridloom.operators import imageset, layout, pixel, regions
+from gridloom.operators import imageset, layout, matrix, models, pixel, regions, transforms
 from gridloom.plans.registry import Registry
 from gridloom.sources import files
 from gridloom.sources import fixtures as fx
@@ -97,6 +97,81 @@ def _(spark, sf):
     return files.image_to_points(fx.part_image(spark, sf).select("x", "y", F.col("la").alias("label")), G)
 
 
+# Regressions and views on the embeddings' columns; fields on the part grid.
+def _columns(spark, sf):
+    cut = lambda lo, n: F.transform(F.slice("embedding", lo, n), lambda x: x.cast("double"))
+    return fx.table(spark, sf, "embeddings").select("vec_id", cut(1, 8).alias("x"), (F.col("embedding")[0] * 2 - F.col("embedding")[3]).cast("double").alias("y"), cut(9, 4).alias("a"), cut(13, 4).alias("b"), cut(17, 4).alias("c"))
+
+
+def _coefficients(name: str, fit, sql: str | None) -> None:
+    @add(f"regression_{name}", "i", "c", sql)
+    def _(spark, sf):
+        return spark.createDataFrame([(i, float(c)) for i, c in enumerate(fit(matrix.gram(_columns(spark, sf), "x", "y")))], "i int, c double")
+
+
+_EXACT = "SELECT i::INT AS i, CASE i WHEN 0 THEN 2.0 WHEN 3 THEN -1.0 ELSE 0.0 END AS c FROM range(8) r(i)"
+_coefficients("conjugate_gradient", matrix.conjugate_gradient, _EXACT)
+_coefficients("hard_threshold", lambda g: matrix.hard_threshold(g, 2), _EXACT)
+_coefficients("matching_pursuit", lambda g: matrix.matching_pursuit(g, 2), _EXACT)
+_coefficients("lasso", lambda g: matrix.lasso(g, 1e-3), None)
+
+
+@add("multi_view_cca", "", "r", None)
+def _(spark, sf):
+    return spark.createDataFrame([(matrix.multi_view(_columns(spark, sf), ["a", "b", "c"])[1],)], "r double")
+
+
+@add("partial_cca", "", "r", None)
+def _(spark, sf):
+    return spark.createDataFrame([(matrix.partial_cca(_columns(spark, sf), "a", "b", "c"),)], "r double")
+
+
+@add("whitened_columns", "vec_id", "w0 w1", None)
+def _(spark, sf):
+    m = _columns(spark, sf).select("vec_id", F.col("a").alias("values"))
+    return matrix.whiten(m).select("vec_id", F.col("white")[0].alias("w0"), F.col("white")[1].alias("w1"))
+
+
+@add("reconstruction_error", "", "e", "SELECT 0.0 AS e")
+def _(spark, sf):
+    m = _columns(spark, sf).select(F.col("a").alias("values"))
+    return spark.createDataFrame([(matrix.reconstruction_error(m, models.principal_components(m, 4)),)], "e double")
+
+
+def _shift(spark, sf, ux: float, uy: float):
+    return fx.part_image(spark, sf).select("x", "y", F.lit(ux).alias("ux"), F.lit(uy).alias("uy"))
+
+
+@add("compose_fields", "x y", "ux uy", f"{P} :: SELECT x, y, CASE WHEN x < 49 THEN 1.5 ELSE 1.0 END AS ux, 0.0 AS uy FROM img")
+def _(spark, sf):
+    return transforms.compose_fields(_shift(spark, sf, 1.0, 0.0), _shift(spark, sf, 0.5, 0.0))
+
+
+@add("exponential_field", "x y", "ux uy", f"{P} :: SELECT x, y, 0.0 AS ux, 0.0 AS uy FROM img")
+def _(spark, sf):
+    return transforms.exponential(_shift(spark, sf, 0.0, 0.0), 2)
+
+
+@add("warp_labels", "x y label", "", f"{P} :: SELECT a.x, a.y, coalesce(b.lb, 0) AS label FROM img a LEFT JOIN img b ON b.x = a.x + 1 AND b.y = a.y")
+def _(spark, sf):
+    a = fx.part_image(spark, sf).select("x", "y", F.col("lb").alias("label"))
+    return transforms.warp_labels(a, a, {"x": F.col("x") + 1.0, "y": F.col("y") + 0.0})
+
+
+@add("resample_lanczos", "x y", "v", f"{P} :: SELECT x, y, v FROM img")
+def _(spark, sf):
+    return transforms.resample_sinc(fx.part_image(spark, sf), {"x": 0.0})
+
+
+_CP = "s AS (SELECT s_suppkey AS id, s_suppkey % 10 * 1.0 AS px, s_suppkey // 10 * 1.0 AS py FROM supplier), d AS (SELECT a.id, b.id AS t, sqrt(pow(a.px + 0.2 - b.px, 2) + pow(a.py - b.py, 2)) AS d FROM s a JOIN s b ON abs(a.px + 0.2 - b.px) <= 1.5 AND abs(a.py - b.py) <= 1.5)"
+
+
+@add("closest_points", "id near", "d", f"{_CP} :: SELECT id, arg_min(t, d) AS near, min(d) AS d FROM d GROUP BY id")
+def _(spark, sf):
+    s = fx.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 10 * 1.0).cast("double").alias("px"), (F.expr("s_suppkey div 10") * 1.0).cast("double").alias("py"))
+    return transforms.closest_points(s.withColumn("px", F.col("px") + 0.2), s, 1.5).withColumnRenamed("to", "near")
+
+
 # Streams: the batch's result over all rows that are there.
 def _name() -> str:
     return "events_" + uuid.uuid4().hex
