@@ -48,7 +48,7 @@ _SALT = _RNG.integers(0, 1 << 63, _K, np.uint64)
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         out = self[word] = xxhash.xxh3_64_intdigest(word)
         return out

@@ -35,7 +35,7 @@ SENTENCE_PENALTY, HARD_PENALTY, WINDOW_COST = 4, 24, 8
 HARD_STEP = 64
 CHUNK_BYTES = 4 << 20
 #: Words whose ids a worker remembers, and the longest such word.
-CACHE_WORDS, CACHE_CHARS = 400_000, 48
+CACHE_WORDS, CACHE_CHARS = 150_000, 48
 _CODERS: dict[str, Coder] = {}
 
 

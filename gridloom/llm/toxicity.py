@@ -38,7 +38,7 @@ STEPS, RATE, RIDGE = 600, 0.1, 1e-3
 
 class _Buckets(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         out = self[word] = zlib.crc32(word) % BUCKETS
         return out
