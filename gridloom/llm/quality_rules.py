@@ -5,11 +5,11 @@ For each host the operator counts the distinct documents that hold a line, remov
 the limit and rejects documents that lose most of their words.
 
 Copies would make every line of a copied text look like boilerplate, so a document is counted
-by its signature (the least line hash): exact copies, and near copies that share that line, count
+by its signature (the least digest of its lines): exact copies, and near copies that share that line, count
 once. Limits are a share of the host's documents with a floor, so they act alike at every size.
 
 Edge cases: null or empty text has no words and fails the base rules; a null host is the host
-``''``; repeated rows count as one document; a one-line document is its own signature.
+``''``; repeated rows count as one document; a one-line document has its line's signature.
 """
 
 from __future__ import annotations
@@ -80,10 +80,14 @@ def _line_hashes(flat: Column) -> Column:
     return F.transform(F.split(F.lower(flat), "\n"), lambda x: F.when(F.trim(x) != "", F.xxhash64(F.trim(x))).otherwise(0))
 
 
+def _normal(flat: Column) -> Column:
+    """The normalised lines that hold a word."""
+    return F.filter(F.transform(F.split(F.lower(flat), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+
+
 def _lines(flat: Column) -> Column:
     """(hash, words) of each normalised line that holds a word."""
-    lines = F.filter(F.transform(F.split(F.lower(flat), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("n")))
+    return F.transform(_normal(flat), lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("n")))
 
 
 def measures(text: Column) -> Column:
@@ -97,14 +101,15 @@ def measures(text: Column) -> Column:
             (F.size(raw) - F.size(F.array_distinct(raw))).cast("long").alias("n_dup_lines"),
             _repeat_words(words).cast("long").alias("n_repeat_words"),
             _lines(flat).alias("lines"),
+            F.array_min(F.transform(_normal(flat), lambda x: F.md5(x))).alias("sig"),
         )
 
     return let(_flat(text), lambda f: let(_words(f), lambda w: let(_raw_lines(text), lambda x: of(f, w, x))))
 
 
 def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, doc_share: float = DOC_SHARE) -> DataFrame:
-    """(host, h) of the lines above the limit; docs has host and lines."""
-    signed = docs.filter(F.size("lines") > 0).select("host", F.array_min(F.col("lines.h")).alias("sig"), F.array_distinct(F.col("lines.h")).alias("hs"))
+    """(host, h) of the lines above the limit; docs has host, lines and sig."""
+    signed = docs.filter(F.size("lines") > 0).select("host", "sig", F.array_distinct(F.col("lines.h")).alias("hs"))
     hosts = signed.select("host", "sig").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     seen = signed.select("host", "sig", F.explode("hs").alias("h")).distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs"))
     return seen.filter(F.col("docs") > min_docs).join(hosts, "host").filter(F.col("docs") > doc_share * F.col("host_docs")).select("host", "h")
@@ -115,7 +120,7 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", key
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     row = docs.select(F.col(key).alias("key"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), measures(whole).alias("m"))
     # a few numbers a line, read four times below: written once, so that texts are measured once
-    row = checkpointed(row.select("key", "host", *[F.col("m")[c].alias(c) for c in (*COUNTS, "lines")]))
+    row = checkpointed(row.select("key", "host", *[F.col("m")[c].alias(c) for c in (*COUNTS, "lines", "sig")]))
     gone = row.select("key", "host", F.explode("lines").alias("x")).select("key", "host", F.col("x")["h"].alias("h"), F.col("x")["n"].alias("n"))
     gone = gone.join(frequent_lines(row), ["host", "h"]).groupBy("key").agg(F.sum("n").alias("n_line_words"), F.collect_set("h").alias("gone"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat_format, decontaminate, langid, near_dedup, packing, pii, quality_rules, suffix_dedup, toxicity, wrapper_extract
+from gridloom.llm import chat_format, decontaminate, langid, near_dedup, packing, pii, quality_rules, sql, suffix_dedup, toxicity, wrapper_extract
 from gridloom.llm._common import small_batches, table
 
 
@@ -77,4 +77,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_wrapper_induction, op3_pack_dp, op4_pii_deobfuscate, op5_ordinal_toxicity, op6_decontaminate, op7_langid_zstd, op8_chat_format, op9_odd_sketch_dedup, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_decontaminate": sql.DECONTAMINATE, "op8_chat_format": sql.CHAT, "op9_odd_sketch_dedup": sql.NEAR_DEDUP, "op10_quality_rules": sql.QUALITY}
