@@ -45,8 +45,9 @@ def built(token: str, build: Callable[[], object]):
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bounds the rows of an Arrow batch, so that Python workers hold a few MB of text at a time."""
+    """Bounds the rows and the bytes of an Arrow batch, so that Python workers hold a few MB of text at a time, or one very long text."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

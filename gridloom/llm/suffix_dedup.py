@@ -37,7 +37,7 @@ from gridloom.llm._common import checkpointed, chunks, text_bytes
 
 LENGTH = 100
 KMER = 16
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 3 << 20
 #: Small enough that a job's tables stay in a core's cache.
 JOB_BYTES = 64 << 10
 SHARD_BYTES = 16 << 10
