@@ -304,7 +304,7 @@ def _(spark, sf):
     return neighborhood.median_filter(fx.part_image(spark, sf), 1)
 
 
-@add("convolve", "x y", "v", f"{_NB} :: SELECT x, y, sum(bv * (2 - abs(dx)) * (2 - abs(dy))) / 16 AS v FROM o GROUP BY x, y")
+@add("convolve", "x y", "v", f"{_NB} :: SELECT x, y, sum(bv * (2 - abs(dx)) * (2 - abs(dy))) / 16 AS v FROM o GROUP BY x, y", 7)
 def _(spark, sf):
     return neighborhood.convolve(fx.part_image(spark, sf), {(i, j): float((2 - abs(i)) * (2 - abs(j))) for i in (-1, 0, 1) for j in (-1, 0, 1)})
 
@@ -541,7 +541,7 @@ def _(spark, sf):
 _IP = "p{n} AS (SELECT a.x, a.y, any_value(a.v0) AS v0, CASE WHEN any_value(a.v0) > 0 THEN any_value(a.v0) ELSE coalesce(sum(b.v / (pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) FILTER (b.v > 0 AND NOT (a.x = b.x AND a.y = b.y)) / sum(1 / (pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) FILTER (b.v > 0 AND NOT (a.x = b.x AND a.y = b.y)), any_value(a.v)) END AS v FROM {m} a JOIN {m} b ON b.x BETWEEN a.x - 1 AND a.x + 1 AND b.y BETWEEN a.y - 1 AND a.y + 1 GROUP BY a.x, a.y)"
 
 
-@add("inpaint", "x y", "v", f"{P}, p0 AS (SELECT x, y, CASE WHEN w > 30 THEN v ELSE 0 END AS v0, CASE WHEN w > 30 THEN v ELSE 0 END AS v FROM img), {_IP.format(n=1, m='p0')}, {_IP.format(n=2, m='p1')} :: SELECT x, y, v FROM p2")
+@add("inpaint", "x y", "v", f"{P}, p0 AS (SELECT x, y, CASE WHEN w > 30 THEN v ELSE 0 END AS v0, CASE WHEN w > 30 THEN v ELSE 0 END AS v FROM img), {_IP.format(n=1, m='p0')}, {_IP.format(n=2, m='p1')} :: SELECT x, y, v FROM p2", 7)
 def _(spark, sf):
     return iterative.inpaint(fx.part_image(spark, sf).withColumn("v", F.when(F.col("w") > 30, F.col("v")).otherwise(0.0)), 2)
 
