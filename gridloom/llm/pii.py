@@ -47,7 +47,8 @@ def _glyphs() -> dict[str, str]:
 
 
 _GLYPHS = _glyphs()
-_ODD = frozenset(_GLYPHS) | frozenset(_INVISIBLE)
+_CASED = str.maketrans("ſıİ", "sii")  # beside the two cases, what an s or i matches where case is ignored
+_ODD = frozenset(_GLYPHS) | frozenset(_INVISIBLE) | frozenset("ſıİ")
 _ONE_TO_ONE = str.maketrans(_GLYPHS)
 _NUMBER = "(?:" + "|".join(_NUMBERS) + ")"
 _RULES = re.compile(
@@ -58,9 +59,10 @@ _RULES = re.compile(
     rf"|(?P<gone>[{_INVISIBLE}])",
     re.IGNORECASE,
 )
-_MARKS = ("dot", "[at]", "(at)", "[.]", "(.)", "[@]", "(@)")
-_RARE = ("zero", "two", "three", "four", "five", "six", "seven", "eight", "nine", "one one")
-_RUN = re.compile(rf"\b{_NUMBER}(?:[\s,-]{{1,3}}{_NUMBER}){{6}}")
+# What a match of _RULES holds, in lower case: a bracketed mark, a spaced dot, or a spelled digit after another or after plus.
+_BRACKETED = re.compile(r"[\[({<]\s{0,2}(?:at|@|dot|\.)\s{0,2}[\])}>]")
+_SPACED = re.compile(r"\sdot\s")
+_SPELLED = re.compile(rf"(?:{_NUMBER}[\s,-]{{1,3}}|plus[\s-]+){_NUMBER}")
 _WORD_OF = re.compile(_NUMBER, re.IGNORECASE)
 
 
@@ -115,7 +117,7 @@ def normalise(t: str) -> tuple[str, list[tuple[int, int, int]]]:
             put("+", lo, hi)
         elif m["digits"]:
             for w in _WORD_OF.finditer(t, lo, hi):
-                put(_NUMBERS[w[0].lower()], *w.span())
+                put(_NUMBERS[w[0].translate(_CASED).lower()], *w.span())
         at = hi
     put(t[at:], at, len(t))
     return "".join(out), pieces
@@ -133,9 +135,11 @@ def _source(pieces: list[tuple[int, int, int]], size: int, lo: int, hi: int) ->
 
 
 def _disguised(t: str) -> bool:
-    """Whether the transducers could change the text."""
+    """Whether the transducers could change the text: true wherever _RULES matches."""
+    if not t.isascii() and not _ODD.isdisjoint(t):
+        return True
     low = t.lower()
-    return (not t.isascii() and not _ODD.isdisjoint(t)) or any(x in low for x in _MARKS) or (any(x in low for x in _RARE) and _RUN.search(low) is not None)
+    return _BRACKETED.search(low) is not None or ("dot" in low and _SPACED.search(low) is not None) or (any(x in low for x in _NUMBERS) and _SPELLED.search(low) is not None)
 
 
 def find(t: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

@@ -122,6 +122,41 @@ def test_pii_leaves_clean_text():
         assert pii.find(t) == ([], [])
 
 
+@pytest.mark.parametrize(
+    "text,kind,found",
+    [
+        ("to john{at}example.com now", "email", "john{at}example.com"),
+        ("john <at> example.com", "email", "john <at> example.com"),
+        ("john [ at ] example.com", "email", "john [ at ] example.com"),
+        ("a@b{.}com", "email", "a@b{.}com"),
+        ("one nine two.one six eight.one zero.two five", "ip", "one nine two.one six eight.one zero.two five"),
+        ("+49 one five one 234 567", "phone", "+49 one five one 234 567"),
+        ("4111 1111 one one one one one one one one", "card", "4111 1111 one one one one one one one one"),
+        ("+ONE ſIX fıve 555 1234", "phone", "+ONE ſIX fıve 555 1234"),
+    ],
+)
+def test_pii_short_disguises(text, kind, found):
+    """Disguises without the word dot and with few spelled digits, alone and beside that word."""
+    for t in (text, text + " the dot at the end"):
+        base, more = pii.find(t)
+        assert [(k, t[a:b]) for k, a, b in more] == [(kind, found)], (t, base)
+
+
+def test_pii_gate_agrees_with_the_rules():
+    """Whatever the transducers change passes the gate before them."""
+    import random
+
+    r = random.Random(2)
+    parts = [*"[](){}<> \t,-.@x4é\u00a0\u200b", "at", "AT", "dot", "Dot", "plus", "one", "TWO", "zero", "ſix", "fıve", "NİNE", "oh", "ａｔ"]
+    changed = 0
+    for _ in range(20_000):
+        t = "".join(r.choices(parts, k=r.randint(1, 9)))
+        if pii.normalise(t)[0] != t:
+            changed += 1
+            assert pii._disguised(t), t
+    assert changed > 5000
+
+
 def test_pii_rows(spark, docs, rows, empty):
     got = {r["doc_id"]: r["spans"] for r in pii.detect(docs.withColumn("text", F.concat("text", F.lit(" a@b.co")))).collect()}
     assert got[38] == [] and all(len(v) == 1 for k, v in got.items() if k != 38)
