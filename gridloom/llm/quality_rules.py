@@ -5,11 +5,13 @@ For each host the operator counts the distinct documents that hold a line, remov
 the limit and rejects documents that lose most of their words.
 
 Copies would make every line of a copied text look like boilerplate, so a document is counted
-by its signature (the least digest of its lines): exact copies, and near copies that share that line, count
-once. Limits are a share of the host's documents with a floor, so they act alike at every size.
+by a signature (the least hash of its 8-word windows): exact copies, and near copies that share that window,
+count once. A line that many documents share could hold the least window of each, so documents are counted
+by several hash functions, and the largest count holds. Limits are a share of the host's documents with
+a floor, so they act alike at every size.
 
 Edge cases: null or empty text has no words and fails the base rules; a null host is the host
-``''``; repeated rows count as one document; a one-line document has its line's signature.
+``''``; repeated rows count as one document; a text under 8 words is its own window.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from gridloom.llm._common import checkpointed, let
 ODD_WHITE = "[ \\t\\x0B\\f\\r]{2,}|[\\t\\x0B\\f\\r]"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 WINDOW = 8
+#: Hash functions by which documents are counted.
+SIGNATURES = 4
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
 #: A line goes when more distinct documents of its host than this floor and this share hold it.
@@ -44,17 +48,26 @@ def _words(flat: Column) -> Column:
     return F.filter(F.split(F.replace(flat, F.lit("\n"), F.lit(" ")), " "), lambda w: w != "")
 
 
-def _repeat_words(words: Column) -> Column:
-    """Words inside 8-word windows that occur twice or more, the first occurrence included."""
+def _windows(h: Column) -> Column:
+    """Hashes of the 8-word windows, from the words' hashes."""
 
     def paired(h: Column, step: int) -> Column:
         """Each hash with the one ``step`` places on; the last ``step`` pair with nothing."""
         return F.zip_with(h, F.slice(h, step + 1, F.greatest(F.size(h) - step, F.lit(0))), lambda x, y: F.xxhash64(x, y))
 
-    def windows(h: Column) -> Column:
-        n = F.size(h) - (WINDOW - 1)
-        eight = let(paired(h, 1), lambda two: let(paired(two, 2), lambda four: paired(four, 4)))
-        return F.when(n > 0, F.slice(eight, 1, F.greatest(n, F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
+    n = F.size(h) - (WINDOW - 1)
+    eight = let(paired(h, 1), lambda two: let(paired(two, 2), lambda four: paired(four, 4)))
+    return F.when(n > 0, F.slice(eight, 1, F.greatest(n, F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _signatures(words: Column) -> Column:
+    """Per hash function, the least hash of the windows in lower case."""
+    least = lambda w: F.array(*[F.array_min(F.transform(w, lambda x, k=k: F.xxhash64(x, F.lit(k)))) for k in range(SIGNATURES)])
+    return let(F.transform(words, lambda w: F.xxhash64(F.lower(w))), lambda h: let(F.when(F.size(h) < WINDOW, F.array(F.xxhash64(h))).otherwise(_windows(h)), least))
+
+
+def _repeat_words(words: Column) -> Column:
+    """Words inside 8-word windows that occur twice or more, the first occurrence included."""
 
     def covered(s: Column) -> Column:
         """s: windows as (hash, position), sorted."""
@@ -67,7 +80,7 @@ def _repeat_words(words: Column) -> Column:
         pairs = F.array_sort(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(w)) < F.size(w), let(pairs, covered)).otherwise(0)
 
-    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: let(windows(h), counted))
+    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: let(_windows(h), counted))
 
 
 def _raw_lines(text: Column) -> Column:
@@ -101,17 +114,21 @@ def measures(text: Column) -> Column:
             (F.size(raw) - F.size(F.array_distinct(raw))).cast("long").alias("n_dup_lines"),
             _repeat_words(words).cast("long").alias("n_repeat_words"),
             _lines(flat).alias("lines"),
-            F.array_min(F.transform(_normal(flat), lambda x: F.md5(x))).alias("sig"),
+            _signatures(words).alias("signs"),
         )
 
     return let(_flat(text), lambda f: let(_words(f), lambda w: let(_raw_lines(text), lambda x: of(f, w, x))))
 
 
 def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, doc_share: float = DOC_SHARE) -> DataFrame:
-    """(host, h) of the lines above the limit; docs has host, lines and sig."""
-    signed = docs.filter(F.size("lines") > 0).select("host", "sig", F.array_distinct(F.col("lines.h")).alias("hs"))
-    hosts = signed.select("host", "sig").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    seen = signed.select("host", "sig", F.explode("hs").alias("h")).distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs"))
+    """(host, h) of the lines above the limit; docs has host, lines and signs."""
+    most = F.greatest(*[F.count_distinct(F.col("signs")[k]) for k in range(SIGNATURES)])
+    signed = docs.filter(F.size("lines") > 0).select("host", "signs", F.array_distinct(F.col("lines.h")).alias("hs"))
+    hosts = signed.groupBy("host").agg(most.alias("host_docs"))
+    held = signed.select("host", "signs", F.explode("hs").alias("h"))
+    # a line above the floor is in more rows than it
+    often = held.groupBy("host", "h").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > min_docs).select("host", "h")
+    seen = held.join(often, ["host", "h"]).groupBy("host", "h").agg(most.alias("docs"))
     return seen.filter(F.col("docs") > min_docs).join(hosts, "host").filter(F.col("docs") > doc_share * F.col("host_docs")).select("host", "h")
 
 
@@ -120,7 +137,7 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", key
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     row = docs.select(F.col(key).alias("key"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), measures(whole).alias("m"))
     # a few numbers a line, read four times below: written once, so that texts are measured once
-    row = checkpointed(row.select("key", "host", *[F.col("m")[c].alias(c) for c in (*COUNTS, "lines", "sig")]))
+    row = checkpointed(row.select("key", "host", *[F.col("m")[c].alias(c) for c in (*COUNTS, "lines", "signs")]))
     gone = row.select("key", "host", F.explode("lines").alias("x")).select("key", "host", F.col("x")["h"].alias("h"), F.col("x")["n"].alias("n"))
     gone = gone.join(frequent_lines(row), ["host", "h"]).groupBy("key").agg(F.sum("n").alias("n_line_words"), F.collect_set("h").alias("gone"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))

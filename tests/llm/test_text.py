@@ -204,6 +204,21 @@ def test_quality_line_frequency(spark):
     assert clean[3] == " ".join(f"d3w{k}" for k in range(40)) and "boiler0" in clean[90]
 
 
+def test_quality_line_of_least_digest(spark):
+    """A shared line counts the documents that hold it, also where its own hash is the least of every document; near copies count once."""
+    own = lambda i, n: " ".join(f"d{i}w{k}" for k in range(n))
+    common = "least of all"
+    digest = lambda x: hashlib.md5(x.encode()).hexdigest()
+    lines = [x for x in (own(i, 40) for i in range(400)) if digest(x) > digest(common)][:40]
+    assert len(lines) == 40
+    near = own(1000, 200).split(" ")
+    rows = [(i, f"{x}\n{common}", "a") for i, x in enumerate(lines)] + [(100 + i, "\n".join([own(1000, 200), " ".join([*near[:100], f"x{i}", *near[101:]]), "of copies"]), "b") for i in range(60)]
+    rows += [(200 + i, f"{own(500, 60)}\nof copies", "b") for i in range(30)]
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert {got[i]["n_line_words"] for i in range(40)} == {3}
+    assert {r["n_line_words"] for d, r in got.items() if d >= 100} == {0}
+
+
 def test_language_prediction(spark, empty):
     import random
 
