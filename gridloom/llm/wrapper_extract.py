@@ -51,6 +51,7 @@ _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe svg math select object video audio canvas".split())
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in _RAW}
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _DROPPED = frozenset("head nav footer aside form button input dialog menu".split()) | _RAW
 _ENDS_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -72,19 +73,15 @@ class Node:
 def parse(source: str) -> Node:
     """The DOM tree of a page, by one pass over its tags."""
     root = Node("#root", "#root", False, None)
-    here, at, raw = root, 0, ""
-    for m in _TOKEN.finditer(source):
-        if raw:
-            if m[2] is None or not m[1] or m[2].lower() != raw:
-                continue
-        elif m.start() > at:
+    here, at = root, 0
+    while m := _TOKEN.search(source, at):
+        if m.start() > at:
             here.text.append(entities.unescape(source[at : m.start()]))
         at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
         if m[1]:
-            raw = ""
             node = here
             while node.up is not None and node.tag != tag:
                 node = node.up
@@ -116,9 +113,15 @@ def parse(source: str) -> Node:
         here.text.append(node)
         if tag in _VOID or m[3].endswith("/") and tag in ("svg", "math"):
             continue
-        here = node
-        raw = tag if tag in _RAW else ""
-    if at < len(source) and not raw:
+        if tag not in _RAW:
+            here = node
+            continue
+        # its content is no markup: on behind its end tag, or to the end of the page
+        end = _RAW_END[tag].search(source, at)
+        at = source.find(">", end.end()) + 1 if end else 0
+        if not at:
+            return root
+    if at < len(source):
         here.text.append(entities.unescape(source[at:]))
     return root
 

@@ -42,6 +42,15 @@ def test_copies_on_a_host_stay(spark):
     assert {r["text"] for r in wrapper_extract.extract(pages).collect()} == {text_of(7)}
 
 
+def test_raw_elements_end_at_their_end_tag():
+    """Code with '<' before a letter, quotes or comments in it hides nothing behind it."""
+    for code in ("for(i=0;i<n;i++){x()}", "if(a<b)s='", 'x="<p', "a<!--b", "</scripts></p>", "<article><p>no</p></article>", "i<n </SCRIPT >\n<script>j<m"):
+        page = f"<html><body><script>{code}</script><article><p>Text &amp; more</p><style>a<b{{}}</STYLE\n><p>End</p></article><textarea>x<y</body></html>"
+        assert wrapper_extract.main_text(page) == "Text & more\n\nEnd", code
+    assert wrapper_extract.main_text("<p>a</p><script>i<n") == wrapper_extract.main_text("<p>a</p><script></script") == "a"
+    assert wrapper_extract.main_text("<p>a</p>" + "<script>" + "</script " * 20_000) == "a"
+
+
 def test_simple_tree_matching():
     a = wrapper_extract.parse("<div><p>1</p><ul><li>a<li>b</ul><p>2</p></div>")
     b = wrapper_extract.parse("<div><p>1</p><h2>x</h2><ul><li>a<li>c<li>d</ul></div>")
