@@ -6,8 +6,8 @@ so only these are shuffled, and a hot host is no larger a group than any. A matc
 constant (template), else varying (content); the counts are summed over the host by the node's path
 (tags and classes from the root). The host's wrapper has a content slot, the deepest path that holds
 nearly all varying text, and template paths, the paths that stay constant. Extraction reads the
-slot's subtree without template paths and without containers that HTML itself marks as no article:
-navigation, page headers and footers, asides, forms, scripts, styles, adverts, notices, comments.
+whole article or main element around the slot, or the slot's subtree where there is none, without
+template paths and without containers that HTML itself marks as no article: navigation, page headers and footers, asides, forms, scripts, styles, adverts, notices, comments.
 
 Decisions are made by path, never by a text's own frequency, so a passage that many pages share stays
 when it stands where content stands. Pairs of pages with one text (copies) say nothing and are left
@@ -348,8 +348,19 @@ def wrapper(paths: list[tuple[str, int, int, int]]) -> tuple[str, list[str]]:
         # a slot holds blocks; a path that has text itself is a block
         if total[path] >= SLOT_SHARE * every and path not in leaves and path.startswith(slot):
             slot = path
-    template = [p for p, n, same, _ in paths if n >= MIN_MATCHES and same >= CONSTANT_SHARE * n and slot and p.startswith(slot + "/")]
-    return slot, sorted(template)
+    if not slot:
+        return "", []
+    constant = {p for p, n, same, _ in paths if n >= MIN_MATCHES and same >= CONSTANT_SHARE * n}
+    # what varies below a constant heading is no template
+    varying = {p[:i] for p in leaves - constant for i, c in enumerate(p) if c == "/"}
+    whole = _holder_path(slot) or slot
+    return slot, sorted(p for p in constant - varying if p.startswith(whole + "/"))
+
+
+def _holder_path(slot: str) -> str:
+    """The path of the outermost article or main element that holds the slot."""
+    parts = slot.split("/")
+    return next(("/".join(parts[: i + 1]) for i, x in enumerate(parts) if x.split(".")[0] in ("article", "main")), "")
 
 
 def _at(root: Node, slot: str) -> list[Node]:
@@ -380,18 +391,39 @@ def main_text(source: str | None, slot: str = "", template: frozenset[str] = fro
         return ""
     root = parse(source)
     held, body = _holders(root)
-    if slot:
-        found = [t for x in _at(root, slot) if not dropped(x) for t in blocks(x, slot, template)]
-        # the slot must not lie beside or above the page's own article
-        if found and (not held or "/article" in slot or "/main" in slot):
-            return "\n\n".join(found)
     for x in held:
         if x.tag == "main" and (inner := _holders_in(x)):
             held = [y for z in held for y in (inner if z is x else [z])]
+    if slot:
+        places = [x for x in _at(root, slot) if not dropped(x)]
+        # the slot must not lie beside or above the page's own article
+        found = [t for x in (_around(places, held) if held else places) for t in blocks(x, _path(x), template)]
+        if found:
+            return "\n\n".join(found)
     found = [t for x in held for t in blocks(x)]
     return "\n\n".join(found or blocks(body or root))
 
 
+def _around(places: list[Node], held: list[Node]) -> list[Node]:
+    """The held elements around places of the slot, each once."""
+    found, whole = {}, frozenset(held)
+    for x in places:
+        while x is not None and x not in whole:
+            x = x.up
+        if x is not None:
+            found[x] = None
+    return list(found)
+
+
+def _path(node: Node) -> str:
+    labels = []
+    while node.up is not None:
+        if node.tag not in _INLINE:
+            labels.append(node.label)
+        node = node.up
+    return "".join(f"/{x}" for x in reversed(labels))
+
+
 def _holders_in(main: Node) -> list[Node]:
     """Articles directly below a main element, if it has exactly one: others may be lists of teasers."""
     inner = [x for x in main.children if x.tag == "article"]

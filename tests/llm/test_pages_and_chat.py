@@ -42,6 +42,24 @@ def test_copies_on_a_host_stay(spark):
     assert {r["text"] for r in wrapper_extract.extract(pages).collect()} == {text_of(7)}
 
 
+def _long(n, k):
+    return " ".join(f"w{n}x{i}" for i in range(k))
+
+
+def test_extract_keeps_the_whole_article(spark):
+    """Title, lead and a second block beside the slot stay, on a host with evidence as on one without; constant parts go."""
+    page = lambda n: f"<html><body><nav>Menu</nav><article><h1>Title {n}</h1><p class=by>Same byline</p><p>Lead {n}</p><div class=body><p>{_long(n, 40)}</p><p>{_long(n + 1000, 40)}</p></div><div class=more><h2>More</h2><p>{_long(n + 2000, 12)}</p></div></article><div class=foot><p>Foot {n}</p></div></body></html>"
+    main = lambda n: f"<html><body><main><h1>Title {n}</h1><p>Lead {n}</p><div class=body><p>{_long(n, 40)}</p><p>{_long(n + 1000, 40)}</p></div></main></body></html>"
+    text = lambda n, by: "\n\n".join([f"Title {n}", *["Same byline"] * by, f"Lead {n}", _long(n, 40), _long(n + 1000, 40), *["More"] * by, _long(n + 2000, 12)])
+    rows = [(i, "http://many.example.com/", page(i)) for i in range(30)] + [(100, "http://one.example.com/", page(100))]
+    rows += [(200 + i, "http://main.example.com/", main(i)) for i in range(30)]
+    got = {r["page_id"]: r for r in wrapper_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[3]["by_wrapper"] and not got[100]["by_wrapper"]
+    assert [got[i]["text"] for i in range(30)] == [text(i, 0) for i in range(30)]
+    assert got[100]["text"] == text(100, 1)
+    assert got[203]["text"] == f"Title 3\n\nLead 3\n\n{_long(3, 40)}\n\n{_long(1003, 40)}"
+
+
 def test_raw_elements_end_at_their_end_tag():
     """Code with '<' before a letter, quotes or comments in it hides nothing behind it."""
     for code in ("for(i=0;i<n;i++){x()}", "if(a<b)s='", 'x="<p', "a<!--b", "</scripts></p>", "<article><p>no</p></article>", "i<n </SCRIPT >\n<script>j<m"):
