@@ -39,3 +39,14 @@ def test_names_and_schemas(spark):
     every = plans.queries()
     assert set(SQL) <= set(every) and len(every) > 150
     assert "label_stats" in every
+
+
+def test_motion_correction_reads_the_whole_image(spark, monkeypatch):
+    from gridloom.plans import queries_more as more
+
+    image = spark.range(50 * 30).selectExpr("id % 50 AS x", "id div 50 AS y", "CAST(id % 7 AS double) AS w")
+    seen, real = [], more.regions.motion_correct
+    monkeypatch.setattr(more.fx, "part_image", lambda spark, sf: image)
+    monkeypatch.setattr(more.regions, "motion_correct", lambda series, reach: (seen.append(series.count()), real(series, reach))[1])
+    assert [tuple(r) for r in plans.queries()["motion_correction"](spark, SF).orderBy("t").collect()] == [(t, 0, 0) for t in range(4)]
+    assert seen == [4 * 50 * 30]
