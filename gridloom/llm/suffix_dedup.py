@@ -16,11 +16,15 @@ Every byte covered by a ``LENGTH``-byte string that also starts earlier in the c
    left after LENGTH rounds are the repeated strings.
 4. The removed spans are merged per document and cut from its bytes.
 
-A minimizer whose classes exceed a job by far is split again by three more minimizers with other seeds.
-
-Edge cases: null text is empty; texts under LENGTH bytes and empty ones lose nothing; a key's rows are
-expected to be one row, equal keys share their spans; null keys keep all bytes; other columns are
-ignored; an empty table gives no rows.
+A minimizer whose classes exceed HOT_BYTES is split again by three more minimizers with other seeds, and
+what still exceeds it into single windows, dealt by a hash of their bytes; of equal single windows only
+the earliest waits in a task. So no job holds more than HOT_BYTES and one job's worth of segments.
+
+Edge cases: null text is empty; texts under LENGTH bytes and empty ones lose nothing; a very long text
+is cut into pieces of CHUNK_BYTES that overlap by LENGTH - 1 bytes, so that each window lies in one;
+keys are integers (others raise an error); rows that share a key are at the same places, so they remove
+nothing of each other and share their spans; null keys keep all bytes and remove nothing; other columns
+are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,8 +34,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from gridloom.llm._common import checkpointed, chunks, text_bytes
 
@@ -43,7 +49,8 @@ JOB_BYTES = 64 << 10
 SHARD_BYTES = 16 << 10
 #: Rows alone in their interval leave the refinement after each so many rounds.
 LEAVE_EVERY = 4
-HOT_BYTES = 32 << 20
+#: Bytes of one minimizer's segments beyond which it is split; solving them takes some 50 times as much memory.
+HOT_BYTES = 4 << 20
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _BASE_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -172,12 +179,15 @@ def repeated_intervals(shards: list[np.ndarray], length: int = LENGTH) -> tuple[
     for depth in range(1, length + 1):
         c = bwt[rows]
         order = np.argsort(c, kind="stable")
-        c, interval, rows = c[order], interval[order], lf[rows[order]]
+        c = c[order]
+        past = int(np.searchsorted(c, 1))  # a separator precedes the first rows: their strings would cross it
+        order, c = order[past:], c[past:]
+        interval, rows = interval[order], lf[rows[order]]
         new = np.ones(len(rows) + 1, bool)
         np.logical_or(c[1:] != c[:-1], interval[1:] != interval[:-1], out=new[1:-1])
         interval = np.cumsum(new[:-1], dtype=np.int32)
         if depth % LEAVE_EVERY == 0 or depth == length:
-            held = ~(new[:-1] & new[1:]) & (c != 0)  # neither alone nor past a segment's end
+            held = ~(new[:-1] & new[1:])  # not alone
             rows, interval = rows[held], interval[held]
             if not len(rows):
                 break
@@ -207,7 +217,7 @@ def solve_job(doc: np.ndarray, start: np.ndarray, parts: list[bytes], length: in
     order = np.lexsort((where, doc[of], interval))
     first = np.ones(len(order), bool)
     first[1:] = interval[order][1:] != interval[order][:-1]
-    gone = order[~first]
+    gone = order[~first & ~_same_place(first, doc[of][order], where[order])]
     gone = gone[np.lexsort((offset[gone], of[gone]))]
     if not len(gone):
         return []
@@ -219,6 +229,7 @@ def solve_job(doc: np.ndarray, start: np.ndarray, parts: list[bytes], length: in
 
 ROW = pa.schema([("kind", pa.int8()), ("m", pa.int64()), ("s", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
 ROW_SQL = "kind tinyint, m bigint, s bigint, doc bigint, start bigint, n bigint"
+PART_SQL = "m bigint, doc bigint, start bigint, part binary"
 SEGMENT, SELF, GONE = 0, 1, 2  # kinds: a segment, one that may repeat itself, removed bytes (start, n of them)
 
 
@@ -226,19 +237,35 @@ def _rows(kind, m, s, doc, start, n) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(x), t) for x, t in zip((kind, m, s, doc, start, n), ROW.types, strict=True)], schema=ROW)
 
 
+def _pieces(chunk: pa.Table) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """(documents, starts, bytes) of a chunk's texts by document, some CHUNK_BYTES at a time."""
+    chunk = chunk.sort_by("doc")
+    held: tuple[list[int], list[int], list[bytes]] = ([], [], [])
+    size = 0
+    for doc, text in zip(chunk.column("doc").to_pylist(), chunk.column("text").cast(pa.binary()).to_pylist(), strict=True):
+        for lo in range(0, max(1, len(text) - LENGTH + 1), CHUNK_BYTES):
+            part = text[lo : lo + CHUNK_BYTES + LENGTH - 1]
+            if held[0] and size + len(part) > 2 * CHUNK_BYTES:
+                yield held
+                held, size = ([], [], []), 0
+            for x, v in zip(held, (doc, lo, part), strict=True):
+                x.append(v)
+            size += len(part)
+    if held[0]:
+        yield held
+
+
 def _segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for chunk in chunks(batches, "text", CHUNK_BYTES):
-        chunk = chunk.sort_by("doc")
-        texts = chunk.column("text").cast(pa.binary()).to_pylist()
-        ids = chunk.column("doc").to_numpy()
+    for docs, starts, texts in (p for chunk in chunks(batches, "text", CHUNK_BYTES) for p in _pieces(chunk)):
+        ids, begins = np.array(docs, np.int64), np.array(starts, np.int64)
         bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         value, cls, place, n, twice = segments(np.frombuffer(b"".join(texts), np.uint8), bounds)
         of = np.searchsorted(bounds, place, side="right") - 1
-        doc, start = ids[of], place - bounds[of]
+        doc, start = ids[of], place - bounds[of] + begins[of]
         order = np.lexsort((np.arange(len(cls)), cls, value))
         first = np.ones(len(order), bool)
         first[1:] = (value[order][1:] != value[order][:-1]) | (cls[order][1:] != cls[order][:-1])
-        keep, gone = np.sort(order[first]), np.sort(order[~first])
+        keep, gone = np.sort(order[first]), np.sort(order[~first & ~_same_place(first, doc[order], start[order])])
         yield _rows(twice[keep].astype(np.int8), value[keep].view(np.int64), cls[keep].view(np.int64), doc[keep], start[keep], n[keep])
         if len(gone):
             # neighbouring segments of a document are one span
@@ -249,6 +276,13 @@ def _segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(np.full(len(at), GONE), begin + (doc[gone][at] << 20), np.zeros(len(at), np.int64), doc[gone][at], begin, end - begin)
 
 
+def _same_place(first: np.ndarray, doc: np.ndarray, start: np.ndarray, held: tuple[int, int] | None = None) -> np.ndarray:
+    """Whether each row stands where the first of its class does: a row that its table repeats; held: where the class of rows before any first began."""
+    of = np.maximum.accumulate(np.where(first, np.arange(len(first)), -1))
+    d, k = np.where(of < 0, held[0] if held else 0, doc[of]), np.where(of < 0, held[1] if held else 0, start[of])
+    return (doc == d) & (start == k)
+
+
 def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (m, s, doc, start): repeats of a class become removed bytes; firsts stay only where a transform must judge them."""
     held = None  # the last first so far, whose minimizer may go on: (m, s, doc, start, n, self, whether to judge)
@@ -264,7 +298,7 @@ def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first[1:] = (m[1:] != m[:-1]) | (s[1:] != s[:-1])
         if held is not None:
             first[0] = (m[0], s[0]) != held[:2]
-        again = ~first
+        again = ~first & ~_same_place(first, doc, start, held[2:4] if held is not None else None)
         if again.any():
             yield _rows(np.full(again.sum(), GONE), m[again], s[again], doc[again], start[again], n[again] + LENGTH - 1)
         rows = [x[first] for x in (m, s, doc, start, n)]
@@ -315,26 +349,56 @@ def _split_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, b.schema.types, strict=True)], schema=b.schema)
 
 
-def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (m, doc, start, part) sorted by m, solved in jobs of whole minimizers."""
-    doc, start, parts, size, last = [], [], [], 0, None
+def _split_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments as single windows under a hash of their bytes, of equal ones in a batch the earliest; the later ones come without bytes, which marks them as removed."""
+    for b in batches:
+        first: dict[bytes, tuple[int, int]] = {}
+        gone: list[tuple[int, int]] = []
+        for doc, start, part in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            for i in range(len(part) - LENGTH + 1):
+                w, at = part[i : i + LENGTH], (doc, start + i)
+                was = first.setdefault(w, at)
+                if was != at:
+                    first[w] = min(was, at)
+                    gone.append(max(was, at))
+        rows = [(xxhash.xxh3_64_intdigest(w) - (1 << 63), *at, w) for w, at in first.items()] + [(doc + start, doc, start, b"") for doc, start in gone]
+        out = list(zip(*rows, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, b.schema.types, strict=True)], schema=b.schema)
 
-    def solve() -> pa.RecordBatch:
-        found = solve_job(np.array(doc, np.int64), np.array(start, np.int64), parts) if len(parts) else []
-        columns = list(zip(*found, strict=True)) or [[]] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc", "start", "stop"])
 
+def _spans(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc", "start", "stop"])
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (m, doc, start, part) sorted by m, solved in jobs of whole minimizers; of equal parts of one window the earliest waits, and a part without bytes is a removed window."""
+    doc, start, parts, single, size, last = [], [], [], {}, 0, None
     for b in batches:
+        gone = []
         for m, d, k, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if m != last and size >= JOB_BYTES:
-                yield solve()
-                doc, start, parts, size = [], [], [], 0
+                yield _spans(solve_job(np.array(doc, np.int64), np.array(start, np.int64), parts))
+                doc, start, parts, single, size = [], [], [], {}, 0
             last = m
+            if not part:
+                gone.append((d, k, k + LENGTH))
+                continue
+            if len(part) == LENGTH:
+                at = single.setdefault(part, len(parts))
+                if at < len(parts):
+                    sooner, later = sorted([(doc[at], start[at]), (d, k)])
+                    doc[at], start[at] = sooner
+                    if sooner != later:
+                        gone.append((*later, later[1] + LENGTH))
+                    continue
             doc.append(d)
             start.append(k)
             parts.append(part)
             size += len(part)
-    yield solve()
+        yield _spans(gone)
+    if parts:
+        yield _spans(solve_job(np.array(doc, np.int64), np.array(start, np.int64), parts))
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -359,11 +423,14 @@ def removed_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", hot_
     classed = checkpointed(dealt.mapInArrow(_classed, ROW_SQL))
     judge = classed.filter(F.col("kind") != GONE)
     wanted = judge.groupBy("doc").agg(F.collect_list(F.struct("m", "start", "n")).alias("wanted"))
-    parts = rows.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_cut_bytes, "m bigint, doc bigint, start bigint, part binary")
+    parts = rows.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_cut_bytes, PART_SQL)
     hot = judge.groupBy("m").agg(F.sum(F.col("n") + (LENGTH - 1)).alias("bytes")).filter(F.col("bytes") > hot_bytes).select("m")
     if not hot.isEmpty():
-        finer = parts.join(hot, "m", "left_semi").select("m", "doc", "start", "part").mapInArrow(_split_hot, "m bigint, doc bigint, start bigint, part binary")
-        parts = parts.join(hot, "m", "left_anti").select("m", "doc", "start", "part").union(finer)
+        columns = parts.columns
+        finer = checkpointed(parts.join(hot, "m", "left_semi").select(*columns).mapInArrow(_split_hot, PART_SQL))
+        still = finer.groupBy("m").agg(F.sum(F.octet_length("part")).alias("bytes")).filter(F.col("bytes") > hot_bytes).select("m")
+        windows = finer.join(still, "m", "left_semi").select(*columns).mapInArrow(_split_windows, PART_SQL)
+        parts = parts.join(hot, "m", "left_anti").select(*columns).union(finer.join(still, "m", "left_anti").select(*columns)).union(windows)
     judged = parts.repartition("m").sortWithinPartitions("m").mapInArrow(_judged, "doc bigint, start bigint, stop bigint")
     gone = classed.filter(F.col("kind") == GONE).select("doc", "start", (F.col("start") + F.col("n")).alias("stop"))
     return gone.union(judged).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
@@ -371,6 +438,8 @@ def removed_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", hot_
 
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", with_text: bool = False, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """Per row: key, n_bytes, n_removed, n_spans, kept_sha256, spans (merged, in bytes); with_text adds kept, the remaining bytes."""
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise TypeError(f"{key} must be an integer: places are ordered by it")
     spans = removed_spans(docs, text, key, hot_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

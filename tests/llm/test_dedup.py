@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import near_dedup, suffix_dedup
 from gridloom.llm.graph import components
@@ -16,6 +18,42 @@ def test_suffix_dedup_is_brute_force(docs, rows, hot_bytes):
     assert sum(v[1] for v in want.values()) > 1000
 
 
+def test_long_texts_are_cut_into_pieces(monkeypatch):
+    """Each window of a text longer than a chunk lies in one segment of one piece."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 700)
+    texts = [bytes(random.Random(i).choices(b"abcdefgh", k=n)) for i, n in enumerate((5000, 99, 100, 799, 800, 0))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([t.decode() for t in texts])], ["doc", "text"])
+    got = [(r["doc"], r["start"] + i) for t in suffix_dedup._segmented(iter([batch])) for r in t.to_pylist() for i in range(r["n"])]
+    assert sorted(got) == [(d, i) for d, t in enumerate(texts) for i in range(len(t) - 99)]
+
+
+def test_suffix_dedup_of_repeated_rows_and_null_keys(spark, make_prose):
+    """Repeated rows lose nothing by each other."""
+    a, b = make_prose(11, 80), make_prose(12, 700)
+    rows = [(1, a), (1, a), (2, f"{make_prose(13, 9)} {a}"), (3, b), (4, b[900:2100] + b[:400]), (None, a)]
+    want = suffix_dedup.brute_force([r for i, r in enumerate(rows) if i != 1 and r[0] is not None])
+    df = spark.createDataFrame([(*r, 7, b"x", "z") for r in rows], "doc_id int, text string, n_bytes int, kept binary, doc string")
+    for hot_bytes in (suffix_dedup.HOT_BYTES, 150):
+        got = [(r["doc_id"], (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])) for r in suffix_dedup.dedup(df, hot_bytes=hot_bytes).collect()]
+        assert len(got) == len(rows) and all(v == want[k] for k, v in got if k is not None)
+        assert [v[:3] for k, v in got if k is None] == [(len(a), 0, 0)]
+    with pytest.raises(TypeError):
+        suffix_dedup.dedup(df.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
+def test_single_windows_of_hot_minimizers(rows):
+    """Windows dealt one by one give the spans of whole segments; a part without bytes is a removed window."""
+    part = lambda *r: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*r, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["m", "doc", "start", "part"])
+    texts = [(d, t.encode()) for d, t in rows if t and len(t.encode()) >= 100]
+    batch = part(*[(7, d, 0, t) for d, t in texts])
+    split = pa.Table.from_batches(suffix_dedup._split_windows(iter([batch.slice(0, 9), batch.slice(9)]))).sort_by("m")
+    spans: dict = {}
+    for r in pa.Table.from_batches(suffix_dedup._judged(iter(split.to_batches(max_chunksize=50)))).to_pylist():
+        spans.setdefault(r["doc"], []).append((r["start"], r["stop"]))
+    want = suffix_dedup.brute_force([(d, t.decode()) for d, t in texts])
+    assert {d: sum(hi - lo for lo, hi in suffix_dedup.merge_spans(spans.get(d, []))) for d, _ in texts} == {d: v[1] for d, v in want.items()}
+
+
 def test_suffix_dedup_keeps_bytes(spark):
     t = "".join(chr(97 + random.Random(3).randrange(26) * i % 26) for i in range(300))
     df = spark.createDataFrame([(1, t), (2, "Q" + t[:150])], "doc_id bigint, text string")
