@@ -4,11 +4,13 @@ A language's dictionary is a bounded sample of its training texts. A text is enc
 blocks, once with each dictionary; the smallest total wins. The margin to the second is the score,
 and below ``MIN_MARGIN`` the prediction is marked as rejected.
 
-The sample: about ``SAMPLE_DOCS`` documents a language, chosen by a hash of their key, of each at most
-``SAMPLE_CHARS`` characters, cut to ``DICTIONARY_BYTES`` a language. Only the fit is sampled.
+The sample: about ``SAMPLE_DOCS`` documents a language, chosen by a 64-bit hash of their key (so a language
+of any size gets its share), of each at most ``SAMPLE_CHARS`` characters, cut to ``DICTIONARY_BYTES`` a
+language. Only the fit is sampled.
 
-Edge cases: null text, or text without a letter, is ``und`` with score 0; equal sizes go to the language
-first in order of its name; no training rows make every prediction ``und``; repeated rows give repeated
+Edge cases: null text, or text without a letter (digits, numerals such as ``½`` or ``Ⅷ`` and marks are none),
+is ``und`` with score 0; equal sizes go to the language first in order of its name; no training rows make
+every prediction ``und``; a very long text is read whole, in blocks; repeated rows give repeated
 predictions; other columns are ignored.
 """
 
@@ -32,7 +34,7 @@ LEVEL = 3
 BLOCK = 16_384
 #: The least share of the best size by which the second must exceed it.
 MIN_MARGIN = 0.01
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD_CHARACTER = re.compile(r"[^\W\d_]")  # letters, and numerals that aren't digits
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -47,14 +49,19 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "do
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return {}
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(1e6 * min(1, sample_docs / n)))])
-    some = rows.filter(F.pmod("h", F.lit(1_000_000)) < share[F.col("lang")]).select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    # the hashes below this share of their range: in whole numbers, as a share may be smaller than a double's steps
+    top = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min((1 << 64) - 1, (sample_docs << 64) // n) - (1 << 63))])
+    some = rows.filter(F.col("h") <= top[F.col("lang")]).select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
     held: dict[str, bytes] = {}
     for k, _, t in sorted(some.collect()):
         held[k] = held.get(k, b"") + _letters(t) + b" "
     return {k: v[:DICTIONARY_BYTES].ljust(8) for k, v in held.items()}
 
 
+def has_letter(t: str) -> bool:
+    return any(m[0].isalpha() for m in _WORD_CHARACTER.finditer(t))
+
+
 class Model:
     def __init__(self, dictionaries: dict[str, bytes]):
         self.langs = sorted(dictionaries)
@@ -71,7 +78,7 @@ class Model:
 
     def predict(self, t: str | None) -> tuple[str, float, bool]:
         """(language, score, rejected)."""
-        if not t or not self.langs or not _LETTER.search(t):
+        if not t or not self.langs or not has_letter(t):
             return "und", 0.0, True
         sizes = self.sizes(t)
         order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
