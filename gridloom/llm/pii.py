@@ -8,8 +8,9 @@ only where it overlaps no base span.
 Each pattern reads a text in time linear in its length: an email is found from its ``@`` and its
 local part read backwards; digit runs are entered only at their start.
 
-Edge cases: null text is empty and has no spans; offsets are code points, ends exclusive; repeated
-rows give repeated results; other columns are ignored.
+Edge cases: null text is empty and has no spans; offsets are code points, ends exclusive; spans of
+different kinds may overlap, and are all listed; a very long text is read whole, in time that grows with
+its length; repeated rows give repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -150,10 +151,19 @@ def find(t: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]
     norm, pieces = normalise(t)
     if norm == t:
         return base, []
-    taken, more = [(a, b) for _, a, b in base], []
+    # base spans as runs without overlap: the first that ends behind a span's start is the only one it can meet first
+    starts, stops = [], []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if stops and a < stops[-1]:
+            stops[-1] = max(stops[-1], b)
+        else:
+            starts.append(a)
+            stops.append(b)
+    more = []
     for kind, lo, hi in base_spans(norm):
         a, b = _source(pieces, len(norm), lo, hi)
-        if all(b <= x or y <= a for x, y in taken):
+        k = bisect_right(stops, a)
+        if k == len(starts) or b <= starts[k]:
             more.append((kind, a, b))
     return base, more
 
