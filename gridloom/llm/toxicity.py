@@ -6,12 +6,14 @@ the sum of P(grade >= k) over the thresholds; a text is toxic where P(grade >= 1
 
 The fit takes a bounded sample: the ``SAMPLE`` labelled documents of each class that come first by a
 hash of their key, and of their words those whose frequency differs between the classes by over
-``MIN_Z`` standard errors. The labels have two levels; toxic documents are split into mild and severe
-at the median share of such marker words, which gives three ordered grades. Scoring reads all texts.
+``MIN_Z`` standard errors. The grades come from the labels alone, never from the features: 0 is not toxic,
+1 toxic, 2 toxic and labelled of no quality too. Scoring reads all texts.
 
 Edge cases: null or empty text has no features and grade 0 by the thresholds; labels that are null or
-repeated with different values are left out; without both classes every severity is 0; repeated rows
-give repeated scores; other columns are ignored.
+repeated with different values are left out; labels without a quality, or with several, have no grade 2,
+and the upper threshold then lies far above; without both classes every severity is 0; words of equal
+standing are taken in order of their bucket; a very long text counts by its distinct words; repeated
+rows give repeated scores; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import built, text_bytes
+from gridloom.llm._common import built, checkpointed, text_bytes
 from gridloom.llm.decontaminate import TABLE
 
 SAMPLE = 3000
@@ -52,12 +54,12 @@ def features(text: bytes) -> list[int]:
     return sorted({_BUCKET[w] for w in set(text.translate(TABLE).split())})
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ascending thresholds for grades 0..K, by Adam on the penalised likelihood.
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, steps: int = STEPS, top: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ascending thresholds for grades 0..top (the highest there is), by Adam on the penalised likelihood.
 
     Thresholds are a first one and positive steps (exponentials), so their order always holds.
     """
-    top = int(grade.max())
+    top = int(grade.max()) if top is None else top
     weights = np.bincount(grade, minlength=top + 1)[grade].astype(float)
     weights = (1 / weights) / (1 / weights).sum()  # classes count alike
     p = np.zeros(x.shape[1] + top)
@@ -85,37 +87,35 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, steps: int = STEPS) -> tuple[n
     return p[: x.shape[1]], np.cumsum(np.r_[a[:1], np.exp(np.clip(a[1:], -10, 10))])
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> tuple[dict[int, float], list[float]]:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE, quality: str = "quality") -> tuple[dict[int, float], list[float]]:
     """(bucket to weight, thresholds); both empty without both classes."""
-    clean = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y")).filter("key IS NOT NULL AND y IN (0, 1)").groupBy("key").agg(F.min("y").alias("y"), F.max("y").alias("z")).filter("y = z").select("key", "y")
+    poor = (F.col(quality).cast("int") == 0 if quality in labels.columns else F.lit(False)).cast("int")
+    clean = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y"), F.coalesce(poor, F.lit(0)).alias("poor")).filter("key IS NOT NULL AND y IN (0, 1)")
+    clean = clean.groupBy("key").agg(F.min("y").alias("y"), F.max("y").alias("z"), F.min("poor").alias("poor")).filter("y = z").select("key", "y", (F.col("y") * F.col("poor")).alias("more"))
     first = lambda y: clean.filter(F.col("y") == y).orderBy(F.xxhash64("key"), "key").limit(sample)
     some = first(0).union(first(1))
-    found = pa.list_(pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t) for t in text_bytes(b.column(2))], found)], ["key", "y", "f"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([features(t) for t in text_bytes(b.column(3))], pa.list_(pa.int32()))], ["key", "y", "more", "f"])
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(some), "key").select("key", "y", "text")  # at most 2 * sample rows
-    got = rows.mapInArrow(run, f"key {kind}, y int, f array<int>").toPandas().sort_values("key")
-    y = got["y"].to_numpy()
-    if not len(y) or y.min() == y.max():
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(some), "key").select("key", "y", "more", "text")  # at most 2 * sample rows
+    found = checkpointed(rows.mapInArrow(run, f"key {kind}, y int, more int, f array<int>"))
+    n = {r["y"]: r["count"] for r in found.groupBy("y").count().collect()}
+    if len(n) < 2:
         return {}, []
-    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
-    flat = np.concatenate([np.asarray(f, np.int64) for f in got["f"]])
-    of = np.repeat(y, [len(f) for f in got["f"]])
-    c1, c0 = np.bincount(flat[of == 1], minlength=BUCKETS), np.bincount(flat[of == 0], minlength=BUCKETS)
-    share = (c1 + c0) / (n1 + n0)
-    z = (c1 / n1 - c0 / n0) / np.sqrt(np.maximum(share * (1 - share) * (1 / n1 + 1 / n0), 1e-12))
-    chosen = np.flatnonzero((c1 + c0 >= MIN_DOCS) & (np.abs(z) >= MIN_Z))
-    chosen = np.sort(chosen[np.argsort(-np.abs(z[chosen]), kind="stable")][:MAX_FEATURES])
+    held = found.select("y", F.explode("f").alias("b")).groupBy("b").agg(F.sum("y").alias("c1"), F.sum(1 - F.col("y")).alias("c0"))
+    share = (F.col("c1") + F.col("c0")) / sum(n.values())
+    z = F.abs(F.col("c1") / n[1] - F.col("c0") / n[0]) / F.sqrt(F.greatest(share * (1 - share) * (1 / n[1] + 1 / n[0]), F.lit(1e-12)))
+    marked = held.withColumn("z", z).filter((F.col("c1") + F.col("c0") >= MIN_DOCS) & (F.col("z") >= MIN_Z))
+    chosen = np.sort([r["b"] for r in marked.orderBy(F.desc("z"), "b").limit(MAX_FEATURES).collect()]).astype(int)
     if not len(chosen):
         return {}, []
+    # of each sampled document its chosen words: at most MAX_FEATURES numbers
+    got = found.select("key", "y", "more", F.array_intersect("f", F.lit(chosen.tolist())).alias("f")).toPandas().sort_values("key")
     x = np.array([np.isin(chosen, f) for f in got["f"]], float)
-    marks = x[:, z[chosen] > 0].sum(1) / np.maximum(1, [len(f) for f in got["f"]])
-    grade = y + ((y == 1) & (marks > np.median(marks[y == 1]))).astype(int)
-    w, theta = fit_ordinal(x, grade.astype(int))
+    w, theta = fit_ordinal(x, (got["y"] + got["more"]).to_numpy(int), top=2)
     return {int(b): float(v) for b, v in zip(chosen, w, strict=True)}, [float(v) for v in theta]
 
 
