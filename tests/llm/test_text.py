@@ -85,6 +85,30 @@ def test_decontaminate_is_brute_force(spark, max_bytes):
     assert not any(r["contaminated"] for r in decontaminate.decontaminate(docs, none).collect())
 
 
+@pytest.mark.parametrize("max_bytes", [decontaminate.MAX_BENCHMARK_BYTES, 200])
+def test_decontaminate_rows_and_windows(spark, empty, max_bytes):
+    """Repeated and null keys keep a result a row; random words with shared passages against comparing every window."""
+    import random
+
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(6)]
+    items = [(i, " ".join(r.choices(words, k=n))) for i, n in enumerate([40, 13, 14, 20, 12, 5, 27, 1, 33])] + [(50, " ".join(["a"] * 30)), (51, "x " * 13)]
+    texts = [" ".join(r.choices(words, k=200)) for _ in range(3)]
+    for _, t in items:
+        w = t.split()
+        for _ in range(4):
+            lo = r.randrange(max(1, len(w) - 12))
+            texts.append(f"pré {' '.join(r.choices(words, k=3))}, {' '.join(w[lo : lo + r.randint(10, 30)]).upper()} {' '.join(r.choices(words, k=4))}")
+    texts += ["a " * 12, "a " * 13, "a " * 50 + "é", "x " * 26]
+    docs = [*enumerate(texts)] + [(5, texts[9]), (None, texts[10]), (None, texts[4]), (None, None)]
+    got = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), max_bytes=max_bytes).collect()
+    want = decontaminate.brute_force([*enumerate(t for _, t in docs)], items)
+    as_rows = lambda rows: sorted(rows, key=repr)
+    assert as_rows((r["doc_id"], r["n_words"], r["n_hit"], list(r["items"])) for r in got) == as_rows((docs[i][0], *v) for i, v in want.items())
+    assert sum(v[1] > 0 for v in want.values()) > 20
+    assert decontaminate.decontaminate(empty, spark.createDataFrame(items, "item_id bigint, text string"), max_bytes=max_bytes).collect() == []
+
+
 def test_pii_base_patterns():
     def plain(t):
         out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
@@ -117,6 +141,20 @@ def test_pii_disguises(text, kind, found):
     assert f"[{kind.upper()}]" in pii.mask(text, [*base, *more])
 
 
+def test_pii_added_spans_overlap_no_base_span():
+    """Against comparing each with every base span."""
+    import random
+
+    r = random.Random(6)
+    parts = ["a@b.co ", "x [at] y [dot] com ", "1.2.3.4 ", "one two.one.two.three ", "+1 234 567 8901 ", "+four nine one five one 234 567 ", "4111 1111 1111 1111 ", "j\u043e@e.com", " the dot "]
+    for _ in range(300):
+        t = "".join(r.choices(parts, k=r.randint(1, 12)))
+        base, more = pii.find(t)
+        norm, pieces = pii.normalise(t)
+        every = [(k, *pii._source(pieces, len(norm), a, b)) for k, a, b in pii.base_spans(norm)]
+        assert more == [(k, a, b) for k, a, b in every if all(b <= x or y <= a for _, x, y in base)]
+
+
 def test_pii_leaves_clean_text():
     for t in ("meet me at example.com dot", "one two three dogs at home", "the dot at the end", "Punkt at Berlin. eins zwei", ""):
         assert pii.find(t) == ([], [])
@@ -241,6 +279,14 @@ def test_language_prediction(spark, empty):
     assert held == {d: zlib.crc32(str(d).encode()) % 3 == 1 for d in held}
 
 
+def test_language_of_texts_without_letters_and_share_of_large_languages(spark):
+    assert [langid.has_letter(t) for t in ("", "12 _ \u0301", "½ ② ² Ⅷ ٣", "½a", "ª", "語", "Ⅷ É")] == [False, False, False, True, True, True, True]
+    model = langid.Model({"en": b"the words of a language", "de": b"die woerter einer sprache"})
+    assert model.predict("½ ² Ⅷ") == ("und", 0.0, True) and model.predict("words of the language")[0] == "en"
+    df = spark.range(4000).selectExpr("id AS doc_id", "'text of a language' AS text", "'en' AS lang")
+    assert 5 <= langid.fit(df, sample_docs=20)["en"].count(b"text of") <= 45
+
+
 def test_toxicity(spark, empty, make_prose):
     import random
 
@@ -263,13 +309,21 @@ def test_toxicity(spark, empty, make_prose):
     assert toxicity.fit(docs, labels.filter("toxic = 0")) == ({}, []) and toxicity.fit(empty, labels) == ({}, [])
 
 
+def test_toxicity_grades_are_the_labels(spark, make_prose):
+    """Documents labelled toxic and of no quality are the upper grade; repeated labels that differ are none."""
+    bad = ["", "scum idiot", "scum idiot vile slayer"]
+    rows = [(i, f"{make_prose(i, 40)} {bad[i % 3]}") for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 3 < 2)) for i, _ in rows[:150]] + [(0, 1, 1), (1, 1, None)], "doc_id bigint, toxic int, quality int")
+    weights, theta = toxicity.fit(docs, labels)
+    got = {r["doc_id"]: r for r in toxicity.score(docs, weights, theta).collect()}
+    assert np.mean([got[i]["grade"] == i % 3 for i in range(150, 240)]) > 0.97
+    assert len({round(r["severity"], 6) for r in toxicity.score(docs.limit(1).unionAll(docs.limit(1)), weights, theta).collect()}) == 1
+
+
 def test_ordinal_fit_recovers_order():
     r = np.random.default_rng(1)
     x = r.normal(size=(3000, 3))
     z = x @ [1.5, -1.0, 0.0] + r.logistic(size=3000)
     w, theta = toxicity.fit_ordinal(x, np.digitize(z, [-1.0, 1.0]))
     assert theta[0] < theta[1] and w[0] > 0.8 and w[1] < -0.5 and abs(w[2]) < 0.2
-
-
-def test_digest_helpers():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
