@@ -20,6 +20,7 @@ import json
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -60,21 +61,21 @@ class Coder:
 
     A blank before a non-blank always begins a piece, so a text without two blanks in a row is the
     ids of its words, each with its blank. Other texts are encoded whole; those with a special
-    token's string, and all where the file isn't plain byte-level BPE, by the library itself.
+    token's string, and all where the file isn't plain byte-level BPE, by the library itself, which
+    is loaded for the first of them only: a worker holds one coder.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        spec = json.loads(self.library.to_str())
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         self.special = [x["content"] for x in spec["added_tokens"]]
         vocab = spec["model"]["vocab"]
         self.sentence = np.zeros(max([END, *vocab.values(), *(x["id"] for x in spec["added_tokens"])]) + 1, bool)
         for token, i in vocab.items():
             self.sentence[i] = token.endswith((".", "!", "?", "Ċ"))  # the last is how byte-level vocabularies write a line break
         pre = spec["pre_tokenizer"] or {}
-        self.plain = spec["normalizer"] is None and spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        self.plain = spec["normalizer"] is None and spec["model"].get("type") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         if self.plain:
             import tiktoken
 
@@ -86,6 +87,17 @@ class Coder:
             self.whole = tiktoken.Encoding("file", pat_str=split, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
             self.words = _Words(self.whole)
 
+    def forget(self) -> None:
+        """Drops the remembered words, so that a worker keeps them for a task only."""
+        if self.plain:
+            self.words.clear()
+
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit numbers."""
         if not self.plain or any(x in text for x in self.special):
@@ -183,6 +195,7 @@ def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "d
             columns = [pa.array(x, pa.int64()) for x in (start, length, crc, tokens, window + sequence, offset)]
             sequence += int(window[-1]) + 1
             yield pa.RecordBatch.from_arrays([keys, *columns], ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        coder(tokenizer_path).forget()
 
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, f"key {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint").withColumnRenamed("key", key)
