@@ -46,7 +46,9 @@ _XOR = _RNG.integers(0, 1 << 32, _K, np.uint32)
 _SALT = _RNG.integers(0, 1 << 63, _K, np.uint64)
 
 
-class _WordHashes(dict):
+class WordHashes(dict):
+    """Words to their hashes; one for each task, so that a worker holds none between tasks."""
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= 200_000:
             self.clear()
@@ -54,9 +56,6 @@ class _WordHashes(dict):
         return out
 
 
-_HASHES = _WordHashes()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit numbers."""
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -64,12 +63,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: bytes, size: int) -> np.ndarray:
+def shingles(text: bytes, size: int, hashes: WordHashes) -> np.ndarray:
     """The sorted distinct shingle hashes of a text."""
     words = text.translate(_LOWER).split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     n = min(size, len(h))
     out = np.full(len(h) - n + 1, n, np.uint64)
     for i in range(n):
@@ -141,10 +140,11 @@ def signatures(docs: DataFrame, size: int, text: str, key: str) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for b in batches:
             n, cls, bands = [], [], []
             for t in text_bytes(b.column(1)):
-                s = shingles(t, size)
+                s = shingles(t, size, hashes)
                 n.append(len(s))
                 cls.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 bands.append(band_keys(minhashes(s)).view(np.int64) if len(s) else None)
@@ -173,7 +173,7 @@ def _solver(size: int, percent: int):
     """Streams rows (g, side, key, text) sorted by g and yields each group's links as (u, v): of a whole group, each linked key with the least of its component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, keys, sides, sets, kind = None, [], [], [], None
+        group, keys, sides, sets, kind, hashes = None, [], [], [], None, WordHashes()
 
         def links() -> list[tuple]:
             order = sorted(range(len(keys)), key=lambda i: (sides[i], keys[i]))
@@ -190,7 +190,7 @@ def _solver(size: int, percent: int):
                     group, keys, sides, sets = g, [], [], []
                 keys.append(key)
                 sides.append(side)
-                sets.append(shingles((text or "").encode(), size))
+                sets.append(shingles((text or "").encode(), size, hashes))
             yield _links(out, kind)
         if kind is not None:
             yield _links(links(), kind)
@@ -213,8 +213,9 @@ def _sets(rows: DataFrame, size: int) -> DataFrame:
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for b in batches:
-            sets = [shingles(t, size).view(np.int64) for t in text_bytes(b.column(2))]
+            sets = [shingles(t, size, hashes).view(np.int64) for t in text_bytes(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.list_(pa.int64()))], ["g", "key", "s"])
 
     return rows.select("g", "key", "text").mapInArrow(run, f"g {kind}, key {kind}, s array<bigint>")
