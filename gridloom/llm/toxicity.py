@@ -7,10 +7,11 @@ the sum of P(grade >= k) over the thresholds; a text is toxic where P(grade >= 1
 The fit takes a bounded sample: the ``SAMPLE`` labelled documents of each class that come first by a
 hash of their key, and of their words those whose frequency differs between the classes by over
 ``MIN_Z`` standard errors. The grades come from the labels alone, never from the features: 0 is not toxic,
-1 toxic, 2 toxic and labelled of no quality too. Scoring reads all texts.
+1 toxic, 2 toxic in a text labelled of good quality, which other filters would let pass. Scoring reads
+all texts.
 
 Edge cases: null or empty text has no features and grade 0 by the thresholds; labels that are null or
-repeated with different values are left out; labels without a quality, or with several, have no grade 2,
+repeated with different values are left out; labels without a quality, or with several, are no grade 2,
 and the upper threshold then lies far above; without both classes every severity is 0; words of equal
 standing are taken in order of their bucket; a very long text counts by its distinct words; repeated
 rows give repeated scores; other columns are ignored.
@@ -38,7 +39,9 @@ MAX_FEATURES = 2000
 STEPS, RATE, RIDGE = 600, 0.1, 1e-3
 
 
-class _Buckets(dict):
+class Buckets(dict):
+    """Words to their buckets; one for each task."""
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= 200_000:
             self.clear()
@@ -46,12 +49,9 @@ class _Buckets(dict):
         return out
 
 
-_BUCKET = _Buckets()
-
-
-def features(text: bytes) -> list[int]:
-    """The distinct buckets of a text's words, sorted."""
-    return sorted({_BUCKET[w] for w in set(text.translate(TABLE).split())})
+def features(text: bytes, buckets: Buckets) -> set[int]:
+    """The distinct buckets of a text's words."""
+    return {buckets[w] for w in set(text.translate(TABLE).split())}
 
 
 def fit_ordinal(x: np.ndarray, grade: np.ndarray, steps: int = STEPS, top: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -89,15 +89,16 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, steps: int = STEPS, top: int |
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE, quality: str = "quality") -> tuple[dict[int, float], list[float]]:
     """(bucket to weight, thresholds); both empty without both classes."""
-    poor = (F.col(quality).cast("int") == 0 if quality in labels.columns else F.lit(False)).cast("int")
-    clean = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y"), F.coalesce(poor, F.lit(0)).alias("poor")).filter("key IS NOT NULL AND y IN (0, 1)")
-    clean = clean.groupBy("key").agg(F.min("y").alias("y"), F.max("y").alias("z"), F.min("poor").alias("poor")).filter("y = z").select("key", "y", (F.col("y") * F.col("poor")).alias("more"))
+    good = (F.col(quality).cast("int") == 1 if quality in labels.columns else F.lit(False)).cast("int")
+    clean = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y"), F.coalesce(good, F.lit(0)).alias("good")).filter("key IS NOT NULL AND y IN (0, 1)")
+    clean = clean.groupBy("key").agg(F.min("y").alias("y"), F.max("y").alias("z"), F.min("good").alias("good")).filter("y = z").select("key", "y", (F.col("y") * F.col("good")).alias("more"))
     first = lambda y: clean.filter(F.col("y") == y).orderBy(F.xxhash64("key"), "key").limit(sample)
     some = first(0).union(first(1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = Buckets()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([features(t) for t in text_bytes(b.column(3))], pa.list_(pa.int32()))], ["key", "y", "more", "f"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([sorted(features(t, buckets)) for t in text_bytes(b.column(3))], pa.list_(pa.int32()))], ["key", "y", "more", "f"])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(some), "key").select("key", "y", "more", "text")  # at most 2 * sample rows
@@ -119,11 +120,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     return {int(b): float(v) for b, v in zip(chosen, w, strict=True)}, [float(v) for v in theta]
 
 
-def severity(weights: dict[int, float], thresholds: list[float], text: bytes) -> tuple[float, float]:
+def severity(weights: dict[int, float], thresholds: list[float], text: bytes, buckets: Buckets) -> tuple[float, float]:
     """(expected severity, P(grade >= 1))."""
     if not thresholds:
         return 0.0, 0.0
-    s = sum(weights[b] for b in {_BUCKET[w] for w in set(text.translate(TABLE).split())} if b in weights)
+    s = sum(weights[b] for b in features(text, buckets) if b in weights)
     p = [1 / (1 + np.exp(min(60.0, max(-60.0, t - s)))) for t in thresholds]
     return float(sum(p)), float(p[0])
 
@@ -134,9 +135,9 @@ def score(docs: DataFrame, weights: dict[int, float], thresholds: list[float], t
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, theta = built(token, lambda: held.value)
+        (w, theta), buckets = built(token, lambda: held.value), Buckets()
         for b in batches:
-            got = [severity(w, theta, t) for t in text_bytes(b.column(1))]
+            got = [severity(w, theta, t, buckets) for t in text_bytes(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64())], ["key", "severity", "p_toxic"])
 
     out = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, severity double, p_toxic double")

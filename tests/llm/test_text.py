@@ -310,11 +310,11 @@ def test_toxicity(spark, empty, make_prose):
 
 
 def test_toxicity_grades_are_the_labels(spark, make_prose):
-    """Documents labelled toxic and of no quality are the upper grade; repeated labels that differ are none."""
+    """Documents labelled toxic and of good quality are the upper grade; repeated labels that differ are none."""
     bad = ["", "scum idiot", "scum idiot vile slayer"]
     rows = [(i, f"{make_prose(i, 40)} {bad[i % 3]}") for i in range(240)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 3 < 2)) for i, _ in rows[:150]] + [(0, 1, 1), (1, 1, None)], "doc_id bigint, toxic int, quality int")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 3 != 1)) for i, _ in rows[:150]] + [(0, 1, 1), (1, 1, None)], "doc_id bigint, toxic int, quality int")
     weights, theta = toxicity.fit(docs, labels)
     got = {r["doc_id"]: r for r in toxicity.score(docs, weights, theta).collect()}
     assert np.mean([got[i]["grade"] == i % 3 for i in range(150, 240)]) > 0.97
