@@ -53,7 +53,7 @@ LEAVE_EVERY = 4
 HOT_BYTES = 4 << 20
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
-_BASE_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BASE_INVERSE = pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -80,6 +80,15 @@ def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(out[: len(out) - (width - done)], out[width - done :]) if done < width else out
 
 
+def _powers(base: int, n: np.ndarray) -> np.ndarray:
+    """base to each power, by squaring."""
+    out = np.ones(len(n), _U)
+    for bit in range(int(n.max(initial=0)).bit_length()):
+        out[(n >> bit & 1) == 1] *= _U(base)
+        base = base * base & 0xFFFFFFFFFFFFFFFF
+    return out
+
+
 def segments(data: np.ndarray, bounds: np.ndarray, seed: int = 0) -> tuple[np.ndarray, ...]:
     """(minimizer, class hash, place, windows, self) of each segment of texts laid end to end; bounds: their starts, and the end.
 
@@ -103,20 +112,21 @@ def segments(data: np.ndarray, bounds: np.ndarray, seed: int = 0) -> tuple[np.nd
         return none.astype(_U), none.astype(_U), none, none, none.astype(bool)
     # a run ends before the next start or where windows stop being valid
     runs = np.add.reduceat(valid.astype(np.int64), start)
-    power = np.full(len(h) + 1, _BASE, _U)
+    power = np.full(len(h), _BASE, _U)
     power[0] = 1
-    power = np.multiply.accumulate(power)
+    np.multiply.accumulate(power, out=power)
     total = np.zeros(len(h) + 1, _U)
-    np.cumsum(h * power[:-1], out=total[1:])
-    inverse = np.full(len(h) + 1, _BASE_INVERSE, _U)
-    inverse[0] = 1
-    inverse = np.multiply.accumulate(inverse)
+    np.cumsum(h * power, out=total[1:])
+    del power
     value = least[start]
-    cls = _mix((total[start + runs + width - 1] - total[start]) * inverse[start] + runs.astype(_U))
+    cls = _mix((total[start + runs + width - 1] - total[start]) * _powers(_BASE_INVERSE, start) + runs.astype(_U))
+    del total
     # places of minima: those equal to the greatest of the window minima around them
-    masked = np.where(valid, least, _U(0))
-    padded = np.concatenate([np.zeros(width - 1, _U), masked, np.zeros(width - 1, _U)])
+    least[~valid] = 0
+    padded = np.concatenate([np.zeros(width - 1, _U), least, np.zeros(width - 1, _U)])
+    del least
     minima = np.flatnonzero(sliding(padded, width, np.maximum) == h)
+    del padded
     lo, hi = np.searchsorted(minima, start), np.searchsorted(minima, start + runs + width - 1)
     of = np.repeat(np.arange(len(start)), hi - lo)
     at = np.arange(len(of)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
