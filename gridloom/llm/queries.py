@@ -18,7 +18,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark, 500)
     out = wrapper_extract.extract(table(spark, sf_dir, "pages"))
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "by_wrapper")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "by_wrapper", "n_template")
 
 
 def op3_pack_dp(spark: SparkSession, sf_dir: str) -> DataFrame:

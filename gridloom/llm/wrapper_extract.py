@@ -14,16 +14,25 @@ when it stands where content stands. Pairs of pages with one text (copies) say n
 out. A host with too little evidence, and a page without its host's slot, fall back to the page's
 article, main part or body.
 
+Nodes more than MAX_DEPTH blocks deep count with the text of their ancestor at that depth; extraction
+reads them all the same. Lists of siblings whose table would exceed TABLE_CELLS are first anchored at
+the nodes that occur once in both and are equal; what lies between two anchors is matched by a table
+again, or, where that is still too large, in order by label. So matching takes time and memory in
+proportion to the pages.
+
 Edge cases: null or empty html gives an empty text; a url without a host groups as host ``''``;
-broken markup is closed as browsers close it; other columns are ignored; repeated rows repeat.
+broken markup is closed as browsers close it, but a medium (video, frame, drawing, list of options) that
+is never closed ends where it begins, so that it hides no text; pages of any length, depth and width are
+read whole; other columns are ignored; repeated rows repeat.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Collection, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -42,6 +51,8 @@ SLOT_SHARE = 0.8
 #: A path is template when matched at least so often and constant in at least this share of matches.
 MIN_MATCHES, CONSTANT_SHARE = 4, 0.9
 MAX_DEPTH = 40
+#: The largest table that aligns two lists of siblings.
+TABLE_CELLS = 40_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*+>", re.DOTALL)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
@@ -50,79 +61,131 @@ _DIGITS = re.compile(r"\d+")
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template iframe svg math select object video audio canvas".split())
+_RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in _RAW}
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-_DROPPED = frozenset("head nav footer aside form button input dialog menu".split()) | _RAW
+#: Media and lists of options: what stands inside is shown only in their place, where they are closed.
+_MEDIA = frozenset("svg select object video audio canvas".split())
+_MEDIA_NEXT = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])", re.IGNORECASE) for tag in _MEDIA}
+_FORMULA = frozenset("math mi mn mo mrow ms mspace mstyle mtext msub msup msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mpadded mphantom menclose semantics".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()) | _FORMULA
+_DROPPED = frozenset("head nav footer aside form button input dialog menu noscript template annotation".split()) | _RAW | _MEDIA
 _ENDS_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: A start tag ends these open elements, up to the given containers.
 _IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 # Words of class, id and role that mark no article.
-_NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|masthead|topbar|cookies?|consent|notices?|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend\w*|comments?|disqus|replies|respond|widget|toolbar|pager|pagination|contentinfo|complementary|alert|dialog)(?:$|[\s_-])", re.IGNORECASE)
+_NOISE = re.compile(r"(?:ads?|advert\w*|sponsor\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|masthead|topbar|cookies?|consent|popup|modal|newsletter|signup|login|comments?|disqus|widget|toolbar|pager|pagination|contentinfo|complementary)")
+# Words that do so alone or beside words of layout, but may name a topic beside others ("related-work").
+_TOPIC = re.compile(r"(?:promo\w*|notices?|overlay|subscribe|search|shar(?:e|ing)|social|related|recommend\w*|replies|respond|alert|dialog)")
+_LAYOUT = re.compile(r"(?:\d*|area|articles?|bar|block|body|bottom|box|buttons?|center|cards?|column|container|content|feed|field|fixed|form|grid|group|head(?:er|ing)?|icons?|info|inner|input|items?|js|left|links?|list|main|media|more|networks?|news|outer|page|panel|posts?|products?|right|row|section|site|stories|story|title|tools?|top|topics?|unit|videos?|wrap(?:per)?)")
+_BETWEEN = re.compile(r"[-_]+")
+
+
+def noisy(marks: str) -> bool:
+    """Whether words of class, id or role mark an element as no article."""
+    for name in marks.lower().split():
+        words = _BETWEEN.split(name)
+        if any(_NOISE.fullmatch(w) for w in words):
+            return True
+        topics = [bool(_TOPIC.fullmatch(w)) for w in words]
+        if any(topics) and all(t or _LAYOUT.fullmatch(w) for t, w in zip(topics, words, strict=True)):
+            return True
+    return False
 
 
 class Node:
-    __slots__ = ("tag", "label", "noise", "children", "text", "up")
+    __slots__ = ("tag", "label", "noise", "children", "text", "up", "depth")
 
     def __init__(self, tag: str, label: str, noise: bool, up: Node | None):
         self.tag, self.label, self.noise, self.up = tag, label, noise, up
+        self.depth: int = up.depth + (tag not in _INLINE) if up else 0  # in blocks
         self.children: list[Node] = []  # elements
         self.text: list[str | Node] = []  # texts and elements in order
 
 
+class _Open:
+    """The element that a parser stands in, with the number of open elements by tag."""
+
+    def __init__(self, root: Node):
+        self.here, self.count = root, defaultdict(int)
+
+    def enter(self, node: Node) -> None:
+        self.here = node
+        self.count[node.tag] += 1
+
+    def leave(self, node: Node) -> None:
+        """Closes elements up to and with the node."""
+        while self.here is not node:
+            self.count[self.here.tag] -= 1
+            self.here = self.here.up
+        self.count[node.tag] -= 1
+        self.here = node.up
+
+    def close(self, tags: Collection[str], through: Callable[[Node], bool], every: bool = False) -> None:
+        """Closes the nearest open element of the tags that is reached through the elements allowed; with every, all of them."""
+        left = sum(self.count[t] for t in tags)
+        node = self.here
+        while left and node.up is not None:
+            up = node.up
+            if node.tag in tags:
+                self.leave(node)
+                left = left - 1 if every else 0
+            elif not through(node):
+                return
+            node = up
+
+
+def _element(tag: str, attributes: str, up: Node) -> Node:
+    label, noise = tag, False
+    if attributes.strip(" /"):
+        attrs = {k.lower(): a or b or c or "" for k, a, b, c in _ATTR.findall(attributes)}
+        marks = " ".join(attrs[k] for k in ("class", "id", "role") if attrs.get(k))
+        label = f"{tag}.{_DIGITS.sub('0', marks).replace('/', '|')}" if marks else tag
+        noise = bool(marks) and noisy(marks) or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
+    node = Node(tag, label, noise, up)
+    up.children.append(node)
+    up.text.append(node)
+    return node
+
+
+def _behind(tag: str, source: str, at: int) -> int:
+    """Where to read on behind the start tag of an element whose content is skipped; -1 at the end of the page."""
+    if tag in _MEDIA:
+        m = _MEDIA_NEXT[tag].search(source, at)
+        if m is None or not m[1]:
+            return at  # never closed
+    else:
+        m = _RAW_END[tag].search(source, at)
+    return source.find(">", m.end()) + 1 or -1 if m else -1
+
+
 def parse(source: str) -> Node:
     """The DOM tree of a page, by one pass over its tags."""
     root = Node("#root", "#root", False, None)
-    here, at = root, 0
+    open_, at = _Open(root), 0
     while m := _TOKEN.search(source, at):
         if m.start() > at:
-            here.text.append(entities.unescape(source[at : m.start()]))
+            open_.here.text.append(entities.unescape(source[at : m.start()]))
         at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
         if m[1]:
-            node = here
-            while node.up is not None and node.tag != tag:
-                node = node.up
-            if node.up is not None:
-                here = node.up
+            open_.close((tag,), lambda node: True)
             continue
         if tag in _ENDS_P:
-            node = here
-            while node.up is not None and (node.tag in _INLINE or node.tag == "p"):
-                if node.tag == "p":
-                    here = node.up
-                    break
-                node = node.up
+            open_.close(("p",), lambda node: node.tag in _INLINE)
         elif tag in _IMPLIED:
             ends, stop = _IMPLIED[tag]
-            node = here
-            while node.up is not None and node.tag not in stop:
-                if node.tag in ends:
-                    here = node.up
-                node = node.up
-        label, noise = tag, False
-        if m[3].strip(" /"):
-            attrs = {k.lower(): a or b or c or "" for k, a, b, c in _ATTR.findall(m[3])}
-            marks = " ".join(attrs[k] for k in ("class", "id", "role") if attrs.get(k))
-            label = f"{tag}.{_DIGITS.sub('0', marks)}" if marks else tag
-            noise = bool(marks and _NOISE.search(marks)) or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
-        node = Node(tag, label, noise, here)
-        here.children.append(node)
-        here.text.append(node)
-        if tag in _VOID or m[3].endswith("/") and tag in ("svg", "math"):
-            continue
-        if tag not in _RAW:
-            here = node
-            continue
-        # its content is no markup: on behind its end tag, or to the end of the page
-        end = _RAW_END[tag].search(source, at)
-        at = source.find(">", end.end()) + 1 if end else 0
-        if not at:
-            return root
+            open_.close(ends, lambda node, stop=stop: node.tag not in stop, every=True)
+        node = _element(tag, m[3], open_.here)
+        if tag in _RAW or tag in _MEDIA:
+            at = _behind(tag, source, at)
+            if at < 0:
+                return root
+        elif tag not in _VOID and not (m[3].endswith("/") and open_.count["math"]):
+            open_.enter(node)
     if at < len(source):
-        here.text.append(entities.unescape(source[at:]))
+        open_.here.text.append(entities.unescape(source[at:]))
     return root
 
 
@@ -140,8 +203,8 @@ def dropped(node: Node) -> bool:
     return True
 
 
-def blocks(node: Node, path: str = "", template: frozenset[str] = frozenset()) -> list[str]:
-    """The texts of the blocks below a node, in page order."""
+def blocks(node: Node, path: str = "", template: frozenset[str] = frozenset(), removed: list[str] | None = None) -> list[str]:
+    """The texts of the blocks below a node, in page order; removed gets the paths of the template nodes left out."""
     out: list[str] = []
     held: list[str] = []
 
@@ -164,9 +227,13 @@ def blocks(node: Node, path: str = "", template: frozenset[str] = frozenset()) -
                 continue
             if dropped(x):
                 continue
-            below = f"{at}/{x.label}"
-            if below in template:
-                continue
+            below = at
+            if template and x.depth <= MAX_DEPTH and x.tag not in _INLINE:
+                below = f"{at}/{x.label}"
+                if below in template:
+                    if removed is not None:
+                        removed.append(below)
+                    continue
             if x.tag not in _INLINE:
                 flush()
             stack.append((iter(x.text), below, x.tag in _INLINE))
@@ -180,14 +247,14 @@ def blocks(node: Node, path: str = "", template: frozenset[str] = frozenset()) -
 
 
 def own_text(node: Node) -> str:
-    """The node's direct text with that of its inline elements, normalised."""
+    """The node's direct text with that of its inline elements, normalised; all its text at MAX_DEPTH."""
     held: list[str] = []
     stack = [iter(node.text)]
     while stack:
         for x in stack[-1]:
             if isinstance(x, str):
                 held.append(x)
-            elif x.tag in _INLINE:
+            elif x.tag in _INLINE or node.depth >= MAX_DEPTH:
                 stack.append(iter(x.text))
                 break
         else:
@@ -197,21 +264,46 @@ def own_text(node: Node) -> str:
 
 def _parts(node: Node) -> list[Node]:
     """Block-level children, which the alignment matches; inline ones belong to their parent's text."""
-    out = []
-    for x in node.children:
-        if x.tag in _INLINE:
-            out += _parts(x)
-        elif x.tag not in _RAW and x.tag not in _VOID:
-            out.append(x)
+    out: list[Node] = []
+    if node.depth >= MAX_DEPTH:
+        return out
+    stack = [iter(node.children)]
+    while stack:
+        for x in stack[-1]:
+            if x.tag in _INLINE:
+                stack.append(iter(x.children))
+                break
+            if x.tag not in _RAW and x.tag not in _MEDIA and x.tag not in _VOID:
+                out.append(x)
+        else:
+            stack.pop()
     return out
 
 
+def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A longest run of pairs, ascending in the first, that ascends in the second as well."""
+    tails: list[int] = []  # the least last second of a run of each length
+    last: list[int] = []  # the pair it belongs to
+    back: list[int] = []
+    for k, (_, j) in enumerate(pairs):
+        n = bisect_left(tails, j)
+        back.append(last[n - 1] if n else -1)
+        tails[n : n + 1] = [j]
+        last[n : n + 1] = [k]
+    out, k = [], last[-1] if last else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = back[k]
+    return out[::-1]
+
+
 class Aligner:
-    """Simple tree matching of two trees."""
+    """Simple tree matching of two trees, without recursion: a page may be deep."""
 
     def __init__(self) -> None:
         self.parts: dict[int, list[Node]] = {}
         self.scores: dict[tuple[int, int], int] = {}
+        self.runs: dict[tuple[int, int], list[tuple[range, range]]] = {}
 
     def below(self, node: Node) -> list[Node]:
         got = self.parts.get(id(node))
@@ -219,6 +311,50 @@ class Aligner:
             got = self.parts[id(node)] = _parts(node)
         return got
 
+    def spans(self, a: Node, b: Node) -> list[tuple[range, range]]:
+        """Spans of two nodes' parts that are aligned with each other, in order: all of both, or where that is too large, anchors and what lies between them."""
+        key = (id(a), id(b))
+        if key not in self.runs:
+            xs, ys = self.below(a), self.below(b)
+            every = [(range(len(xs)), range(len(ys)))]
+            self.runs[key] = every if len(xs) * len(ys) <= TABLE_CELLS else [s for span in self.anchored(xs, ys) for s in self.fitting(xs, ys, *span)]
+        return self.runs[key]
+
+    @staticmethod
+    def anchored(xs: list[Node], ys: list[Node]) -> list[tuple[range, range]]:
+        """Spans of one pair each for nodes that occur once in both lists and are equal, and the spans between them."""
+        where: list[dict] = []
+        for nodes in (xs, ys):
+            at: dict = {}
+            for i, x in enumerate(nodes):
+                mark = (x.label, own_text(x))
+                at[mark] = -1 if mark in at else i
+            where.append(at)
+        pairs = sorted((i, j) for mark, i in where[0].items() if i >= 0 and (j := where[1].get(mark, -1)) >= 0)
+        out, i, j = [], 0, 0
+        for x, y in [*_rising(pairs), (len(xs), len(ys))]:
+            out += [(range(i, x), range(j, y)), (range(x, x + 1), range(y, y + 1))]
+            i, j = x + 1, y + 1
+        return [(p, q) for p, q in out[:-1] if p and q]
+
+    @staticmethod
+    def fitting(xs: list[Node], ys: list[Node], p: range, q: range) -> list[tuple[range, range]]:
+        """The span itself where its table fits, else pairs of one label in order."""
+        if len(p) * len(q) <= TABLE_CELLS:
+            return [(p, q)]
+        places: dict[str, list[int]] = defaultdict(list)
+        for j in q:
+            places[ys[j].label].append(j)
+        out, j = [], q.start
+        for i in p:
+            at = places.get(xs[i].label, [])
+            k = bisect_left(at, j)
+            # a partner far on would leave those between without one
+            if k < len(at) and at[k] - j <= 8 + abs(len(p) - len(q)):
+                out.append((range(i, i + 1), range(at[k], at[k] + 1)))
+                j = at[k] + 1
+        return out
+
     def table(self, xs: list[Node], ys: list[Node]) -> list[list[int]]:
         rows = [[0] * (len(ys) + 1)]
         for x in xs:
@@ -233,35 +369,57 @@ class Aligner:
             rows.append(row)
         return rows
 
+    def known(self, a: Node, b: Node) -> int | None:
+        """The score of two nodes of one label, if it needs no further one."""
+        return self.scores.get((id(a), id(b))) if self.below(a) and self.below(b) else 1
+
     def score(self, a: Node, b: Node) -> int:
         """The size of the largest matching of two nodes of one label that keeps order and descent."""
-        xs, ys = self.below(a), self.below(b)
-        if not xs or not ys:
-            return 1
-        key = (id(a), id(b))
-        if key not in self.scores:
-            self.scores[key] = 1 + self.table(xs, ys)[-1][-1]
-        return self.scores[key]
-
-    def pairs(self, a: Node, b: Node, path: str = "", depth: int = 0) -> Iterator[tuple[str, Node, Node]]:
-        """The matched nodes below two matched ones, with their path."""
-        xs, ys = self.below(a), self.below(b)
-        if not xs or not ys or depth > MAX_DEPTH:
-            return
-        rows = self.table(xs, ys)
-        i, j, found = len(xs), len(ys), []
-        while i and j:
-            if rows[i][j] == rows[i - 1][j]:
-                i -= 1
-            elif rows[i][j] == rows[i][j - 1]:
-                j -= 1
+        stack = [(a, b)]
+        while stack:
+            x, y = stack[-1]
+            if self.known(x, y) is not None:
+                stack.pop()
+                continue
+            xs, ys, spans = self.below(x), self.below(y), self.spans(x, y)
+            missing = [(xs[i], ys[j]) for p, q in spans for i in p for j in q if xs[i].label == ys[j].label and self.known(xs[i], ys[j]) is None]
+            if missing:
+                stack += missing
+                continue
+            self.scores[id(x), id(y)] = 1 + sum(self.table(xs[p.start : p.stop], ys[q.start : q.stop])[-1][-1] for p, q in spans)
+            stack.pop()
+        return self.known(a, b)
+
+    def matched(self, a: Node, b: Node) -> list[tuple[Node, Node]]:
+        """The matched parts of two nodes, in order."""
+        out = []
+        for p, q in self.spans(a, b):
+            xs, ys = self.below(a)[p.start : p.stop], self.below(b)[q.start : q.stop]
+            rows = self.table(xs, ys)
+            i, j, found = len(xs), len(ys), []
+            while i and j:
+                if rows[i][j] == rows[i - 1][j]:
+                    i -= 1
+                elif rows[i][j] == rows[i][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    found.append((xs[i], ys[j]))
+            out += reversed(found)
+        return out
+
+    def pairs(self, a: Node, b: Node) -> Iterator[tuple[str, Node, Node]]:
+        """The matched nodes below two matched ones, with their path, in page order."""
+        stack = [("", iter(self.matched(a, b)))]
+        while stack:
+            path, items = stack[-1]
+            for x, y in items:
+                at = f"{path}/{x.label}"
+                yield at, x, y
+                stack.append((at, iter(self.matched(x, y))))
+                break
             else:
-                i, j = i - 1, j - 1
-                found.append((xs[i], ys[j]))
-        for x, y in reversed(found):
-            at = f"{path}/{x.label}"
-            yield at, x, y
-            yield from self.pairs(x, y, at, depth + 1)
+                stack.pop()
 
 
 class Evidence:
@@ -331,38 +489,6 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found.flush()
 
 
-def wrapper(paths: list[tuple[str, int, int, int]]) -> tuple[str, list[str]]:
-    """(content slot, template paths) from a host's summed evidence; no slot without enough of it."""
-    total: dict[str, int] = defaultdict(int)
-    every = 0
-    for path, _, _, chars in paths:
-        every += chars
-        parts = path.split("/")
-        for i in range(2, len(parts) + 1):
-            total["/".join(parts[:i])] += chars
-    if not every or max(n for _, n, _, _ in paths) < MIN_MATCHES:
-        return "", []
-    leaves = {p for p, _, _, chars in paths if chars}
-    slot = ""
-    for path in sorted(total, key=lambda p: p.count("/")):
-        # a slot holds blocks; a path that has text itself is a block
-        if total[path] >= SLOT_SHARE * every and path not in leaves and path.startswith(slot):
-            slot = path
-    if not slot:
-        return "", []
-    constant = {p for p, n, same, _ in paths if n >= MIN_MATCHES and same >= CONSTANT_SHARE * n}
-    # what varies below a constant heading is no template
-    varying = {p[:i] for p in leaves - constant for i, c in enumerate(p) if c == "/"}
-    whole = _holder_path(slot) or slot
-    return slot, sorted(p for p in constant - varying if p.startswith(whole + "/"))
-
-
-def _holder_path(slot: str) -> str:
-    """The path of the outermost article or main element that holds the slot."""
-    parts = slot.split("/")
-    return next(("/".join(parts[: i + 1]) for i, x in enumerate(parts) if x.split(".")[0] in ("article", "main")), "")
-
-
 def _at(root: Node, slot: str) -> list[Node]:
     found = [root]
     for label in slot.split("/")[1:]:
@@ -385,7 +511,7 @@ def _holders(root: Node) -> tuple[list[Node], Node | None]:
     return held, body
 
 
-def main_text(source: str | None, slot: str = "", template: frozenset[str] = frozenset()) -> str:
+def main_text(source: str | None, slot: str = "", template: frozenset[str] = frozenset(), removed: list[str] | None = None) -> str:
     """The page's main text by its host's wrapper, or by the page itself where that doesn't fit."""
     if not source:
         return ""
@@ -397,7 +523,7 @@ def main_text(source: str | None, slot: str = "", template: frozenset[str] = fro
     if slot:
         places = [x for x in _at(root, slot) if not dropped(x)]
         # the slot must not lie beside or above the page's own article
-        found = [t for x in (_around(places, held) if held else places) for t in blocks(x, _path(x), template)]
+        found = [t for x in (_around(places, held) if held else places) for t in blocks(x, _path(x), template, removed)]
         if found:
             return "\n\n".join(found)
     found = [t for x in held for t in blocks(x)]
@@ -440,28 +566,51 @@ def induce(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     schema = "host string, path string, n bigint, same bigint, chars bigint, html string"
     waiting = named.mapInArrow(_within, schema).repartition("host").sortWithinPartitions("host")
     seen = waiting.mapInArrow(_across, schema).groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("same").alias("same"), F.sum("chars").alias("chars"))
-
-    def choose(table: pa.Table) -> pa.Table:
-        slot, template = wrapper(list(zip(*(table.column(c).to_pylist() for c in ("path", "n", "same", "chars")), strict=True)))
-        return pa.table({"host": table.column("host")[:1], "slot": [slot], "template": pa.array([template], pa.list_(pa.string()))})
-
-    return seen.groupBy("host").applyInArrow(choose, "host string, slot string, template array<string>").filter("slot <> ''")
+    return wrappers(seen)
+
+
+#: The outermost article or main element of a path.
+_HOLDER = r"^((?:/[^/]*)*?/(?:article|main)(?:\.[^/]*)?)(?:/|$)"
+
+
+def wrappers(seen: DataFrame) -> DataFrame:
+    """(host, slot, template) from the hosts' summed evidence (host, path, n, same, chars); no row for a host without enough of it."""
+    seen = checkpointed(seen)
+    depth = lambda path: F.size(F.split(path, "/"))
+    prefixes = F.expr("transform(sequence(2, size(split(path, '/'))), n -> substring_index(path, '/', n))")
+    above = F.expr("transform(sequence(1, size(split(path, '/')) - 1), n -> substring_index(path, '/', n))")
+    holds = seen.filter("chars > 0").select("host", "path", "chars", F.explode(prefixes).alias("p")).groupBy("host", "p").agg(F.sum("chars").alias("total"), F.max(F.col("p") == F.col("path")).alias("leaf"))
+    hosts = seen.groupBy("host").agg(F.sum("chars").alias("every"), F.max("n").alias("most")).filter((F.col("every") > 0) & (F.col("most") >= MIN_MATCHES))
+    # paths that hold so much lie on one line; a slot holds blocks, and a path that has text itself is a block
+    most = holds.join(hosts, "host").filter((F.col("total") >= SLOT_SHARE * F.col("every")) & ~F.col("leaf"))
+    slots = most.groupBy("host").agg(F.max_by("p", depth("p")).alias("slot"))
+    holder = F.regexp_extract("slot", _HOLDER, 1)
+    constant = (F.col("n") >= MIN_MATCHES) & (F.col("same") >= CONSTANT_SHARE * F.col("n"))
+    # what varies below a constant heading is no template
+    varying = seen.filter((F.col("chars") > 0) & ~constant).select("host", F.explode(above).alias("path")).distinct()
+    fixed = seen.filter(constant).join(varying, ["host", "path"], "left_anti").join(slots.withColumn("whole", F.when(holder != "", holder).otherwise(F.col("slot"))), "host")
+    fixed = fixed.filter(F.startswith("path", F.concat("whole", F.lit("/")))).groupBy("host").agg(F.array_sort(F.collect_list("path")).alias("template"))
+    return slots.join(fixed, "host", "left").select("host", "slot", F.coalesce("template", F.array().cast("array<string>")).alias("template"))
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
-    """Per row: key, url, text, by_wrapper (whether its host has a wrapper)."""
-    wrappers = checkpointed(induce(pages, html, url))
-    size = wrappers.agg(F.sum(F.length("host") + F.length("slot") + F.length(F.array_join("template", " ")))).first()[0] or 0
+    """Per row: key, url, text, by_wrapper (whether its host has a wrapper), n_template (the page's nodes that its wrapper left out)."""
+    known = checkpointed(induce(pages, html, url))
+    size = known.agg(F.sum(F.length("host") + F.length("slot") + F.length(F.array_join("template", " ")))).first()[0] or 0
     if size <= BROADCAST_CHARS:  # beyond that, pages and wrappers are joined by a shuffle
-        wrappers = F.broadcast(wrappers)
+        known = F.broadcast(known)
     kind = pages.schema[key].dataType.simpleString()
     named = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"), host_of(F.col(url)).alias("host"))
-    rows = named.join(wrappers, "host", "left").select("key", "url", "html", "slot", "template")
+    rows = named.join(known, "host", "left").select("key", "url", "html", "slot", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             slots, templates = b.column(3).to_pylist(), b.column(4).to_pylist()
-            texts = [main_text(h, s or "", frozenset(t or ())) for h, s, t in zip(b.column(2).to_pylist(), slots, templates, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([s is not None for s in slots])], ["key", "url", "text", "by_wrapper"])
-
-    return rows.mapInArrow(run, f"key {kind}, url string, text string, by_wrapper boolean").withColumnRenamed("key", key)
+            texts, counts = [], []
+            for h, s, t in zip(b.column(2).to_pylist(), slots, templates, strict=True):
+                removed: list[str] = []
+                texts.append(main_text(h, s or "", frozenset(t or ()), removed))
+                counts.append(len(removed))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([s is not None for s in slots]), pa.array(counts, pa.int64())], ["key", "url", "text", "by_wrapper", "n_template"])
+
+    return rows.mapInArrow(run, f"key {kind}, url string, text string, by_wrapper boolean, n_template bigint").withColumnRenamed("key", key)

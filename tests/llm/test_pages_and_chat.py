@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from gridloom.llm import chat_format, wrapper_extract
@@ -67,6 +69,78 @@ def test_raw_elements_end_at_their_end_tag():
     assert wrapper_extract.main_text("<p>a</p>" + "<script>" + "</script " * 20_000) == "a"
 
 
+def test_wide_and_deep_pages(spark):
+    """Thousands of nested or neighbouring elements, open to the end or not, lose no text and end no job."""
+    deep = lambda n: "<div>" * 2000 + f"<p>Deep {n}</p>" + "</div>" * 2000
+    wide = lambda n: "".join(f"<p>{'x' if i % 3 else n} {i}</p>" for i in range(3000))
+    open_ = lambda n, tag: f"<p>Start {n}" + f"<{tag}>" * 2000 + f"Open {n}"
+    page = lambda n, body: f"<html><body><nav>Menu</nav><article><h1>T{n}</h1>{body}</article></body></html>"
+    kinds = [deep, wide, lambda n: open_(n, "font"), lambda n: open_(n, "b"), lambda n: "<li>" * 3000 + f"<div>{n}" + "</i>" * 3000]
+    rows = [(10 * k + i, f"http://k{k}.example.com/", page(i, kind(i))) for k, kind in enumerate(kinds) for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in wrapper_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for i in range(5):
+        assert got[i].split("\n\n") == [f"T{i}", f"Deep {i}"]
+        assert got[10 + i].split("\n\n") == [f"T{i}", *(f"{'x' if j % 3 else i} {j}" for j in range(3000))]
+        assert got[20 + i] == got[30 + i] == f"T{i}\n\nStart {i}Open {i}"
+        assert got[40 + i] == f"T{i}\n\n{i}"
+
+
+def test_media_formulas_and_topics():
+    """What hides no text on a page hides none here."""
+    page = lambda body: wrapper_extract.main_text(f"<html><body><article>{body}<p>End</p></article></body></html>")
+    assert page("<p>a</p><video src=x><p>b</p>") == page("<p>a</p><audio><p>b</p>") == "a\n\nb\n\nEnd"
+    assert page("<p>a</p><video src=x>no video</video><p>b <svg><title>t</title></svg></p><select><option>1</select>") == "a\n\nb\n\nEnd"
+    assert page("<p>x <math><mi>y</mi><mo>=</mo><mn>2</mn></math> z</p>") == "x y=2 z\n\nEnd"
+    assert page('<section class="related-work"><h2>Related work</h2></section>') == "Related work\n\nEnd"
+    assert page('<section class="share-price">p</section><div class="social-history">h</div>') == "p\n\nh\n\nEnd"
+    for marks in ("related", "related-posts", "share-buttons", "social-links", "cookie-notice", "comments-area", "site-search", "ad-slot", "global-nav", "newsletter-signup x"):
+        assert page(f'<div class="{marks}">no</div>') == "End", marks
+
+
+def _best(xs, ys):
+    """The size of the largest matching of two lists of trees, by trying every way."""
+    if not xs or not ys:
+        return 0
+    (a, below), (b, others) = xs[0], ys[0]
+    best = max(_best(xs[1:], ys), _best(xs, ys[1:]))
+    return max(best, 1 + _best(below, others) + _best(xs[1:], ys[1:])) if a == b else best
+
+
+def _source(trees):
+    return "".join(f"<{t}>{_source(below)}</{t}>" for t, below in trees)
+
+
+def test_tree_matching_is_brute_force(monkeypatch):
+    r = random.Random(4)
+    tree = lambda n: [(r.choice(["div", "section"]), tree(n - 1)) for _ in range(r.randint(0, 3 if n else 0))]
+    for _ in range(60):
+        xs, ys = tree(3), tree(3)
+        a, b = wrapper_extract.parse(_source(xs)), wrapper_extract.parse(_source(ys))
+        want = _best(xs, ys)
+        aligner = wrapper_extract.Aligner()
+        assert aligner.score(a, b) == 1 + want and len(list(aligner.pairs(a, b))) == want
+        with monkeypatch.context() as m:  # anchors and pairs in order find no more, and keep order
+            m.setattr(wrapper_extract, "TABLE_CELLS", 4)
+            assert wrapper_extract.Aligner().score(a, b) <= 1 + want
+    long = [wrapper_extract.parse("".join(f"<p>{(i * k) % 701}</p>" for i in range(701))) for k in (1, 1)]
+    assert wrapper_extract.Aligner().score(*long) == 702
+
+
+def test_wrapper_removes_what_a_page_alone_keeps(spark):
+    """On a host without article elements: the page's own markup keeps the repeated parts, its host's wrapper leaves them out."""
+    plain = "<html><body><div class=top><p>Welcome to the site</p></div><div class=text><div class=by><p>By the staff</p></div><div class=story><h2>Story {n}</h2><p>Text {n} goes on.</p></div><div class=end><p>All rights</p></div></div></body></html>"
+    rows = [(i, "http://plain.example.org/", plain.format(n=i)) for i in range(30)]
+    got = wrapper_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    alone = {i: wrapper_extract.main_text(h) for i, _, h in rows}
+    for r in got:
+        n = r["page_id"]
+        assert r["text"] == f"Story {n}\n\nText {n} goes on." and r["by_wrapper"]
+        assert alone[n] == f"Welcome to the site\n\nBy the staff\n\n{r['text']}\n\nAll rights"
+    inside = "<html><body><article><div class=by><p>By the staff</p></div><h1>T{n}</h1><p>Text {n}.</p><p>More {n}.</p></article></body></html>"
+    got = wrapper_extract.extract(spark.createDataFrame([(i, "http://in.example.org/", inside.format(n=i)) for i in range(30)], "page_id bigint, url string, html string")).collect()
+    assert {r["n_template"] for r in got} == {1} and all(r["text"] == f"T{r['page_id']}\n\nText {r['page_id']}.\n\nMore {r['page_id']}." for r in got)
+
+
 def test_simple_tree_matching():
     a = wrapper_extract.parse("<div><p>1</p><ul><li>a<li>b</ul><p>2</p></div>")
     b = wrapper_extract.parse("<div><p>1</p><h2>x</h2><ul><li>a<li>c<li>d</ul></div>")
