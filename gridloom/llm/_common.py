@@ -33,6 +33,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Of a join's rows, the share from which those of one key are spread over several tasks; so at most HOT_SHARE keys are broadcast.
+HOT_SHARE = 5000
+
+
+def spread_join(rows: DataFrame, sums: DataFrame, keys: list[str], count: str, by: str, total: int) -> DataFrame:
+    """rows joined on keys with sums, which has one row a key and in ``count`` at least the key's number of rows.
+
+    A key of more than the HOT_SHARE-th part of ``total`` rows is hot: its rows are dealt over several tasks by
+    a hash of ``by``, and its row of sums goes to each. There are at most HOT_SHARE hot keys (as many as
+    the counts' sum, at most total, allows), and they alone are broadcast.
+    """
+    most = max(1000, total // HOT_SHARE)
+    salts = F.when(F.col(count) > most, F.ceil(F.col(count) / most)).otherwise(1).cast("int")
+    hot = F.broadcast(sums.filter(F.col(count) > most).select(*keys, salts.alias("_salts")))
+    dealt = rows.join(hot, keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
+    return dealt.join(sums.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))), [*keys, "_salt"]).drop("_salt")
+
+
 _BUILT: dict[str, object] = {}
 
 

@@ -12,11 +12,16 @@ Links: a group whose sets fit a task is solved there: pairs not yet connected ar
 sketch, and if the estimate is within ``SLACK`` of the threshold, on full sets. Of a larger group, all
 members are first compared with one pivot, on full sets. Jaccard distance is a metric, so members
 linked to the pivot can link to others only where the triangle inequality allows it, and the rest
-leave. After ``ROUNDS`` pivots what is still large is solved in pairs of blocks. So no link is
-dropped for size, and no task holds more than ``GROUP_SHINGLES`` shingles (or one document).
+leave. Pivots go on while they take a tenth of what is left; after ``ROUNDS`` that don't, what is left
+is solved in pairs of blocks. So no link is dropped for size, and no task holds more than
+``GROUP_SHINGLES`` shingles (or one document), where a document counts for at least
+``DOC_SHINGLES``: that bounds the pairs of short documents as well.
+
+A band, or a node of a component, that many documents share is a hot key: its rows are spread over tasks.
 
 Edge cases: a text without words is linked with nothing; one of fewer words than a shingle has one
-shingle, its whole sequence; a null key has no component and is kept; equal keys share a result.
+shingle, its whole sequence; a very long text is one set, held whole by a task; of equal sets the least
+key stands for all; a null key has no component and is kept; equal keys share a result.
 """
 
 from __future__ import annotations
@@ -30,13 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import checkpointed, text_bytes
+from gridloom.llm._common import checkpointed, spread_join, text_bytes
 from gridloom.llm.graph import components
 
 BANDS, ROWS = 48, 6
 SKETCH_WORDS = 8  # of 64 bits
 SLACK = 0.2
 GROUP_SHINGLES = 4_000_000
+DOC_SHINGLES = 200
 ROUNDS = 4
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _K = BANDS * ROWS
@@ -254,9 +260,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     classes = sig.filter("cls IS NOT NULL AND key IS NOT NULL").groupBy("cls").agg(F.min("key").alias("rep"))
     reps = sig.join(classes.select("cls", F.col("rep").alias("key")), ["cls", "key"], "left_semi").select("key", "n", "bands").dropDuplicates(["key"])
     banded = reps.select("key", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("band", "hub")
-    groups = components(banded.join(hubs, "band").filter("key <> hub").select(F.col("key").alias("u"), F.col("hub").alias("v")))
-    groups = checkpointed(groups.select(F.col("component").alias("g"), F.col("node").alias("key")).join(reps.select("key", "n"), "key"))
+    hubs = checkpointed(banded.groupBy("band").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1"))
+    edges = spread_join(banded, hubs, ["band"], "m", "key", BANDS * sig.count())
+    groups = components(edges.filter("key <> hub").select(F.col("key").alias("u"), F.col("hub").alias("v")))
+    weight = F.greatest("n", F.lit(DOC_SHINGLES)).alias("n")
+    groups = checkpointed(groups.select(F.col("component").alias("g"), F.col("node").alias("key")).join(reps.select("key", weight), "key"))
     large = groups.groupBy("g").agg(F.sum("n").alias("total")).filter(F.col("total") > most).select("g")
     texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     small = groups.join(large, "g", "left_anti")
@@ -264,12 +272,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     members = checkpointed(groups.join(large, "g", "left_semi").select("g", "key", F.lit(None).cast(sig.schema["key"].dataType).alias("root"), "n"))
     if not members.isEmpty():
         sets = checkpointed(_sets(members.join(texts, "key").select("g", "key", "text"), size))
-        links = []
-        for _ in range(rounds):
+        links, left, idle = [], None, 0
+        while idle < rounds:
             some, members = _pivot_round(members, sets, percent, most)
             links.append(some)
-            if members.isEmpty():
+            now = members.agg(F.sum("n")).first()[0] or 0
+            if not now:
                 break
+            idle = 0 if left and now <= 0.9 * left else idle + 1
+            left = now
         dealt = _blocks(members, most).withColumn("g", F.xxhash64("g", "a", "b"))
         links.append(_solved(dealt.join(texts, "key").select("g", "side", "key", "text"), size, percent))
         found = found.union(components(reduce(DataFrame.union, links)))
