@@ -38,7 +38,7 @@ HOT_SHARE = 5000
 
 
 def spread_join(rows: DataFrame, sums: DataFrame, keys: list[str], count: str, by: str, total: int) -> DataFrame:
-    """rows joined on keys with sums, which has one row a key and in ``count`` at least the key's number of rows.
+    """rows joined on keys with sums, which has one row a key and in ``count`` about the key's number of rows.
 
     A key of more than the HOT_SHARE-th part of ``total`` rows is hot: its rows are dealt over several tasks by
     a hash of ``by``, and its row of sums goes to each. There are at most HOT_SHARE hot keys (as many as

@@ -11,7 +11,8 @@ by several hash functions, and the largest count holds. Limits are a share of th
 a floor, so they act alike at every size.
 
 Edge cases: null or empty text has no words and fails the base rules; a null host is the host
-``''``; repeated rows count as one document; a text under 8 words is its own window.
+``''``; repeated rows count as one document; a text under 8 words is its own window; a very long text is
+one row's arrays of words and lines, held whole by a task; a line at a limit stays, one above it goes.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import checkpointed, let
+from gridloom.llm._common import checkpointed, let, spread_join
 
 ODD_WHITE = "[ \\t\\x0B\\f\\r]{2,}|[\\t\\x0B\\f\\r]"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -120,16 +121,16 @@ def measures(text: Column) -> Column:
     return let(_flat(text), lambda f: let(_words(f), lambda w: let(_raw_lines(text), lambda x: of(f, w, x))))
 
 
-def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, doc_share: float = DOC_SHARE) -> DataFrame:
-    """(host, h) of the lines above the limit; docs has host, lines and signs."""
+def frequent_lines(docs: DataFrame, total: int, min_docs: int = MIN_DOCS, doc_share: float = DOC_SHARE) -> DataFrame:
+    """(host, h, rows) of the lines above the limit, with the number of rows that hold them; docs has host, lines and signs, and in all ``total`` lines."""
     most = F.greatest(*[F.count_distinct(F.col("signs")[k]) for k in range(SIGNATURES)])
     signed = docs.filter(F.size("lines") > 0).select("host", "signs", F.array_distinct(F.col("lines.h")).alias("hs"))
     hosts = signed.groupBy("host").agg(most.alias("host_docs"))
     held = signed.select("host", "signs", F.explode("hs").alias("h"))
     # a line above the floor is in more rows than it
-    often = held.groupBy("host", "h").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > min_docs).select("host", "h")
-    seen = held.join(often, ["host", "h"]).groupBy("host", "h").agg(most.alias("docs"))
-    return seen.filter(F.col("docs") > min_docs).join(hosts, "host").filter(F.col("docs") > doc_share * F.col("host_docs")).select("host", "h")
+    often = checkpointed(held.groupBy("host", "h").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > min_docs))
+    seen = spread_join(held, often, ["host", "h"], "rows", "signs", total).groupBy("host", "h", "rows").agg(most.alias("docs"))
+    return seen.filter(F.col("docs") > min_docs).join(hosts, "host").filter(F.col("docs") > doc_share * F.col("host_docs")).select("host", "h", "rows")
 
 
 def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id") -> DataFrame:
@@ -139,7 +140,9 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", key
     # a few numbers a line, read four times below: written once, so that texts are measured once
     row = checkpointed(row.select("key", "host", *[F.col("m")[c].alias(c) for c in (*COUNTS, "lines", "signs")]))
     gone = row.select("key", "host", F.explode("lines").alias("x")).select("key", "host", F.col("x")["h"].alias("h"), F.col("x")["n"].alias("n"))
-    gone = gone.join(frequent_lines(row), ["host", "h"]).groupBy("key").agg(F.sum("n").alias("n_line_words"), F.collect_set("h").alias("gone"))
+    total = row.agg(F.sum(F.size("lines"))).first()[0] or 0
+    # a line may stand several times in a row, so that its rows in ``gone`` exceed the documents that hold it
+    gone = spread_join(gone, checkpointed(frequent_lines(row, total)), ["host", "h"], "rows", "key", total).groupBy("key").agg(F.sum("n").alias("n_line_words"), F.collect_set("h").alias("gone"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     # a null key joins nothing, so its row keeps every line
     out = row.select("key", *COUNTS).join(gone, "key", "left").withColumns({"n_line_words": F.coalesce("n_line_words", F.lit(0)).cast("long"), "base_failed": failed})
