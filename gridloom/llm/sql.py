@@ -51,10 +51,10 @@ QUALITY = rf"""
 WITH docs AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t, {_WORDS.format(text="coalesce(text, '')")} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS raw FROM documents),
 eight AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM docs WHERE len(w) >= 8)),
 again AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS c FROM eight) WHERE c > 1) GROUP BY doc_id),
-lines AS (SELECT doc_id, host, array_to_string(string_split_regex(regexp_replace(lower(x), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '[\x20\x09-\x0D]+'), ' ') AS x FROM (SELECT doc_id, host, unnest(raw) AS x FROM docs)),
-sig AS (SELECT doc_id, min(md5(x)) AS sig FROM lines GROUP BY doc_id),
-hosts AS (SELECT host, count(DISTINCT sig) AS host_docs FROM lines JOIN sig USING (doc_id) GROUP BY host),
-seen AS (SELECT host, x, count(DISTINCT sig) AS docs FROM lines JOIN sig USING (doc_id) GROUP BY host, x),
+normal AS (SELECT doc_id, host, list_transform(raw, lambda x: array_to_string(string_split_regex(regexp_replace(lower(x), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '[\x20\x09-\x0D]+'), ' ')) AS xs FROM docs),
+lines AS (SELECT doc_id, host, md5(array_to_string(xs, chr(10))) AS document, unnest(xs) AS x FROM normal),
+hosts AS (SELECT host, count(DISTINCT document) AS host_docs FROM lines GROUP BY host),
+seen AS (SELECT host, x, count(DISTINCT document) AS docs FROM lines GROUP BY host, x),
 common AS (SELECT host, x FROM seen JOIN hosts USING (host) WHERE docs > {q.MIN_DOCS} AND docs > {q.DOC_SHARE} * host_docs),
 gone AS (SELECT doc_id, CAST(sum(len(string_split(x, ' '))) AS BIGINT) AS n FROM lines JOIN common USING (host, x) GROUP BY doc_id),
 base AS (
