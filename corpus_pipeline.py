@@ -4,6 +4,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 next one's docs. All but the last return the columns of documents. ``run`` writes the stages' tables
 to the shared folder of ``spark.checkpoint.dir`` (below the warehouse where that is unset) and removes
 each table when the next one is written.
+
+Edge cases, of every stage: an empty table gives an empty one; a null doc_id has no verdict, so its rows
+stay, and are packed; rows that share a doc_id are kept or dropped together, and where one of them is
+kept by the quality rules, all are; columns of any other name pass through; texts are read whole.
 """
 
 from __future__ import annotations
@@ -18,30 +22,30 @@ from gridloom.llm._common import shared_folder, small_batches, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that fail the rules or are depleted, and removes boilerplate lines from the others."""
+    """Drops documents that fail the rules or are depleted, and removes boilerplate lines from the others; null and empty texts go, having no words."""
     return quality_rules.pipeline_stage(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least doc_id of each group."""
+    """Keeps the document of least doc_id of each group of near copies (five-word shingles, similarity 0.8 or more); texts without words are no copies and stay."""
     small_batches(spark)
     return near_dedup.pipeline_stage(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops contaminated documents."""
+    """Drops contaminated documents; null and empty texts, and all where the benchmark is empty, stay."""
     small_batches(spark)
     return decontaminate.pipeline_stage(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks personal data in the texts."""
+    """Masks personal data in the texts; a null text stays null."""
     small_batches(spark)
     return pii.mask_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences; a null or empty text is the end token alone."""
     small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
