@@ -32,6 +32,21 @@ def t_cdf(t: np.ndarray, dof: float) -> np.ndarray:
     return np.where(np.asarray(t) > 0, 1 - tail, tail)
 
 
+def t_quantile(p: float, dof: float) -> float:
+    """The t with that share of the distribution below it, by bisection."""
+    lo, hi = -1.0, 1.0
+    while t_cdf(np.array([hi]), dof)[0] < p:
+        hi *= 2
+    while t_cdf(np.array([lo]), dof)[0] > p:
+        lo *= 2
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        if mid in (lo, hi):
+            break
+        lo, hi = (mid, hi) if t_cdf(np.array([mid]), dof)[0] < p else (lo, mid)
+    return (lo + hi) / 2
+
+
 def p_value(t: str | Column, dof: float) -> Column:
     """1 - CDF for t >= 1, CDF below, 0 for zero or what isn't finite."""
 

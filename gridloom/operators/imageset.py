@@ -89,8 +89,8 @@ def vector_to_image(grid: DataFrame, values: list[float], mask: str = "mask") ->
 
 
 def random_samples(df: DataFrame, n: int, seed: int, image: str = "image") -> DataFrame:
-    """n cells of each image, chosen by a seeded hash, so that reruns choose the same."""
-    order = F.xxhash64(F.lit(seed), image, *axes_of(df))
+    """n cells of each image, chosen by a digest of the seed and the cell, so that reruns choose the same."""
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in (image, *axes_of(df))]))
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(image).orderBy(order, *axes_of(df)))).filter(F.col("_r") <= n).drop("_r")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.grid import axes_of, box, faces, scattered
+from gridloom.operators.fronts import travel
 from gridloom.plans.lineage import checkpointed
 
 
@@ -61,10 +62,27 @@ def largest_component(df: DataFrame, level: float = 0.25, min_size: int = 50, v:
 
 
 def label_clusters(df: DataFrame, min_size: int = 1, full: bool = False) -> DataFrame:
-    """(axes, label): components of the cells of at least min_size, numbered by falling size and then scan order."""
+    """(axes, label): components of the cells of at least min_size, numbered by falling size and then scan order.
+
+    Components are numbered within their size, and sizes by the number of larger components: of
+    sizes there are at most the square root of twice the cells.
+    """
     sized = checkpointed(component_sizes(df, full).filter(F.col("size") >= min_size))
-    ranks = sized.select("component", "size").distinct().withColumn("label", F.row_number().over(Window.orderBy(F.desc("size"), "component")))  # one row a component
-    return sized.join(ranks.select("component", "label"), "component").select(*axes_of(df), F.col("label").cast("bigint").alias("label"))
+    comps = sized.groupBy("component", "size").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    by_size = comps.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
+    before = by_size.withColumn("before", F.sum("n").over(Window.orderBy(F.desc("size"))) - F.col("n")).select("size", "before")
+    ranks = _numbered(comps).join(F.broadcast(before), "size").select("component", (F.col("before") + F.col("k")).alias("label"))
+    return sized.join(ranks, "component").select(*axes_of(df), F.col("label").cast("bigint").alias("label"))
+
+
+def _numbered(comps: DataFrame) -> DataFrame:
+    """Adds k, the place from 1 of each component among those of its size, counted along the slowest axis of its name first, so that many small components don't meet in one task."""
+    slow = F.col(f"component.{comps.schema['component'].dataType.fieldNames()[0]}")
+    part = comps.withColumn("_slow", slow)
+    counts = part.groupBy("size", "_slow").agg(F.count(F.lit(1)).alias("_n"))
+    above = counts.withColumn("_above", F.sum("_n").over(Window.partitionBy("size").orderBy("_slow")) - F.col("_n")).drop("_n")
+    own = F.row_number().over(Window.partitionBy("size", "_slow").orderBy("component"))
+    return part.withColumn("_k", own).join(above, ["size", "_slow"]).withColumn("k", F.col("_above") + F.col("_k")).drop("_k", "_above", "_slow")
 
 
 def cluster_statistics(df: DataFrame, level: float, min_size: int = 1, v: str = "v", w: str = "w") -> DataFrame:
@@ -203,22 +221,12 @@ def poisson_diffusion(df: DataFrame, source: str, label: str, rounds: int = 500,
 
 
 def propagate_labels(mask: DataFrame, seeds: DataFrame, rounds: int | None = None, label: str = "label") -> DataFrame:
-    """(axes, label, steps): each mask cell gets the label of the seed nearest by face steps inside the mask, the least label of equals; unreached cells have none.
-
-    Only the front moves: a round scatters the cells that the last one reached.
-    """
+    """(axes, label, steps): each mask cell gets the label of the seed nearest by face steps inside the mask, the least label of equals; cells unreached, or not within ``rounds`` steps, have none."""
     axes = axes_of(mask)
-    cells = checkpointed(mask.select(*axes).distinct())
-    done = checkpointed(seeds.select(*axes, F.col(label).alias("label")).join(cells, axes, "left_semi").groupBy(*axes).agg(F.min("label").alias("label")).withColumn("steps", F.lit(0)))
-    front, k = done, 0
-    while rounds is None or k < rounds:
-        k += 1
-        near = scattered(front.select(*axes, "label"), faces(axes), axes).groupBy(*axes).agg(F.min("label").alias("label"))
-        front = checkpointed(near.join(cells, axes, "left_semi").join(done, axes, "left_anti").withColumn("steps", F.lit(k)))
-        if front.isEmpty():
-            break
-        done = checkpointed(done.unionByName(front))
-    return done
+    cells = mask.select(*axes).distinct().withColumn("s", F.lit(1.0))
+    start = seeds.select(*axes, F.lit(0.0).alias("time"), F.col(label).alias("tag"))
+    got = travel(cells, start, float("inf") if rounds is None else float(rounds))
+    return got.select(*axes, F.col("tag").cast(seeds.schema[label].dataType).alias("label"), F.round("time").cast("int").alias("steps"))
 
 
 def staple(df: DataFrame, raters: int, rounds: int = 20, decision: str = "d", rater: str = "rater", prior: float | None = None) -> tuple[DataFrame, DataFrame]:

@@ -28,18 +28,26 @@ def moments(df: DataFrame, values: str = "values") -> tuple[int, np.ndarray, np.
         raise ValueError(f"{p} columns; at most {MAX_COLUMNS} have their moments on the driver")
 
     def part(batches):
-        total, outer, n = np.zeros(p), np.zeros((p, p)), 0
+        out = np.zeros((p + 2, p))
         for b in batches:
             if len(b):
                 x = np.stack([np.asarray(v, float) for v in b["values"]])
-                total, outer, n = total + x.sum(0), outer + x.T @ x, n + len(x)
-        yield pd.DataFrame({"i": range(-2, p), "row": [[float(n)], total.tolist(), *outer.tolist()]})
-
-    rows = df.select(F.col(values).alias("values")).mapInPandas(part, "i int, row array<double>")
-    by = rows.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
-    got = {(r["i"], r["j"]): r["v"] for r in by.collect()}
-    n = int(got.get((-2, 0), 0))
-    return n, np.array([got.get((-1, j), 0.0) for j in range(p)]), np.array([[got.get((i, j), 0.0) for j in range(p)] for i in range(p)])
+                out[0, 0] += len(x)
+                out[1] += x.sum(0)
+                out[2:] += x.T @ x
+        yield pd.DataFrame({"sums": [out.tobytes()]})
+
+    def together(batches):
+        out = np.zeros((p + 2, p))
+        for b in batches:
+            for s in b["sums"]:
+                out += np.frombuffer(s).reshape(p + 2, p)
+        yield pd.DataFrame({"sums": [out.tobytes()]})
+
+    # one array a partition; sixteen tasks add them up as they stream by, so the driver holds a few at a time
+    rows = df.select(F.col(values).cast("array<double>").alias("values")).mapInPandas(part, "sums binary").repartition(16).mapInPandas(together, "sums binary")
+    out = sum((np.frombuffer(r["sums"]).reshape(p + 2, p) for r in rows.toLocalIterator()), np.zeros((p + 2, p)))
+    return int(out[0, 0]) if p else 0, out[1], out[2:]
 
 
 def covariance(df: DataFrame, values: str = "values") -> tuple[int, np.ndarray, np.ndarray]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,20 +42,26 @@ def binary(df: DataFrame, op: str, a: str = "v", b: str | float = "w", out: str
 def divide_carried(df: DataFrame, a: str = "v", b: str = "w", out: str = "out") -> DataFrame:
     """The quotient; where the divisor isn't positive, that of the cell before in scan order (0 at first).
 
-    The carry runs within rows of the fastest axis by a window; the last quotient of each row, one
-    value a row of the image, is carried to later rows, so no task holds the whole image.
+    The carry runs along the fastest axis by a window; the last quotient of each line is then carried
+    along the next axis, and so on, each level within one line of its axis, so that no task holds more
+    than a line of cells, or of lines.
     """
     from pyspark.sql import Window
 
     axes = axes_of(df)
-    fast, slow = axes[0], axes[1:]
-    q = df.withColumn("_q", F.when(F.col(b) > 0, F.col(a) / F.col(b)))
-    tails = q.filter("_q IS NOT NULL").groupBy(*slow).agg(F.max_by("_q", fast).alias("_tail"))
-    order = list(reversed(slow))
-    rows = q.select(*slow).distinct().join(tails, slow, "left")
-    carried = rows.withColumn("_in", F.last("_tail", ignorenulls=True).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))).drop("_tail")
-    inside = F.last("_q", ignorenulls=True).over(Window.partitionBy(*slow).orderBy(fast))
-    return q.withColumn(out, inside).join(carried, slow).withColumn(out, F.coalesce(out, "_in", F.lit(0.0))).drop("_q", "_in")
+    carried = df.withColumn(out, F.when(F.col(b) > 0, F.col(a) / F.col(b)))
+    tails = carried.select(*axes, F.col(out).alias("_q"))
+    for k, axis in enumerate(axes):
+        rest = axes[k + 1 :]
+        line = Window.partitionBy(*rest).orderBy(axis)
+        if k == 0:
+            carried = carried.withColumn(out, F.last(out, ignorenulls=True).over(line))
+        else:
+            before = F.last("_q", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))
+            into = tails.select(axis, *rest, before.alias("_in"))
+            carried = carried.join(into, [axis, *rest]).withColumn(out, F.coalesce(out, "_in")).drop("_in")
+        tails = tails.groupBy(*rest).agg(F.max_by("_q", F.when(F.col("_q").isNotNull(), F.col(axis))).alias("_q")) if rest else tails
+    return carried.withColumn(out, F.coalesce(out, F.lit(0.0)))
 
 
 def total(df: DataFrame, geometry: Geometry, a: str = "v", b: str = "w") -> DataFrame:
@@ -160,14 +168,26 @@ def coordinate_components(df: DataFrame, geometry: Geometry) -> DataFrame:
     return df.withColumns({f"p{a}": c for a, c in zip(geometry.axes, geometry.physical(), strict=True)})
 
 
+def hashed_uniform(seed: int, *columns: str) -> Column:
+    """A number in (0, 1) from a digest of the columns' values: the same on any partitioning and after a lost task."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") + 0.5) / 2**32
+
+
+def hashed_normal(seed: int, *columns: str) -> Column:
+    """A standard normal number from two hashed uniform ones (Box and Muller)."""
+    return F.sqrt(-2 * F.log(hashed_uniform(2 * seed, *columns))) * F.cos(2 * math.pi * hashed_uniform(2 * seed + 1, *columns))
+
+
 def add_noise(df: DataFrame, kind: str, seed: int, v: str = "v", out: str = "out", sd: float = 1.0, share: float = 0.01, salt: float = 0.0, pepper: float = 1.0) -> DataFrame:
-    """gaussian (additive), salt_and_pepper, shot, speckle or uniform noise, seeded."""
-    x, u = F.col(v), F.rand(seed)
+    """gaussian (additive), salt_and_pepper, shot, speckle or uniform noise, by hashes of the seed and the cell."""
+    x, axes = F.col(v), axes_of(df)
+    u, n = hashed_uniform(seed, *axes), hashed_normal(seed, *axes)
     made = {
-        "gaussian": x + F.randn(seed) * sd,
+        "gaussian": x + n * sd,
         "uniform": x + (u - 0.5) * sd,
-        "speckle": x * (1 + F.randn(seed) * sd),
-        "shot": F.greatest(F.lit(0.0), x + F.randn(seed) * F.sqrt(F.greatest(x, F.lit(0.0)) * sd)),
+        "speckle": x * (1 + n * sd),
+        "shot": F.greatest(F.lit(0.0), x + n * F.sqrt(F.greatest(x, F.lit(0.0)) * sd)),
         "salt_and_pepper": F.when(u < share / 2, F.lit(salt)).when(u < share, F.lit(pepper)).otherwise(x),
     }
     return df.withColumn(out, made[kind])

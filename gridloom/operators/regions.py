@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.grid import Geometry, axes_of, box, faces, scattered
+from gridloom.operators.fronts import travel
 from gridloom.operators.iterative import component_sizes
 from gridloom.operators.label import geometry_measures
 from gridloom.plans.lineage import checkpointed
@@ -26,25 +27,11 @@ def component_features(df: DataFrame, geometry: Geometry, label: str = "label")
     return out.select(*axes, "label", "volume", (F.col("volume") / F.col("perimeter")).alias("perimeter_ratio"), "eccentricity", "elongation")
 
 
-def fast_marching(speed: DataFrame, seeds: DataFrame, stop: float = float("inf"), rounds: int | None = None, v: str = "v") -> DataFrame:
-    """(axes, time): arrival time of a front from the seeds over cells of positive speed, along face steps that cost the mean of the two slownesses.
-
-    Only cells whose time fell in the last round send it on; rounds end when none does.
-    """
+def fast_marching(speed: DataFrame, seeds: DataFrame, stop: float = float("inf"), v: str = "v") -> DataFrame:
+    """(axes, time): arrival time of a front from the seeds over cells of positive speed, along face steps that cost the mean of the two slownesses."""
     axes = axes_of(speed)
-    slow = checkpointed(speed.filter(F.col(v) > 0).select(*axes, (1 / F.col(v)).cast("double").alias("s")))
-    now = checkpointed(slow.join(seeds.select(*axes).distinct(), axes, "left_semi").withColumn("time", F.lit(0.0)))
-    front, k = now, 0
-    while rounds is None or k < rounds:
-        k += 1
-        sent = scattered(front.select(*axes, F.col("s").alias("_s"), F.col("time").alias("_t")), faces(axes), axes)
-        new = sent.join(slow, axes).groupBy(*axes, "s").agg(F.min(F.col("_t") + (F.col("_s") + F.col("s")) / 2).alias("new")).filter(F.col("new") <= stop)
-        better = checkpointed(new.join(now.select(*axes, "time"), axes, "left").filter(F.col("time").isNull() | (F.col("new") < F.col("time") - 1e-12)).select(*axes, "s", F.col("new").alias("time")))
-        if better.isEmpty():
-            break
-        now = checkpointed(now.join(better.select(*axes), axes, "left_anti").unionByName(better))
-        front = better
-    return now.select(*axes, "time")
+    slow = speed.filter(F.col(v) > 0).select(*axes, (1 / F.col(v)).alias("s"))
+    return travel(slow, seeds.select(*axes).distinct().withColumns({"time": F.lit(0.0), "tag": F.lit(0)}), stop).select(*axes, "time")
 
 
 def lesion_fill(df: DataFrame, mask: str, v: str = "v") -> DataFrame:

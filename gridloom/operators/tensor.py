@@ -81,6 +81,25 @@ def reflect(t: str, det: float) -> Column:
     return F.array(x[0], -x[1], -x[2], x[3], x[4], x[5]) if det > 0 else x
 
 
+def from_volumes(df: DataFrame, v: str = "v") -> DataFrame:
+    """(axes, t): tensors of a series of six component volumes, or of seven, whose first is left out."""
+    cells = [a for a in ("x", "y", "z") if a in df.columns]
+    got = df.groupBy(*cells).agg(F.array_sort(F.collect_list(F.struct("t", F.col(v).cast("double").alias("v")))).alias("a"))  # six or seven values
+    return got.select(*cells, F.slice(F.col("a.v"), F.size("a") - 5, 6).alias("t"))
+
+
+def to_volumes(df: DataFrame, t: str = "t") -> DataFrame:
+    """(the other columns, t, v): six component volumes."""
+    rest = [c for c in df.columns if c != t]
+    return df.select(*rest, F.posexplode(t).alias("t", "v")).withColumn("t", F.col("t").cast("bigint"))
+
+
+def valid(df: DataFrame, t: str = "t") -> DataFrame:
+    """Adds valid: whether the tensor is finite and its eigenvalues are positive."""
+    finite = F.forall(t, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return with_eigenvalues(df, t).withColumn("valid", F.coalesce(finite & (F.col("e0") > 0), F.lit(False))).drop("e0", "e1", "e2")
+
+
 def mask(df: DataFrame, m: str, t: str = "t", isotropic: float | None = None) -> DataFrame:
     background = [isotropic or 0.0 if i in (0, 3, 5) else 0.0 for i in range(6)]
     return df.withColumn("out", F.when(F.col(m) > 0, F.col(t)).otherwise(F.array(*map(F.lit, background))))
@@ -142,6 +161,56 @@ def average_log_euclidean(df: DataFrame, by: list[str], t: str = "t") -> DataFra
     return logs.select(*by, exp_tensor(F.array(*[f"_{i}" for i in range(6)])).alias(t))
 
 
+def smooth(df: DataFrame, sigma: float, t: str = "t") -> DataFrame:
+    """Gaussian smoothing of the tensors' logarithms."""
+    from gridloom.grid import axes_of, scattered
+    from gridloom.operators.neighborhood import _kernel
+
+    axes = [a for a in axes_of(df) if a != t]
+    out = df.select(*axes, log_tensor(t).alias("_l"))
+    for a in axes:
+        weights = _kernel(sigma)
+        offsets = [tuple(d if b == a else 0 for b in axes) for d, _ in weights]
+        rows = scattered(out, offsets, axes, {"_k": [w for _, w in weights]})
+        mixed = F.array(*[F.sum(F.col("_l")[i] * F.col("_k")) / F.sum("_k") for i in range(6)])
+        out = rows.groupBy(*axes).agg(mixed.alias("_l"), F.max("_self").alias("_in")).filter("_in").drop("_in")
+    return out.select(*axes, exp_tensor("_l").alias(t))
+
+
+@F.pandas_udf(VECTOR)
+def reorient(tensors: pd.Series, jacobians: pd.Series) -> pd.Series:
+    """Tensors turned so that the principal direction goes where a map's jacobian (row-major) takes it, and the second as near as can be; their eigenvalues stay."""
+    import numpy as np
+
+    w, v = np.linalg.eigh(_matrices(tensors))
+    j = np.stack([np.asarray(x, float) for x in jacobians]).reshape(-1, 3, 3)
+    unit = lambda a: a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
+    first = unit(np.einsum("nij,nj->ni", j, v[:, :, 2]))
+    second = np.einsum("nij,nj->ni", j, v[:, :, 1])
+    second = unit(second - first * np.sum(first * second, 1, keepdims=True))
+    turned = np.stack([np.cross(first, second), second, first], axis=2)
+    return _flat(np.einsum("nij,nj,nkj->nik", turned, w, turned))
+
+
+def rotation_between(a: str, b: str) -> Column:
+    """The rotation (nine numbers, row-major) that turns one vector's direction into another's by the shorter way; opposite ones turn about an axis at right angles."""
+    size = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, q: s + q * q))
+    p, q = [F.col(a)[i] / size(a) for i in range(3)], [F.col(b)[i] / size(b) for i in range(3)]
+    k = [p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0]]
+    c = sum((x * y for x, y in zip(p, q, strict=True)), F.lit(0.0))
+    cross = [[F.lit(0.0), -k[2], k[1]], [k[2], F.lit(0.0), -k[0]], [-k[1], k[0], F.lit(0.0)]]
+    square = lambda i, j: k[i] * k[j] - (k[0] ** 2 + k[1] ** 2 + k[2] ** 2 if i == j else 0)
+    turn = [F.lit(float(i == j)) + cross[i][j] + square(i, j) / (1 + c) for i in range(3) for j in range(3)]
+    # a half turn about the axis across p in the plane of its two smaller entries
+    alone = F.abs(p[0]) < 0.9
+    m = [F.when(alone, 1.0 if i == 0 else 0.0).otherwise(1.0 if i == 1 else 0.0) for i in range(3)]
+    dot = sum((x * y for x, y in zip(m, p, strict=True)), F.lit(0.0))
+    n = [x - dot * y for x, y in zip(m, p, strict=True)]
+    n2 = n[0] ** 2 + n[1] ** 2 + n[2] ** 2
+    half = [2 * n[i] * n[j] / n2 - float(i == j) for i in range(3) for j in range(3)]
+    return F.when(c < -1 + 1e-12, F.array(*half)).otherwise(F.array(*turn))
+
+
 def color(df: DataFrame, t: str = "t") -> DataFrame:
     """r, g, b: |principal direction| times anisotropy times 255, as integers; 0 for diagonal tensors."""
     out = fa(df, t).withColumn("_v", principal_direction(t))

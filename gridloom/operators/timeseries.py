@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.grid import axes_of
 
@@ -86,8 +89,6 @@ def comp_cor(df: DataFrame, components: int = 4, share: float = 0.95, bins: int
     The covariance of time points is T x T, whatever the number of cells: its entries are sums over
     cells, aggregated in Spark; only they reach the driver for the eigenvectors.
     """
-    import numpy as np
-
     cells = _cells(df)
     sd = temporal_sd(df, v)
     lo, hi, n = sd.agg(F.min("sd"), F.max("sd"), F.count("sd")).first()
@@ -157,3 +158,65 @@ def framewise_displacement(params: DataFrame, points: DataFrame) -> DataFrame:
     w = Window.partitionBy("p0", "p1").orderBy("t")
     d = F.sqrt((F.col("x") - F.lag("x").over(w)) ** 2 + (F.col("y") - F.lag("y").over(w)) ** 2)
     return at.withColumn("d", d).groupBy("t").agg(F.coalesce(F.avg("d"), F.lit(0.0)).alias("mean_displacement"), F.coalesce(F.max("d"), F.lit(0.0)).alias("max_displacement"))
+
+
+def residual(df: DataFrame, regressors: DataFrame, names: list[str], v: str = "v") -> DataFrame:
+    """(axes, t, v): each cell's series less its least-squares fit on a constant and regressors (t and the named columns), over the times that the cell has.
+
+    A cell's normal equations are sums over its times, solved in Arrow batches of cells.
+    """
+    cells, n = _cells(df), len(names) + 1
+    rows = df.join(F.broadcast(regressors.select("t", *names)), "t").withColumn("_r", F.array(F.lit(1.0), *[F.col(c).cast("double") for c in names]))  # one row a time point
+    sums = [F.sum(F.col("_r")[i] * F.col("_r")[j]) for i in range(n) for j in range(i, n)] + [F.sum(F.col("_r")[i] * F.col(v)) for i in range(n)]
+    fits = rows.groupBy(*cells).agg(F.array(*sums).alias("_s"))
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def solve(s: pd.Series) -> pd.Series:
+        x = np.stack([np.asarray(r, float) for r in s])
+        m = np.zeros((len(x), n, n))
+        at = np.triu_indices(n)
+        m[:, at[0], at[1]] = m[:, at[1], at[0]] = x[:, : len(at[0])]
+        return pd.Series(list(np.einsum("nij,nj->ni", np.linalg.pinv(m, hermitian=True), x[:, len(at[0]) :])))
+
+    held = fits.select(*cells, solve("_s").alias("_b"))
+    fit = sum((F.col("_b")[i] * F.col("_r")[i] for i in range(n)), F.lit(0.0))
+    return rows.join(held, cells).select(*cells, "t", (F.col(v) - fit).alias("v"))
+
+
+def tissue_confounds(df: DataFrame, label: str = "label", csf: int = 3, wm: int = 1, components: int = 2, v: str = "v") -> DataFrame:
+    """Per t: the global signal and the leading noise components of two tissues' cells (columns csf1.., wm1..)."""
+    whole = df.filter(F.col(label) > 0)
+    out = whole.groupBy("t").agg(F.avg(v).alias("global"))
+    for name, k in (("csf", csf), ("wm", wm)):
+        part = comp_cor(whole.filter(F.col(label) == k).drop(label), components, v=v)
+        out = out.join(part.select("t", *[F.col(f"comp{i + 1}").alias(f"{name}{i + 1}") for i in range(components)]), "t", "left")
+    return out
+
+
+def region_similarity(df: DataFrame, length: int, label: str = "label", v: str = "v", ridge: float = 0.1) -> DataFrame:
+    """(a, b, r): of each pair of labels how far the leading patterns over time of their cells agree, from 0 to 1: the greatest canonical correlation of the two regions' series, regularised.
+
+    Of a region Spark sums the products of times over its cells (length x length numbers); the pairs are
+    solved on the driver. Absent times count as the cell's mean.
+    """
+    from gridloom.operators.models import moments
+
+    cells = _cells(df)
+    use = df.filter(F.col(label) != 0)
+    names = sorted(r[0] for r in use.select(label).distinct().collect())
+    at = F.map_from_entries(F.collect_list(F.struct("t", F.col(v).cast("double"))))
+    series = use.groupBy(label, *cells).agg(at.alias("_m"), F.avg(v).alias("_a"))
+    series = series.select(label, F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(length - 1).cast("bigint")), lambda t: F.coalesce(F.col("_m")[t] - F.col("_a"), F.lit(0.0))).alias("values"))
+    roots = {}
+    for k in names:
+        _, _, outer = moments(series.filter(F.col(label) == k))
+        h = outer @ np.linalg.inv(outer + ridge * max(np.trace(outer), 1e-300) / length * np.eye(length))
+        w, q = np.linalg.eigh((h + h.T) / 2)
+        roots[k] = (q * np.sqrt(np.maximum(w, 0))) @ q.T
+    rows = [(int(a), int(b), float(np.linalg.norm(roots[a] @ roots[b], 2))) for i, a in enumerate(names) for b in names[i + 1 :]]
+    return df.sparkSession.createDataFrame(rows, "a bigint, b bigint, r double")
+
+
+def volumes(df: DataFrame) -> DataFrame:
+    """n: the number of volumes."""
+    return df.agg(F.count_distinct("t").alias("n"))

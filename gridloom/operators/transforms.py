@@ -101,6 +101,187 @@ def warp(image: DataFrame, grid: DataFrame, positions: dict[str, Column], outsid
     return grid.select(*axes).join(got, axes, "left").select(*axes, F.coalesce("v", F.lit(float(outside))).alias("v"))
 
 
+def warp_values(image: DataFrame, grid: DataFrame, positions: dict[str, Column], values: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """Several columns of an image (vectors, tensors' components) read linearly at a position of each grid cell, for each value of ``by`` (a time); 0 outside."""
+    axes = axes_of(grid)
+    base = grid.select(*axes, *[positions[a].alias(f"_p{a}") for a in axes])
+    parts = []
+    for k in range(2 ** len(axes)):
+        weight, index = F.lit(1.0), []
+        for i, a in enumerate(axes):
+            f = F.col(f"_p{a}") - F.floor(f"_p{a}")
+            weight = weight * (f if k >> i & 1 else 1 - f)
+            index.append((F.floor(f"_p{a}") + (k >> i & 1)).cast("bigint").alias(f"_{a}"))
+        parts.append(F.struct(weight.alias("w"), *index))
+    rows = base.withColumn("_c", F.explode(F.array(*parts))).select(*axes, "_c.*").filter("w > 0")
+    there = image.select(*[F.col(a).alias(f"_{a}") for a in axes], *by, *[F.col(v).cast("double").alias(v) for v in values])
+    got = rows.join(there, [f"_{a}" for a in axes]).groupBy(*axes, *by).agg(*[F.sum(F.col("w") * F.col(v)).alias(v) for v in values])
+    cells = grid.select(*axes)
+    if by:
+        cells = cells.crossJoin(F.broadcast(image.select(*by).distinct()))  # the points of time
+    return cells.join(got, [*axes, *by], "left").select(*axes, *by, *[F.coalesce(v, F.lit(0.0)).alias(v) for v in values])
+
+
+def warp_series(series: DataFrame, grid: DataFrame, m: Matrix, v: str = "v") -> DataFrame:
+    """Each volume of a series through one map."""
+    axes = axes_of(grid)
+    return warp_values(series, grid, dict(zip(axes, affine([F.col(a).cast("double") for a in axes], m), strict=True)), [v], ("t",))
+
+
+def warp_tensors(image: DataFrame, grid: DataFrame, m: Matrix, t: str = "t") -> DataFrame:
+    """Tensors through an affine map: their logarithms are read linearly, and the tensors turned by the inverse map's rotation; outside they are the identity."""
+    from gridloom.operators import tensor
+
+    axes = axes_of(grid)
+    logs = image.select(*axes, tensor.log_tensor(t).alias("_l")).select(*axes, *[F.col("_l")[i].alias(f"l{i}") for i in range(6)])
+    got = warp_values(logs, grid, dict(zip(axes, affine([F.col(a).cast("double") for a in axes], m), strict=True)), [f"l{i}" for i in range(6)])
+    n = len(axes)
+    turn = np.eye(3)
+    turn[:n, :n] = polar(np.linalg.inv(np.asarray(m, float)[:, :n]))[0]
+    out = got.select(*axes, tensor.exp_tensor(F.array(*[f"l{i}" for i in range(6)])).alias(t))
+    return tensor.rotate(out, turn.tolist(), t).select(*axes, F.col("out").alias(t))
+
+
+def positions(grid: DataFrame, stack: list[Matrix | DataFrame]) -> DataFrame:
+    """(axes, p<axis>): where each cell goes by a stack of affine maps and displacement fields, the last one first."""
+    from gridloom.plans.lineage import checkpointed
+
+    axes = axes_of(grid)
+    now = grid.select(*axes, *[F.col(a).cast("double").alias(f"p{a}") for a in axes])
+    for t in reversed(stack):
+        if isinstance(t, DataFrame):
+            held = checkpointed(now)
+            read = warp_values(t, held, {a: F.col(f"p{a}") for a in axes}, [f"u{a}" for a in axes])
+            now = held.join(read, axes).select(*axes, *[(F.col(f"p{a}") + F.col(f"u{a}")).alias(f"p{a}") for a in axes])
+        else:
+            now = now.select(*axes, *[q.alias(f"p{a}") for a, q in zip(axes, affine([F.col(f"p{a}") for a in axes], t), strict=True)])
+    return now
+
+
+def field_of(grid: DataFrame, stack: list[Matrix | DataFrame]) -> DataFrame:
+    """The dense displacement field of a stack."""
+    axes = axes_of(grid)
+    return positions(grid, stack).select(*axes, *[(F.col(f"p{a}") - F.col(a)).alias(f"u{a}") for a in axes])
+
+
+def polar(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rotation nearest to a matrix and the stretch left: a = rotation @ stretch."""
+    r = wahba(a)
+    return r, r.T @ a
+
+
+def average_no_rigid(maps: list[Matrix], weights: list[float] | None = None) -> Matrix:
+    """The weighted mean of the maps' stretches alone, without their rotations and shifts."""
+    w = np.asarray(weights or [1.0] * len(maps))
+    n = len(maps[0])
+    stretch = np.tensordot(w / w.sum(), np.array([polar(np.asarray(m, float)[:, :n])[1] for m in maps]), 1)
+    return np.hstack([stretch, np.zeros((n, 1))]).tolist()
+
+
+def describe(m: Matrix) -> dict[str, float]:
+    """A map's determinant, turn in degrees (2-D), scale of volume and shift length."""
+    a = np.asarray(m, float)
+    n = len(a)
+    r, s = polar(a[:, :n])
+    out = {"determinant": float(np.linalg.det(a[:, :n])), "shift": float(np.linalg.norm(a[:, n])), "stretch": float(np.abs(np.linalg.det(s)) ** (1 / n))}
+    return out | ({"degrees": float(np.degrees(np.arctan2(r[1, 0], r[0, 0])))} if n == 2 else {})
+
+
+def difference(a: Matrix, b: Matrix, points: DataFrame, p: tuple[str, ...] = ("px", "py")) -> DataFrame:
+    """How far two maps take points apart: mean and max."""
+    x, y = affine([F.col(c) for c in p], a), affine([F.col(c) for c in p], b)
+    d = F.sqrt(sum(((u - v) ** 2 for u, v in zip(x, y, strict=True)), F.lit(0.0)))
+    return points.agg(F.avg(d).alias("mean"), F.max(d).alias("max"))
+
+
+def make_field(parts: list[DataFrame], still_border: bool = False) -> DataFrame:
+    """A displacement field of component images (axes, v); still_border: 0 on the image's border."""
+    axes = axes_of(parts[0])
+    out = parts[0].select(*axes)
+    for a, part in zip(axes, parts, strict=True):
+        out = out.join(part.select(*axes, F.col("v").cast("double").alias(f"u{a}")), axes)
+    return border_still(out) if still_border else out
+
+
+def border_still(field: DataFrame) -> DataFrame:
+    axes = axes_of(field)
+    ends = field.agg(*[f(a).alias(f"_{n}{a}") for a in axes for n, f in (("lo", F.min), ("hi", F.max))])
+    edge = F.lit(False)
+    for a in axes:
+        edge = edge | (F.col(a) == F.col(f"_lo{a}")) | (F.col(a) == F.col(f"_hi{a}"))
+    return field.crossJoin(F.broadcast(ends)).select(*axes, *[F.when(edge, 0.0).otherwise(F.col(f"u{a}")).alias(f"u{a}") for a in axes])
+
+
+def smooth_field(field: DataFrame, sigma: float) -> DataFrame:
+    """Gaussian smoothing of each component, the border still."""
+    from gridloom.operators.neighborhood import gaussian
+
+    axes = axes_of(field)
+    out = field.select(*axes)
+    for a in axes:
+        out = out.join(gaussian(field.select(*axes, F.col(f"u{a}").alias("v")), sigma).withColumnRenamed("v", f"u{a}"), axes)
+    return border_still(out)
+
+
+def simulate_field(grid: DataFrame, seed: int, sd: float = 1.0, spans: int = 4, kind: str = "bspline", smoothing: float = 4.0) -> DataFrame:
+    """A random field whose border is still: the spline of hashed normal moves, or the exponential of smoothed ones."""
+    from gridloom.operators import spline
+    from gridloom.operators.pixel import hashed_normal
+
+    axes = axes_of(grid)
+    raw = grid.select(*axes, *[(hashed_normal(seed + i, *axes) * sd).alias(f"u{a}") for i, a in enumerate(axes)])
+    return spline.smooth_field(raw, spans, still=True) if kind == "bspline" else exponential(smooth_field(raw, smoothing), 3)
+
+
+def geometric_jacobian(field: DataFrame) -> DataFrame:
+    """(x, y, v): the area that the square from each cell to its next neighbours has after a 2-D field, by its corners; cells without all three have no row."""
+    p = field.select("x", "y", (F.col("x") + F.col("ux")).alias("_x"), (F.col("y") + F.col("uy")).alias("_y"))
+    from gridloom.grid import scattered
+
+    corners = [(0, 0), (1, 0), (1, 1), (0, 1)]
+    rows = scattered(p, corners, ["x", "y"], {"_k": [0, 1, 2, 3]}).groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("_k", "_x", "_y"))).alias("c")).filter(F.size("c") == 4)
+    x, y = (lambda i: F.col("c")[i % 4]["_x"]), (lambda i: F.col("c")[i % 4]["_y"])
+    area = sum((x(i) * y(i + 1) - x(i + 1) * y(i) for i in range(4)), F.lit(0.0)) / 2
+    return rows.select("x", "y", area.alias("v"))
+
+
+def keep_direction(field: DataFrame, vectors: DataFrame) -> DataFrame:
+    """2-D vectors (axes, a, b) turned as a field's jacobian turns them, with their length."""
+    out = vectors
+    for u in ("ux", "uy"):
+        d = central_differences(field.select("x", "y", F.col(u).alias("v")))
+        out = out.join(d.select("x", "y", F.col("gx").alias(f"{u}_x"), F.col("gy").alias(f"{u}_y")), ["x", "y"])
+    p, q = (1 + F.col("ux_x")) * F.col("a") + F.col("ux_y") * F.col("b"), F.col("uy_x") * F.col("a") + (1 + F.col("uy_y")) * F.col("b")
+    size, now = F.sqrt(F.col("a") ** 2 + F.col("b") ** 2), F.sqrt(p**2 + q**2)
+    k = F.when(now > 0, size / now).otherwise(0.0)
+    return out.select("x", "y", (p * k).alias("a"), (q * k).alias("b"))
+
+
+def integrate_velocity(fields: list[DataFrame], grid: DataFrame, steps: int = 4) -> DataFrame:
+    """The displacement after unit time along velocity fields at evenly spaced times, linear between them, in equal steps."""
+    from gridloom.plans.lineage import checkpointed
+
+    axes = axes_of(grid)
+    now = grid.select(*axes, *[F.lit(0.0).alias(f"u{a}") for a in axes])
+    for s in range(steps):
+        t = (s + 0.5) / steps * (len(fields) - 1)
+        k = min(int(t), max(0, len(fields) - 2))
+        f = t - k
+        here = fields[k].select(*axes, *[(F.col(f"u{a}") * ((1 - f) / steps)).alias(f"u{a}") for a in axes])
+        if len(fields) > 1 and f > 0:
+            other = fields[k + 1].select(*axes, *[(F.col(f"u{a}") * (f / steps)).alias(f"_{a}") for a in axes])
+            here = here.join(other, axes).select(*axes, *[(F.col(f"u{a}") + F.col(f"_{a}")).alias(f"u{a}") for a in axes])
+        now = checkpointed(compose_fields(now, here))
+    return now
+
+
+def rotate_directions(directions: DataFrame, maps: DataFrame) -> DataFrame:
+    """Gradient directions (t, dx, dy, dz) turned by the rotation r (nine numbers) of the motion at their time."""
+    b = ("dx", "dy", "dz")
+    turned = [sum((F.col("r")[3 * i + j] * F.col(c) for j, c in enumerate(b)), F.lit(0.0)) for i in range(3)]
+    return directions.join(maps.select("t", "r"), "t").select("t", *[v.alias(c) for v, c in zip(turned, b, strict=True)])
+
+
 def warp_affine(image: DataFrame, grid: DataFrame, m: Matrix) -> DataFrame:
     axes = axes_of(grid)
     return warp(image, grid, dict(zip(axes, affine([F.col(a).cast("double") for a in axes], m), strict=True)))
@@ -134,7 +315,7 @@ def inverse_error(forward: DataFrame, backward: DataFrame) -> DataFrame:
 
 
 def lipschitz(field: DataFrame, reach: int = 1) -> DataFrame:
-    """Per cell the greatest |u(p) - u(q)| / |p - q| over cells within ``reach``; their maximum over touching cells bounds every pair's ratio along grid paths, so no pair of far cells is compared."""
+    """Per cell the greatest |u(p) - u(q)| / |p - q| over cells within ``reach``; lipschitz_all takes every other cell."""
     from gridloom.grid import box, scattered
 
     axes = axes_of(field)
@@ -145,6 +326,42 @@ def lipschitz(field: DataFrame, reach: int = 1) -> DataFrame:
     return field.join(near, axes).groupBy(*axes).agg(F.max(d).alias("v"))
 
 
+def lipschitz_all(field: DataFrame, side: int = 32) -> DataFrame:
+    """Per cell the greatest |u(p) - u(q)| / |p - q| over all other cells.
+
+    Cells are dealt into tiles. A tile's box of places and box of values bound its ratio to any cell, so a
+    cell is compared with the cells of touching tiles, and of a further tile only where that bound
+    exceeds what the cell has found so far; tiles are solved pair by pair, never all pairs at once.
+    """
+    from gridloom.plans.lineage import checkpointed
+
+    axes = axes_of(field)
+    u, t = [f"u{a}" for a in axes], [f"_t{a}" for a in axes]
+    cells = checkpointed(field.select(*axes, *u, *[F.floor(F.col(a) / side).cast("bigint").alias(n) for a, n in zip(axes, t, strict=True)]))
+    ends = [f(c).alias(f"{n}{c}") for c in (*axes, *u) for n, f in (("lo_", F.min), ("hi_", F.max))]
+    boxes = cells.groupBy(*t).agg(*ends)
+    d = lambda a, b: F.sqrt(sum(((F.col(x) - F.col(y)) ** 2 for x, y in zip(a, b, strict=True)), F.lit(0.0)))
+    pair = cells.select(*[F.col(c).alias(f"q_{c}") for c in (*axes, *u, *t)])
+    ratio = F.when(d(axes, [f"q_{a}" for a in axes]) > 0, d(u, [f"q_{c}" for c in u]) / d(axes, [f"q_{a}" for a in axes])).otherwise(0.0)
+    offsets = [()]
+    for _ in axes:
+        offsets = [(*o, k) for o in offsets for k in (-1, 0, 1)]
+    reach = F.explode(F.array(*[F.struct(*[(F.col(n) + k).alias(f"q_{n}") for n, k in zip(t, o, strict=True)]) for o in offsets]))
+    near = cells.withColumn("_o", reach).select(*axes, *u, *t, "_o.*").join(pair, [f"q_{n}" for n in t])
+    found = checkpointed(near.groupBy(*axes, *u, *t).agg(F.max(ratio).alias("v")))
+    # what a further tile could give at most: the farthest value over the nearest place
+    gap = lambda c: F.greatest(F.col(f"lo_{c}") - F.col(c), F.col(c) - F.col(f"hi_{c}"), F.lit(0.0))
+    span = lambda c: F.greatest(F.abs(F.col(f"hi_{c}") - F.col(c)), F.abs(F.col(c) - F.col(f"lo_{c}")))
+    bound = F.sqrt(sum((span(c) ** 2 for c in u), F.lit(0.0))) / F.sqrt(sum((gap(a) ** 2 for a in axes), F.lit(0.0)))
+    far = F.lit(False)
+    for n in t:
+        far = far | (F.abs(F.col(n) - F.col(f"q_{n}")) > 1)
+    other = boxes.select(*[F.col(n).alias(f"q_{n}") for n in t], *[c for c in boxes.columns if c not in t])
+    ask = found.join(F.broadcast(other), far & (bound > F.col("v")))  # one row a tile
+    more = ask.select(*axes, *u, *[f"q_{n}" for n in t]).join(pair, [f"q_{n}" for n in t]).groupBy(*axes).agg(F.max(ratio).alias("_m"))
+    return found.select(*axes, "v").join(more, axes, "left").select(*axes, F.greatest("v", F.coalesce("_m", F.lit(0.0))).alias("v"))
+
+
 def reflection(df: DataFrame, axis: str) -> DataFrame:
     """The map that mirrors an axis at the image's centre of mass: one row of matrix entries a, b, cx, c, d, cy."""
     m = df.agg((F.sum(F.col(axis) * F.col("v")) / F.sum("v")).alias("c"))

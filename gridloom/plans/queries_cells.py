@@ -246,12 +246,18 @@ def _(spark, sf):
     return label.similarity(fx.part_image(spark, sf))
 
 
-@add("otsu_threshold", "x y out", "", None)
+_OT = f"{P}, s AS (SELECT min(v) AS lo, max(v) AS hi FROM img), h AS (SELECT CAST(least(floor((v - lo) / (hi - lo) * 200), 199) AS INT) AS k, count(*) AS n, sum(v) AS t FROM img, s GROUP BY 1), c AS (SELECT j, coalesce(sum(n) FILTER (k < j), 0) AS n, coalesce(sum(t) FILTER (k < j), 0) AS t FROM range(201) b(j), h GROUP BY j), g AS (SELECT a.j AS i, b.j AS j, a.t * a.t / a.n + pow(b.t - a.t, 2) / (b.n - a.n) + pow(z.t - b.t, 2) / (z.n - b.n) AS gain FROM c a, c b, c z WHERE z.j = 200 AND a.j < b.j AND b.j < 200 AND a.n > 0 AND b.n > a.n AND z.n > b.n), m AS (SELECT i, j FROM g ORDER BY gain DESC LIMIT 1)"
+
+
+@add("otsu_threshold", "x y out", "", f"{_OT} :: SELECT x, y, 1 + CAST(v >= lo + i * (hi - lo) / 200 AS BIGINT) + CAST(v >= lo + j * (hi - lo) / 200 AS BIGINT) AS out FROM img, s, m")
 def _(spark, sf):
     return label.otsu(fx.part_image(spark, sf), 2)
 
 
-@add("kmeans_threshold", "x y out", "", None)
+_KM = f"RECURSIVE {P}, s AS (SELECT min(v) AS lo, max(v) AS hi FROM img), r(a, b, c, k) AS (SELECT lo + (hi - lo) / 4, lo + (hi - lo) * 2 / 4, lo + (hi - lo) * 3 / 4, 0 FROM s UNION ALL SELECT coalesce(avg(v) FILTER (v <= (a + b) / 2), any_value(a)), coalesce(avg(v) FILTER (v > (a + b) / 2 AND v <= (b + c) / 2), any_value(b)), coalesce(avg(v) FILTER (v > (b + c) / 2), any_value(c)), any_value(k) + 1 FROM img, r WHERE k < 200 GROUP BY k), m AS (SELECT a, b, c FROM r WHERE k = 200)"
+
+
+@add("kmeans_threshold", "x y out", "", f"{_KM} :: SELECT x, y, CAST(1 + CAST(v > (a + b) / 2 AS INT) + CAST(v > (b + c) / 2 AS INT) AS BIGINT) AS out FROM img, m")
 def _(spark, sf):
     return label.kmeans(fx.part_image(spark, sf), 3)[0]
 
@@ -414,9 +420,17 @@ def _(spark, sf):
     return layout.extract_slice(fx.part_image(spark, sf), "y", 2)
 
 
-@add("pad_image", "x y", "v", f"{P}, g AS (SELECT i % 54 AS x, i // 54 AS y FROM range(54 * 8) t(i)) :: SELECT g.x, g.y, coalesce(v, -1) AS v FROM g LEFT JOIN img ON img.x + 2 = g.x AND img.y + 2 = g.y AND img.y < 4")
+_H = "h AS (SELECT max(y) + 1 AS h FROM img)"
+
+
+def _height(df) -> int:
+    return df.agg(F.max("y")).first()[0] + 1
+
+
+@add("pad_image", "x y", "v", f"{P}, {_H}, g AS (SELECT x, unnest(range(h + 4)) AS y FROM range(54) t(x), h) :: SELECT g.x, g.y, coalesce(v, -1) AS v FROM g LEFT JOIN img ON img.x + 2 = g.x AND img.y + 2 = g.y")
 def _(spark, sf):
-    return layout.pad(fx.part_image(spark, sf).filter("y < 4").select("x", "y", "v"), {"x": 50, "y": 4}, 2, -1.0)
+    a = fx.part_image(spark, sf).select("x", "y", "v")
+    return layout.pad(a, {"x": 50, "y": _height(a)}, 2, -1.0)
 
 
 @add("permute_flip_axes", "x y", "v", f"{P} :: SELECT y AS x, 49 - x AS y, v FROM img")
@@ -456,9 +470,9 @@ def _(spark, sf):
     return layout.tile(fx.embed_set(spark, sf), "image", 10, (8, 8))
 
 
-@add("slice_mosaic", "x y", "v", f"{fx.EMBED_SQL} :: SELECT x + (image % 4) * 8 AS x, y + (image // 4) * 8 AS y, v FROM eset WHERE image < 12")
+@add("slice_mosaic", "x y", "v", f"{fx.EMBED_SQL} :: SELECT x + (image % 4) * 8 AS x, y + (image // 4) * 8 AS y, v FROM eset")
 def _(spark, sf):
-    return layout.mosaic(fx.embed_set(spark, sf).filter("image < 12").select("x", "y", F.col("image").alias("z"), "v"), "z", 4, (8, 8))
+    return layout.mosaic(fx.embed_set(spark, sf).select("x", "y", F.col("image").alias("z"), "v"), "z", 4, (8, 8))
 
 
 @add("center_image", "x y", "v", f"{P}, c AS (SELECT CAST(round(sum(x * w) / sum(w)) AS BIGINT) AS cx, CAST(round(sum(y * w) / sum(w)) AS BIGINT) AS cy FROM img) :: SELECT a.x, a.y, coalesce(b.w, 0) AS v FROM img a CROSS JOIN c LEFT JOIN img b ON b.x - cx + 20 = a.x AND b.y - cy + 1 = a.y")
@@ -472,17 +486,19 @@ def _(spark, sf):
     return layout.warped_grid(fx.part_image(spark, sf), 10)
 
 
-_RS = f"{P}, g AS (SELECT i % 99 AS x, i // 99 AS y FROM range(99 * 4) t(i)), k AS (SELECT *, x * 49.0 / 98 AS px FROM g), f AS (SELECT *, CAST(floor(px) AS BIGINT) AS lo, px - floor(px) AS f FROM k)"
+_RS = f"{P}, {_H}, g AS (SELECT x, unnest(range(h)) AS y FROM range(99) t(x), h), k AS (SELECT *, x * 49.0 / 98 AS px FROM g), f AS (SELECT *, CAST(floor(px) AS BIGINT) AS lo, px - floor(px) AS f FROM k)"
 
 
 @add("resample_linear", "x y", "v", f"{_RS} :: SELECT f.x, f.y, a.v * (1 - f.f) + coalesce(b.v, 0) * f.f AS v FROM f JOIN img a ON a.x = lo AND a.y = f.y LEFT JOIN img b ON b.x = lo + 1 AND b.y = f.y")
 def _(spark, sf):
-    return layout.resample(fx.part_image(spark, sf).filter("y < 4").select("x", "y", "v"), {"x": 50, "y": 4}, {"x": 99, "y": 4})
+    a = fx.part_image(spark, sf).select("x", "y", "v")
+    return layout.resample(a, {"x": 50, "y": _height(a)}, {"x": 99, "y": _height(a)})
 
 
 @add("resample_nearest", "x y", "v", f"{_RS} :: SELECT f.x, f.y, a.v FROM f JOIN img a ON a.x = CAST(floor(px + 0.5) AS BIGINT) AND a.y = f.y")
 def _(spark, sf):
-    return layout.resample(fx.part_image(spark, sf).filter("y < 4").select("x", "y", "v"), {"x": 50, "y": 4}, {"x": 99, "y": 4}, linear=False)
+    a = fx.part_image(spark, sf).select("x", "y", "v")
+    return layout.resample(a, {"x": 50, "y": _height(a)}, {"x": 99, "y": _height(a)}, linear=False)
 
 
 # Iterative.
@@ -533,7 +549,19 @@ def _(spark, sf):
     return iterative.signed_distance(fx.part_image(spark, sf).withColumn("v", (F.col("w") >= 30).cast("double")))
 
 
-@add("perona_malik", "x y", "v", None)
+def _near(table: str, out: str, value: str) -> str:
+    """SQL of a table made from each cell's four face neighbours in another: l, r, u and d are their values, null outside."""
+    return f"{out} AS (SELECT *, {value} AS new FROM (SELECT *, lag(v) OVER wx AS l, lead(v) OVER wx AS r, lag(v) OVER wy AS u, lead(v) OVER wy AS d FROM {table} WINDOW wx AS (PARTITION BY y ORDER BY x), wy AS (PARTITION BY x ORDER BY y)))"
+
+
+_FLUX = " + ".join(f"coalesce({n} - v, 0) * exp(-pow(coalesce({n} - v, 0), 2) / (2 * 0.0625 * greatest(g, 1e-12)))" for n in "lrud")
+_PM = ", ".join(
+    f"n{k} AS (SELECT *, coalesce(lag(v) OVER wx, v) AS l, coalesce(lead(v) OVER wx, v) AS r, coalesce(lag(v) OVER wy, v) AS u, coalesce(lead(v) OVER wy, v) AS d FROM {'img' if k == 1 else f'p{k - 1}'} WINDOW wx AS (PARTITION BY y ORDER BY x), wy AS (PARTITION BY x ORDER BY y)), g{k} AS (SELECT avg((pow(l - v, 2) + pow(r - v, 2) + pow(u - v, 2) + pow(d - v, 2)) / 4) AS g FROM n{k}), p{k} AS (SELECT x, y, v + 0.05 * ({_FLUX}) AS v FROM n{k}, g{k})"
+    for k in (1, 2)
+)
+
+
+@add("perona_malik", "x y", "v", f"{P}, {_PM} :: SELECT x, y, v FROM p2")
 def _(spark, sf):
     return iterative.perona_malik(fx.part_image(spark, sf), 2)
 
@@ -546,12 +574,19 @@ def _(spark, sf):
     return iterative.inpaint(fx.part_image(spark, sf).withColumn("v", F.when(F.col("w") > 30, F.col("v")).otherwise(0.0)), 2)
 
 
-@add("poisson_diffusion", "x y", "v", None)
+_PD = ", ".join(f"{_near(f'd{k - 1}', f'm{k}', '(v + coalesce(l, 0) + coalesce(r, 0) + coalesce(u, 0) + coalesce(d, 0)) / 5')}, d{k} AS (SELECT x, y, s, CASE WHEN s >= 0.2 THEN s ELSE new END AS v FROM m{k})" for k in (1, 2, 3))
+
+
+@add("poisson_diffusion", "x y", "v", f"{P}, d0 AS (SELECT x, y, CAST(w > 48 AS DOUBLE) AS s, CAST(w > 48 AS DOUBLE) AS v FROM img), {_PD} :: SELECT x, y, v FROM d3", 7)
 def _(spark, sf):
     return iterative.poisson_diffusion(fx.part_image(spark, sf).withColumns({"s": (F.col("w") > 48).cast("double"), "l": F.lit(1)}), "s", "l", rounds=3)
 
 
-@add("propagate_labels", "x y label steps", "", f"RECURSIVE {P}, c AS (SELECT x, y, y * 50 + x AS id, w, lb FROM img WHERE w >= 15), r(id, x, y, label, s) AS (SELECT id, x, y, lb, 0 FROM c WHERE w >= 48 UNION SELECT b.id, b.x, b.y, r.label, r.s + 1 FROM r JOIN c b ON abs(r.x - b.x) + abs(r.y - b.y) = 1 WHERE r.s < 6), f AS (SELECT x, y, min(s) AS s FROM r GROUP BY x, y) :: SELECT r.x, r.y, min(r.label) AS label, CAST(r.s AS INT) AS steps FROM r JOIN f ON r.x = f.x AND r.y = f.y AND r.s = f.s GROUP BY r.x, r.y, r.s")
+#: Steps to the fixpoint: a cell's row is replaced while a round finds fewer steps, or as many and a lesser label.
+_PL = f"RECURSIVE {P}, c AS (SELECT x, y, y * 50 + x AS id, w, lb FROM img WHERE w >= 15), e AS (SELECT a.id AS u, b.id AS v FROM c a JOIN c b ON (b.y = a.y AND abs(b.x - a.x) = 1) OR (b.x = a.x AND abs(b.y - a.y) = 1)), r(id, s, label) USING KEY (id) AS (SELECT id, 0, lb FROM c WHERE w >= 48 UNION SELECT e.v, min(r.s + 1), arg_min(r.label, (r.s + 1) * 1000 + r.label) FROM r JOIN e ON e.u = r.id LEFT JOIN recurring.r q ON q.id = e.v WHERE q.id IS NULL OR q.s * 1000 + q.label > (r.s + 1) * 1000 + r.label GROUP BY e.v)"
+
+
+@add("propagate_labels", "x y label steps", "", f"{_PL} :: SELECT c.x, c.y, r.label, CAST(r.s AS INT) AS steps FROM r JOIN c USING (id)")
 def _(spark, sf):
     a = fx.part_image(spark, sf).filter("w >= 15")
-    return iterative.propagate_labels(a, a.filter("w >= 48").select("x", "y", F.col("lb").alias("label")), 6)
+    return iterative.propagate_labels(a, a.filter("w >= 48").select("x", "y", F.col("lb").alias("label")))

@@ -57,7 +57,10 @@ def _(spark, sf):
     return tensors(spark, sf).withColumn("v", tensor.principal_direction("t")).select("id", *[F.col("v")[i].alias(f"v{a}") for i, a in enumerate("xyz")])
 
 
-@add("tensor_color", "id r g b", "", None)
+_COLOR = f"{T}, q AS (SELECT *, s * sqrt(2.0 / 3) * sqrt(1.5) / sqrt(2 + (1 + s) * (1 + s)) AS fa FROM e)"
+
+
+@add("tensor_color", "id r g b", "", f"{_COLOR} :: SELECT id, CAST(floor(abs(a) / sqrt(s) * fa * 255) AS BIGINT) AS r, CAST(floor(abs(b) / sqrt(s) * fa * 255) AS BIGINT) AS g, CAST(floor(abs(c) / sqrt(s) * fa * 255) AS BIGINT) AS b FROM q")
 def _(spark, sf):
     return tensor.color(tensors(spark, sf))
 
@@ -88,7 +91,23 @@ def _(spark, sf):
     return tensors(spark, sf).withColumn("l", tensor.log_tensor("t")).withColumn("m", tensor.exp_tensor("l")).select("id", tensor.component("m", "xx").alias("xx"), tensor.component("m", "yz").alias("yz"))
 
 
-@add("tensor_log_euclidean_mean", "grp", "xx yy zz", None)
+def _symmetric(a: str, b: str) -> list[str]:
+    """The six components of the product of two commuting symmetric matrices, whose columns begin with a and b."""
+    at = [[0, 1, 2], [1, 3, 4], [2, 4, 5]]
+    return [" + ".join(f"{a}{at[i][k]} * {b}{at[k][j]}" for k in range(3)) for i in range(3) for j in range(i, 3)]
+
+
+def _mean_sql(terms: int = 16) -> str:
+    """The exponential, by its series, of the mean of the logarithms ln(1 + s) / s u u'."""
+    u = ["a * a", "a * b", "a * c", "b * b", "b * c", "c * c"]
+    parts = [f"{T}, m AS (SELECT grp, " + ", ".join(f"avg(ln(1 + s) / s * {x}) AS m{i}" for i, x in enumerate(u)) + " FROM e GROUP BY grp)", "p1 AS (SELECT *, " + ", ".join(f"m{i} AS p{i}" for i in range(6)) + " FROM m)"]
+    for k in range(2, terms):
+        parts.append(f"p{k} AS (SELECT grp, " + ", ".join(f"m{i}" for i in range(6)) + ", " + ", ".join(f"({x}) / {k} AS p{i}" for i, x in enumerate(_symmetric("p", "m"))) + f" FROM p{k - 1})")
+    every = " UNION ALL ".join(f"SELECT grp, p0, p3, p5 FROM p{k}" for k in range(1, terms))
+    return ", ".join(parts) + f", z AS ({every}) :: SELECT grp, 1 + sum(p0) AS xx, 1 + sum(p3) AS yy, 1 + sum(p5) AS zz FROM z GROUP BY grp"
+
+
+@add("tensor_log_euclidean_mean", "grp", "xx yy zz", _mean_sql())
 def _(spark, sf):
     return tensor.average_log_euclidean(tensors(spark, sf), ["grp"]).select("grp", *[tensor.component("t", n).alias(n) for n in ("xx", "yy", "zz")])
 
@@ -240,32 +259,77 @@ def _(spark, sf):
     return spark.createDataFrame([(i, float(c)) for i, c in enumerate(models.ridge(m, "a", "y"))], "i bigint, c double")
 
 
+def _mixture_sql(rounds: int, k: int, smooth: float = 0.0) -> str:
+    """Rounds of posteriors (p), class sums (c) and, with smooth, the neighbours' posteriors (n)."""
+    i3 = range(k)
+    parts = [f"{P}, b AS (SELECT min(v) AS lo, max(v) AS hi, stddev_pop(v) AS sd, count(*) AS cells FROM img)", "c0 AS (SELECT " + ", ".join(f"1.0 / {k} AS w{i}, lo + (hi - lo) * {i + 1} / {k + 1} AS m{i}, sd / {k} AS s{i}" for i in i3) + " FROM b)"]
+
+    def posterior(r: int, near: str) -> str:
+        like = [f"w{i} * exp(-pow(v - m{i}, 2) / (2 * s{i} * s{i})) / s{i}" + (f" * exp({smooth} * near{i})" if near else "") for i in i3]
+        source = f"img JOIN {near} USING (x, y), c{r}" if near else f"img, c{r}"
+        total = " + ".join(f"l{i}" for i in i3)
+        return f"SELECT x, y, v, " + ", ".join(f"CASE WHEN {total} > 0 THEN l{i} / ({total}) ELSE 1.0 / {k} END AS p{i}" for i in i3) + " FROM (SELECT x, y, v, " + ", ".join(f"{q} AS l{i}" for i, q in enumerate(like)) + f" FROM {source})"
+
+    for r in range(1, rounds + 1):
+        near = f"n{r - 1}" if smooth and r > 1 else ""
+        parts.append(f"p{r} AS ({posterior(r - 1, near)})")
+        parts.append(f"c{r} AS (SELECT " + ", ".join(f"greatest(sum(p{i}), 1e-9) / any_value(cells) AS w{i}, sum(p{i} * v) / greatest(sum(p{i}), 1e-9) AS m{i}, sqrt(greatest(sum(p{i} * v * v) / greatest(sum(p{i}), 1e-9) - pow(sum(p{i} * v) / greatest(sum(p{i}), 1e-9), 2), 1e-6 * pow(any_value(sd), 2))) AS s{i}" for i in i3) + f" FROM p{r}, b)")
+        if smooth:
+            parts.append(f"n{r} AS (SELECT a.x, a.y, " + ", ".join(f"coalesce(sum(q.p{i}), 0) AS near{i}" for i in i3) + f" FROM p{r} a LEFT JOIN p{r} q ON abs(q.x - a.x) + abs(q.y - a.y) = 1 GROUP BY a.x, a.y)")
+    last = f"n{rounds}" if smooth else ""
+    parts.append(f"z AS ({posterior(rounds, last)})")
+    label = "CASE " + " ".join(f"WHEN p{i} >= greatest({', '.join(f'p{j}' for j in i3)}) THEN {i + 1}" for i in i3) + " END"
+    return ", ".join(parts) + f" :: SELECT x, y, CAST({label} AS BIGINT) AS label FROM z"
+
+
 # Mixtures, fusion, denoising, alignment.
-@add("mixture_segmentation", "x y label", "", None)
+@add("mixture_segmentation", "x y label", "", _mixture_sql(5, 3))
 def _(spark, sf):
     return models.mixture(fx.part_image(spark, sf), 3)[0]
 
 
-@add("mixture_random_field", "x y label", "", None)
+@add("mixture_random_field", "x y label", "", _mixture_sql(2, 3, 0.1))
 def _(spark, sf):
     return models.mixture(fx.part_image(spark, sf), 3, 2, smooth=0.1)[0]
 
 
+def _group_means(spark, sf):
+    """The mean image of each group: ten images over the whole table."""
+    return fx.embed_set(spark, sf).groupBy(F.col("grp").alias("image"), "x", "y").agg(F.avg("v").alias("v"))
+
+
 @add("joint_label_fusion", "x y label", "", None)
 def _(spark, sf):
-    e = fx.embed_set(spark, sf).filter("image < 6").withColumn("label", (F.col("v") > 0).cast("bigint"))
+    e = _group_means(spark, sf).withColumn("label", (F.col("v") > 0).cast("bigint"))
     return models.joint_fusion(e.groupBy("x", "y").agg(F.avg("v").alias("v")), e)
 
 
-@add("staple", "x y", "p", None)
+def _staple_sql(raters: int, rounds: int) -> str:
+    """Rounds over the patterns of decisions: prior, then truth of each pattern, then each rater's rates."""
+    d = lambda j: f"CAST(substr(pattern, {j + 1}, 1) AS INT)"
+    parts = [f"{fx.EMBED_SQL}, g AS (SELECT x, y, grp, CAST(avg(v) > 0 AS INT) AS d FROM eset GROUP BY ALL), cell AS (SELECT x, y, string_agg(CAST(d AS VARCHAR), '' ORDER BY grp) AS pattern FROM g GROUP BY x, y), pat AS (SELECT pattern, count(*) AS c FROM cell GROUP BY pattern)"]
+    parts.append(f"pri AS (SELECT sum(c * ({' + '.join(d(j) for j in range(raters))})) / (sum(c) * {raters}.0) AS g FROM pat)")
+    parts.append("r0 AS (SELECT " + ", ".join(f"0.99999 AS p{j}, 0.99999 AS q{j}" for j in range(raters)) + ")")
+    for k in range(1, rounds + 1):
+        on = " * ".join(f"(CASE WHEN {d(j)} = 1 THEN p{j} ELSE 1 - p{j} END)" for j in range(raters))
+        off = " * ".join(f"(CASE WHEN {d(j)} = 1 THEN 1 - q{j} ELSE q{j} END)" for j in range(raters))
+        parts.append(f"t{k} AS (SELECT pattern, c, g * {on} / (g * {on} + (1 - g) * {off}) AS w FROM pat, pri, r{k - 1})")
+        parts.append(f"r{k} AS (SELECT " + ", ".join(f"sum(w * c * {d(j)}) / sum(w * c) AS p{j}, sum((1 - w) * c * (1 - {d(j)})) / sum((1 - w) * c) AS q{j}" for j in range(raters)) + f" FROM t{k})")
+    return ", ".join(parts) + f" :: SELECT x, y, w AS p FROM cell JOIN t{rounds} USING (pattern)"
+
+
+@add("staple", "x y", "p", _staple_sql(10, 8))
 def _(spark, sf):
     from gridloom.operators import iterative
 
-    e = fx.embed_set(spark, sf).filter("image < 5").select("x", "y", F.col("image").alias("rater"), (F.col("v") > 0).cast("int").alias("d"))
-    return iterative.staple(e, 5)[0]
+    e = _group_means(spark, sf).select("x", "y", F.col("image").alias("rater"), (F.col("v") > 0).cast("int").alias("d"))
+    return iterative.staple(e, 10, 8)[0]
 
 
-@add("denoise_nonlocal_means", "x y", "v", None)
+_DN = f"{P}, w1 AS (SELECT *, lag(v) OVER wx AS xl, lead(v) OVER wx AS xr, lag(v) OVER wy AS yl, lead(v) OVER wy AS yr FROM img WINDOW wx AS (PARTITION BY y ORDER BY x), wy AS (PARTITION BY x ORDER BY y)), z AS (SELECT var_pop(coalesce(xl, v) + coalesce(xr, v) + coalesce(yl, v) + coalesce(yr, v) - 4 * v) / 20 AS noise FROM w1), q AS (SELECT a.x, a.y, b.x AS qx, b.y AS qy, b.v AS bv FROM img a JOIN img b ON b.x BETWEEN a.x - 2 AND a.x + 2 AND b.y BETWEEN a.y - 2 AND a.y + 2), o AS (SELECT i.i - 1 AS i, j.j - 1 AS j FROM range(3) i(i), range(3) j(j)), m AS (SELECT q.x, q.y, qx, qy, any_value(bv) AS bv, avg(pow(s.v - t.v, 2)) AS d FROM q, o JOIN img s ON s.x = q.x + i AND s.y = q.y + j JOIN img t ON t.x = qx + i AND t.y = qy + j GROUP BY q.x, q.y, qx, qy)"
+
+
+@add("denoise_nonlocal_means", "x y", "v", f"{_DN} :: SELECT x, y, sum(exp(-d / (2 * noise)) * bv) / sum(exp(-d / (2 * noise))) AS v FROM m, z GROUP BY x, y")
 def _(spark, sf):
     return models.denoise(fx.part_image(spark, sf))
 
@@ -306,7 +370,11 @@ def _(spark, sf):
     return models.canny(fx.part_image(spark, sf), 1.0, 1.0, 2.0, "w")
 
 
-@add("laplace_thickness", "x y", "v", None)
+_LT = ", ".join(f"n{k} AS (SELECT x, y, l, v, lag(v) OVER wx AS xl, lead(v) OVER wx AS xr, lag(v) OVER wy AS yl, lead(v) OVER wy AS yr FROM t{k - 1} WINDOW wx AS (PARTITION BY y ORDER BY x), wy AS (PARTITION BY x ORDER BY y)), t{k} AS (SELECT x, y, l, CASE WHEN l = 3 THEN (coalesce(xl, 0) + coalesce(xr, 0) + coalesce(yl, 0) + coalesce(yr, 0)) / ((xl IS NOT NULL)::INT + (xr IS NOT NULL)::INT + (yl IS NOT NULL)::INT + (yr IS NOT NULL)::INT) ELSE v END AS v FROM n{k})" for k in range(1, 6))
+_LT = f"{P}, t0 AS (SELECT x, y, CASE WHEN x < 10 THEN 1 WHEN x < 20 THEN 3 ELSE 2 END AS l, CASE WHEN x < 10 THEN 0.0 WHEN x < 20 THEN 0.5 ELSE 1.0 END AS v FROM img WHERE x < 30), {_LT}, g AS (SELECT x, y, l, (coalesce(lead(v) OVER wx, v) - coalesce(lag(v) OVER wx, v)) / (count(*) OVER (PARTITION BY y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) - 1) AS gx, (coalesce(lead(v) OVER wy, v) - coalesce(lag(v) OVER wy, v)) / (count(*) OVER (PARTITION BY x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) - 1) AS gy FROM t5 WINDOW wx AS (PARTITION BY y ORDER BY x), wy AS (PARTITION BY x ORDER BY y))"
+
+
+@add("laplace_thickness", "x y", "v", f"{_LT} :: SELECT x, y, CASE WHEN sqrt(gx * gx + gy * gy) > 1e-9 THEN 1 / sqrt(gx * gx + gy * gy) ELSE 0 END AS v FROM g WHERE l = 3")
 def _(spark, sf):
     a = fx.part_image(spark, sf).withColumn("label", F.when(F.col("x") < 10, 1).when(F.col("x") < 20, 3).when(F.col("x") < 30, 2).otherwise(0))
     return models.thickness(a, 1, 2, 3, rounds=5)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import functions as F
@@ -20,7 +21,11 @@ P = fx.PART_SQL
 G = Geometry(size=(50, 1), spacing=(1.0, 2.0), origin=(10.0, -5.0))
 
 
-@add("p_value_image", "x y", "p", None)
+#: The t distribution of 20 degrees in closed form.
+_PV = f"{fx.EMBED_SQL}, a AS (SELECT x, y, avg(v) FILTER (grp = 0) AS m0, avg(v) FILTER (grp = 1) AS m1, var_pop(v) FILTER (grp = 0) AS s0, var_pop(v) FILTER (grp = 1) AS s1, count(*) FILTER (grp = 0) AS n0, count(*) FILTER (grp = 1) AS n1 FROM eset GROUP BY x, y), t AS (SELECT x, y, (m0 - m1) / sqrt(s0 / n0 + s1 / n1) AS t FROM a), c AS (SELECT x, y, t, 0.5 + t / sqrt(20 + t * t) / 2 * (" + " + ".join(f"{math.comb(2 * k, k)} / pow(4.0, {k}) * pow(1 + t * t / 20, -{k})" for k in range(10)) + ") AS c FROM t)"
+
+
+@add("p_value_image", "x y", "p", f"{_PV} :: SELECT x, y, CASE WHEN t = 0 THEN 0 WHEN t >= 1 THEN 1 - c ELSE c END AS p FROM c")
 def _(spark, sf):
     t = imageset.students_t(fx.embed_set(spark, sf))
     return t.withColumn("p", stats.p_value("t", 20.0))
@@ -46,13 +51,14 @@ def _(spark, sf):
     return regions.component_features(a, Geometry(size=(50, 1)))
 
 
-_FM = f"RECURSIVE {P}, c AS (SELECT x, y, 1 / w AS s FROM img WHERE w > 5), r(x, y, t, k) AS (SELECT x, y, CAST(0 AS DOUBLE), 0 FROM c WHERE x = 0 AND y = 0 UNION SELECT c.x, c.y, min(r.t + ((SELECT d.s FROM c d WHERE d.x = r.x AND d.y = r.y) + c.s) / 2), r.k + 1 FROM r JOIN c ON abs(r.x - c.x) + abs(r.y - c.y) = 1 WHERE r.k < 6 GROUP BY c.x, c.y, r.k)"
+_FM = f"RECURSIVE {P}, c AS (SELECT x, y, y * 50 + x AS id, 1 / w AS s FROM img WHERE w > 5), e AS (SELECT a.id AS u, b.id AS v, (a.s + b.s) / 2 AS cost FROM c a JOIN c b ON (b.y = a.y AND abs(b.x - a.x) = 1) OR (b.x = a.x AND abs(b.y - a.y) = 1)), r(id, t) USING KEY (id) AS (SELECT id, CAST(0 AS DOUBLE) FROM c WHERE id = (SELECT min(id) FROM c) UNION SELECT e.v, min(r.t + e.cost) FROM r JOIN e ON e.u = r.id LEFT JOIN recurring.r q ON q.id = e.v WHERE q.id IS NULL OR q.t > r.t + e.cost + 1e-12 GROUP BY e.v)"
 
 
-@add("fast_marching", "x y", "time", f"{_FM} :: SELECT x, y, min(t) AS time FROM r GROUP BY x, y")
+@add("fast_marching", "x y", "time", f"{_FM} :: SELECT c.x, c.y, r.t AS time FROM r JOIN c USING (id)")
 def _(spark, sf):
     a = fx.part_image(spark, sf).filter("w > 5").select("x", "y", F.col("w").alias("v"))
-    return regions.fast_marching(a, a.filter("x = 0 AND y = 0"), rounds=6)
+    seed = a.agg(F.min(F.struct("y", "x")).alias("p")).select("p.x", "p.y")
+    return regions.fast_marching(a, seed)
 
 
 @add("lesion_filling", "x y", "v", None)
@@ -66,6 +72,16 @@ def _(spark, sf):
     return regions.motion_correct(layout.replicate(a, "t", 4), 1)
 
 
+_MC = f"{P}, s AS (SELECT x + t * (t - 1) // 2 % 2 AS x, y - t % 2 AS y, t, w AS v FROM img, range(4) r(t)), m AS (SELECT x, y, avg(v) AS m FROM s GROUP BY x, y), o AS (SELECT a.i - 1 AS ox, b.i - 1 AS oy FROM range(3) a(i), range(3) b(i)), c AS (SELECT t, ox, oy, avg(pow(m.m - s.v, 2)) AS c FROM s, o JOIN m ON m.x = s.x - ox AND m.y = s.y - oy GROUP BY t, ox, oy), k AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY c, abs(ox), abs(oy), ox, oy) AS k FROM c)"
+
+
+@add("motion_correction_of_shifts", "t sx sy", "metric", f"{_MC} :: SELECT t, CAST(ox AS INT) AS sx, CAST(oy AS INT) AS sy, c AS metric FROM k WHERE k = 1")
+def _(spark, sf):
+    a = layout.replicate(fx.part_image(spark, sf).select("x", "y", F.col("w").alias("v")), "t", 4)
+    moved = a.withColumns({"x": F.col("x") + F.expr("t * (t - 1) div 2 % 2"), "y": F.col("y") - F.col("t") % 2})
+    return regions.motion_correct(moved, 1)
+
+
 @add("colormap", "x y r g b", "", f"{P}, s AS (SELECT min(w) AS lo, max(w) AS hi FROM img), f AS (SELECT x, y, (w - lo) / (hi - lo) AS f FROM img, s) :: SELECT x, y, CAST(floor(CASE WHEN f <= 0 THEN 0.0 WHEN f < 0.5 THEN 0.0 + (f - 0.0) * (200.0 / 0.5) WHEN f < 1 THEN 200.0 + (f - 0.5) * (55.0 / 0.5) ELSE 255.0 END) AS BIGINT) AS r, CAST(floor(CASE WHEN f <= 0 THEN 0.0 WHEN f < 0.5 THEN 0.0 WHEN f < 1 THEN 0.0 + (f - 0.5) * (255.0 / 0.5) ELSE 255.0 END) AS BIGINT) AS g, CAST(0 AS BIGINT) AS b FROM f")
 def _(spark, sf):
     return regions.colormap(fx.part_image(spark, sf), [(0.0, 0, 0, 0), (0.5, 200, 0, 0), (1.0, 255, 255, 0)], "w")
@@ -82,12 +98,16 @@ def _(spark, sf):
     return numbered(fx.part_image(spark, sf)).withColumn("i", F.col("i").cast("bigint"))
 
 
-@add("add_gaussian_noise", "x y", "out", None)
+def _hashed(seed: int) -> str:
+    return f"((('0x' || substr(md5('{seed}|' || x || '|' || y), 1, 8))::BIGINT + 0.5) / 4294967296.0)"
+
+
+@add("add_gaussian_noise", "x y", "out", f"{P} :: SELECT x, y, v + sqrt(-2 * ln({_hashed(14)})) * cos(2 * pi() * {_hashed(15)}) AS out FROM img")
 def _(spark, sf):
     return pixel.add_noise(fx.part_image(spark, sf), "gaussian", 7)
 
 
-@add("add_salt_and_pepper_noise", "x y", "out", None)
+@add("add_salt_and_pepper_noise", "x y", "out", f"{P} :: SELECT x, y, CASE WHEN {_hashed(7)} < 0.005 THEN 0.0 WHEN {_hashed(7)} < 0.01 THEN 1.0 ELSE v END AS out FROM img")
 def _(spark, sf):
     return pixel.add_noise(fx.part_image(spark, sf), "salt_and_pepper", 7)
 
@@ -189,7 +209,10 @@ def _(spark, sf):
     return out.withColumn("start", F.unix_timestamp(F.col("window.start")))
 
 
-@add("stream_sessions", "user_id n", "", None)
+_SE = "e AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)"
+
+
+@add("stream_sessions", "user_id n", "", f"{_SE} :: SELECT user_id, count(*) AS n FROM s GROUP BY user_id, k")
 def _(spark, sf):
     return events.run_to_table(events.sessions(events.read_events(spark, sf)), _name())
 

@@ -92,6 +92,97 @@ def write_points(df: DataFrame, path: str) -> None:
     df.select(F.concat_ws(" ", *padded).alias("value")).write.mode("overwrite").text(path)
 
 
+def read_vtk_points(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, id, x, y, z, label) of legacy VTK files of points, text or big-endian binary, with their scalars as labels (0 where there are none)."""
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        kinds = {b"float": ">f4", b"double": ">f8", b"int": ">i4", b"long": ">i8", b"unsigned_char": ">u1", b"short": ">i2"}
+
+        def numbers(data: bytes, at: int, n: int, kind: bytes, text: bool) -> tuple[np.ndarray, int]:
+            if not text:
+                d = np.dtype(kinds[kind])
+                return np.frombuffer(data, d, n, at).astype(float), at + n * d.itemsize
+            out: list[float] = []
+            while len(out) < n:
+                end = data.find(b"\n", at)
+                end = len(data) if end < 0 else end
+                out += map(float, data[at:end].split())
+                at = end + 1
+            return np.array(out[:n]), at
+
+        for b in batches:
+            for path, data in zip(b["path"], b["content"], strict=True):
+                text, at, points, labels, count = True, 0, np.zeros((0, 3)), None, 0
+                while at < len(data):
+                    end = data.find(b"\n", at)
+                    end = len(data) if end < 0 else end
+                    words = data[at:end].split()
+                    at = end + 1
+                    if words[:1] == [b"BINARY"]:
+                        text = False
+                    elif words[:1] == [b"POINTS"]:
+                        flat, at = numbers(data, at, 3 * int(words[1]), words[2], text)
+                        points = flat.reshape(-1, 3)
+                    elif words[:1] == [b"POINT_DATA"]:
+                        count = int(words[1])
+                    elif words[:1] == [b"SCALARS"] and count:
+                        end = data.find(b"\n", at)
+                        labels, at = numbers(data, end + 1, count, words[2], text)
+                label = np.zeros(len(points)) if labels is None else labels
+                yield pd.DataFrame({"path": path, "id": range(len(points)), "x": points[:, 0], "y": points[:, 1], "z": points[:, 2], "label": label.astype("int64")})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "path string, id bigint, x double, y double, z double, label bigint")
+
+
+def vtk_points_text(rows: list[tuple[float, float, float, int]]) -> str:
+    """A legacy VTK text file of labelled points."""
+    head = ["# vtk DataFile Version 2.0", "points", "ASCII", "DATASET POLYDATA", f"POINTS {len(rows)} float"]
+    body = [" ".join(f"{x:g}" for x in r[:3]) for r in rows]
+    return "\n".join([*head, *body, f"POINT_DATA {len(rows)}", "SCALARS pointLabels long 1", "LOOKUP_TABLE default", *[str(r[3]) for r in rows]]) + "\n"
+
+
+def convert_points(spark: SparkSession, source: str, target: str, dim: int = 3) -> DataFrame:
+    """Labelled points of a .vtk file or a text one, written as text."""
+    df = read_vtk_points(spark, source).select(*AXES[:dim], "label") if source.endswith(".vtk") else read_points(spark, source, dim)
+    write_points(df, target)
+    return df
+
+
+def write_components(df: DataFrame, path: str, columns: list[str]) -> None:
+    """A vector image as one scalar image a component."""
+    axes = [a for a in AXES if a in df.columns]
+    for c in columns:
+        df.select(*axes, F.col(c).alias("v")).write.mode("overwrite").parquet(f"{path}/{c}")
+
+
+def read_components(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """A vector image of its components' files, joined by cell."""
+    out = None
+    for c in columns:
+        part = spark.read.parquet(f"{path}/{c}").withColumnRenamed("v", c)
+        out = part if out is None else out.join(part, [a for a in AXES if a in part.columns])
+    return out
+
+
+def format_transforms(maps: list[list[list[float]]]) -> str:
+    """A stack of affine maps in one text, in order."""
+    body = [f"#Transform {i}\n" + format_transform(m).split("\n", 2)[2] for i, m in enumerate(maps)]
+    return "#Insight Transform File V1.0\n" + "".join(body)
+
+
+def parse_transforms(text: str) -> list[list[list[float]]]:
+    """The stack of a text of several maps."""
+    parts: list[list[str]] = []
+    for line in text.splitlines():
+        if line.startswith("#Transform"):
+            parts.append([])
+        elif parts and line:
+            parts[-1].append(line)
+    return [parse_transform("\n".join(p)) for p in parts]
+
+
 def image_to_points(df: DataFrame, geometry: Geometry, fraction: float = 1.0, seed: int = 0) -> DataFrame:
     """The physical points of labelled cells, sampled by a seeded share."""
     rows = df.filter(F.col("label") != 0)
