@@ -12,9 +12,30 @@ from gridloom.grid import Geometry, annulus, axes_of, ball, box, cross, faces, s
 SHAPES = {"box": box, "ball": ball, "cross": cross, "annulus": annulus}
 
 
-def _extreme(df: DataFrame, radius: int, shape: str, f, v: str, out: str) -> DataFrame:
-    """The extreme over a shape, which may lack its centre; a cell without neighbours in the shape keeps its value."""
+def is_full(df: DataFrame) -> bool:
+    """Whether the image has a cell at each place of its bounding box, each once; one aggregation."""
     axes = axes_of(df)
+    r = df.agg(F.count(F.lit(1)), *[f(a) for a in axes for f in (F.min, F.max)]).first()
+    return r[0] > 0 and r[0] == math.prod(hi - lo + 1 for lo, hi in zip(r[1::2], r[2::2], strict=True))
+
+
+def box_passes(df: DataFrame, radius: int, columns: dict[str, object]) -> DataFrame:
+    """Aggregates over the box of each cell of a full image, axis by axis: columns to F.sum, F.min or F.max.
+
+    Each pass is a window along one axis, so rows don't multiply by the box; a line of cells bounds a task.
+    """
+    axes, out = axes_of(df), df
+    for a in axes:
+        w = Window.partitionBy(*[b for b in axes if b != a]).orderBy(a).rangeBetween(-radius, radius)
+        out = out.select(*axes, *[f(c).over(w).alias(c) for c, f in columns.items()], *[c for c in out.columns if c not in axes and c not in columns])
+    return out
+
+
+def _extreme(df: DataFrame, radius: int, shape: str, f, v: str, out: str, full: bool | None = None) -> DataFrame:
+    """The extreme over a shape, which may lack its centre; a cell without neighbours in the shape keeps its value. full: whether the image is known to have all its cells."""
+    axes = axes_of(df)
+    if shape == "box" and (is_full(df) if full is None else full):
+        return box_passes(df.select(*axes, F.col(v).alias(out)), radius, {out: f})
     centre = (0,) * len(axes)
     shape_ = SHAPES[shape](axes, radius)
     offsets = shape_ if centre in shape_ else [*shape_, centre]
@@ -23,20 +44,22 @@ def _extreme(df: DataFrame, radius: int, shape: str, f, v: str, out: str) -> Dat
     return rows.groupBy(*axes).agg(value.alias(out), F.max("_self").alias("_in")).filter("_in").drop("_in")
 
 
-def gray_dilate(df: DataFrame, radius: int = 1, shape: str = "box", v: str = "v", out: str = "v") -> DataFrame:
-    return _extreme(df, radius, shape, F.max, v, out)
+def gray_dilate(df: DataFrame, radius: int = 1, shape: str = "box", v: str = "v", out: str = "v", full: bool | None = None) -> DataFrame:
+    return _extreme(df, radius, shape, F.max, v, out, full)
 
 
-def gray_erode(df: DataFrame, radius: int = 1, shape: str = "box", v: str = "v", out: str = "v") -> DataFrame:
-    return _extreme(df, radius, shape, F.min, v, out)
+def gray_erode(df: DataFrame, radius: int = 1, shape: str = "box", v: str = "v", out: str = "v", full: bool | None = None) -> DataFrame:
+    return _extreme(df, radius, shape, F.min, v, out, full)
 
 
 def gray_open(df: DataFrame, radius: int = 1, shape: str = "box", v: str = "v") -> DataFrame:
-    return gray_dilate(gray_erode(df, radius, shape, v, v), radius, shape, v, v)
+    full = shape == "box" and is_full(df)
+    return gray_dilate(gray_erode(df, radius, shape, v, v, full), radius, shape, v, v, full)
 
 
 def gray_close(df: DataFrame, radius: int = 1, shape: str = "box", v: str = "v") -> DataFrame:
-    return gray_erode(gray_dilate(df, radius, shape, v, v), radius, shape, v, v)
+    full = shape == "box" and is_full(df)
+    return gray_erode(gray_dilate(df, radius, shape, v, v, full), radius, shape, v, v, full)
 
 
 def binary_morphology(df: DataFrame, op: str, radius: int = 1, shape: str = "ball", foreground: float = 1.0, v: str = "v") -> DataFrame:
@@ -49,15 +72,26 @@ def binary_morphology(df: DataFrame, op: str, radius: int = 1, shape: str = "bal
 def neighborhood_stats(df: DataFrame, radius: int, v: str = "v", bins: int = 0) -> DataFrame:
     """Over the box of each cell: mean, min, max, variance (n - 1), sigma, skewness, kurtosis (moments over variance * sigma, n - 1), n."""
     axes = axes_of(df)
-    rows = scattered(df.select(*axes, F.col(v).cast("double").alias("_v")), box(axes, radius), axes)
     x = F.col("_v")
-    got = rows.groupBy(*axes).agg(F.max("_self").alias("_in"), F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.min("_v").alias("min"), F.max("_v").alias("max"), F.var_samp("_v").alias("variance"), F.sum(x * x).alias("s2"), F.sum(x**3).alias("s3"), F.sum(x**4).alias("s4"), F.sum("_v").alias("s1")).filter("_in")
+    if is_full(df):
+        # about the image's mean, so that sums of powers keep their digits
+        mean = df.agg(F.avg(F.col(v).cast("double")).alias("_m"))
+        base = df.crossJoin(F.broadcast(mean)).select(*axes, (F.col(v).cast("double") - F.col("_m")).alias("_v"), "_m")
+        sums = base.select(*axes, "_m", F.lit(1).cast("bigint").alias("n"), x.alias("min"), x.alias("max"), *[(x**k).alias(f"s{k}") for k in (1, 2, 3, 4)])
+        got = box_passes(sums, radius, {"n": F.sum, "min": F.min, "max": F.max, **{f"s{k}": F.sum for k in (1, 2, 3, 4)}})
+        got = got.withColumns({"mean": F.col("s1") / F.col("n"), "variance": F.when(F.col("n") > 1, (F.col("s2") - F.col("s1") ** 2 / F.col("n")) / (F.col("n") - 1))})
+        shift = F.col("_m")
+    else:
+        rows = scattered(df.select(*axes, F.col(v).cast("double").alias("_v")), box(axes, radius), axes)
+        got = rows.groupBy(*axes).agg(F.max("_self").alias("_in"), F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.min("_v").alias("min"), F.max("_v").alias("max"), F.var_samp("_v").alias("variance"), F.sum(x * x).alias("s2"), F.sum(x**3).alias("s3"), F.sum(x**4).alias("s4"), F.sum("_v").alias("s1")).filter("_in")
+        shift = F.lit(0.0)
     n, m, s1, s2, s3, s4 = (F.col(c) for c in ("n", "mean", "s1", "s2", "s3", "s4"))
     m3 = s3 - 3 * m * s2 + 3 * m**2 * s1 - n * m**3
     m4 = s4 - 4 * m * s3 + 6 * m**2 * s2 - 4 * m**3 * s1 + n * m**4
     sd = F.sqrt("variance")
     ok = F.col("variance") > 1e-12
-    return got.select(*axes, "n", "mean", "min", "max", "variance", sd.alias("sigma"), F.when(ok, m3 / (n - 1) / (F.col("variance") * sd)).alias("skewness"), F.when(ok, m4 / (n - 1) / F.col("variance") ** 2).alias("kurtosis"))
+    moved = [(F.col(c) + shift).alias(c) for c in ("mean", "min", "max")]
+    return got.select(*axes, "n", *moved, "variance", sd.alias("sigma"), F.when(ok, m3 / (n - 1) / (F.col("variance") * sd)).alias("skewness"), F.when(ok, m4 / (n - 1) / F.col("variance") ** 2).alias("kurtosis"))
 
 
 def neighborhood_entropy(df: DataFrame, radius: int, v: str = "v") -> DataFrame:
@@ -154,6 +188,15 @@ def unsharp_mask(df: DataFrame, amount: float = 0.5, radius: float = 1.0, thresh
 def local_correlation(df: DataFrame, radius: int, a: str = "v", b: str = "w") -> DataFrame:
     """Squared correlation of two images in each cell's box."""
     axes = axes_of(df)
+    if is_full(df):
+        x, y = F.col(a).cast("double"), F.col(b).cast("double")
+        mean = df.agg(F.avg(x).alias("_ma"), F.avg(y).alias("_mb"))
+        base = df.crossJoin(F.broadcast(mean)).select(*axes, (x - F.col("_ma")).alias("sa"), (y - F.col("_mb")).alias("sb"))
+        parts = base.withColumns({"n": F.lit(1).cast("bigint"), "ab": F.col("sa") * F.col("sb"), "aa": F.col("sa") ** 2, "bb": F.col("sb") ** 2})
+        s = box_passes(parts, radius, dict.fromkeys(("n", "sa", "sb", "ab", "aa", "bb"), F.sum))
+        n = F.col("n")
+        c, p, q = (F.col(k) / n - F.col(f"s{k[0]}") * F.col(f"s{k[1]}") / n**2 for k in ("ab", "aa", "bb"))
+        return s.select(*axes, F.when((p > 1e-12) & (q > 1e-12), c**2 / (p * q)).otherwise(0.0).alias("v"))
     rows = scattered(df.select(*axes, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b")), box(axes, radius), axes)
     got = rows.groupBy(*axes).agg(F.max("_self").alias("_in"), F.covar_pop("_a", "_b").alias("c"), F.var_pop("_a").alias("p"), F.var_pop("_b").alias("q")).filter("_in")
     return got.select(*axes, F.when((F.col("p") > 1e-12) & (F.col("q") > 1e-12), F.col("c") ** 2 / (F.col("p") * F.col("q"))).otherwise(0.0).alias("v"))
@@ -163,11 +206,15 @@ def correlation_update(df: DataFrame, radius: int, a: str = "v", b: str = "w") -
     """a - b minus its mean over the box, for cells whose whole box is in the image and where a or b is positive; 0 elsewhere."""
     axes = axes_of(df)
     d = (F.col(a) - F.col(b)).alias("_d")
+    whole = (2 * radius + 1) ** len(axes)
+    if is_full(df):
+        base = df.select(*axes, d, ((F.col(a) > 0) | (F.col(b) > 0)).alias("_live"), (F.col(a) - F.col(b)).alias("_s"), F.lit(1).cast("bigint").alias("_n"))
+        s = box_passes(base, radius, {"_s": F.sum, "_n": F.sum})
+        return s.select(*axes, F.when((F.col("_n") == whole) & F.col("_live"), F.col("_d") - F.col("_s") / F.col("_n")).otherwise(0.0).alias("v"))
     live = ((F.col(a) > 0) | (F.col(b) > 0)).alias("_live")
     rows = scattered(df.select(*axes, d, live), box(axes, radius), axes)
     got = rows.groupBy(*axes).agg(F.max("_self").alias("_in"), F.avg("_d").alias("m"), F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("_self"), F.col("_d"))).alias("d"), F.max(F.when(F.col("_self"), F.col("_live"))).alias("live")).filter("_in")
-    full = (2 * radius + 1) ** len(axes)
-    return got.select(*axes, F.when((F.col("n") == full) & F.col("live"), F.col("d") - F.col("m")).otherwise(0.0).alias("v"))
+    return got.select(*axes, F.when((F.col("n") == whole) & F.col("live"), F.col("d") - F.col("m")).otherwise(0.0).alias("v"))
 
 
 def correlation_voting(target: DataFrame, set_: DataFrame, radius: int, label: str = "label", image: str = "image") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import stats
 from gridloom.grid import Geometry, axes_of
-from gridloom.operators import imageset, iterative, label, layout, models, neighborhood, pixel, regions, tensor, timeseries, transforms
+from gridloom.operators import bias, imageset, iterative, label, layout, mixture, models, neighborhood, pixel, points, regions, registration, spline, surface, tensor, timeseries, transforms
 
 Image = DataFrame
 
@@ -146,6 +146,49 @@ OPERATIONS: dict[str, Callable[..., DataFrame]] = {
     "InvId": lambda a, b: transforms.inverse_error(a, b),
     "ReflectionMatrix": lambda a, axis: transforms.reflection(a, axis),
     "DenoiseImage": lambda a, patch=1, search=2: models.denoise(a, int(patch), int(search)),
+    "TensorFANumerator": lambda a: tensor.fa(a).withColumn("out", F.col("numerator")),
+    "TensorFADenominator": lambda a: tensor.fa(a).withColumn("out", F.col("denominator")),
+    "TensorIOTest": lambda a: a,
+    "ValidTensor": lambda a: tensor.valid(a),
+    "SmoothTensorImage": lambda a, sigma=1.0: tensor.smooth(a, float(sigma)),
+    "4DTensorTo3DTensor": lambda a: tensor.from_volumes(a),
+    "ComponentTo3DTensor": lambda a: a.withColumn("t", tensor.from_components(*tensor.COMPONENTS)),
+    "ExtractComponentFrom3DTensor": lambda a, name: a.withColumn("out", tensor.component("t", name)),
+    "FSLTensorToITK": lambda a, det=1.0: tensor.from_volumes(a).withColumn("t", tensor.reflect("t", float(det))),
+    "ITKTensorToFSL": lambda a, det=1.0: tensor.to_volumes(a.withColumn("t", tensor.reflect("t", float(det)))),
+    "TensorMask": lambda a, mask, isotropic=None: tensor.mask(a.join(mask.select(*axes_of(mask), F.col("v").alias("mask")), axes_of(mask)), "mask", isotropic=isotropic),
+    "TensorToVector": lambda a: a.withColumn("out", tensor.principal_direction("t")),
+    "TensorToVectorComponent": lambda a, k: a.withColumn("out", tensor.principal_direction("t")[int(k)] if int(k) < 3 else F.col("t")[int(k) - 3]),
+    "TensorToLocalSpace": lambda a, direction: tensor.rotate(a, [list(r) for r in zip(*direction, strict=True)]),
+    "TensorToPhysicalSpace": lambda a, direction: tensor.rotate(a, direction),
+    "FuseNImagesIntoNDVectorField": lambda *parts: transforms.make_field(list(parts)),
+    "vmresample": lambda a, shift, columns: transforms.warp_values(a, a, {x: F.col(x) + float(shift.get(x, 0.0)) for x in axes_of(a)}, list(columns)),
+    "mresample": lambda a, size, new, linear=True: layout.resample(a, size, new, bool(linear)),
+    "nvols": lambda a: timeseries.volumes(a),
+    "ThreeTissueConfounds": lambda a, csf=3, wm=1, components=2: timeseries.tissue_confounds(a, csf=int(csf), wm=int(wm), components=int(components)),
+    "TimeSeriesRegionSCCA": lambda a, length: timeseries.region_similarity(a, int(length)),
+    "MatchBlobs": lambda a, b, features, scale=1.0: points.match_blobs(a, b, list(features), float(scale)),
+    "Lipschitz": lambda a: transforms.lipschitz_all(a),
+    "STAPLE": lambda a, raters: iterative.staple(a, int(raters))[0],
+    "PoissonDiffusion": lambda a, source="s", name="l", rounds=500: iterative.poisson_diffusion(a, source, name, int(rounds)),
+    "SmoothImage": lambda a, sigma=1.0, geometry=None: neighborhood.gaussian(a, float(sigma), geometry),
+    "SurfaceBasedSmoothing": lambda a, rounds=1: surface.smooth_in_mask(a, "mask", int(rounds)),
+    "SurfaceCurvature": lambda a: surface.curvature(a),
+    "N4BiasFieldCorrection": lambda a, levels=4, rounds=50: bias.correct(a, int(levels), int(rounds)),
+    "N3BiasFieldCorrection": lambda a, spans=4, rounds=50: bias.correct_single(a, int(spans), int(rounds)),
+    "SmoothDisplacementField": lambda a, sigma: transforms.smooth_field(a, float(sigma)),
+    "SimulateDisplacementField": lambda a, seed=0, kind="bspline": transforms.simulate_field(a, int(seed), kind=kind),
+    "CreateDisplacementField": lambda *parts, still=False: transforms.make_field(list(parts), still),
+    "FitBSplineToPoints": lambda a, coords, values, spans, levels=1: spline.fit_points(a, list(coords), list(values), tuple(spans), int(levels)),
+    "SuperResolution": lambda samples, grid, spans=8, levels=3: spline.super_resolution(samples, grid, int(spans), int(levels)),
+    "ANTSIntegrateVectorField": lambda a, seeds, steps: transforms.integrate(a, seeds, int(steps)),
+    "ComposeMultiTransform": lambda grid, stack: transforms.field_of(grid, list(stack)),
+    "CreateJacobianDeterminantImageGeometric": lambda a: transforms.geometric_jacobian(a),
+    "WarpTimeSeriesImageMultiTransform": lambda a, grid, m: transforms.warp_series(a, grid, m),
+    "WarpTensorImageMultiTransform": lambda a, grid, m: transforms.warp_tensors(a, grid, m),
+    "Atropos": lambda a, options=None, priors=None: mixture.segment(a, ["v"], options or mixture.Options(), priors)[0],
+    "LaplacianThickness": lambda a, inner, outer, between, rounds=30: models.thickness(a, int(inner), int(outer), int(between), int(rounds)),
+    **{name: (lambda fixed, moving, name=name, **k: registration.MODELS[name](fixed, moving, **k).forward) for name in registration.MODELS},
 }
 
 

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.plans import queries_cells, queries_fields, queries_models, queries_more, queries_sets, queries_tables
+from gridloom.plans import queries_cells, queries_fields, queries_models, queries_more, queries_sets, queries_studies, queries_tables
 from gridloom.plans.registry import Query
 
 
 def _all() -> dict[str, Query]:
-    return {**queries_cells.REGISTRY.queries, **queries_sets.REGISTRY.queries, **queries_models.REGISTRY.queries, **queries_more.REGISTRY.queries, **queries_fields.REGISTRY.queries, **queries_tables.REGISTRY.queries}
+    return {**queries_cells.REGISTRY.queries, **queries_sets.REGISTRY.queries, **queries_models.REGISTRY.queries, **queries_more.REGISTRY.queries, **queries_fields.REGISTRY.queries, **queries_tables.REGISTRY.queries, **queries_studies.REGISTRY.queries}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
