@@ -10,9 +10,9 @@ Every byte covered by a ``LENGTH``-byte string that also starts earlier in the c
    repeats as a whole. A minimizer with one class, whose minimum occurs once in it, has no others.
 3. Transforms. The first segments of the other minimizers get their bytes, and jobs of some KB of whole
    minimizers are solved: each shard of a job is sorted once into its Burrows-Wheeler transform, and
-   the shards are merged by refining their interleave, one symbol a round: stably ordering rows by the
-   symbol before them turns the order by t symbols into that by t + 1, and where rows part, their
-   common prefix is known. Rows alone in their interval leave the refinement. The intervals that are
+   the shards are merged by refining their interleave, two symbols a round: stably ordering rows by the
+   symbols before them turns the order by t symbols into that by t + 2, and where rows part, their
+   common prefix is known to two symbols. Rows alone in their interval leave the refinement. The intervals that are
    left after LENGTH rounds are the repeated strings.
 4. The removed spans are merged per document and cut from its bytes.
 
@@ -42,7 +42,7 @@ from pyspark.sql.types import IntegralType
 from gridloom.llm._common import checkpointed, chunks, text_bytes
 
 LENGTH = 100
-KMER = 16
+KMER = 24
 CHUNK_BYTES = 3 << 20
 #: Small enough that a job's tables stay in a core's cache.
 JOB_BYTES = 64 << 10
@@ -63,11 +63,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def kmer_hashes(data: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A hash of the KMER bytes from each place."""
+    """A hash of the KMER bytes from each place, from the eight-byte words that they hold."""
     x = data.astype(_U)
     for width, bits in ((1, 8), (2, 16), (4, 32)):
         x = x[:-width] | (x[width:] << _U(bits))
-    return _mix(_mix(x[:-8] + _U(seed)) * _U(3) + x[8:])
+    n = len(x) - KMER + 8
+    out = _mix(x[:n] + _U(seed))
+    for at in range(8, KMER, 8):
+        out = _mix(out * _U(3) + x[at : at + n])
+    return out
 
 
 def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -184,23 +188,31 @@ def repeated_intervals(shards: list[np.ndarray], length: int = LENGTH) -> tuple[
         place.append(order + base)
         base += len(s)
     bwt, lf, place = np.concatenate(tables), np.concatenate(lf), np.concatenate(place)
+    # two symbols a round where a pair of them fits 16 bits: the pair before a row, and the row two places before
+    step = 2 if bwt.dtype == np.uint8 else 1
+    before, back = bwt, lf
+    if step == 2:
+        there = bwt[lf]
+        before, back = there.astype(np.uint16) << 8 | bwt, lf[lf]
+        before[(there == 0) | (bwt == 0)] = 0
     rows = np.arange(base, dtype=np.int32)  # by no symbols: the shards one after the other
     interval = np.zeros(base, np.int32)
-    for depth in range(1, length + 1):
-        c = bwt[rows]
+    depth = 0
+    while depth < length and len(rows):
+        one = step == 1 or (length - depth) % 2 == 1  # an odd length begins with a single symbol
+        c = (bwt if one else before)[rows]
         order = np.argsort(c, kind="stable")
         c = c[order]
         past = int(np.searchsorted(c, 1))  # a separator precedes the first rows: their strings would cross it
         order, c = order[past:], c[past:]
-        interval, rows = interval[order], lf[rows[order]]
+        interval, rows = interval[order], (lf if one else back)[rows[order]]
         new = np.ones(len(rows) + 1, bool)
         np.logical_or(c[1:] != c[:-1], interval[1:] != interval[:-1], out=new[1:-1])
         interval = np.cumsum(new[:-1], dtype=np.int32)
-        if depth % LEAVE_EVERY == 0 or depth == length:
+        depth += 1 if one else 2
+        if depth % LEAVE_EVERY < step or depth == length:
             held = ~(new[:-1] & new[1:])  # not alone
             rows, interval = rows[held], interval[held]
-            if not len(rows):
-                break
     return place[rows], interval
 
 
