@@ -11,7 +11,7 @@ part of one can occur inside a text, and undoing ``\\l`` before ``\\b`` restores
 Edge cases: a null text or role is empty; turns are ordered by (turn, position, role, text), nulls
 first, and repeated rows stay; a record whose fingerprint no mapping knows gives a conversation of
 layout ``unknown`` without turns; an empty table gives no rows; other columns are ignored.
-A conversation is one output row, so its own length bounds what a task holds.
+A conversation, however long its texts, is one output row, so its own length bounds what a task holds.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ LAYOUTS = {
     "messages": (("messages[].role", "messages[].content"), (), [("[]role", "messages.content")]),
     "exchanges": (("conversations[].from", "conversations[].value"), (), [("[]from", "conversations.value")]),
 }
-#: Other names of the canonical roles.
+#: Other names of the canonical roles in nested layouts; rows of turns keep their roles as they are.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 TURN = "struct<turn:bigint,pos:int,role:string,text:string>"
 
@@ -70,7 +70,7 @@ def _turns(df: DataFrame, spec: list[tuple[str, str]]) -> Column:
         if not texts:
             continue
         said = F.concat_ws("\n", *[F.when(t != "", t) for t in texts]) if len(texts) > 1 else F.coalesce(texts[0], F.lit(""))
-        who = _role(F.col(role[1:])) if role[0] == "=" else F.lit(role)
+        who = F.coalesce(F.col(role[1:]).cast("string"), F.lit("")) if role[0] == "=" else F.lit(role)
         one = F.array(F.struct(turn.alias("turn"), F.lit(pos).alias("pos"), who.alias("role"), said.alias("text")))
         # a turn of its own field is there only when the field is; a row of turn_rows is always a turn
         parts.append(one if role[0] == "=" else F.when(texts[0].isNotNull(), one).otherwise(F.array().cast(f"array<{TURN}>")))

@@ -171,6 +171,13 @@ def test_chat_round_trip(spark):
     assert all(got[1]["formatted"][a - 2 : a] == ">\n" and got[1]["formatted"][a + n :].startswith("</turn>\n") for a, n in spans)
 
 
+def test_chat_rows_keep_their_roles(spark):
+    """Names of roles are mapped in nested layouts only; extra columns with names of the operator's own are ignored."""
+    rows = [(1, 0, "human", "q", "z", 3), (1, 1, "gpt", "a", "z", 3), (1, 2, "assistant", "b", None, 3)]
+    got = _read(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, head string, layout int"))
+    assert [(t["role"], t["text"]) for t in got[1]["turns"]] == [("human", "q"), ("gpt", "a"), ("assistant", "b")] and got[1]["loss"] == "b"
+
+
 def test_chat_layouts(spark):
     schema = "conv_id bigint, prompt string, response string, instruction string, input string, output string, system string, messages array<struct<role:string,content:string>>, conversations array<struct<`from`:string,value:string>>"
     rows = [
