@@ -282,7 +282,7 @@ def register_affine(fixed: DataFrame, moving: DataFrame, rounds: int = 5) -> tra
 
 def register_demons(fixed: DataFrame, moving: DataFrame, rounds: int = 3, sigma: float = 1.0) -> DataFrame:
     """A displacement field (axes, u<axis>) by demons: forces from the fixed gradient, smoothed by a gaussian each round."""
-    from gridloom.operators.neighborhood import central_differences, gaussian
+    from gridloom.operators.neighborhood import central_differences, gaussian_columns
 
     axes = axes_of(fixed)
     grads = checkpointed(central_differences(fixed.select(*axes, F.col("v").cast("double").alias("v"))))
@@ -293,10 +293,7 @@ def register_demons(fixed: DataFrame, moving: DataFrame, rounds: int = 3, sigma:
         gap = F.col("_m") - F.col("v")
         size = sum((F.col(f"g{a}") ** 2 for a in axes), F.lit(0.0)) + gap**2
         rows = checkpointed(rows.select(*axes, *[(F.col(f"u{a}") - F.when(size > 1e-9, gap * F.col(f"g{a}") / size).otherwise(0.0)).alias(f"u{a}") for a in axes]))
-        out = rows.select(*axes)
-        for a in axes:
-            out = out.join(gaussian(rows.select(*axes, F.col(f"u{a}").alias("v")), sigma).withColumnRenamed("v", f"u{a}"), axes)
-        field = checkpointed(out)
+        field = checkpointed(gaussian_columns(rows, sigma, [f"u{a}" for a in axes]))
     return field
 
 

@@ -122,19 +122,22 @@ def _kernel(sigma: float, error: float = 0.01) -> list[tuple[int, float]]:
     return [(i, x / s) for i, x in w]
 
 
-def gaussian(df: DataFrame, sigma: float, geometry: Geometry | None = None, v: str = "v") -> DataFrame:
-    """Separable gaussian smoothing, sigma in physical units; weights outside the image are left out and the rest rescaled."""
+def gaussian_columns(df: DataFrame, sigma: float, columns: list[str], geometry: Geometry | None = None) -> DataFrame:
+    """(axes, the columns): separable gaussian smoothing of several columns at once, sigma in physical units; weights outside the image are left out and the rest rescaled."""
     axes = axes_of(df)
-    out = df.select(*axes, F.col(v).cast("double").alias("v"))
+    out = df.select(*axes, *[F.col(c).cast("double").alias(c) for c in columns])
     for i, a in enumerate(axes):
-        step = geometry.spacing[i] if geometry else 1.0
-        weights = _kernel(sigma / step)
+        weights = _kernel(sigma / (geometry.spacing[i] if geometry else 1.0))
         offsets = [tuple(d if b == a else 0 for b in axes) for d, _ in weights]
-        rows = scattered(out.withColumnRenamed("v", "_v"), offsets, axes, {"_k": [w for _, w in weights]})
-        out = rows.groupBy(*axes).agg((F.sum(F.col("_v") * F.col("_k")) / F.sum("_k")).alias("v"), F.max("_self").alias("_in")).filter("_in").drop("_in")
+        rows = scattered(out, offsets, axes, {"_k": [w for _, w in weights]})
+        out = rows.groupBy(*axes).agg(*[(F.sum(F.col(c) * F.col("_k")) / F.sum("_k")).alias(c) for c in columns], F.max("_self").alias("_in")).filter("_in").drop("_in")
     return out
 
 
+def gaussian(df: DataFrame, sigma: float, geometry: Geometry | None = None, v: str = "v") -> DataFrame:
+    return gaussian_columns(df.select(*axes_of(df), F.col(v).alias("v")), sigma, ["v"], geometry)
+
+
 def _axis(df: DataFrame, a: str):
     return Window.partitionBy(*[b for b in axes_of(df) if b != a]).orderBy(a)
 

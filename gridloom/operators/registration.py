@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 
 from gridloom.grid import axes_of, box, scattered
 from gridloom.operators import spline, transforms
-from gridloom.operators.neighborhood import central_differences, gaussian
+from gridloom.operators.neighborhood import central_differences, gaussian, gaussian_columns
 from gridloom.plans.lineage import checkpointed
 
 Matrix = list[list[float]]
@@ -146,7 +145,7 @@ def regularised(u: DataFrame, how: str, amount: float) -> DataFrame:
         return u
     if how == "bspline":
         return spline.smooth_field(u, int(amount), still=True)
-    return reduce(lambda p, q: p.join(q, axes), [gaussian(u.select(*axes, F.col(f"u{a}").alias("v")), amount).withColumnRenamed("v", f"u{a}") for a in axes])
+    return gaussian_columns(u, amount, [f"u{a}" for a in axes])
 
 
 def _zero(image: DataFrame) -> DataFrame:

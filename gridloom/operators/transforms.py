@@ -214,13 +214,9 @@ def border_still(field: DataFrame) -> DataFrame:
 
 def smooth_field(field: DataFrame, sigma: float) -> DataFrame:
     """Gaussian smoothing of each component, the border still."""
-    from gridloom.operators.neighborhood import gaussian
+    from gridloom.operators.neighborhood import gaussian_columns
 
-    axes = axes_of(field)
-    out = field.select(*axes)
-    for a in axes:
-        out = out.join(gaussian(field.select(*axes, F.col(f"u{a}").alias("v")), sigma).withColumnRenamed("v", f"u{a}"), axes)
-    return border_still(out)
+    return border_still(gaussian_columns(field, sigma, [f"u{a}" for a in axes_of(field)]))
 
 
 def simulate_field(grid: DataFrame, seed: int, sd: float = 1.0, spans: int = 4, kind: str = "bspline", smoothing: float = 4.0) -> DataFrame:
@@ -306,11 +302,7 @@ def jacobian(field: DataFrame, log: bool = False) -> DataFrame:
 def inverse_error(forward: DataFrame, backward: DataFrame) -> DataFrame:
     """Per cell |u(p) + w(p + u(p))|: how far a field and its inverse miss the cell."""
     axes = axes_of(forward)
-    out = forward
-    for a in axes:
-        value = backward.select(*axes, F.col(f"u{a}").alias("v"))
-        read = warp_field(value, forward).withColumnRenamed("v", f"_w{a}")
-        out = out.join(read, axes)
+    out = forward.join(_read_field(backward, forward), axes)
     return out.select(*axes, F.sqrt(sum(((F.col(f"u{a}") + F.col(f"_w{a}")) ** 2 for a in axes), F.lit(0.0))).alias("v"))
 
 
@@ -389,13 +381,17 @@ def integrate(field: DataFrame, seeds: DataFrame, steps: int, step: float = 0.5)
     return now
 
 
+def _read_field(field: DataFrame, along: DataFrame, k: float = 1.0) -> DataFrame:
+    """(axes, _w<axis>): a field's components read, in one join, where another field takes each cell, times k."""
+    axes = axes_of(along)
+    got = warp_values(field, along, {a: F.col(a) + F.col(f"u{a}") for a in axes}, [f"u{a}" for a in axes])
+    return got.select(*axes, *[(k * F.col(f"u{a}")).alias(f"_w{a}") for a in axes])
+
+
 def compose_fields(first: DataFrame, then: DataFrame) -> DataFrame:
     """The field of going along ``first`` and from there along ``then``."""
     axes = axes_of(first)
-    out = first
-    for a in axes:
-        read = warp_field(then.select(*axes, F.col(f"u{a}").alias("v")), first).withColumnRenamed("v", f"_w{a}")
-        out = out.join(read, axes)
+    out = first.join(_read_field(then, first), axes)
     return out.select(*axes, *[(F.col(f"u{a}") + F.col(f"_w{a}")).alias(f"u{a}") for a in axes])
 
 
@@ -406,11 +402,8 @@ def invert_field(field: DataFrame, rounds: int = 10) -> DataFrame:
     axes = axes_of(field)
     now = field.select(*axes, *[(-F.col(f"u{a}")).alias(f"u{a}") for a in axes])
     for _ in range(rounds):
-        out = now.select(*axes)
-        for a in axes:
-            read = warp_field(field.select(*axes, F.col(f"u{a}").alias("v")), now)
-            out = out.join(read.select(*axes, (-F.col("v")).alias(f"u{a}")), axes)
-        now = checkpointed(out)
+        read = _read_field(field, now, -1.0)
+        now = checkpointed(read.select(*axes, *[F.col(f"_w{a}").alias(f"u{a}") for a in axes]))
     return now
 
 

@@ -353,6 +353,14 @@ def _(spark, sf):
     return neighborhood.local_correlation(fx.part_image(spark, sf), 1)
 
 
+_N5 = f"{P}, o AS (SELECT a.x, a.y, b.v AS bv, b.w AS bw FROM img a JOIN img b ON b.x BETWEEN a.x - 5 AND a.x + 5 AND b.y BETWEEN a.y - 5 AND a.y + 5)"
+
+
+@add("local_correlation_radius_5", "x y", "v", f"{_N5} :: SELECT x, y, CASE WHEN var_pop(bv) > 1e-12 AND var_pop(bw) > 1e-12 THEN pow(covar_pop(bv, bw), 2) / (var_pop(bv) * var_pop(bw)) ELSE 0 END AS v FROM o GROUP BY x, y")
+def _(spark, sf):
+    return neighborhood.local_correlation(fx.part_image(spark, sf), 5)
+
+
 @add("correlation_update", "x y", "v", f"{_NB} :: SELECT x, y, CASE WHEN count(*) = 9 THEN any_value(v - w) - avg(bv - bw) ELSE 0 END AS v FROM o GROUP BY x, y")
 def _(spark, sf):
     return neighborhood.correlation_update(fx.part_image(spark, sf), 1)

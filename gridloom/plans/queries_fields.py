@@ -252,7 +252,7 @@ def _(spark, sf):
     return spline.smooth_field(field(spark, sf).select("x", "y", "ux", "uy"), 4, 2)
 
 
-@add("landmark_spline_field", "label", "miss", f"{P} :: SELECT DISTINCT la AS label, 0.0 AS miss FROM img WHERE la IN (7, 23)", 4)
+@add("landmark_spline_field", "label", "miss", f"{P} :: SELECT DISTINCT la AS label, 0.0 AS miss FROM img WHERE la IN (7, 23)", 2)
 def _(spark, sf):
     a = fx.part_image(spark, sf).select("x", "y", F.when(F.col("la").isin(7, 23), F.col("la")).otherwise(0).alias("label"))
     one = a.filter("label <> 0").groupBy("label").agg(F.min(F.struct("y", "x")).alias("p")).select("label", "p.x", "p.y")

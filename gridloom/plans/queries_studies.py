@@ -95,7 +95,7 @@ def _(spark, sf):
     """The image halfway has its centre between the two images' centres."""
     a, b = _shape(spark, sf, 0.0), _shape(spark, sf, 2.0)
     centre = lambda df: df.agg(F.sum(F.col("x") * F.col("v")) / F.sum("v")).first()[0]
-    at = centre(pipelines.geodesic(a, b, 0.5, 2))
+    at = centre(pipelines.geodesic(a, b, 0.5, 1))
     return spark.createDataFrame([(bool(centre(a) < at < centre(b)),)], "between boolean")
 
 
