@@ -149,7 +149,7 @@ def otsu_thresholds(df: DataFrame, k: int = 1, bins: int = 200, v: str = "v", ma
         for j in range(1, bins + 1):
             for i in range(1, j):
                 g = best[-1][i] + gain(i, j)
-                if g > row[j] + 1e-12:
+                if g > row[j] + 1e-11 * abs(row[j] if row[j] > -math.inf else 0.0):  # of equal splits the lowest
                     row[j], at[j] = g, i
         best.append(row)
         back.append(at)

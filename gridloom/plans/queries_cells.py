@@ -246,7 +246,7 @@ def _(spark, sf):
     return label.similarity(fx.part_image(spark, sf))
 
 
-_OT = f"{P}, s AS (SELECT min(v) AS lo, max(v) AS hi FROM img), h AS (SELECT CAST(least(floor((v - lo) / (hi - lo) * 200), 199) AS INT) AS k, count(*) AS n, sum(v) AS t FROM img, s GROUP BY 1), c AS (SELECT j, coalesce(sum(n) FILTER (k < j), 0) AS n, coalesce(sum(t) FILTER (k < j), 0) AS t FROM range(201) b(j), h GROUP BY j), g AS (SELECT a.j AS i, b.j AS j, a.t * a.t / a.n + pow(b.t - a.t, 2) / (b.n - a.n) + pow(z.t - b.t, 2) / (z.n - b.n) AS gain FROM c a, c b, c z WHERE z.j = 200 AND a.j < b.j AND b.j < 200 AND a.n > 0 AND b.n > a.n AND z.n > b.n), m AS (SELECT i, j FROM g ORDER BY gain DESC LIMIT 1)"
+_OT = f"{P}, s AS (SELECT min(v) AS lo, max(v) AS hi FROM img), h AS (SELECT CAST(least(floor((v - lo) / (hi - lo) * 200), 199) AS INT) AS k, count(*) AS n, sum(v) AS t FROM img, s GROUP BY 1), c AS (SELECT j, coalesce(sum(n) FILTER (k < j), 0) AS n, coalesce(sum(t) FILTER (k < j), 0) AS t FROM range(201) b(j), h GROUP BY j), g AS (SELECT a.j AS i, b.j AS j, a.t * a.t / a.n + pow(b.t - a.t, 2) / (b.n - a.n) + pow(z.t - b.t, 2) / (z.n - b.n) AS gain FROM c a, c b, c z WHERE z.j = 200 AND a.j < b.j AND b.j < 200 AND a.n > 0 AND b.n > a.n AND z.n > b.n), m AS (SELECT i, j FROM g WHERE gain >= (SELECT max(gain) FROM g) * (1 - 1e-11) ORDER BY j, i LIMIT 1)"
 
 
 @add("otsu_threshold", "x y out", "", f"{_OT} :: SELECT x, y, 1 + CAST(v >= lo + i * (hi - lo) / 200 AS BIGINT) + CAST(v >= lo + j * (hi - lo) / 200 AS BIGINT) AS out FROM img, s, m")
