@@ -14,9 +14,15 @@ SHAPES = {"box": box, "ball": ball, "cross": cross, "annulus": annulus}
 
 def is_full(df: DataFrame) -> bool:
     """Whether the image has a cell at each place of its bounding box, each once; one aggregation."""
+    return _full_and_means(df)[0]
+
+
+def _full_and_means(df: DataFrame, *columns: str) -> tuple[bool, list[float]]:
+    """is_full, and the means of columns, by the same aggregation."""
     axes = axes_of(df)
-    r = df.agg(F.count(F.lit(1)), *[f(a) for a in axes for f in (F.min, F.max)]).first()
-    return r[0] > 0 and r[0] == math.prod(hi - lo + 1 for lo, hi in zip(r[1::2], r[2::2], strict=True))
+    r = list(df.agg(F.count(F.lit(1)), *[F.avg(F.col(c).cast("double")) for c in columns], *[f(a) for a in axes for f in (F.min, F.max)]).first())
+    n, means, ends = r[0], r[1 : 1 + len(columns)], r[1 + len(columns) :]
+    return n > 0 and n == math.prod(hi - lo + 1 for lo, hi in zip(ends[::2], ends[1::2], strict=True)), [m or 0.0 for m in means]
 
 
 def box_passes(df: DataFrame, radius: int, columns: dict[str, object]) -> DataFrame:
@@ -73,14 +79,14 @@ def neighborhood_stats(df: DataFrame, radius: int, v: str = "v", bins: int = 0)
     """Over the box of each cell: mean, min, max, variance (n - 1), sigma, skewness, kurtosis (moments over variance * sigma, n - 1), n."""
     axes = axes_of(df)
     x = F.col("_v")
-    if is_full(df):
+    full, (mean,) = _full_and_means(df, v)
+    if full:
         # about the image's mean, so that sums of powers keep their digits
-        mean = df.agg(F.avg(F.col(v).cast("double")).alias("_m"))
-        base = df.crossJoin(F.broadcast(mean)).select(*axes, (F.col(v).cast("double") - F.col("_m")).alias("_v"), "_m")
-        sums = base.select(*axes, "_m", F.lit(1).cast("bigint").alias("n"), x.alias("min"), x.alias("max"), *[(x**k).alias(f"s{k}") for k in (1, 2, 3, 4)])
+        base = df.select(*axes, (F.col(v).cast("double") - mean).alias("_v"))
+        sums = base.select(*axes, F.lit(1).cast("bigint").alias("n"), x.alias("min"), x.alias("max"), *[(x**k).alias(f"s{k}") for k in (1, 2, 3, 4)])
         got = box_passes(sums, radius, {"n": F.sum, "min": F.min, "max": F.max, **{f"s{k}": F.sum for k in (1, 2, 3, 4)}})
         got = got.withColumns({"mean": F.col("s1") / F.col("n"), "variance": F.when(F.col("n") > 1, (F.col("s2") - F.col("s1") ** 2 / F.col("n")) / (F.col("n") - 1))})
-        shift = F.col("_m")
+        shift = F.lit(mean)
     else:
         rows = scattered(df.select(*axes, F.col(v).cast("double").alias("_v")), box(axes, radius), axes)
         got = rows.groupBy(*axes).agg(F.max("_self").alias("_in"), F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.min("_v").alias("min"), F.max("_v").alias("max"), F.var_samp("_v").alias("variance"), F.sum(x * x).alias("s2"), F.sum(x**3).alias("s3"), F.sum(x**4).alias("s4"), F.sum("_v").alias("s1")).filter("_in")
@@ -191,10 +197,9 @@ def unsharp_mask(df: DataFrame, amount: float = 0.5, radius: float = 1.0, thresh
 def local_correlation(df: DataFrame, radius: int, a: str = "v", b: str = "w") -> DataFrame:
     """Squared correlation of two images in each cell's box."""
     axes = axes_of(df)
-    if is_full(df):
-        x, y = F.col(a).cast("double"), F.col(b).cast("double")
-        mean = df.agg(F.avg(x).alias("_ma"), F.avg(y).alias("_mb"))
-        base = df.crossJoin(F.broadcast(mean)).select(*axes, (x - F.col("_ma")).alias("sa"), (y - F.col("_mb")).alias("sb"))
+    full, (ma, mb) = _full_and_means(df, a, b)
+    if full:
+        base = df.select(*axes, (F.col(a).cast("double") - ma).alias("sa"), (F.col(b).cast("double") - mb).alias("sb"))
         parts = base.withColumns({"n": F.lit(1).cast("bigint"), "ab": F.col("sa") * F.col("sb"), "aa": F.col("sa") ** 2, "bb": F.col("sb") ** 2})
         s = box_passes(parts, radius, dict.fromkeys(("n", "sa", "sb", "ab", "aa", "bb"), F.sum))
         n = F.col("n")
