@@ -181,12 +181,12 @@ OPERATIONS: dict[str, Callable[..., DataFrame]] = {
     "CreateDisplacementField": lambda *parts, still=False: transforms.make_field(list(parts), still),
     "FitBSplineToPoints": lambda a, coords, values, spans, levels=1: spline.fit_points(a, list(coords), list(values), tuple(spans), int(levels)),
     "SuperResolution": lambda samples, grid, spans=8, levels=3: spline.super_resolution(samples, grid, int(spans), int(levels)),
-    "ANTSIntegrateVectorField": lambda a, seeds, steps: transforms.integrate(a, seeds, int(steps)),
+    "IntegrateVectorField": lambda a, seeds, steps: transforms.integrate(a, seeds, int(steps)),
     "ComposeMultiTransform": lambda grid, stack: transforms.field_of(grid, list(stack)),
     "CreateJacobianDeterminantImageGeometric": lambda a: transforms.geometric_jacobian(a),
     "WarpTimeSeriesImageMultiTransform": lambda a, grid, m: transforms.warp_series(a, grid, m),
     "WarpTensorImageMultiTransform": lambda a, grid, m: transforms.warp_tensors(a, grid, m),
-    "Atropos": lambda a, options=None, priors=None: mixture.segment(a, ["v"], options or mixture.Options(), priors)[0],
+    "MixtureSegmentation": lambda a, options=None, priors=None: mixture.segment(a, ["v"], options or mixture.Options(), priors)[0],
     "LaplacianThickness": lambda a, inner, outer, between, rounds=30: models.thickness(a, int(inner), int(outer), int(between), int(rounds)),
     **{name: (lambda fixed, moving, name=name, **k: registration.MODELS[name](fixed, moving, **k).forward) for name in registration.MODELS},
 }

@@ -250,4 +250,4 @@ def test_dispatch_of_new_names(spark):
     one = image(spark, [[1.0, 2.0], [3.0, 4.0]])
     assert dispatch.run("nvols", one.withColumn("t", F.lit(0))).first()["n"] == 1
     assert dispatch.run("SurfaceCurvature", one).count() == 4
-    assert {"SyN", "BSplineSyN", "Atropos", "N4BiasFieldCorrection", "TensorFANumerator"} <= set(dispatch.OPERATIONS)
+    assert {"SyN", "BSplineSyN", "MixtureSegmentation", "N4BiasFieldCorrection", "TensorFANumerator"} <= set(dispatch.OPERATIONS)
