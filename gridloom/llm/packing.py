@@ -17,6 +17,7 @@ packed again; a null doc_id is packed and stays null; an empty table gives no ro
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -37,6 +38,8 @@ HARD_STEP = 64
 CHUNK_BYTES = 4 << 20
 #: Words whose ids a worker remembers, and the longest such word.
 CACHE_WORDS, CACHE_CHARS = 150_000, 48
+#: A blank that doesn't begin a word; Python's white space holds all that the tokenizer's does.
+_BLANK_ALONE = re.compile(r" (?!\S)")
 _CODERS: dict[str, Coder] = {}
 
 
@@ -59,8 +62,9 @@ class _Words(dict):
 class Coder:
     """Ids of a byte-level BPE tokenizer file, the same as its library's, faster for texts of words.
 
-    A blank before a non-blank always begins a piece, so a text without two blanks in a row is the
-    ids of its words, each with its blank. Other texts are encoded whole; those with a special
+    A blank before a character that isn't white space begins a piece, so a text in which every blank
+    stands so is the ids of its words, each with its blank. Other texts, with a blank before white space of
+    any kind or at the end, are encoded whole; those with a special
     token's string, and all where the file isn't plain byte-level BPE, by the library itself, which
     is loaded for the first of them only: a worker holds one coder.
     """
@@ -102,7 +106,7 @@ class Coder:
         """The ids as little-endian 32-bit numbers."""
         if not self.plain or any(x in text for x in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if "  " in text:
+        if _BLANK_ALONE.search(text):
             return np.array(self.whole(text), "<u4").tobytes()
         first, *rest = text.split(" ")
         return np.array(self.whole(first), "<u4").tobytes() + b"".join(map(self.words.__getitem__, rest))

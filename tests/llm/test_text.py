@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 
@@ -29,6 +30,17 @@ def test_ids_are_the_library_s(library, rows):
         assert np.frombuffer(c.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
+def test_ids_of_white_space_runs(library):
+    """Blanks beside every other white space, where a blank may or may not begin a word."""
+    c, r = packing.coder(PATH), random.Random(3)
+    white = [chr(i) for i in range(0x3100) if chr(i).isspace()]
+    other = ["word", "the", "10", "'s", "é", "中", "!", "...", "$", "x", "\u200b", "\u180e"]
+    texts = ["word \xa0 \xa0 word", "x \xa0 \xa0\n", "Price: \xa0 \xa0 10", "x\xa0 ", "x "]
+    texts += ["".join(r.choice(white if r.random() < 0.3 else [" "] if r.random() < 0.4 else other) for _ in range(r.randint(1, 10))) for _ in range(20000)]
+    for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(c.encode(t), "<u4").tolist() == e.ids, t
+
+
 def test_pack_round_trip(spark, library, docs, rows, empty):
     texts = {d: t or "" for d, t in rows}
     long = 1000
