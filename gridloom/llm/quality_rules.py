@@ -155,9 +155,11 @@ def pipeline_stage(docs: DataFrame) -> DataFrame:
 
     Where two rows share a key, one that is kept keeps both; a null key has no verdict, and its rows stay as they are.
     """
-    verdict = quality_rules(docs).filter("kept").groupBy("doc_id").agg(F.first("gone").alias("_gone"))
-    out = docs.join(verdict, "doc_id")
-    lines, hashes = F.split("text", "\n"), _line_hashes(_flat(F.col("text")))
-    left = F.filter(F.arrays_zip(lines.alias("x"), hashes.alias("h")), lambda p: ~F.array_contains(F.col("_gone"), p["h"]))
-    clean = F.when(F.size("_gone") > 0, F.array_join(F.transform(left, lambda p: p["x"]), "\n")).otherwise(F.col("text"))
-    return out.withColumn("text", clean).select(*docs.columns).union(docs.filter("doc_id IS NULL"))
+    verdict = quality_rules(docs).filter("kept").groupBy(F.col("doc_id").alias("key")).agg(F.first("gone").alias("gone"))
+    # the row in one column, so that no name of docs meets those used here
+    held = docs.select(F.col("doc_id").alias("key"), F.struct("*").alias("row")).join(verdict, "key")
+    text = F.col("row")["text"]
+    lines, hashes = F.split(text, "\n"), _line_hashes(_flat(text))
+    left = F.filter(F.arrays_zip(lines.alias("x"), hashes.alias("h")), lambda p: ~F.array_contains(F.col("gone"), p["h"]))
+    clean = F.when(F.size("gone") > 0, F.array_join(F.transform(left, lambda p: p["x"]), "\n")).otherwise(text)
+    return held.select(F.col("row").withField("text", clean).alias("row")).select("row.*").union(docs.filter("doc_id IS NULL"))

@@ -44,6 +44,21 @@ def test_stages(spark, folder):
     assert set(before) == set(after) and after[2001].endswith("[EMAIL] today")
 
 
+def test_columns_named_as_helpers(spark, folder):
+    """Extra columns, some named as the stages' own, and a long text pass through every stage."""
+    names = ["_gone", "gone", "key", "row", "kept", "hs", "signs", "host", "lines", "contaminated", "component_id", "spans", "m", "_salt", "_salts"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    long = spark.createDataFrame([(5000, " ".join(f"w{i}" for i in range(60000)), "en", "h1", 1)], docs.schema)
+    docs = docs.union(long).select("doc_id", *[F.lit(n).alias(n) for n in names], "text", "lang", "source", "n_chars")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        columns = docs.columns
+        stage(spark, docs, folder).write.parquet(f"{folder}/clash-{name}")
+        docs = spark.read.parquet(f"{folder}/clash-{name}")
+        assert docs.columns == columns and docs.filter("doc_id = 5000").count() == 1
+        assert docs.filter(" OR ".join(f"`{n}` <> '{n}'" for n in names)).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).filter("doc_id = 5000").count() > 0
+
+
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder).toPandas()
     assert {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} <= set(out.columns)
