@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat_format, decontaminate, langid, near_dedup, packing, pii, quality_rules, sql, suffix_dedup, toxicity, wrapper_extract
+from gridloom.llm import chat_format, decontaminate, langid, manifest, mixing, near_dedup, packing, pii, quality_rules, sql, suffix_dedup, toxicity, whitening, wrapper_extract
 from gridloom.llm._common import small_batches, table
 
 
@@ -76,5 +76,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("gone")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_wrapper_induction, op3_pack_dp, op4_pii_deobfuscate, op5_ordinal_toxicity, op6_decontaminate, op7_langid_zstd, op8_chat_format, op9_odd_sketch_dedup, op10_quality_rules)}
-ORACLES: dict[str, str] = {"op6_decontaminate": sql.DECONTAMINATE, "op8_chat_format": sql.CHAT, "op9_odd_sketch_dedup": sql.NEAR_DEDUP, "op10_quality_rules": sql.QUALITY}
+def op11_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark, 500)
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_whiten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_wrapper_induction, op3_pack_dp, op4_pii_deobfuscate, op5_ordinal_toxicity, op6_decontaminate, op7_langid_zstd, op8_chat_format, op9_odd_sketch_dedup, op10_quality_rules, op11_mix_sources, op12_merkle_manifest, op13_whiten_embeddings)}
+ORACLES: dict[str, str] = {"op6_decontaminate": sql.DECONTAMINATE, "op8_chat_format": sql.CHAT, "op9_odd_sketch_dedup": sql.NEAR_DEDUP, "op10_quality_rules": sql.QUALITY, "op11_mix_sources": sql.MIX, "op12_merkle_manifest": sql.MANIFEST}

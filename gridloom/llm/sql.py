@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gridloom.llm import manifest, mixing
 from gridloom.llm import quality_rules as q
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -65,3 +66,65 @@ SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.REPEAT_PERCENT} *
   NOT (n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.REPEAT_PERCENT} * n_words) AND n_line_words <= {q.DEPLETED} * n_words AS kept
 FROM base
 """
+
+_BODY = "coalesce(text, '')"
+_NO_WHITE = "translate({text}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13){more}, '')"
+_HELD = f"length({_NO_WHITE.format(text=_BODY, more='')})"
+_GOOD = f"length({_NO_WHITE.format(text=_BODY, more=" || '" + mixing.BAD + "'")})"
+
+MIX = rf"""
+WITH docs AS (
+  SELECT doc_id, source, len({_WORDS.format(text=_BODY)}) AS size, CAST(0.1 AS DOUBLE) + CASE WHEN {_HELD} > 0 THEN CAST(0.9 AS DOUBLE) * ({_GOOD} / {_HELD}) ELSE 0 END AS w FROM documents),
+drawn AS (SELECT *, (CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || size), 1, 13) AS UBIGINT) + CAST(0.5 AS DOUBLE)) / 4503599627370496 AS u FROM docs),
+keyed AS (SELECT *, floor((log2(-ln(u) / w) + 64) * 2199023255552) AS k FROM drawn),
+sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS total FROM docs GROUP BY source),
+known AS (SELECT *, [{", ".join(map(str, mixing.WEIGHTS))}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1] AS weight, {mixing.EPOCHS} * total AS most, CAST(sum(total) OVER () AS BIGINT) AS words FROM sizes),
+-- the sources that are full: of all sets that start with those filled first, the largest whose level fills each
+filled AS (SELECT *, row_number() OVER (ORDER BY most / weight, source NULLS LAST) AS i FROM known),
+sets AS (
+  SELECT a.i, CAST(coalesce(sum(b.most) FILTER (b.i < a.i), 0) AS BIGINT) AS used, CAST(sum(b.weight) FILTER (b.i >= a.i) AS BIGINT) AS open FROM filled a, filled b GROUP BY a.i),
+level AS (SELECT filled.*, 100 * (CAST(used AS HUGEINT) * weight + CAST(open AS HUGEINT) * most) <= {mixing.PERCENT} * CAST(words AS HUGEINT) * weight AS full_ FROM filled JOIN sets USING (i)),
+wanted AS (
+  SELECT source, total, CASE WHEN full_ THEN CAST(most AS DOUBLE) ELSE ({mixing.PERCENT / 100}::DOUBLE * words - coalesce(CAST(sum(most) FILTER (full_) OVER () AS BIGINT), 0)) / CAST(sum(weight) FILTER (NOT full_) OVER () AS BIGINT) * weight END AS target FROM level),
+whole AS (SELECT *, CASE WHEN total > 0 THEN CAST(floor(target / total) AS BIGINT) ELSE 0 END AS epochs FROM wanted),
+placed AS (
+  SELECT doc_id, size, total, target, epochs, CAST(floor(target - epochs * total + CAST(0.5 AS DOUBLE)) AS BIGINT) AS rest,
+    CAST(coalesce(sum(size) OVER (PARTITION BY keyed.source ORDER BY k, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+  FROM keyed JOIN whole ON keyed.source IS NOT DISTINCT FROM whole.source)
+SELECT doc_id, size, total AS source_size, target, epochs * size + least(size, greatest(0, rest - before)) AS taken FROM placed
+"""
+
+_LEAF = "sha256(" + " || ".join(f"coalesce(CAST(strlen(CAST({{}} AS VARCHAR)) AS VARCHAR) || ':' || CAST({{}} AS VARCHAR), '-')".replace("{}", f"{{{f}}}") for f in manifest.FIELDS) + ")"
+_CRC = "xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS UBIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS UBIGINT[])), lambda x, y: xor(x >> 1, CAST(3988292384 AS UBIGINT) * (x & 1)))), CAST(4294967295 AS UBIGINT))"
+
+
+def _merkle_levels(name: str, levels: int) -> str:
+    """CTEs name1 .. of (g, r, n, h) above name0, pairs of nodes at a time."""
+    one = "{name}{k} AS MATERIALIZED (SELECT g, r // 2 AS r, (n + 1) // 2 AS n, CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY r)) ELSE max(h) END AS h FROM {name}{j} GROUP BY g, r // 2, n)"
+    return ",\n".join(one.format(name=name, k=k, j=k - 1) for k in range(1, levels + 1))
+
+
+def _merkle_paths(name: str, start: str, levels: int) -> str:
+    """CTEs name_path1 ..: per row of start (g, r, node, others, rest) the fold so far and the digests beside it."""
+    one = """{name}_path{k} AS MATERIALIZED (SELECT p.* REPLACE (p.r // 2 AS r, others || coalesce(b.h, '') AS others,
+  CASE WHEN o.n = 1 THEN node WHEN p.r % 2 = 0 THEN sha256(node || coalesce(b.h, '')) ELSE sha256(b.h || node) END AS node)
+  FROM {before} p JOIN (SELECT DISTINCT g, n FROM {name}{j}) o ON o.g = p.g LEFT JOIN {name}{j} b ON b.g = p.g AND b.r = xor(p.r, 1))"""
+    return ",\n".join(one.format(name=name, k=k, j=k - 1, before=start if k == 1 else f"{name}_path{k - 1}") for k in range(1, levels + 1))
+
+
+_LEVELS, _TOPS = 24, 8
+MANIFEST = f"""
+WITH docs AS (SELECT *, coalesce('=' || lang, '') AS g, n_chars + CASE WHEN {_CRC} % {manifest.TAMPER_SHARE} = 0 THEN 1 ELSE 0 END AS more FROM documents),
+hashed AS (SELECT doc_id, g, {_LEAF.format(**{f: f for f in manifest.FIELDS})} AS leaf, {_LEAF.format(**{f: "coalesce(more, n_chars)" if f == "n_chars" else f for f in manifest.FIELDS})} AS node FROM docs),
+rows AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, count(*) OVER (PARTITION BY g) AS n FROM hashed),
+node0 AS MATERIALIZED (SELECT g, r, n, leaf AS h FROM rows),
+{_merkle_levels("node", _LEVELS)},
+start AS (SELECT doc_id, g, r, leaf, node, '' AS others FROM rows),
+{_merkle_paths("node", "start", _LEVELS)},
+tops AS MATERIALIZED (SELECT g AS lang_g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS place, count(*) OVER () AS n FROM node{_LEVELS}),
+top0 AS MATERIALIZED (SELECT 1 AS g, place AS r, n, subroot AS h FROM tops),
+{_merkle_levels("top", _TOPS)},
+middle AS (SELECT doc_id, 1 AS g, place AS r, leaf, node, others, subroot FROM node_path{_LEVELS} JOIN tops ON lang_g = g),
+{_merkle_paths("top", "middle", _TOPS)}
+SELECT doc_id, leaf, subroot, h AS root, sha256(others) AS proof_sha256, node AS folded_root, node = h AS verified FROM top_path{_TOPS}, top{_TOPS}
+"""
