@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import models, tensor, transforms
+from gridloom.operators import models, tensor, transforms, wide
 from gridloom.plans.registry import Registry
 from gridloom.sources import fixtures as fx
 
@@ -242,17 +242,108 @@ def _(spark, sf):
     return models.project(m, models.principal_components(m, 2)).select("vec_id", F.col("scores")[0].alias("s0"), F.col("scores")[1].alias("s1"))
 
 
-@add("sparse_svd", "component kept", "variance", None)
+SVD_ROUNDS, SVD_SHARE, CCA_ROUNDS = 6, 0.25, 4
+
+
+def _soft_sql(name: str, source: str, share: float, columns: int) -> str:
+    """CTE name (col, w): source (col, w), soft-thresholded to a share of its columns and of length 1."""
+    keep = max(1, round(share * columns))
+    cut = f"coalesce((SELECT abs(w) FROM {source} ORDER BY abs(w) DESC LIMIT 1 OFFSET {keep}), 0)" if keep < columns else "0"
+    return f"{name}_s AS MATERIALIZED (SELECT col, sign(w) * greatest(abs(w) - {cut}, 0) AS w FROM {source}), {name} AS MATERIALIZED (SELECT col, w / (SELECT sqrt(sum(w * w)) FROM {name}_s) AS w FROM {name}_s)"
+
+
+def _times_sql(name: str, x: str, v: str, y: str) -> str:
+    """CTE name (col, w): Y'X v / n for centred cells x and y (row, col, v)."""
+    return f"{name}_u AS MATERIALIZED (SELECT row, sum(x.v * v.w) AS u FROM {x} x JOIN {v} v USING (col) GROUP BY row), {name} AS MATERIALIZED (SELECT col, sum(y.v * u) / (SELECT count(*) FROM {name}_u) AS w FROM {y} y JOIN {name}_u USING (row) GROUP BY col)"
+
+
+def _cells_sql(name: str, lo: int, hi: int) -> str:
+    """CTE name (row, col, v): the embeddings' entries lo to hi, centred."""
+    return f"{name} AS MATERIALIZED (SELECT row, col, e - avg(e) OVER (PARTITION BY col) AS v FROM (SELECT vec_id AS row, unnest(range({hi - lo})) AS col, CAST(unnest(embedding[{lo + 1}:{hi}]) AS DOUBLE) AS e FROM embeddings))"
+
+
+def _start_sql(name: str, x: str) -> str:
+    return f"{name}_v AS (SELECT col, avg(v * v) AS w FROM {x} GROUP BY col), {name} AS MATERIALIZED (SELECT col, w / (SELECT sqrt(sum(w * w)) FROM {name}_v) AS w FROM {name}_v)"
+
+
+def _svd_sql(components: int) -> str:
+    """Power rounds written out, less the components before."""
+    parts, found = [_cells_sql("x", 0, 64), _start_sql("start", "x")], []
+    for c in range(components):
+        at = "start"
+        for k in range(SVD_ROUNDS + 1):
+            now = f"z{c}_{k}"
+            parts.append(_times_sql(now + "_all", "x", at, "x"))
+            less = "".join(f" - coalesce((SELECT w FROM v{i} WHERE v{i}.col = z.col), 0) * (SELECT variance FROM var{i}) * (SELECT sum(a.w * b.w) FROM v{i} a JOIN {at} b USING (col))" for i in range(c))
+            parts.append(f"{now} AS MATERIALIZED (SELECT col, w{less} AS w FROM {now}_all z)")
+            if k == SVD_ROUNDS:
+                parts += [f"v{c} AS MATERIALIZED (SELECT col, w * (SELECT sign(w) FROM {at} ORDER BY abs(w) DESC LIMIT 1) AS w FROM {at})", f"var{c} AS MATERIALIZED (SELECT sum(z.w * v.w) AS variance FROM {now} z JOIN {at} v USING (col))"]
+            else:
+                parts.append(_soft_sql(f"s{c}_{k}", now, SVD_SHARE, 64))
+                at = f"s{c}_{k}"
+        found.append(f"SELECT {c} AS component, col, w AS loading, variance FROM v{c}, var{c} WHERE w <> 0")
+    return ", ".join(parts) + " :: " + " UNION ALL ".join(found)
+
+
+def _cca_sql(given: tuple[int, ...] = ()) -> str:
+    """Alternating rounds written out; given entries are regressed out of both sides, one after another."""
+    parts = [_cells_sql("x", 0, 32), _cells_sql("y", 32, 56)]
+    x, y, basis = "x", "y", []
+    for g in given:
+        parts.append(_cells_sql(f"g{g}", g, g + 1))
+        z = f"g{g}"
+        for b in basis:  # the given columns are made orthogonal first
+            parts.append(f"{z}{b} AS MATERIALIZED (SELECT row, col, a.v - b.v * (SELECT sum(a.v * b.v) / sum(b.v * b.v) FROM {z} a JOIN {b} b USING (row)) AS v FROM {z} a JOIN {b} b USING (row, col))")
+            z += b
+        basis.append(z)
+        for side in (x, y):
+            slope = f"(SELECT a.col, sum(a.v * b.v) / sum(b.v * b.v) AS f FROM {side} a JOIN {z} b ON b.row = a.row GROUP BY a.col)"
+            parts.append(f"{side}_{g} AS MATERIALIZED (SELECT a.row, a.col, a.v - b.v * p.f AS v FROM {side} a JOIN {z} b ON b.row = a.row JOIN {slope} p ON p.col = a.col)")
+        x, y = f"{x}_{g}", f"{y}_{g}"
+    parts.append(_start_sql("u0", "x"))
+    for k in range(CCA_ROUNDS):
+        parts += [_times_sql(f"p{k}", x, f"u{k}", y), _soft_sql(f"v{k}", f"p{k}", 0.5, 24), _times_sql(f"q{k}", y, f"v{k}", x), _soft_sql(f"u{k + 1}", f"q{k}", 0.25, 32)]
+    u, v = f"u{CCA_ROUNDS}", f"v{CCA_ROUNDS - 1}"
+    parts += [f"a AS (SELECT row, sum(m.v * w) AS s FROM {x} m JOIN {u} USING (col) GROUP BY row)", f"b AS (SELECT row, sum(m.v * w) AS t FROM {y} m JOIN {v} USING (col) GROUP BY row)", "r AS (SELECT sum(s * t) / sqrt(sum(s * s) * sum(t * t)) AS r FROM a JOIN b USING (row))"]
+    return ", ".join(parts) + f" :: SELECT 'x' AS side, col, w AS loading, r FROM {u}, r WHERE w <> 0 UNION ALL SELECT 'y', col, w, r FROM {v}, r WHERE w <> 0"
+
+
+def _entries(spark, sf, lo: int, hi: int):
+    return wide.entries(fx.table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", lo + 1, hi - lo).alias("values")), "vec_id", "values")
+
+
+@add("sparse_svd", "component col", "loading variance", _svd_sql(2))
 def _(spark, sf):
-    return models.sparse_svd(_matrix(spark, sf), 3, 0.25).withColumn("kept", F.size(F.filter("loadings", lambda x: x != 0)))
+    variances, loadings = wide.sparse_svd(wide.wide(_entries(spark, sf, 0, 64)), 2, SVD_SHARE, SVD_ROUNDS)
+    return loadings.withColumn("variance", F.array(*map(F.lit, variances))[F.col("component")])
+
+
+def _sparse_pair(spark, sf, given=None):
+    r, loadings = wide.sparse_cca(wide.wide(_entries(spark, sf, 0, 32), given), wide.wide(_entries(spark, sf, 32, 56), given), 0.25, 0.5, CCA_ROUNDS)
+    return loadings.withColumn("r", F.lit(r))
+
+
+@add("sparse_cca", "side col", "loading r", _cca_sql())
+def _(spark, sf):
+    return _sparse_pair(spark, sf)
 
 
-@add("sparse_cca", "", "r", None)
+@add("sparse_partial_cca", "side col", "loading r", _cca_sql((60, 61)))
+def _(spark, sf):
+    return _sparse_pair(spark, sf, _entries(spark, sf, 60, 62))
+
+
+@add("ridge_cca", "", "r", None)
 def _(spark, sf):
     m = _matrix(spark, sf).select(F.slice("values", 1, 8).alias("a"), F.slice("values", 9, 8).alias("b"))
     return spark.createDataFrame([(models.sparse_cca(m, "a", "b")[0],)], "r double")
 
 
+@add("sparse_svd_of_moments", "component kept", "variance", None)
+def _(spark, sf):
+    return models.sparse_svd(_matrix(spark, sf), 3, 0.25).withColumn("kept", F.size(F.filter("loadings", lambda x: x != 0)))
+
+
 @add("regression", "i", "c", "d AS (SELECT regr_slope(CAST(embedding[3] AS DOUBLE), CAST(embedding[1] AS DOUBLE)) AS s, regr_intercept(CAST(embedding[3] AS DOUBLE), CAST(embedding[1] AS DOUBLE)) AS k FROM embeddings) :: SELECT CAST(0 AS BIGINT) AS i, s AS c FROM d UNION ALL SELECT 1, k FROM d")
 def _(spark, sf):
     m = _matrix(spark, sf, 3).select(F.slice("values", 1, 1).alias("a"), F.col("values")[2].alias("y"))
