@@ -78,24 +78,38 @@ _NOISE = re.compile(r"(?:ads?|advert\w*|sponsor\w*|banner|nav|navbar|navigation|
 _TOPIC = re.compile(r"(?:promo\w*|notices?|overlay|subscribe|search|shar(?:e|ing)|social|related|recommend\w*|replies|respond|alert|dialog)")
 _LAYOUT = re.compile(r"(?:\d*|area|articles?|bar|block|body|bottom|box|buttons?|center|cards?|column|container|content|feed|field|fixed|form|grid|group|head(?:er|ing)?|icons?|info|inner|input|items?|js|left|links?|list|main|media|more|networks?|news|outer|page|panel|posts?|products?|right|row|section|site|stories|story|title|tools?|top|topics?|unit|videos?|wrap(?:per)?)")
 _BETWEEN = re.compile(r"[-_]+")
+# First words of names that tell what an element has beside it, and last words of names of content.
+_ABOUT = frozenset("with has have having no not without hide hides hidden show shows is are enable disable".split())
+_CONTENT = frozenset("story article post".split())
+#: Blocks of running text, which a topic's word doesn't make a notice.
+_TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figure figcaption".split())
+# Words of readers' comments, which vary between pages as articles do.
+_COMMENTS = re.compile(r"(?:comments?|disqus|replies|respond)")
 
 
-def noisy(marks: str) -> bool:
-    """Whether words of class, id or role mark an element as no article."""
+def noisy(marks: str, tag: str = "div") -> int:
+    """Whether words of class, id or role mark an element as no article: 0, 1, or 2 for readers' comments (as for hidden elements).
+
+    A name such as "with-sidebar" tells of something beside the element, and "banner-story" names a story.
+    """
+    found = 0
     for name in marks.lower().split():
         words = _BETWEEN.split(name)
-        if any(_NOISE.fullmatch(w) for w in words):
-            return True
-        topics = [bool(_TOPIC.fullmatch(w)) for w in words]
-        if any(topics) and all(t or _LAYOUT.fullmatch(w) for t, w in zip(topics, words, strict=True)):
-            return True
-    return False
+        if len(words) > 1 and words[0] in _ABOUT:
+            continue
+        noise = words[-1] not in _CONTENT and any(_NOISE.fullmatch(w) for w in words)
+        if not noise and tag not in _TEXTUAL:
+            topics = [bool(_TOPIC.fullmatch(w)) for w in words]
+            noise = any(topics) and all(t or _LAYOUT.fullmatch(w) for t, w in zip(topics, words, strict=True))
+        if noise:
+            found = max(found, 2 if any(_COMMENTS.fullmatch(w) for w in words) else 1)
+    return found
 
 
 class Node:
     __slots__ = ("tag", "label", "noise", "children", "text", "up", "depth")
 
-    def __init__(self, tag: str, label: str, noise: bool, up: Node | None):
+    def __init__(self, tag: str, label: str, noise: int, up: Node | None):
         self.tag, self.label, self.noise, self.up = tag, label, noise, up
         self.depth: int = up.depth + (tag not in _INLINE) if up else 0  # in blocks
         self.children: list[Node] = []  # elements
@@ -135,12 +149,13 @@ class _Open:
 
 
 def _element(tag: str, attributes: str, up: Node) -> Node:
-    label, noise = tag, False
+    label, noise = tag, 0
     if attributes.strip(" /"):
         attrs = {k.lower(): a or b or c or "" for k, a, b, c in _ATTR.findall(attributes)}
         marks = " ".join(attrs[k] for k in ("class", "id", "role") if attrs.get(k))
         label = f"{tag}.{_DIGITS.sub('0', marks).replace('/', '|')}" if marks else tag
-        noise = bool(marks) and noisy(marks) or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
+        hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
+        noise = 2 if hidden else noisy(marks, tag) if marks else 0
     node = Node(tag, label, noise, up)
     up.children.append(node)
     up.text.append(node)
@@ -160,7 +175,7 @@ def _behind(tag: str, source: str, at: int) -> int:
 
 def parse(source: str) -> Node:
     """The DOM tree of a page, by one pass over its tags."""
-    root = Node("#root", "#root", False, None)
+    root = Node("#root", "#root", 0, None)
     open_, at = _Open(root), 0
     while m := _TOKEN.search(source, at):
         if m.start() > at:
@@ -496,17 +511,21 @@ def _at(root: Node, slot: str) -> list[Node]:
     return found
 
 
-def _holders(root: Node) -> tuple[list[Node], Node | None]:
-    """Outermost article or main elements that aren't dropped, and the body."""
+def _holders(root: Node, named: bool = True) -> tuple[list[Node], Node | None]:
+    """Outermost article or main elements that aren't dropped, and the body.
+
+    Without ``named``, containers whose names mark noise are searched too, for articles whose own names don't.
+    """
     held, body, stack = [], None, [root]
     while stack:
         x = stack.pop()
         if x.tag == "body" and body is None:
             body = x
         if x.tag == "article" or x.tag == "main":
-            held.append(x)
+            if named or not x.noise:
+                held.append(x)
             continue
-        if x.tag == "#root" or not dropped(x):
+        if x.tag == "#root" or not dropped(x) or (not named and x.noise == 1 and x.tag not in _DROPPED):
             stack.extend(reversed(x.children))
     return held, body
 
@@ -517,11 +536,14 @@ def main_text(source: str | None, slot: str = "", template: frozenset[str] = fro
         return ""
     root = parse(source)
     held, body = _holders(root)
+    if not held:  # the page's only article may lie in a container named for something else
+        held, _ = _holders(root, named=False)
     for x in held:
         if x.tag == "main" and (inner := _holders_in(x)):
             held = [y for z in held for y in (inner if z is x else [z])]
     if slot:
-        places = [x for x in _at(root, slot) if not dropped(x)]
+        # where most of the host's text varies, a name says less; readers' comments vary too
+        places = [x for x in _at(root, slot) if not dropped(x) or (x.noise == 1 and x.tag not in _DROPPED)]
         # the slot must not lie beside or above the page's own article
         found = [t for x in (_around(places, held) if held else places) for t in blocks(x, _path(x), template, removed)]
         if found:

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridloom.llm import chat_format, wrapper_extract
@@ -199,3 +200,30 @@ def test_chat_layouts(spark):
 
 def test_chat_empty(spark):
     assert _read(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")) == {}
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<body><div class="layout with-sidebar"><article><p>Hello</p></article></div></body>', "Hello"),
+        ('<body class="has-sidebar"><div class="has-sidebar"><p>Hello</p></div></body>', "Hello"),
+        ('<body><div class="no-comments"><p>Hello</p></div></body>', "Hello"),
+        ('<body><article><p class="alert">Floods rise</p><p>More</p></article></body>', "Floods rise\n\nMore"),
+        ('<body><article><div class="product-banner-story"><p>One</p></div><p>Two</p></article></body>', "One\n\nTwo"),
+        ('<body><div class="sidebar-page widget"><main><p>Kept</p></main></div><div class="sidebar"><p>Teaser</p></div></body>', "Kept"),
+        ('<body><div class="comments"><article class="comment"><p>I agree</p></article></div><div><p>Body</p></div></body>', "Body"),
+        ('<body><div class="alert"><p>We use cookies</p></div><div class="sidebar"><p>Links</p></div><p>Body</p></body>', "Body"),
+        ('<body><div hidden><article><p>Unseen</p></article></div><p>Seen</p></body>', "Seen"),
+    ],
+)
+def test_names_of_containers(html, text):
+    """A name that tells what stands beside an article, or names a story, doesn't mark it as noise."""
+    assert wrapper_extract.main_text(html) == text
+
+
+def test_the_wrapper_overrules_a_name(spark):
+    """On a host whose articles stand in a container named as a widget, what varies between its pages is the text."""
+    page = '<body><div class="top">Site</div><div class="widget-area"><div class="inner"><p>{}</p><p>{}</p></div></div><div class="sidebar"><p>Constant links</p></div></body>'
+    rows = [(i, "http://one.test/a", page.format(f"First words of {i} " * 8, f"Then {i * 7} more " * 8)) for i in range(12)]
+    out = {r["page_id"]: r["text"] for r in wrapper_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {i: "\n\n".join([("First words of %d " % i * 8).strip(), (f"Then {i * 7} more " * 8).strip()]) for i in range(12)}
