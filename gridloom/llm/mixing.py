@@ -6,8 +6,8 @@ taken in the order of exponential keys, -ln(u) / weight, until the words of the
 reach it; the document at the boundary is cut there, so that a source's taken words are its target to a word.
 
 u is a digest of the seed and the document, so reruns agree. Nothing is sorted as a whole: the key, as a
-whole number of 48 bits (its logarithm), is summed by its upper 16 bits for each source; the digit in which the
-budget ends is resolved by the next 16 bits and then the last, so a window never holds more than 65,536
+whole number of 48 bits (its logarithm), is summed by its upper 12 bits for each source; the digit in which the
+budget ends is resolved by the next 12 bits and so on, so a window never holds more than 4,096
 rows. Each document is then below, above or at its source's boundary.
 
 Edge cases: null text or one without words has size 0 and nothing is taken; a null source is a source, the last one;
@@ -31,7 +31,7 @@ SEED = "mix"
 #: Digits and symbols, which count against a text's quality.
 BAD = "0123456789#*$%&|<>{}[]\\/_=+~^@"
 #: The key: log2 of the exponential between -64 and 64, in 2^41 steps each.
-_BITS, _DIGIT, _STEPS = 48, 16, float(1 << 41)
+_BITS, _DIGIT, _STEPS = 48, 12, float(1 << 41)
 _COPIES = 10000
 
 
@@ -81,11 +81,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int =
 
 def _boundaries(sized: DataFrame, wanted: DataFrame) -> DataFrame:
     """(src, edge, used) per source with words to take beyond its epochs: the key at which they end and the words before it."""
-    at = wanted.filter(F.col("rest") > 0).select("src", "rest", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("used"))
+    at = wanted.filter(F.col("rest") > 0).select("src", "rest", F.lit(0).cast("long").alias("used"))
     for shift in range(_BITS - _DIGIT, -1, -_DIGIT):
-        digit = F.shiftright("k", shift)
-        rows = sized.select("src", F.shiftright("k", shift + _DIGIT).alias("prefix"), digit.alias("digit"), "size")
-        sums = rows.join(at, ["src", "prefix"]).groupBy("src", "rest", "used", "digit").agg(F.sum("size").alias("size"))
+        rows = sized.select("src", F.shiftright("k", shift + _DIGIT).alias("prefix"), F.shiftright("k", shift).alias("digit"), "size")
+        if "prefix" in at.columns:
+            sums = rows.join(at, ["src", "prefix"]).groupBy("src", "rest", "used", "digit").agg(F.sum("size").alias("size"))
+        else:
+            # every row counts: summed before its source's row joins, so that a source isn't gathered
+            sums = rows.groupBy("src", "digit").agg(F.sum("size").alias("size")).join(at, "src")
         w = Window.partitionBy("src").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
         sums = sums.withColumn("after", F.col("used") + F.sum("size").over(w))
         crossed = (F.col("after") >= F.col("rest")) & (F.col("after") - F.col("size") < F.col("rest"))
