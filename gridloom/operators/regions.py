@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.grid import Geometry, axes_of, box, faces, scattered
+from gridloom.operators.eikonal import march
 from gridloom.operators.fronts import travel
 from gridloom.operators.iterative import component_sizes
 from gridloom.operators.label import geometry_measures
@@ -27,8 +28,37 @@ def component_features(df: DataFrame, geometry: Geometry, label: str = "label")
     return out.select(*axes, "label", "volume", (F.col("volume") / F.col("perimeter")).alias("perimeter_ratio"), "eccentricity", "elongation")
 
 
-def fast_marching(speed: DataFrame, seeds: DataFrame, stop: float = float("inf"), v: str = "v") -> DataFrame:
-    """(axes, time): arrival time of a front from the seeds over cells of positive speed, along face steps that cost the mean of the two slownesses."""
+def fast_marching(speed: DataFrame, seeds: DataFrame, stop: float = float("inf"), v: str = "v", spacing: tuple[float, ...] = (), topology: str | None = None) -> DataFrame:
+    """(axes, time): arrival time of a front that moves from the seeds with the speed v, over cells of positive speed.
+
+    With topology "strict" the region reached neither joins parts nor closes or opens holes.
+    """
+    if topology not in (None, "strict"):
+        raise ValueError(f"no topology {topology}")
+    axes = axes_of(speed)
+    slow = speed.filter(F.col(v) > 0).select(*axes, (1 / F.col(v)).alias("s"))
+    start = seeds.select(*axes).distinct().withColumns({"time": F.lit(0.0), "value": F.lit(0.0), "tag": F.lit(0)})
+    return march(slow, start, stop, spacing, topology == "strict").select(*axes, "time")
+
+
+def fast_marching_extension(speed: DataFrame, seeds: DataFrame, aux: str = "aux", stop: float = float("inf"), v: str = "v", spacing: tuple[float, ...] = ()) -> DataFrame:
+    """(axes, time, aux): the arrival time, and the seeds' aux extended along the front, constant on its paths."""
+    axes = axes_of(speed)
+    slow = speed.filter(F.col(v) > 0).select(*axes, (1 / F.col(v)).alias("s"))
+    start = seeds.select(*axes, F.lit(0.0).alias("time"), F.col(aux).cast("double").alias("value"), F.lit(0).alias("tag"))
+    return march(slow, start, stop, spacing).select(*axes, "time", F.col("value").alias(aux))
+
+
+def propagate_by_front(speed: DataFrame, seeds: DataFrame, label: str = "label", stop: float = float("inf"), v: str = "v", spacing: tuple[float, ...] = ()) -> DataFrame:
+    """(axes, label, time): each cell of positive speed takes the label of the seeds whose front reaches it first, of equal times the least."""
+    axes = axes_of(speed)
+    slow = speed.filter(F.col(v) > 0).select(*axes, (1 / F.col(v)).alias("s"))
+    start = seeds.filter(F.col(label) != 0).select(*axes, F.lit(0.0).alias("time"), F.lit(0.0).alias("value"), F.col(label).cast("bigint").alias("tag"))
+    return march(slow, start, stop, spacing).select(*axes, F.col("tag").alias(label), "time")
+
+
+def city_block_arrival(speed: DataFrame, seeds: DataFrame, stop: float = float("inf"), v: str = "v") -> DataFrame:
+    """(axes, time): arrival time along face steps that cost the mean of the two slownesses."""
     axes = axes_of(speed)
     slow = speed.filter(F.col(v) > 0).select(*axes, (1 / F.col(v)).alias("s"))
     return travel(slow, seeds.select(*axes).distinct().withColumns({"time": F.lit(0.0), "tag": F.lit(0)}), stop).select(*axes, "time")

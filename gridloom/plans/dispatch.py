@@ -87,7 +87,8 @@ OPERATIONS: dict[str, Callable[..., DataFrame]] = {
     "GetLargestComponent": lambda a, min_size=50: iterative.largest_component(a, min_size=int(min_size)),
     "LabelClustersUniquely": lambda a, min_size=1, full=False: iterative.label_clusters(a.filter("v <> 0"), int(min_size), bool(full)),
     "PropagateLabelsThroughMask": lambda mask, seeds, rounds=None: iterative.propagate_labels(mask.filter("v > 0"), seeds, rounds),
-    "FastMarchingSegmentation": lambda speed, seeds, stop=float("inf"): regions.fast_marching(speed, seeds, float(stop)),
+    "FastMarchingSegmentation": lambda speed, seeds, stop=float("inf"), topology=0: regions.fast_marching(speed, seeds, float(stop), topology="strict" if int(topology) else None),
+    "FastMarchingExtension": lambda speed, seeds, aux="aux", stop=float("inf"): regions.fast_marching_extension(speed, seeds, aux, float(stop)),
     "LesionFilling": lambda a, mask: regions.lesion_fill(pixel.aligned(a, mask, "v", "mask"), "mask"),
     "BlobDetector": lambda a, n, sigmas=(1.0, 2.0, 4.0): models.blobs(a, tuple(sigmas), int(n)),
     "LabelStats": lambda a, geometry, name="label": label.label_stats(a, geometry, name),

@@ -54,11 +54,50 @@ def _(spark, sf):
 _FM = f"RECURSIVE {P}, c AS (SELECT x, y, y * 50 + x AS id, 1 / w AS s FROM img WHERE w > 5), e AS (SELECT a.id AS u, b.id AS v, (a.s + b.s) / 2 AS cost FROM c a JOIN c b ON (b.y = a.y AND abs(b.x - a.x) = 1) OR (b.x = a.x AND abs(b.y - a.y) = 1)), r(id, t) USING KEY (id) AS (SELECT id, CAST(0 AS DOUBLE) FROM c WHERE id = (SELECT min(id) FROM c) UNION SELECT e.v, min(r.t + e.cost) FROM r JOIN e ON e.u = r.id LEFT JOIN recurring.r q ON q.id = e.v WHERE q.id IS NULL OR q.t > r.t + e.cost + 1e-12 GROUP BY e.v)"
 
 
-@add("fast_marching", "x y", "time", f"{_FM} :: SELECT c.x, c.y, r.t AS time FROM r JOIN c USING (id)")
+def _speed(spark, sf):
+    a = fx.part_image(spark, sf).filter("w > 5").select("x", "y", F.col("w").alias("v"), F.col("lb").alias("lb"))
+    return a, a.agg(F.min(F.struct("y", "x")).alias("p")).select("p.x", "p.y")
+
+
+@add("city_block_arrival", "x y", "time", f"{_FM} :: SELECT c.x, c.y, r.t AS time FROM r JOIN c USING (id)")
+def _(spark, sf):
+    return regions.city_block_arrival(*_speed(spark, sf))
+
+
+def _upwind_sql(seeds: str, value: str) -> str:
+    """The upwind update of every cell beside a changed one until nothing changes; seeds: a condition on c, value: what they carry."""
+    near = lambda side: f"LEFT JOIN recurring.r {side} ON {side}.id = c.{side}"
+    axis = lambda p, q, n: (
+        f"least(coalesce({p}.t, 1e300), coalesce({q}.t, 1e300)) AS {n}, CASE WHEN {p}.t IS NULL THEN {q}.g WHEN {q}.t IS NULL THEN {p}.g "
+        f"WHEN abs({p}.t - {q}.t) <= 1e-9 THEN ({p}.g + {q}.g) / 2 WHEN {p}.t < {q}.t THEN {p}.g ELSE {q}.g END AS g{n}"
+    )
+    touched = "SELECT c.* FROM c WHERE c.lf IN (SELECT id FROM r) OR c.rt IN (SELECT id FROM r) OR c.up IN (SELECT id FROM r) OR c.dn IN (SELECT id FROM r)"
+    sides = f"SELECT c.id, c.s, {axis('lf', 'rt', 'a')}, {axis('up', 'dn', 'b')} FROM ({touched}) c {near('lf')} {near('rt')} {near('up')} {near('dn')}"
+    time = "CASE WHEN abs(a - b) >= s THEN least(a, b) + s ELSE (a + b + sqrt(2 * s * s - (a - b) * (a - b))) / 2 END"
+    one = "CASE WHEN a < b THEN ga ELSE gb END"
+    both = "CASE WHEN abs(a - b) >= s THEN " + one + " WHEN 2 * t - a - b <= 0 THEN (ga + gb) / 2 ELSE ((t - a) * ga + (t - b) * gb) / (2 * t - a - b) END"
+    new = f"SELECT id, t, {both} AS g FROM (SELECT *, {time} AS t FROM ({sides}))"
+    step = f"SELECT n.id, n.t, n.g FROM ({new}) n LEFT JOIN recurring.r q ON q.id = n.id WHERE q.id IS NULL OR n.t < q.t - 1e-12 OR (abs(n.t - q.t) <= 1e-12 AND abs(n.g - q.g) > 1e-12 AND n.id NOT IN (SELECT id FROM seeds))"
+    grid = f"{P}, w AS (SELECT x, y, y * 50 + x AS id, 1 / w AS s, lb FROM img WHERE w > 5), c AS MATERIALIZED (SELECT w.*, l.id AS lf, m.id AS rt, u.id AS up, d.id AS dn FROM w LEFT JOIN w l ON l.x = w.x - 1 AND l.y = w.y LEFT JOIN w m ON m.x = w.x + 1 AND m.y = w.y LEFT JOIN w u ON u.x = w.x AND u.y = w.y - 1 LEFT JOIN w d ON d.x = w.x AND d.y = w.y + 1)"
+    return f"RECURSIVE {grid}, seeds AS (SELECT id, CAST({value} AS DOUBLE) AS g FROM c WHERE {seeds}), r(id, t, g) USING KEY (id) AS (SELECT id, CAST(0 AS DOUBLE), g FROM seeds UNION {step})"
+
+
+@add("fast_marching", "x y", "time", f"{_upwind_sql('lb = 11', '0')} :: SELECT c.x, c.y, r.t AS time FROM r JOIN c USING (id)")
+def _(spark, sf):
+    a, _ = _speed(spark, sf)
+    return regions.fast_marching(a, a.filter("lb = 11"))
+
+
+@add("fast_marching_extension", "x y", "time aux", f"{_upwind_sql('lb = 11', 'x + y')} :: SELECT c.x, c.y, r.t AS time, r.g AS aux FROM r JOIN c USING (id)")
+def _(spark, sf):
+    a, _ = _speed(spark, sf)
+    return regions.fast_marching_extension(a, a.filter("lb = 11").select("x", "y", (F.col("x") + F.col("y")).alias("aux")))
+
+
+@add("fast_marching_topology", "x y", "time", None)
 def _(spark, sf):
-    a = fx.part_image(spark, sf).filter("w > 5").select("x", "y", F.col("w").alias("v"))
-    seed = a.agg(F.min(F.struct("y", "x")).alias("p")).select("p.x", "p.y")
-    return regions.fast_marching(a, seed)
+    a, _ = _speed(spark, sf)
+    return regions.fast_marching(a, a.filter("lb = 11"), topology="strict")
 
 
 @add("lesion_filling", "x y", "v", None)
