@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.grid import Geometry, axes_of
 from gridloom.operators import bias, imageset, iterative, label, mixture, models, neighborhood, points, registration, surface, timeseries, transforms
+from gridloom.operators.thickness import propagated_thickness
 from gridloom.plans.lineage import checkpointed
 
 #: Stages by the name of a preset.
@@ -117,11 +118,14 @@ def brain_extraction(image: DataFrame, model: DataFrame, model_mask: DataFrame,
     return iterative.fill_holes(checkpointed(neighborhood.binary_morphology(whole, "dilate", 1)).withColumn("v", F.col("v").cast("double")), size)
 
 
-def cortical_thickness(image: DataFrame, inner: int = 3, between: int = 2, outer: int = 1, classes: int = 3, rounds: int = 30) -> tuple[DataFrame, DataFrame]:
-    """(thickness, volumes by label): segmentation with bias correction, then the Laplace thickness of the class between two others."""
+def cortical_thickness(image: DataFrame, inner: int = 3, between: int = 2, outer: int = 1, classes: int = 3, rounds: int = 60, laplace: bool = False, **options) -> tuple[DataFrame, DataFrame]:
+    """(thickness, volumes by label): segmentation with bias correction, then the thickness of a class between two others, by a flow (``options`` of ``propagated_thickness``) or of the Laplace form."""
     labels, _ = segment_corrected(image, classes, 1)
     volumes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("cells"))
-    return models.thickness(labels, inner, outer, between, rounds), volumes
+    if laplace:
+        return models.thickness(labels, inner, outer, between, rounds), volumes
+    shares = labels.select(*axes_of(image), (F.col("label") == inner).cast("double").alias("inner"), (F.col("label") == between).cast("double").alias("middle"))
+    return propagated_thickness(shares, rounds=rounds, **options).withColumnRenamed("thickness", "v"), volumes
 
 
 def longitudinal_thickness(visits: list[DataFrame], rounds: int = 1, **options) -> list[DataFrame]:

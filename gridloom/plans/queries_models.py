@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import models, tensor, transforms, wide
+from gridloom.operators import models, neighborhood, tensor, transforms, wide
+from gridloom.operators.thickness import propagated_thickness
+from gridloom.plans.lineage import checkpointed
 from gridloom.plans.registry import Registry
 from gridloom.sources import fixtures as fx
 
@@ -465,6 +467,14 @@ _LT = ", ".join(f"n{k} AS (SELECT x, y, l, v, lag(v) OVER wx AS xl, lead(v) OVER
 _LT = f"{P}, t0 AS (SELECT x, y, CASE WHEN x < 10 THEN 1 WHEN x < 20 THEN 3 ELSE 2 END AS l, CASE WHEN x < 10 THEN 0.0 WHEN x < 20 THEN 0.5 ELSE 1.0 END AS v FROM img WHERE x < 30), {_LT}, g AS (SELECT x, y, l, (coalesce(lead(v) OVER wx, v) - coalesce(lag(v) OVER wx, v)) / (count(*) OVER (PARTITION BY y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) - 1) AS gx, (coalesce(lead(v) OVER wy, v) - coalesce(lag(v) OVER wy, v)) / (count(*) OVER (PARTITION BY x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) - 1) AS gy FROM t5 WINDOW wx AS (PARTITION BY y ORDER BY x), wy AS (PARTITION BY x ORDER BY y))"
 
 
+@add("propagated_thickness", "x y", "thickness", None)
+def _(spark, sf):
+    """The upper part of the smoothed image is the inner tissue, a band of values below it the middle one."""
+    a = checkpointed(neighborhood.gaussian(fx.part_image(spark, sf).select("x", "y", F.col("w").alias("v")), 3.0))
+    shares = a.select("x", "y", (F.col("v") > 26).cast("double").alias("inner"), F.col("v").between(24.5, 26).cast("double").alias("middle"))
+    return propagated_thickness(shares, prior=8, rounds=12)
+
+
 @add("laplace_thickness", "x y", "v", f"{_LT} :: SELECT x, y, CASE WHEN sqrt(gx * gx + gy * gy) > 1e-9 THEN 1 / sqrt(gx * gx + gy * gy) ELSE 0 END AS v FROM g WHERE l = 3")
 def _(spark, sf):
     a = fx.part_image(spark, sf).withColumn("label", F.when(F.col("x") < 10, 1).when(F.col("x") < 20, 3).when(F.col("x") < 30, 2).otherwise(0))
