@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import stats
 from gridloom.grid import Geometry, axes_of
-from gridloom.operators import bias, imageset, iterative, label, layout, mixture, models, neighborhood, pixel, points, regions, registration, spline, surface, tensor, timeseries, transforms
+from gridloom.operators import align, bias, imageset, iterative, label, layout, mixture, models, neighborhood, pixel, points, regions, registration, spline, surface, tensor, timeseries, transforms
 from gridloom.operators.thickness import propagated_thickness
 
 Image = DataFrame
@@ -189,6 +189,9 @@ OPERATIONS: dict[str, Callable[..., DataFrame]] = {
     "WarpTimeSeriesImageMultiTransform": lambda a, grid, m: transforms.warp_series(a, grid, m),
     "WarpTensorImageMultiTransform": lambda a, grid, m: transforms.warp_tensors(a, grid, m),
     "MixtureSegmentation": lambda a, options=None, priors=None: mixture.segment(a, ["v"], options or mixture.Options(), priors)[0],
+    "MotionCorr": lambda series, fixed=None, kind="rigid": align.motion_correction(series, fixed, str(kind)).table(series.sparkSession),
+    "SliceRegularizedRegistration": lambda moving, fixed, degree=2: align.slice_regularised(moving, fixed, int(degree)).table(moving.sparkSession, "z"),
+    "AI": lambda moving, fixed, kind="rigid", turns=12: align.searched(moving, fixed, str(kind), int(turns)).table(moving.sparkSession, "id"),
     "KellyKapowski": lambda a, prior=10, rounds=45, sigma=1.5: propagated_thickness(a, int(prior), rounds=int(rounds), sigma=float(sigma)),
     "LaplacianThickness": lambda a, inner, outer, between, rounds=30: models.thickness(a, int(inner), int(outer), int(between), int(rounds)),
     **{name: (lambda fixed, moving, name=name, **k: registration.MODELS[name](fixed, moving, **k).forward) for name in registration.MODELS},

@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from gridloom.functions import stats
-from gridloom.grid import Geometry, numbered
-from gridloom.operators import imageset, layout, matrix, models, pixel, regions, transforms
+from gridloom.grid import Geometry, box, numbered, scattered
+from gridloom.operators import align, imageset, layout, matrix, models, pixel, regions, transforms
+from gridloom.plans.lineage import checkpointed
 from gridloom.plans.registry import Registry
 from gridloom.sources import files
 from gridloom.sources import fixtures as fx
@@ -260,3 +261,51 @@ def _(spark, sf):
 def _(spark, sf):
     got = events.run_to_table(events.deduplicated(events.read_events(spark, sf)), _name(), "append")
     return got.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Volumes of one smoothed image, the t-th a quarter of a cell times t further on, and Gauss-Newton steps written out.
+MOTION_STEPS = 3
+
+
+def _smooth_sql(name: str, source: str) -> str:
+    return f"{name} AS MATERIALIZED (SELECT a.x, a.y, avg(b.v) AS v FROM {source} a JOIN {source} b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY a.x, a.y)"
+
+
+def _motion_sql() -> str:
+    base = f"{P}, i0 AS (SELECT x, y, w AS v FROM img), {_smooth_sql('i1', 'i0')}, {_smooth_sql('f', 'i1')}"
+    vols = "vol AS (SELECT t, a.x, a.y, (1 - 0.25 * t) * a.v + 0.25 * t * b.v AS v FROM f a JOIN f b ON b.x = a.x + 1 AND b.y = a.y, range(4) r(t))"
+    slope = lambda w: f"(coalesce(lead(v) OVER {w}, v) - coalesce(lag(v) OVER {w}, v)) / greatest((lead(v) OVER {w} IS NOT NULL)::INT + (lag(v) OVER {w} IS NOT NULL)::INT, 1)"
+    grad = f"g AS MATERIALIZED (SELECT t, x, y, v, {slope('wx')} AS gx, {slope('wy')} AS gy FROM vol WINDOW wx AS (PARTITION BY t, y ORDER BY x), wy AS (PARTITION BY t, x ORDER BY y))"
+    parts = [base, vols, grad, "s0 AS (SELECT t, CAST(0 AS DOUBLE) AS sx, CAST(0 AS DOUBLE) AS sy FROM range(4) r(t))"]
+    for k in range(MOTION_STEPS + 1):
+        parts.append(f"p{k} AS (SELECT g.*, floor(x + sx) AS qx, floor(y + sy) AS qy, x + sx - floor(x + sx) AS dx, y + sy - floor(y + sy) AS dy FROM g JOIN s{k} USING (t))")
+        corners = [("a", 0, 0, "(1 - dx) * (1 - dy)"), ("b", 1, 0, "dx * (1 - dy)"), ("c", 0, 1, "(1 - dx) * dy"), ("d", 1, 1, "dx * dy")]
+        read = " + ".join(f"CASE WHEN {w} > 0 THEN {w} * {c}.v ELSE 0 END" for c, _, _, w in corners)
+        joins = " ".join(f"LEFT JOIN f {c} ON {c}.x = qx + {i} AND {c}.y = qy + {j}" for c, i, j, _ in corners)
+        parts.append(f"r{k} AS (SELECT p.t, gx, gy, {read} - p.v AS r FROM p{k} p {joins})")
+        parts.append(f"h{k} AS MATERIALIZED (SELECT t, avg(r * r) AS m, sum(gx * gx) AS xx, sum(gx * gy) AS xy, sum(gy * gy) AS yy, sum(gx * r) AS rx, sum(gy * r) AS ry FROM r{k} WHERE r IS NOT NULL GROUP BY t)")
+        parts.append(f"s{k + 1} AS MATERIALIZED (SELECT t, sx - (yy * rx - xy * ry) / (xx * yy - xy * xy) AS sx, sy - (xx * ry - xy * rx) / (xx * yy - xy * xy) AS sy FROM s{k} JOIN h{k} USING (t))")
+    n = MOTION_STEPS
+    return ", ".join(parts) + f" :: SELECT t, h0.m AS before, h{n}.m AS after, sx AS p0, sy AS p1 FROM s{n} JOIN h0 USING (t) JOIN h{n} USING (t)"
+
+
+def _box_mean(df):
+    return scattered(df, box(["x", "y"], 1), ["x", "y"]).groupBy("x", "y").agg(F.avg("v").alias("v"), F.max("_self").alias("own")).filter("own").drop("own")
+
+
+@add("motion_correction_below_a_cell", "t", "before after p0 p1", _motion_sql(), 5)
+def _(spark, sf):
+    image = checkpointed(_box_mean(_box_mean(fx.part_image(spark, sf).select("x", "y", F.col("w").alias("v")))))
+    on = image.select((F.col("x") - 1).alias("x"), "y", F.col("v").alias("_n"))
+    times = F.explode(F.array(*[F.lit(t).cast("bigint") for t in range(4)])).alias("t")
+    series = image.join(on, ["x", "y"]).select(times, "x", "y", "v", "_n").select("t", "x", "y", ((1 - 0.25 * F.col("t")) * F.col("v") + 0.25 * F.col("t") * F.col("_n")).alias("v"))
+    return align.motion_correction(series, image, "translation", levels=(1,), steps=MOTION_STEPS).table(spark)
+
+
+@add("search_of_half_a_turn", "cells", "angle after", None)
+def _(spark, sf):
+    """The image turned by half a turn is found from many starts: the angle without its sign."""
+    image = checkpointed(_box_mean(_box_mean(fx.part_image(spark, sf).select("x", "y", F.col("w").alias("v")))))
+    high = image.agg(F.max("x"), F.max("y")).first()
+    got = align.searched(image.select((high[0] - F.col("x")).alias("x"), (high[1] - F.col("y")).alias("y"), "v"), image, turns=6, shifts=1, best=2, steps=8)
+    return spark.createDataFrame([(image.count(), abs(got.parameters(0)[2]), got.metric[0][1])], "cells bigint, angle double, after double")
