@@ -17,7 +17,6 @@ packed again; a null doc_id is packed and stays null; an empty table gives no ro
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -38,11 +37,13 @@ HARD_STEP = 64
 CHUNK_BYTES = 4 << 20
 #: Words whose ids a worker remembers, and the longest such word.
 CACHE_WORDS, CACHE_CHARS = 150_000, 48
-#: A blank that doesn't begin a word; Python's white space holds all that the tokenizer's does.
-_BLANK_ALONE = re.compile(r" (?!\S)")
 _CODERS: dict[str, Coder] = {}
 
 
+class _NoWord(Exception):
+    """A blank that doesn't begin a word: white space or the end follows. Python's white space holds all that the tokenizer's does."""
+
+
 class _Words(dict):
     """A word to the ids of a blank and that word, as little-endian bytes."""
 
@@ -51,6 +52,8 @@ class _Words(dict):
         self.encode = encode
 
     def __missing__(self, word: str) -> bytes:
+        if not word or word[0].isspace():
+            raise _NoWord
         out = np.array(self.encode(" " + word), "<u4").tobytes()
         if len(word) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
@@ -106,10 +109,13 @@ class Coder:
         """The ids as little-endian 32-bit numbers."""
         if not self.plain or any(x in text for x in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if _BLANK_ALONE.search(text):
-            return np.array(self.whole(text), "<u4").tobytes()
-        first, *rest = text.split(" ")
-        return np.array(self.whole(first), "<u4").tobytes() + b"".join(map(self.words.__getitem__, rest))
+        if "  " not in text:
+            first, *rest = text.split(" ")
+            try:
+                return np.array(self.whole(first), "<u4").tobytes() + b"".join(map(self.words.__getitem__, rest))
+            except _NoWord:
+                pass
+        return np.array(self.whole(text), "<u4").tobytes()
 
 
 def coder(path: str) -> Coder:
