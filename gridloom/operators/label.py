@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.grid import Geometry, axes_of
+from gridloom.grid import Geometry, axes_of, scattered
 
 
 def label_stats(df: DataFrame, geometry: Geometry, label: str = "label", v: str = "v") -> DataFrame:
@@ -122,6 +122,32 @@ def mutual_information(df: DataFrame, a: str = "v", b: str = "w", bins: int = 32
     return joint.withColumns({"pi": pi, "pj": pj}).agg(F.sum(F.col("c") / F.col("_n") * F.log(F.col("c") * F.col("_n") / (F.col("pi") * F.col("pj")))).alias("mi"))
 
 
+#: Neighbours of a cell (first axis, second axis) by name, and the joint entropies of spatial mutual information with their weights.
+_SIDES = {"0": (0, 0), "u": (0, -1), "l": (-1, 0), "r": (1, 0)}
+_SPATIAL = {("u", "0"): 0.5, ("0", "u"): 0.5, ("l", "0"): 0.5, ("0", "l"): 0.5, ("0", "0"): -1.0, ("u", "r"): -0.25, ("r", "u"): -0.25, ("l", "u"): -0.25, ("u", "l"): -0.25}
+
+
+def spatial_mutual_information(df: DataFrame, a: str = "v", b: str = "w", bins: int = 32) -> DataFrame:
+    """(smi): mutual information of two images as fields, in nats: joint entropies of one image with the neighbours of the other, in the plane of the first two axes.
+
+    A cell's neighbours come together in one aggregation of scattered bins, and each pair of places is one joint histogram of at most bins * bins rows;
+    a pair counts at cells where both its places lie in the image.
+    """
+    axes = axes_of(df)
+    lo_hi = df.agg(F.min(a).alias("_a0"), F.max(a).alias("_a1"), F.min(b).alias("_b0"), F.max(b).alias("_b1"))
+    cell = lambda c, p: F.when(F.col(f"_{p}1") > F.col(f"_{p}0"), F.least(F.floor((F.col(c) - F.col(f"_{p}0")) / (F.col(f"_{p}1") - F.col(f"_{p}0")) * bins), F.lit(bins - 1))).otherwise(0).cast("int")
+    binned = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).crossJoin(F.broadcast(lo_hi)).select(*axes, cell(a, "a").alias("_a"), cell(b, "b").alias("_b"))
+    offsets = [(*o, *[0] * (len(axes) - 2)) for o in _SIDES.values()]
+    near = scattered(binned, offsets, axes, {"_s": list(_SIDES)})
+    at = lambda c, s: F.max(F.when(F.col("_s") == s, F.col(c)))
+    cells = near.groupBy(*axes).agg(*[at(f"_{c}", s).alias(f"{c}{s}") for c in "ab" for s in _SIDES]).filter("a0 IS NOT NULL")
+    pairs = F.array(*[F.struct(F.lit(f"{s}{t}").alias("pair"), F.col(f"a{s}").alias("i"), F.col(f"b{t}").alias("j")) for s, t in _SPATIAL])
+    joint = cells.select(F.explode(pairs).alias("p")).select("p.*").filter("i IS NOT NULL AND j IS NOT NULL").groupBy("pair", "i", "j").agg(F.count(F.lit(1)).alias("c"))
+    share = F.col("c") / F.sum("c").over(Window.partitionBy("pair"))
+    weight = F.coalesce(*[F.when(F.col("pair") == f"{s}{t}", w) for (s, t), w in _SPATIAL.items()])
+    return joint.select((-weight * share * F.log(share)).alias("h")).agg(F.sum("h").alias("smi"))
+
+
 def similarity(df: DataFrame, a: str = "v", b: str = "w") -> DataFrame:
     """Global metrics of two images: msq (mean squares), demons (the same, halved gradient-free form), gc (correlation), ncc (its square)."""
     d = F.col(a) - F.col(b)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.grid import axes_of
+from gridloom.plans.lineage import checkpointed
 
 
 def _cells(df: DataFrame) -> list[str]:
@@ -217,6 +218,50 @@ def region_similarity(df: DataFrame, length: int, label: str = "label", v: str =
     return df.sparkSession.createDataFrame(rows, "a bigint, b bigint, r double")
 
 
+def region_sparse_cca(df: DataFrame, share_a: float = 0.5, share_b: float = 0.5, rounds: int = 5, label: str = "label", v: str = "v") -> tuple[DataFrame, DataFrame]:
+    """(a, b, r) and (a, b, side, axes, loading) of each pair of labels a < b: the leading sparse canonical directions of their cells over time.
+
+    All pairs go at once. A round sums each pair's cells of one side to a series, sums that series back to the cells of the other side, and
+    soft-thresholds these to a share of the region's cells, at unit length; it starts from the variances of a's cells. Absent times count as the cell's mean; labels
+    without a common time are no pair; a pair without any variance has r 0. A pair's cells of one side are ranked in one window.
+    """
+    cells = _cells(df)
+    use = df.filter((F.col(label) != 0) & F.col(v).isNotNull()).select(F.col(label).alias("l"), *cells, "t", F.col(v).cast("double").alias("v"))
+    series = checkpointed(use.withColumn("e", F.col("v") - F.avg("v").over(Window.partitionBy("l", *cells))).drop("v"))
+    sizes = series.select("l", *cells).distinct().groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+    seen = series.select("l", "t").distinct()
+    pairs = checkpointed(seen.withColumnRenamed("l", "a").join(seen.withColumnRenamed("l", "b"), "t").filter("a < b").select("a", "b").distinct())
+
+    def scaled(z: DataFrame, side: str, share: float | None) -> DataFrame:
+        """z (a, b, cells, w), thresholded where there is a share, at unit length."""
+        pair = Window.partitionBy("a", "b")
+        if share is not None:
+            z = z.join(sizes.withColumnRenamed("l", side), side).withColumn("_k", F.greatest(F.floor(share * F.col("n") + 0.5), F.lit(1)))
+            z = z.withColumn("_r", F.row_number().over(pair.orderBy(F.desc(F.abs("w")))))
+            cut = F.coalesce(F.max(F.when(F.col("_r") == F.col("_k") + 1, F.abs("w"))).over(pair), F.lit(0.0))
+            z = z.withColumn("w", F.signum("w") * F.greatest(F.abs("w") - cut, F.lit(0.0)))
+        size = F.sqrt(F.sum(F.col("w") * F.col("w")).over(pair))
+        return checkpointed(z.select("a", "b", *cells, F.when(size > 0, F.col("w") / size).otherwise(0.0).alias("w")))
+
+    def summed(u: DataFrame, side: str) -> DataFrame:
+        return series.withColumnRenamed("l", side).join(u.filter("w <> 0"), [side, *cells]).groupBy("a", "b", "t").agg(F.sum(F.col("e") * F.col("w")).alias("s"))
+
+    def back(s: DataFrame, side: str) -> DataFrame:
+        return series.withColumnRenamed("l", side).join(s, [side, "t"]).groupBy("a", "b", *cells).agg(F.sum(F.col("e") * F.col("s")).alias("w"))
+
+    spread = series.groupBy(F.col("l").alias("a"), *cells).agg(F.sum(F.col("e") * F.col("e")).alias("w"))
+    u, w = scaled(pairs.join(spread, "a"), "a", None), None
+    for _ in range(rounds):
+        w = scaled(back(summed(u, "a"), "b"), "b", share_b)
+        u = scaled(back(summed(w, "b"), "a"), "a", share_a)
+    s, t = summed(u, "a"), summed(w, "b").withColumnRenamed("s", "q")
+    sums = s.join(t, ["a", "b", "t"], "full").groupBy("a", "b").agg(F.sum(F.col("s") * F.col("q")).alias("_st"), F.sum(F.col("s") * F.col("s")).alias("_ss"), F.sum(F.col("q") * F.col("q")).alias("_tt"))
+    r = F.when(F.col("_ss") * F.col("_tt") > 0, F.coalesce("_st", F.lit(0.0)) / F.sqrt(F.col("_ss") * F.col("_tt"))).otherwise(0.0)
+    found = pairs.join(sums, ["a", "b"], "left").select("a", "b", F.coalesce(r, F.lit(0.0)).alias("r"))
+    side = lambda x, name: x.filter("w <> 0").select("a", "b", F.lit(name).alias("side"), *cells, F.col("w").alias("loading"))
+    return found, side(u, "a").union(side(w, "b"))
+
+
 def volumes(df: DataFrame) -> DataFrame:
     """n: the number of volumes."""
     return df.agg(F.count_distinct("t").alias("n"))

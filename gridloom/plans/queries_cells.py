@@ -236,6 +236,16 @@ def _(spark, sf):
     return label.pearson(fx.part_image(spark, sf).withColumn("mask", (F.col("lb") > 20).cast("int")), mask="mask")
 
 
+_SMI_CELLS = f"{P}, s AS (SELECT min(v) a0, max(v) a1, min(w) b0, max(w) b1 FROM img), q AS (SELECT x, y, CAST(least(floor((v - a0) / (a1 - a0) * 32), 31) AS INT) AS a, CAST(least(floor((w - b0) / (b1 - b0) * 32), 31) AS INT) AS b FROM img, s), k AS (SELECT a AS a0, b AS b0, lag(a) OVER wy AS au, lag(b) OVER wy AS bu, lag(a) OVER wx AS al, lag(b) OVER wx AS bl, lead(a) OVER wx AS ar, lead(b) OVER wx AS br FROM q WINDOW wx AS (PARTITION BY y ORDER BY x), wy AS (PARTITION BY x ORDER BY y))"
+_SMI_PAIRS = {"au b0": 0.5, "a0 bu": 0.5, "al b0": 0.5, "a0 bl": 0.5, "a0 b0": -1.0, "au br": -0.25, "ar bu": -0.25, "al bu": -0.25, "au bl": -0.25}
+_SMI = " + ".join("{w} * (SELECT -sum(c / n * ln(c / n)) FROM (SELECT count(*) AS c, sum(count(*)) OVER () AS n FROM k WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY {a}, {b}))".format(w=w, a=p.split()[0], b=p.split()[1]) for p, w in _SMI_PAIRS.items())
+
+
+@add("spatial_mutual_information", "", "smi", f"{_SMI_CELLS} :: SELECT {_SMI} AS smi")
+def _(spark, sf):
+    return label.spatial_mutual_information(fx.part_image(spark, sf))
+
+
 @add("mutual_information", "", "mi", f"{P}, s AS (SELECT min(v) a0, max(v) a1, min(w) b0, max(w) b1, count(*) AS n FROM img), j AS (SELECT CAST(least(floor((v - a0) / (a1 - a0) * 32), 31) AS INT) AS i, CAST(least(floor((w - b0) / (b1 - b0) * 32), 31) AS INT) AS k, n, count(*) AS c FROM img, s GROUP BY ALL), m AS (SELECT *, sum(c) OVER (PARTITION BY i) AS pi, sum(c) OVER (PARTITION BY k) AS pk FROM j) :: SELECT sum(c / n * ln(c * n / (pi * pk))) AS mi FROM m")
 def _(spark, sf):
     return label.mutual_information(fx.part_image(spark, sf))

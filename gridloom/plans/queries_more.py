@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import stats
 from gridloom.grid import Geometry, box, numbered, scattered
-from gridloom.operators import align, imageset, layout, matrix, models, pixel, regions, transforms
+from gridloom.operators import align, imageset, layout, matrix, models, pixel, regions, timeseries, transforms
 from gridloom.plans.lineage import checkpointed
 from gridloom.plans.registry import Registry
 from gridloom.sources import files
@@ -309,3 +309,35 @@ def _(spark, sf):
     high = image.agg(F.max("x"), F.max("y")).first()
     got = align.searched(image.select((high[0] - F.col("x")).alias("x"), (high[1] - F.col("y")).alias("y"), "v"), image, turns=6, shifts=1, best=2, steps=8)
     return spark.createDataFrame([(image.count(), abs(got.parameters(0)[2]), got.metric[0][1])], "cells bigint, angle double, after double")
+
+
+PAIR_ROUNDS, PAIR_A, PAIR_B = 3, 0.5, 0.25
+
+
+def _pair_sql() -> str:
+    """All pairs of three labels of users; rounds written out."""
+    parts = [f"{fx.EVENT_SQL}, lab AS (SELECT x % 4 AS l, x, t, v FROM ser WHERE x % 4 <> 0)", "e AS MATERIALIZED (SELECT l, x, t, v - avg(v) OVER (PARTITION BY l, x) AS e FROM lab)", "n AS (SELECT l, count(DISTINCT x) AS n FROM e GROUP BY l)"]
+    parts.append("u0_z AS (SELECT p.a, p.b, x, sum(e * e) AS w FROM (SELECT i.l AS a, j.l AS b FROM n i JOIN n j ON i.l < j.l) p JOIN e ON e.l = p.a GROUP BY p.a, p.b, x), u0 AS MATERIALIZED (SELECT a, b, x, w / sqrt(sum(w * w) OVER (PARTITION BY a, b)) AS w FROM u0_z)")
+
+    def half(old: str, new: str, one: str, other: str, share: float) -> None:
+        parts.append(f"{new}_s AS MATERIALIZED (SELECT a, b, t, sum(e * w) AS s FROM e JOIN {old} u ON e.l = u.{one} AND e.x = u.x GROUP BY a, b, t)")
+        parts.append(f"{new}_z AS MATERIALIZED (SELECT a, b, e.x, sum(e * s) AS w FROM e JOIN {new}_s s ON e.l = s.{other} AND e.t = s.t GROUP BY a, b, e.x)")
+        parts.append(f"{new}_r AS (SELECT z.*, greatest(floor({share} * n.n + 0.5), 1) AS k, row_number() OVER (PARTITION BY a, b ORDER BY abs(w) DESC) AS r FROM {new}_z z JOIN n ON n.l = z.{other})")
+        parts.append(f"{new}_c AS (SELECT a, b, x, sign(w) * greatest(abs(w) - coalesce(max(CASE WHEN r = k + 1 THEN abs(w) END) OVER (PARTITION BY a, b), 0), 0) AS w FROM {new}_r)")
+        parts.append(f"{new} AS MATERIALIZED (SELECT a, b, x, w / sqrt(sum(w * w) OVER (PARTITION BY a, b)) AS w FROM {new}_c)")
+
+    for k in range(PAIR_ROUNDS):
+        half(f"u{k}", f"w{k}", "a", "b", PAIR_B)
+        half(f"w{k}", f"u{k + 1}", "b", "a", PAIR_A)
+    u, w = f"u{PAIR_ROUNDS}", f"w{PAIR_ROUNDS - 1}"
+    parts.append(f"s AS (SELECT a, b, t, sum(e * w) AS s FROM e JOIN {u} u ON e.l = u.a AND e.x = u.x GROUP BY a, b, t), q AS (SELECT a, b, t, sum(e * w) AS q FROM e JOIN {w} u ON e.l = u.b AND e.x = u.x GROUP BY a, b, t)")
+    parts.append("r AS (SELECT a, b, sum(s * q) / sqrt(sum(s * s) * sum(q * q)) AS r FROM s FULL JOIN q USING (a, b, t) GROUP BY a, b)")
+    side = lambda v, name: f"SELECT a, b, '{name}' AS side, x, w AS loading, r FROM {v} JOIN r USING (a, b) WHERE w <> 0"
+    return ", ".join(parts) + f" :: {side(u, 'a')} UNION ALL {side(w, 'b')}"
+
+
+@add("region_sparse_cca", "a b side x", "loading r", _pair_sql())
+def _(spark, sf):
+    cells = fx.event_series(spark, sf).withColumn("label", F.col("x") % 4)
+    found, loadings = timeseries.region_sparse_cca(cells, PAIR_A, PAIR_B, PAIR_ROUNDS)
+    return loadings.join(found, ["a", "b"])

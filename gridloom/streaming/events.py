@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.plans.lineage import shared_folder
+
 LATE = "1 hour"
 
 
@@ -47,7 +49,18 @@ def deduplicated(events: DataFrame, late: str = LATE) -> DataFrame:
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs all rows that are there now and returns the in-memory table; for tests and small results."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Runs all rows that are there now into a table of the shared folder and returns that table.
+
+    In complete mode a batch replaces the table, in append mode it is a part of its own, so that a batch that is run again leaves no row twice.
+    """
+    spark, folder = stream.sparkSession, f"{shared_folder(stream.sparkSession)}/stream-{name}"
+    rows, whole = f"{folder}/rows", mode == "complete"
+    part = lambda i: f"{rows}/part=0" if whole else f"{rows}/part={i}"
+    spark.createDataFrame([], stream.schema).write.parquet(part(0))
+
+    def write(batch: DataFrame, i: int) -> None:
+        batch.write.mode("overwrite").parquet(part(i))
+
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(write).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(rows).select(*stream.columns)
