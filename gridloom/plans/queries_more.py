@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import stats
 from gridloom.grid import Geometry, box, numbered, scattered
-from gridloom.operators import align, imageset, layout, matrix, models, pixel, regions, timeseries, transforms
+from gridloom.operators import align, imageset, layout, matrix, models, neighbors, pixel, regions, timeseries, transforms
 from gridloom.plans.lineage import checkpointed
 from gridloom.plans.registry import Registry
 from gridloom.sources import files
@@ -341,3 +341,31 @@ def _(spark, sf):
     cells = fx.event_series(spark, sf).withColumn("label", F.col("x") % 4)
     found, loadings = timeseries.region_sparse_cca(cells, PAIR_A, PAIR_B, PAIR_ROUNDS)
     return loadings.join(found, ["a", "b"])
+
+
+# Points of the embeddings' first three entries, their 6 nearest others and the kernels these shape.
+_NEAR_SQL = "p AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings), d AS (SELECT p.id, q.id AS other, q.a - p.a AS ga, q.b - p.b AS gb, q.c - p.c AS gc, pow(p.a - q.a, 2) + pow(p.b - q.b, 2) + pow(p.c - q.c, 2) AS d2 FROM p JOIN p q ON p.id <> q.id), n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, other) AS rank FROM d QUALIFY rank <= 6)"
+# covar_pop about the neighbours' mean, and the mean's own square, give the moments about the point
+_ABOUT = lambda u, v: f"covar_pop({u}, {v}) + avg({u}) * avg({v})"
+_KERNEL_SQL = f"{_NEAR_SQL}, k AS (SELECT id, {_ABOUT('ga', 'ga')} + 0.01 AS aa, {_ABOUT('ga', 'gb')} AS ab, {_ABOUT('ga', 'gc')} AS ac, {_ABOUT('gb', 'gb')} + 0.01 AS bb, {_ABOUT('gb', 'gc')} AS bc, {_ABOUT('gc', 'gc')} + 0.01 AS cc FROM n GROUP BY id), m AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM k)"
+_DENSITY_SQL = f"{_KERNEL_SQL}, q AS (SELECT n.id, det, (ga * ga * (bb * cc - bc * bc) + gb * gb * (aa * cc - ac * ac) + gc * gc * (aa * bb - ab * ab) + 2 * ga * gb * (ac * bc - ab * cc) + 2 * ga * gc * (ab * bc - ac * bb) + 2 * gb * gc * (ab * ac - aa * bc)) / det AS z FROM n JOIN m ON m.id = n.other)"
+
+
+def _points(spark, sf):
+    e = F.col("embedding")
+    return fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), *[e[i].cast("double").alias(c) for i, c in enumerate("abc")])
+
+
+@add("nearest_neighbours", "id rank other", "d2", f"{_NEAR_SQL} :: SELECT id, CAST(rank AS INT) AS rank, other, d2 FROM n")
+def _(spark, sf):
+    return neighbors.nearest(_points(spark, sf), 6, ["a", "b", "c"])
+
+
+@add("local_covariances", "id", "s00 s10 s11 s20 s21 s22", f"{_KERNEL_SQL} :: SELECT id, aa AS s00, ab AS s10, bb AS s11, ac AS s20, bc AS s21, cc AS s22 FROM m")
+def _(spark, sf):
+    return neighbors.local_covariances(_points(spark, sf), 6, ["a", "b", "c"], 0.1)
+
+
+@add("manifold_density", "id", "density", f"{_DENSITY_SQL} :: SELECT id, avg(exp(-z / 2) / sqrt(pow(2 * pi(), 3) * det)) AS density FROM q GROUP BY id")
+def _(spark, sf):
+    return neighbors.manifold_density(_points(spark, sf), 6, ["a", "b", "c"], 0.1)
