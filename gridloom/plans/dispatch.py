@@ -189,6 +189,15 @@ OPERATIONS: dict[str, Callable[..., DataFrame]] = {
     "WarpTimeSeriesImageMultiTransform": lambda a, grid, m: transforms.warp_series(a, grid, m),
     "WarpTensorImageMultiTransform": lambda a, grid, m: transforms.warp_tensors(a, grid, m),
     "MixtureSegmentation": lambda a, options=None, priors=None: mixture.segment(a, ["v"], options or mixture.Options(), priors)[0],
+    "DiceAndMinDistSum": lambda a, b: label.dice_table(pixel.aligned(a, b, "v", "w").select(F.col("v").cast("bigint").alias("la"), F.col("w").cast("bigint").alias("lb"))),
+    "CorrelationVoting": lambda target, labelled, radius=5: neighborhood.correlation_voting(target, labelled, int(radius)),
+    "TriPlanarView": lambda a, x, y, z: layout.tri_planar(a, int(x), int(y), int(z)),
+    "ClusterThresholdVariate": lambda a, mask, min_size: iterative.cluster_threshold(pixel.aligned(a, mask, "v", "mask"), "mask", int(min_size)),
+    "RandomlySampleImageSetToCSV": lambda images, n, seed=0: imageset.random_samples(images, int(n), int(seed)),
+    "ConvertImageSetToEigenvectors": lambda matrix, k: models.principal_components(matrix, int(k)),
+    "Demons": lambda fixed, moving, rounds=3, sigma=1.0: models.register_demons(fixed, moving, int(rounds), float(sigma)),
+    "SpatialMutualInformation": lambda a, b, bins=32: label.spatial_mutual_information(pixel.aligned(a, b, "v", "w"), bins=int(bins)),
+    "TimeSeriesRegionSCCA": lambda series, share_a=0.5, share_b=0.5, rounds=5: timeseries.region_sparse_cca(series, float(share_a), float(share_b), int(rounds))[0],
     "MotionCorr": lambda series, fixed=None, kind="rigid": align.motion_correction(series, fixed, str(kind)).table(series.sparkSession),
     "SliceRegularizedRegistration": lambda moving, fixed, degree=2: align.slice_regularised(moving, fixed, int(degree)).table(moving.sparkSession, "z"),
     "AI": lambda moving, fixed, kind="rigid", turns=12: align.searched(moving, fixed, str(kind), int(turns)).table(moving.sparkSession, "id"),

@@ -41,3 +41,13 @@ def test_parsing():
     with pytest.raises(ValueError, match="no operation"):
         dispatch.run("Nothing", None)
     assert len(dispatch.OPERATIONS) > 100
+
+
+def test_names_of_labels_clusters_and_alignment(spark, image):
+    marks = image.withColumn("v", (image.x > 2).cast("double"))
+    assert {r["label"]: r["dice"] for r in dispatch.run("DiceAndMinDistSum", marks, marks).collect()}[1] == pytest.approx(1)
+    assert dispatch.run("SpatialMutualInformation", image, image, 4).first()["smi"] > 0
+    kept = values(dispatch.run("ClusterThresholdVariate", image, marks, 4))
+    assert {p for p, v in kept.items() if v} == {p for p, v in values(marks).items() if v}
+    still = dispatch.run("AI", image, image, "translation", 1).first()
+    assert abs(still["p0"]) < 0.01 and abs(still["p1"]) < 0.01
