@@ -26,11 +26,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the cluster's shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """``df`` with its lineage cut by a reliable checkpoint in the cluster's shared folder, as a table of unknown size.
+
+    A checkpoint alone keeps the plan's estimate of its size, and a join's is the product of its sides': over rounds
+    that join what the round before left, the number's digits double each time and fill the driver.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.createDataFrame(kept.javaRDD(), kept.schema()), spark)
 
 
 #: Of a join's rows, the share from which those of one key are spread over several tasks; so at most HOT_SHARE keys are broadcast.

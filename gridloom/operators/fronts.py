@@ -8,6 +8,7 @@ its cells, only tiles that a border improves are solved again, and a tile bounds
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,22 @@ from gridloom.plans.lineage import checkpointed
 
 #: Cells along a tile's side, by the number of axes.
 TILE = {1: 4096, 2: 64, 3: 16, 4: 8}
+#: Tiles along an axis beyond which they get longer, and the cells up to which a tile may grow so.
+TILES, TILE_CELLS = 16, 250_000
 NEW = 1e-12
 
 
+def sides(cells: DataFrame, axes: list[str]) -> list[int]:
+    """Cells along each side of a tile: TILE, or more on an axis so long that a front would cross many tiles, one a round."""
+    row = cells.agg(*[(F.max(a) - F.min(a) + 1).alias(a) for a in axes]).first()
+    extent, base = [int(n or 1) for n in row], TILE[len(axes)]
+    out = [base] * len(axes)
+    for i in sorted(range(len(axes)), key=lambda i: -extent[i]):
+        rest = math.prod(min(n, s) for j, (n, s) in enumerate(zip(extent, out, strict=True)) if j != i)
+        out[i] = max(base, min(-(-extent[i] // TILES), TILE_CELLS // rest))
+    return out
+
+
 def _local(axes: list[str], stop: float):
     """Solves one tile: rows (axes, s, time, tag, ...) with some times known."""
 
@@ -63,15 +77,15 @@ def travel(cells: DataFrame, seeds: DataFrame, stop: float = float("inf"), tile:
     cells: axes and s > 0; seeds: axes, time and tag (a number). Cells beyond ``stop`` are not reached.
     """
     axes = axes_of(cells)
-    side = tile or TILE[len(axes)]
+    side = dict(zip(axes, [tile] * len(axes) if tile else sides(cells, axes), strict=True))
     tiles = [f"_t{a}" for a in axes]
     first = seeds.groupBy(*axes).agg(_best(F.col("time").cast("double"), F.col("tag").cast("bigint")).alias("b")).select(*axes, "b.time", "b.tag")
     state = cells.select(*axes, F.col("s").cast("double").alias("s")).join(first, axes, "left")
-    state = checkpointed(state.withColumns({t: F.floor(F.col(a) / side).cast("bigint") for a, t in zip(axes, tiles, strict=True)}))
+    state = checkpointed(state.withColumns({t: F.floor(F.col(a) / side[a]).cast("bigint") for a, t in zip(axes, tiles, strict=True)}))
     active = state.filter("time IS NOT NULL").select(*tiles).distinct()
     edge = F.lit(False)
     for a in axes:
-        edge = edge | F.pmod(F.col(a), F.lit(side)).isin(0, side - 1)
+        edge = edge | F.pmod(F.col(a), F.lit(side[a])).isin(0, side[a] - 1)
     while True:
         solved = state.join(active, tiles, "left_semi").groupBy(*tiles).applyInArrow(_local(axes, stop), state.schema)
         state = checkpointed(state.join(active, tiles, "left_anti").unionByName(solved))
