@@ -26,3 +26,10 @@ def test_travel_over_a_long_image(spark):
     seeds = cells.filter("x = 0 AND y = 0").selectExpr("x", "y", "0.0D AS time", "0 AS tag")
     got = {(r["x"], r["y"]): r["time"] for r in fronts.travel(cells, seeds).collect()}
     assert len(got) == 6000 and all(t == x + y for (x, y), t in got.items())
+
+
+def test_intensity_statistics_of_counts_whose_products_exceed_64_bits(spark):
+    """Three million cells a label: (n - 1)(n - 2)(n - 3) is beyond 64 bits."""
+    cells = spark.range(3_000_000).selectExpr("1 AS label", "CAST(id % 2 AS DOUBLE) AS v")
+    row = label.intensity_statistics(cells).first()
+    assert row["count"] == 3_000_000 and abs(row["skewness"]) < 1e-9 and abs(row["kurtosis"] + 2) < 1e-5
