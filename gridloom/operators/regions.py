@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.grid import Geometry, axes_of, box, faces, scattered
+from gridloom.grid import Geometry, axes_of, box, faces, scattered, unbroadcast
 from gridloom.operators.eikonal import march
 from gridloom.operators.fronts import travel
 from gridloom.operators.iterative import component_sizes
@@ -86,7 +86,7 @@ def motion_correct(series: DataFrame, reach: int, v: str = "v") -> DataFrame:
     offsets = box(axes, reach)
     names = {f"s{a}": [o[i] for o in offsets] for i, a in enumerate(axes)}
     moved = scattered(series.select(*axes, "t", F.col(v).alias("_v")), offsets, axes, names)
-    cost = mean.join(moved, axes).groupBy("t", *names).agg(F.avg((F.col("_m") - F.col("_v")) ** 2).alias("metric"))
+    cost = mean.join(unbroadcast(moved), axes).groupBy("t", *names).agg(F.avg((F.col("_m") - F.col("_v")) ** 2).alias("metric"))
     best = cost.groupBy("t").agg(F.min(F.struct("metric", *[F.abs(n).alias(f"_{n}") for n in names], *names)).alias("b"))
     return best.select("t", *[F.col(f"b.{n}").alias(n) for n in names], F.col("b.metric").alias("metric"))
 

@@ -1,7 +1,9 @@
 """Rounds of plans: what a checkpoint keeps, and how many rounds a long image takes."""
 
+from pyspark.sql import functions as F
+
 from gridloom.llm import _common
-from gridloom.operators import fronts, label
+from gridloom.operators import fronts, label, regions, transforms
 from gridloom.plans import lineage
 
 
@@ -33,3 +35,12 @@ def test_intensity_statistics_of_counts_whose_products_exceed_64_bits(spark):
     cells = spark.range(3_000_000).selectExpr("1 AS label", "CAST(id % 2 AS DOUBLE) AS v")
     row = label.intensity_statistics(cells).first()
     assert row["count"] == 3_000_000 and abs(row["skewness"]) < 1e-9 and abs(row["kurtosis"] + 2) < 1e-5
+
+
+def test_joins_of_cells_broadcast_none(spark):
+    cells = spark.range(400).selectExpr("id % 20 AS x", "id div 20 AS y", "CAST(id AS DOUBLE) AS v")
+    warped = transforms.warp(cells, cells, {"x": F.col("x") + 0.5, "y": F.col("y")})
+    moved = regions.motion_correct(cells.withColumn("t", F.lit(0)), 1)
+    for df in (warped, moved):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
