@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.grid import axes_of
+from gridloom.grid import axes_of, unbroadcast
 from gridloom.plans.lineage import checkpointed
 
 KINDS = ("translation", "rigid", "similarity", "affine")
@@ -248,7 +248,7 @@ def _sums(cells: DataFrame, around: DataFrame, axes: list[str], kind: str, maps:
     k = len(motions)
     rows = rows.select("_k", "v", *[p.alias(f"_p{a}") for p, a in zip(place, axes, strict=True)], *[m.alias(f"j{i}") for i, m in enumerate(motions)])
     rows = rows.select("*", *[F.floor(f"_p{a}").cast("bigint").alias(a) for a in axes])
-    both = rows.join(around, [*(["_k"] if by_key else []), *axes]).withColumn("r", _read(axes) - F.col("v")).filter("r IS NOT NULL")
+    both = rows.join(unbroadcast(around), [*(["_k"] if by_key else []), *axes]).withColumn("r", _read(axes) - F.col("v")).filter("r IS NOT NULL")
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     got = both.groupBy("_k").agg(F.count("r").alias("n"), F.sum(F.col("r") * F.col("r")).alias("s"), *[F.sum(F.col(f"j{i}") * F.col(f"j{j}")) for i, j in pairs], *[F.sum(F.col(f"j{i}") * F.col("r")) for i in range(k)]).collect()
     out = {}
@@ -285,7 +285,7 @@ def resampled(volumes: DataFrame, found: Aligned, key: str | None = None) -> Dat
     near = lambda p: F.when(F.abs(p - F.round(p)) < 1e-9, F.round(p)).otherwise(p)
     rows = rows.select("_k", *[F.col(a).alias(f"_{a}") for a in axes], *[near(p).alias(f"_p{a}") for p, a in zip(place, axes, strict=True)])
     rows = rows.select("*", *[F.floor(f"_p{a}").cast("bigint").alias(a) for a in axes])
-    out = rows.join(_bundles(values, axes, ["_k"]), ["_k", *axes]).withColumn("v", _read(axes)).filter("v IS NOT NULL")
+    out = rows.join(unbroadcast(_bundles(values, axes, ["_k"])), ["_k", *axes]).withColumn("v", _read(axes)).filter("v IS NOT NULL")
     return out.select(*([F.col("_k").alias(key)] if key else []), *[F.col(f"_{a}").alias(a) for a in axes], "v")
 
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.grid import Geometry, axes_of
+from gridloom.grid import Geometry, axes_of, unbroadcast
 from gridloom.operators import bias, imageset, iterative, label, mixture, models, neighborhood, points, registration, surface, timeseries, transforms
 from gridloom.operators.thickness import propagated_thickness
 from gridloom.plans.lineage import checkpointed
@@ -58,7 +58,7 @@ def unbiased_pairwise(a: DataFrame, b: DataFrame, rounds: int = 3) -> DataFrame:
     one, two = registration.symmetric(a, b, rounds).parts
     x, y = _map(one, a), _map(two, b).withColumnRenamed("v", "w")
     axes = axes_of(a)
-    return x.join(y, axes).select(*axes, ((F.col("v") + F.col("w")) / 2).alias("v"))
+    return x.join(unbroadcast(y), axes).select(*axes, ((F.col("v") + F.col("w")) / 2).alias("v"))
 
 
 def shape_update(template: DataFrame, fields: list[DataFrame], step: float = 0.25) -> DataFrame:
@@ -141,7 +141,7 @@ def joint_label_fusion(target: DataFrame, atlases: list[tuple[DataFrame, DataFra
     for k, (image, labels) in enumerate(atlases):
         field, warped = pairwise(target, image, preset)
         moved = _warp_labels(labels, field)
-        parts.append(checkpointed(warped.join(moved, axes).select(F.lit(k).alias("image"), *axes, "v", "label")))
+        parts.append(checkpointed(warped.join(unbroadcast(moved), axes).select(F.lit(k).alias("image"), *axes, "v", "label")))
     every = reduce(DataFrame.union, parts)
     return imageset.majority_vote(every).select(*axes, "label") if vote else models.joint_fusion(target, every, radius)
 
@@ -185,7 +185,7 @@ def asymmetry(image: DataFrame, axis: str, preset: str = "quick") -> DataFrame:
     ends = image.agg(F.min(axis).alias("_lo"), F.max(axis).alias("_hi"))
     mirror = image.crossJoin(F.broadcast(ends)).withColumn(axis, F.col("_lo") + F.col("_hi") - F.col(axis)).select(*axes, "v")
     _, warped = pairwise(image, mirror, preset)
-    return image.select(*axes, "v").join(warped.withColumnRenamed("v", "w"), axes).select(*axes, (F.col("v") - F.col("w")).alias("v"))
+    return image.select(*axes, "v").join(unbroadcast(warped.withColumnRenamed("v", "w")), axes).select(*axes, (F.col("v") - F.col("w")).alias("v"))
 
 
 def landmark_match(fixed: DataFrame, moving: DataFrame, fixed_labels: DataFrame, moving_labels: DataFrame, spans: int = 4) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridloom.grid import unbroadcast
 from gridloom.plans import pipelines
 from gridloom.plans.queries_fields import _biased, _shape
 from gridloom.plans.queries_models import FIELD, field
@@ -50,7 +51,7 @@ def _(spark, sf):
 def _(spark, sf):
     one = _shape(spark, sf, 0.0)
     got = pipelines.template([one, one], 1, "translation").withColumnRenamed("v", "w")
-    return one.join(got, ["x", "y"]).agg(F.max(F.abs(F.col("v") - F.col("w"))).alias("far"))
+    return one.join(unbroadcast(got), ["x", "y"]).agg(F.max(F.abs(F.col("v") - F.col("w"))).alias("far"))
 
 
 @add("label_fusion_of_a_copy", "x y label", "", f"{P} :: SELECT x, y, CAST(exp(-pow(x - 22, 2) / 60.0 - pow(y - 1.5, 2) / 30.0) > 0.5 AS BIGINT) AS label FROM img")
