@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gridloom.llm import _common
+from gridloom.grid import box, scattered
 from gridloom.operators import fronts, label, regions, transforms
 from gridloom.plans import lineage
 
@@ -44,3 +45,13 @@ def test_joins_of_cells_broadcast_none(spark):
     for df in (warped, moved):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_cells_are_dealt_before_they_multiply(spark):
+    cells = spark.range(2000).selectExpr("id % 10 AS x", "id div 10 AS y", "CAST(id AS DOUBLE) AS v").coalesce(1)
+    assert scattered(cells, box(["x", "y"], 1), ["x", "y"]).rdd.getNumPartitions() > 1
+    field = cells.selectExpr("x", "y", "v AS ux", "0.0D AS uy")
+    bound = transforms.lipschitz(field)
+    plan = bound._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert {round(r["v"], 6) for r in bound.collect()} <= {round(v, 6) for v in (11 / 2**0.5, 10.0)} and bound.count() == 2000
