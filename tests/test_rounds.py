@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import _common
 from gridloom.grid import box, scattered
-from gridloom.operators import fronts, label, regions, transforms
+from gridloom.operators import fronts, label, regions, spline, transforms
 from gridloom.plans import lineage
 
 
@@ -55,3 +55,21 @@ def test_cells_are_dealt_before_they_multiply(spark):
     plan = bound._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     assert {round(r["v"], 6) for r in bound.collect()} <= {round(v, 6) for v in (11 / 2**0.5, 10.0)} and bound.count() == 2000
+
+
+def test_super_resolution_of_a_long_image(spark):
+    """The waves along the long axis are as short as along the other: spans must not get longer with the image."""
+    wave = F.sin(F.col("x") / 8) + F.cos(F.col("y") / 6)
+    cells = spark.range(50 * 1200).selectExpr("CAST(id % 50 AS DOUBLE) AS x", "CAST(id div 50 AS DOUBLE) AS y")
+    got = spline.super_resolution(cells.withColumn("v", wave), cells, 8, 3)
+    worst, n = got.agg(F.max(F.abs(F.col("v") - wave)), F.count(F.lit(1))).first()
+    assert n == 60_000 and worst < 0.2
+
+
+def test_landmarks_far_from_the_ends_of_a_long_image(spark):
+    """Two marks ten rows apart, with moves of 1 and 2, among 20,000 rows."""
+    marks = spark.createDataFrame([(7, 20, 9000), (23, 20, 9010)], "label bigint, x bigint, y bigint")
+    moved = marks.withColumn("x", F.col("x") + F.when(F.col("label") == 7, 1).otherwise(2))
+    grid = spark.range(4 * 20000).selectExpr("id % 4 * 15 AS x", "id div 4 AS y").union(marks.select("x", "y")).distinct()
+    at = marks.join(spline.landmark_field(marks, moved, grid, 8, 4), ["x", "y"]).collect()
+    assert len(at) == 2 and all(abs(r["ux"] - (1 if r["label"] == 7 else 2)) < 0.005 for r in at)
