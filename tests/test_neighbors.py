@@ -51,3 +51,10 @@ def test_few_points(spark):
     assert neighbors.nearest(spark.createDataFrame([(1, 0.0, 0.0)], schema), 3, ["a", "b"]).count() == 0
     two = neighbors.nearest(spark.createDataFrame([(1, 0.0, 0.0), (2, 9.0, 0.0)], schema), 3, ["a", "b"]).collect()
     assert sorted((q["id"], q["other"], q["d2"]) for q in two) == [(1, 2, 81.0), (2, 1, 81.0)]
+
+
+def test_a_density_searches_neighbours_once(spark, monkeypatch):
+    calls, real = [], neighbors.nearest
+    monkeypatch.setattr(neighbors, "nearest", lambda *a: (calls.append(1), real(*a))[1])
+    points = spark.range(30).selectExpr("id", "CAST(id % 5 AS double) AS a", "CAST(id div 5 AS double) AS b")
+    assert neighbors.manifold_density(points, 3, ["a", "b"], 0.1).count() == 30 and len(calls) == 1
