@@ -8,18 +8,28 @@ from pyspark.sql import functions as F
 from gridloom.llm._common import checkpointed, spread_join
 
 
+#: Edges to a task, and the tasks that few edges get.
+TASK_EDGES, LEAST_TASKS = 20_000, 8
+
+
+def _gathered(rows: DataFrame, total: int) -> DataFrame:
+    """rows in tasks of about TASK_EDGES rows: a round has some ten shuffles, and each task of one leaves files on disk and a status in the driver."""
+    return rows.coalesce(max(LEAST_TASKS, total // TASK_EDGES + 1))
+
+
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select(F.col("u"), F.col("v")).union(edges.select(F.col("v"), F.col("u")))
     least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
-    moved = spread_join(both.filter("v > u"), least, ["u"], "n", "v", 2 * total)
-    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    moved = _gathered(spread_join(both.filter("v > u"), _gathered(least, total), ["u"], "n", "v", 2 * total), total)
+    return _gathered(moved.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), total)
 
 
 def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    moved = spread_join(down, least, ["u"], "n", "v", total)
-    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+    least = _gathered(least, total)
+    moved = _gathered(spread_join(down, least, ["u"], "n", "v", total), total)
+    return _gathered(moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), total)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,6 +40,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = checkpointed(edges.filter("u <> v").select("u", "v").distinct())
     mark, total = None, now.count()
+    now = _gathered(now, total)
     while True:
         now = checkpointed(_small_star(_large_star(now, total), total))
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

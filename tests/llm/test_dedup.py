@@ -129,3 +129,21 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100)], "u bigint, v bigint")
     got = {r["node"]: r["component"] for r in components(edges).collect()}
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
+
+
+def test_a_round_over_few_edges_takes_few_tasks(spark):
+    """However many partitions a shuffle has, few edges aren't dealt over all of them."""
+    from gridloom.llm import graph
+
+    names = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        edges = spark.range(40).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+        assert graph._large_star(edges, 40).rdd.getNumPartitions() <= graph.LEAST_TASKS
+        assert graph._small_star(edges, 40).rdd.getNumPartitions() <= graph.LEAST_TASKS
+        assert {(r.node, r.component) for r in graph.components(edges).collect()} == {(i, 0) for i in range(41)}
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
