@@ -261,3 +261,11 @@ def test_lipschitz_all_asks_near_tiles_and_reaches_far_ones(spark):
     got = {q["x"]: q["v"] for q in out.collect()}
     assert got == {x: max(abs(value[x] - value[z]) / abs(x - z) for z in value if z != x) for x in value}
     assert "NestedLoopJoin BuildRight, Inner, (" not in out._jdf.queryExecution().toString()
+
+
+def test_registered_images_are_not_broadcast(spark):
+    from gridloom.plans.queries_fields import _side_by_side
+
+    cells = spark.range(20).select(F.col("id").alias("x"), F.lit(0).alias("y"), F.col("id").cast("double").alias("v"))
+    out = _side_by_side(cells, cells.withColumnRenamed("v", "m"), cells)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 20
