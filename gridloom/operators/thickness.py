@@ -167,8 +167,10 @@ def propagated_thickness(df: DataFrame, prior: int = 10, steps: int = 20, rounds
         return out.withColumn("own", own)
 
     def solved(rows: DataFrame, reach: int, solve, names: list[str]) -> DataFrame:
-        # tiles without middle tissue within reach have no velocity
+        # tiles without middle tissue within reach have no velocity, and those without cells of their own give no rows
         busy = at_tiles(rows.filter("middle > 0").select(*axes), reach).select(*tiles).distinct()
+        owned = rows.select(*[F.floor(F.col(a) / side).cast("bigint").alias(t) for a, t in zip(axes, tiles, strict=True)]).distinct()
+        busy = busy.join(owned, tiles, "left_semi")
         work = at_tiles(rows, reach).join(busy, tiles, "left_semi").select(*kept, *tiles, "own")
         schema = kinds + "".join(f", {n} double" for n in names)
         return work.groupBy(*tiles).applyInArrow(_tile(axes, steps, float(prior), spacing, solve, names), schema)

@@ -62,3 +62,26 @@ def test_the_study_uses_it(spark):
     got = out.filter("y BETWEEN 4 AND 7").toPandas()
     assert {r["label"]: r["cells"] for r in volumes.collect()} == {1: 144, 2: 48, 3: 96}
     assert len(got) == 16 and np.all(np.abs(got.v - 4) < 0.3)
+
+
+def test_only_tiles_with_cells_of_their_own_are_solved(spark, monkeypatch):
+    """Cells near a tile's border don't make work of an empty tile beyond it; the result is the whole image's."""
+    from gridloom.operators import thickness
+
+    df = slab(spark, 4, 6, 16)
+    whole = {(q.x, q.y): q.thickness for q in propagated_thickness(df, prior=4, rounds=1).collect()}
+    made = thickness._tile
+
+    def guarded(*args):
+        run = made(*args)
+
+        def solve(table):
+            if not any(table.column("own").to_pylist()):
+                raise ValueError("a tile without cells of its own")
+            return run(table)
+
+        return solve
+
+    monkeypatch.setattr(thickness, "_tile", guarded)
+    got = {(q.x, q.y): q.thickness for q in propagated_thickness(df, prior=4, rounds=1, tile=8).collect()}
+    assert got.keys() == whole.keys() and all(abs(got[k] - v) < 1e-9 for k, v in whole.items())
