@@ -1,12 +1,13 @@
 """Sparse decompositions of matrices with any number of columns, without a matrix of products.
 
 A matrix is a table of tiles, SIDE rows by SIDE columns, each a row with its entries; a vector is a table of blocks of SIDE
-numbers. A product with a vector joins blocks to tiles (the tiles stay where they are, only blocks move), multiplies in Arrow
-batches, where a task adds up what it holds, and sums per block. One round of a decomposition is X v and then X' of that.
+numbers. A product with a vector joins blocks to tiles, multiplies in Arrow batches, where a task adds up what it holds, and sums
+per block. Only blocks move: a vector of at most NEAR blocks is broadcast, and for a longer one the tiles are kept (persisted until a
+decomposition ends) dealt by its blocks, and its blocks are dealt likewise. One round of a decomposition is X v and then X' of that.
 Centring, and regressing columns out, is a correction of rank q: with G the constant and the columns given,
 X'(I - G (G'G)^-1 G')X v = X'(X v) - (X'G)(G'G)^-1 (X'G)'v, where X'G are q vectors beside the columns.
 
-No vector comes to the driver, which holds numbers a component. The threshold of a round is the exact order statistic of
+No vector of more than NEAR blocks comes to the driver, which holds numbers a component. The threshold of a round is the exact order statistic of
 the absolute values: their bits are counted by 16 bits at a time, until the values left are few.
 
 Edge cases: entries that are null count as 0, those of one place are added; rows and columns are any whole numbers; a share keeps
@@ -29,16 +30,45 @@ from gridloom.plans.lineage import checkpointed
 SIDE = 512
 #: Values of one histogram digit that may come to the driver.
 FEW = 1 << 16
+#: Blocks up to which a vector is broadcast: 256 KB.
+NEAR = 64
 #: Columns that may be regressed out.
 MAX_GIVEN = 256
 _HELD = 2048
 
 
+class Tiles:
+    """The tiles (rb, cb, i, j, x) of a matrix, and, by each of rb and cb that has more than NEAR blocks, dealt by it."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+        counts = rows.agg(F.count_distinct("rb"), F.count_distinct("cb")).first()
+        most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.tasks = {key: max(1, min(most, n)) for key, n in zip(("rb", "cb"), counts, strict=True)}
+        self.dealt = {key: rows.repartition(self.tasks[key], key) for key, n in zip(("rb", "cb"), counts, strict=True) if n > NEAR}
+
+    def keep(self) -> None:
+        for df in self.dealt.values():
+            if not df.is_cached:
+                df.persist()
+
+    def release(self) -> None:
+        for df in self.dealt.values():
+            df.unpersist()
+
+    def beside(self, vector: DataFrame, at: str, to: str) -> DataFrame:
+        """Each tile with the block w of its number ``at``."""
+        blocks = vector.select(F.col("b").alias(at), "w")
+        if at in self.dealt:
+            return self.dealt[at].join(blocks.repartition(self.tasks[at], at).hint("shuffle_hash"), at)
+        return self.dealt.get(to, self.rows).join(F.broadcast(blocks), at)
+
+
 @dataclass(frozen=True)
 class Wide:
-    """tiles: rb, cb, i, j, x; cross: b, g (an array of q arrays, X'G) and var (of the columns); k: (G'G)^-1."""
+    """tiles: their layouts; cross: b, g (an array of q arrays, X'G) and var (of the columns); k: (G'G)^-1."""
 
-    tiles: DataFrame
+    tiles: Tiles
     cross: DataFrame
     k: np.ndarray
     n: int
@@ -50,9 +80,9 @@ def entries(df: DataFrame, row: str, values: str) -> DataFrame:
     return df.select(F.col(row).alias("row"), F.posexplode(values).alias("col", "value"))
 
 
-def _sums(parts: DataFrame) -> DataFrame:
+def _sums(parts: DataFrame, tasks: int) -> DataFrame:
     """Blocks (b, w) from partial sums (b, k, s); partitioned by block once."""
-    sums = parts.repartition("b").groupBy("b", "k").agg(F.sum("s").alias("s"))
+    sums = parts.repartition(tasks, "b").groupBy("b", "k").agg(F.sum("s").alias("s"))
     return sums.groupBy("b").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda e: e["s"]).alias("w"))
 
 
@@ -76,11 +106,11 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def _times(tiles: DataFrame, vector: DataFrame, forward: bool) -> DataFrame:
+def _times(tiles: Tiles, vector: DataFrame, forward: bool) -> DataFrame:
     """Blocks of X v (forward) or of X' u."""
     at, to, a, c = ("cb", "rb", "i", "j") if forward else ("rb", "cb", "j", "i")
-    rows = tiles.join(vector.select(F.col("b").alias(at), "w"), at)
-    return _sums(rows.select(F.col(to).alias("key"), F.col(a).alias("a"), F.col(c).alias("c"), "x", "w").mapInArrow(_added, "b bigint, k int, s double"))
+    rows = tiles.beside(vector, at, to)
+    return _sums(rows.select(F.col(to).alias("key"), F.col(a).alias("a"), F.col(c).alias("c"), "x", "w").mapInArrow(_added, "b bigint, k int, s double"), tiles.tasks[to])
 
 
 def _less(p: Column, q: Column, by: float) -> Column:
@@ -97,9 +127,13 @@ def wide(cells: DataFrame, given: DataFrame | None = None) -> Wide:
     """The matrix of cells (row, col, value), with the columns of ``given`` (row, col, value), at most MAX_GIVEN, regressed out beside the constant."""
     floor = lambda c: F.floor(F.col(c) / SIDE).cast("bigint")
     place = lambda c: F.pmod(F.col(c), F.lit(SIDE)).cast("int")
-    once = cells.groupBy(F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col")).agg(F.sum(F.coalesce(F.col("value").cast("double"), F.lit(0.0))).alias("value"))
-    tiles = once.groupBy(floor("row").alias("rb"), floor("col").alias("cb")).agg(F.collect_list(F.struct(place("row").alias("i"), place("col").alias("j"), F.col("value").alias("x"))).alias("e"))
+    # cells are shuffled once: those of a tile meet in a task, where those of one place are added
+    all_ = cells.select(floor("row").alias("rb"), floor("col").alias("cb"), F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"))
+    once = all_.repartition("rb", "cb").groupBy("rb", "cb", "row", "col").agg(F.sum("value").alias("value"))
+    tiles = once.groupBy("rb", "cb").agg(F.collect_list(F.struct(place("row").alias("i"), place("col").alias("j"), F.col("value").alias("x"))).alias("e"))
     tiles = checkpointed(tiles.select("rb", "cb", F.col("e.i").alias("i"), F.col("e.j").alias("j"), F.col("e.x").alias("x")))
+    laid = Tiles(tiles)
+    laid.keep()
     # the given columns as vectors over the rows, after the constant over the rows that there are
     rows = tiles.select("rb", F.explode(F.array_distinct("i")).alias("i")).distinct()
     n = rows.count()
@@ -121,15 +155,15 @@ def wide(cells: DataFrame, given: DataFrame | None = None) -> Wide:
     gram = g.agg(*[_dot(F.col("g")[i], F.col("g")[j]).alias(f"{i}_{j}") for i in range(q) for j in range(q)]).first()
     crossed = None
     for i in range(q):
-        one = _times(tiles, g.select("b", F.col("g")[i].alias("w")), False).withColumnRenamed("w", f"g{i}")
+        one = _times(laid, g.select("b", F.col("g")[i].alias("w")), False).withColumnRenamed("w", f"g{i}")
         crossed = one if crossed is None else crossed.join(one, "b")
-    squares = _sums(tiles.select(F.col("cb").alias("b"), F.explode(F.arrays_zip("j", "x")).alias("e")).groupBy("b", F.col("e.j").alias("k")).agg(F.sum(F.col("e.x") ** 2).alias("s")).unionByName(tiles.select(F.col("cb").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1))).alias("k"), F.lit(0.0).alias("s")).distinct()))
+    squares = _sums(tiles.select(F.col("cb").alias("b"), F.explode(F.arrays_zip("j", "x")).alias("e")).groupBy("b", F.col("e.j").alias("k")).agg(F.sum(F.col("e.x") ** 2).alias("s")).unionByName(tiles.select(F.col("cb").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1))).alias("k"), F.lit(0.0).alias("s")).distinct()), laid.tasks["cb"])
     crossed = crossed.join(squares.withColumnRenamed("w", "sq"), "b")
     var = F.zip_with("sq", "g0", lambda s, m: F.greatest(s / max(n, 1) - (m / max(n, 1)) ** 2, F.lit(0.0)))
     cross = checkpointed(crossed.select("b", F.array(*[f"g{i}" for i in range(q)]).alias("g"), var.alias("var")))
     columns = tiles.select("cb", F.explode(F.array_distinct("j")).alias("j")).distinct().count()
     k = np.array([gram[f"{i}_{j}"] for i in range(q) for j in range(q)], float).reshape(q, q)
-    return Wide(tiles, cross, np.linalg.pinv(k), n, columns)
+    return Wide(laid, cross, np.linalg.pinv(k), n, columns)
 
 
 def kth_largest(vector: DataFrame, k: int, columns: int, few: int = FEW) -> float:
@@ -232,6 +266,7 @@ def sparse_svd(m: Wide, k: int, share: float, rounds: int = 30, hard: bool = Fal
     """
     variances, found = [], []
     basis = None
+    m.tiles.keep()
     for c in range(k):
         v, along = _start(m)
         before = [0.0] * c
@@ -258,6 +293,7 @@ def sparse_svd(m: Wide, k: int, share: float, rounds: int = 30, hard: bool = Fal
         found.append(_loadings(v, component=c))
         one = v.withColumnRenamed("w", f"v{c}")
         basis = one if basis is None else basis.join(one, "b")
+    m.tiles.release()
     loadings = found[0]
     for f in found[1:]:
         loadings = loadings.union(f)
@@ -272,6 +308,8 @@ def sparse_cca(x: Wide, y: Wide, share_x: float, share_y: float, rounds: int = 2
     """
     if x.n != y.n:
         raise ValueError(f"{x.n} and {y.n} rows")
+    x.tiles.keep()
+    y.tiles.keep()
     u, along_u = _start(x)
     v, along_v = u, along_u
     for _ in range(rounds):
@@ -283,6 +321,8 @@ def sparse_cca(x: Wide, y: Wide, share_x: float, share_y: float, rounds: int = 2
         u, along_u = _scaled(u, size or 1.0), along_u / (size or 1.0)
     a, b = _times(x.tiles, u, True).withColumnRenamed("w", "a"), _times(y.tiles, v, True).withColumnRenamed("w", "c")
     aa, ac, cc = a.join(b, "b").agg(_dot(F.col("a"), F.col("a")), _dot(F.col("a"), F.col("c")), _dot(F.col("c"), F.col("c"))).first()
+    x.tiles.release()
+    y.tiles.release()
     aa, ac, cc = aa - along_u @ x.k @ along_u, ac - along_u @ x.k @ along_v, cc - along_v @ x.k @ along_v
     r = float(ac / np.sqrt(aa * cc)) if aa > 0 and cc > 0 else 0.0
     return r, _loadings(u, side="x").union(_loadings(v, side="y"))

@@ -94,3 +94,23 @@ def test_without_variance(spark):
     flat = wide.wide(spark.createDataFrame([(i, j, 2.0) for i in range(4) for j in range(3)], "row long, col long, value double"))
     variances, loadings = wide.sparse_svd(flat, 2, 0.5, 2)
     assert variances == [0.0, 0.0] and loadings.count() == 0
+
+
+def test_a_product_moves_blocks_not_tiles(spark, monkeypatch):
+    """Rows over more blocks than are broadcast: a round shuffles less than a tenth of the entries, and its result is that of NumPy."""
+    monkeypatch.setattr(wide, "NEAR", 2, raising=False)
+    x = np.random.default_rng(5).standard_normal((3000, 64))
+    m = wide.wide(wide.entries(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>"), "id", "v"))
+    status = spark.sparkContext._jsc.sc().statusStore()
+
+    def written() -> int:
+        found = status.executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    v, along = wide._start(m)
+    v.count()
+    before = written()
+    z = wide.product(m, m, v, along).collect()
+    assert written() - before < 16 * x.size / 10
+    start = np.var(x, axis=0) / np.linalg.norm(np.var(x, axis=0))
+    assert np.allclose(z[0]["w"][:64], np.cov(x.T, bias=True) @ start, atol=1e-9)
