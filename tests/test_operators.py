@@ -73,6 +73,30 @@ def test_comb_components(spark):
     assert iterative.label_clusters(spiral).agg(F.max("label")).first()[0] == 1
 
 
+@pytest.mark.parametrize("full", [False, True])
+def test_components_across_tiles(spark, monkeypatch, full):
+    """Random cells about the origin, some given twice, over several tiles: components are those of a flood, and few contacts are edges of the rounds."""
+    r, edges = np.random.default_rng(2), []
+    cells = sorted({(int(x) - 70, int(y) - 40) for x, y in zip(*np.nonzero(r.random((150, 90)) < (0.42 if full else 0.6)), strict=True)}, key=lambda p: p[::-1])
+    steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (full or not (a and b))]
+    at, want = set(cells), {}
+    for p in cells:
+        left = [] if p in want else [p]
+        want.setdefault(p, p)
+        while left:
+            x, y = left.pop()
+            for q in ((x + a, y + b) for a, b in steps):
+                if q not in want and q in at:
+                    want[q] = want[p]
+                    left.append(q)
+    rounds = iterative._least_reachable
+    monkeypatch.setattr(iterative, "_least_reachable", lambda e: edges.append(e.count()) or rounds(e))
+    df = spark.createDataFrame(cells + cells[:50], "x int, y long")
+    got = iterative.connected_components(df, full).collect()
+    assert len(got) == len(cells) and {(c["x"], c["y"]): (c["component"]["x"], c["component"]["y"]) for c in got} == want
+    assert edges[0] < len(cells) / 10
+
+
 def test_distance_against_all_pairs(spark):
     r = np.random.default_rng(1)
     v = (r.random((9, 11)) < 0.1).astype(float)
